@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetstate.functions.columns import debug_text
 from fleetstate.model import REGISTRY_SCHEMA, Params
+from fleetstate.session import materialize
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -124,8 +125,9 @@ def list_ids(registry: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = registry.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (registry.select("id").repartitionByRange(n, "id")
-              .withColumn("_part", F.spark_partition_id()))
+    # materialized once: the partition ids are read by two branches and must agree
+    ranged = materialize(registry.select("id").repartitionByRange(n, "id")
+                         .withColumn("_part", F.spark_partition_id()))
     local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy("id")))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per partition: bounded by the partition count, never by the data

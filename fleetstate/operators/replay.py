@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetstate.session import materialize
 from fleetstate.model import ERROR_SEPARATOR, FOLD_STATES, SIGNALS, Params, dense_tables
 
 N_STATES = len(FOLD_STATES)
@@ -90,7 +91,7 @@ def _table_expr(p: Params) -> str:
         f"WHEN 2 THEN x.t + {p.interval} ELSE x.t + {p.timeout} END,"
         f"'na', e.na + 1))"
     )
-    init = (f"transform(sequence(0, {N_STATES - 1}), i -> named_struct('s', i, 'mk', true, 'mt', '', "
+    init = (f"transform(sequence(0, {N_STATES - 1}), i -> named_struct('s', i, 'mk', true, 'mt', IF(i >= 0, '', NULL), "
             f"'nk', true, 'nv', cast(null as bigint), 'na', 0))")
     return f"aggregate(sigs, {init}, (acc, x) -> transform(acc, e -> {step}))"
 
@@ -200,7 +201,7 @@ def replay_log(signals: DataFrame, p: Params, partitions: int | None = None) ->
 
     outcome: Applied, NotAllowed (no edge from the current state), NotFound (record removed).
     """
-    ch = chunked(signals, partitions)
+    ch = materialize(chunked(signals, partitions))  # both branches must see the same chunks
     tabs = _chunk_lists(ch).select("id", "chunk", F.expr(_table_expr(p)).alias("tab"))
     starts = chunk_starts(tabs).select("id", "chunk", F.col("s").alias("s0"), F.col("m").alias("m0"),
                                        F.col("n").alias("n0"))

@@ -148,3 +148,84 @@ select j.id, j.state_kind as from_kind, j.signal,
 from j left join edges e on e.from_kind = j.state_kind and e.signal = j.signal"""))
 def q_release(spark, sf):
     return planning.release(X.registry(spark, sf), X.outcomes(spark, sf), P)
+
+
+# ---------------------------------------------------------------- replay
+
+_REPLAY_REC = f"""
+, s as (select id, ts, seq, signal, msg, cast(floor(epoch(ts)) as bigint) as t,
+    row_number() over (partition by id order by ts, seq) as rn from signals),
+rec as (
+  select id, cast(0 as bigint) as rn, 'WaitToStart' as state_kind, cast(null as varchar) as state_message,
+    cast(null as bigint) as next_update_time, cast(0 as bigint) as n_applied,
+    cast(null as varchar) as from_kind, cast(null as varchar) as outcome
+  from (select distinct id from s) ids
+  union all
+  select r.id, s.rn, coalesce(e.to_kind, r.state_kind),
+    case when e.to_kind is null then r.state_message
+         else {O.msg_sql('r.state_message', 'e.msg_rule', 's.msg', 'e.const_message')} end,
+    case when e.to_kind is null then r.next_update_time else {O.next_sql('e.next_rule', 's.t')} end,
+    r.n_applied + case when e.to_kind is null then 0 else 1 end,
+    r.state_kind,
+    case when e.to_kind is not null then 'Applied' when r.state_kind = 'Removed' then 'NotFound' else 'NotAllowed' end
+  from rec r join s on s.id = r.id and s.rn = r.rn + 1
+  left join edges e on e.from_kind = r.state_kind and e.signal = s.signal)"""
+
+
+@query("replay_state", O.with_views(["signals", "edges"], _REPLAY_REC + """
+select r.id, r.state_kind, r.state_message, r.next_update_time, m.n as n_signals, r.n_applied
+from rec r join (select id, count(*) as n from s group by id) m on m.id = r.id and r.rn = m.n"""))
+def q_replay_state(spark, sf):
+    return replay.replay_state(X.signals(spark, sf), P)
+
+
+@query("replay_log", O.with_views(["signals", "edges"], _REPLAY_REC + """
+select r.id, epoch_us(s.ts) as ts_us, s.seq, s.signal, r.from_kind, r.state_kind as to_kind, r.outcome,
+  r.state_message, r.next_update_time
+from rec r join s on s.id = r.id and s.rn = r.rn where r.rn > 0"""))
+def q_replay_log(spark, sf):
+    log = replay.replay_log(X.signals(spark, sf), P)
+    return log.select("id", F.unix_micros("ts").alias("ts_us"), "seq", "signal", "from_kind", "to_kind", "outcome",
+                      "state_message", "next_update_time")
+
+
+@query("error_history", O.with_views(["signals"], """
+select id, string_agg(msg, chr(10) || chr(10) order by ts, seq) as history, count(*) as n_errors
+from signals where signal = 'RELEASE_ERR' and msg is not null group by id"""))
+def q_error_history(spark, sf):
+    return replay.error_history(X.signals(spark, sf))
+
+
+@query("time_to_running", O.with_views(["signals", "edges"], _REPLAY_REC + """
+, lg as (select r.id, s.ts, s.seq, r.state_kind as to_kind from rec r join s on s.id = r.id and s.rn = r.rn
+         where r.rn > 0 and r.outcome = 'Applied'),
+h as (select id, min(seq) filter (where rk = 1) as seq from (
+        select id, seq, row_number() over (partition by id order by ts, seq) as rk from lg where to_kind = 'Running') x group by id),
+b as (select id, seq, to_kind from (
+        select id, seq, to_kind, row_number() over (partition by id order by ts, seq) as rk from lg
+        where to_kind not in ('Running', 'WaitToStart', 'TriggerStart', 'StartInProgress')) x where rk = 1),
+ids as (select distinct id from lg),
+hb as (select ids.id, h.seq as h_seq, hs.ts as h_ts, b.seq as b_seq, bs.ts as b_ts, b.to_kind as b_kind
+       from ids left join h on h.id = ids.id left join b on b.id = ids.id
+       left join s hs on hs.id = ids.id and hs.seq = h.seq left join s bs on bs.id = ids.id and bs.seq = b.seq)
+select id,
+  case when h_seq is not null and (b_seq is null or h_ts < b_ts or (h_ts = b_ts and h_seq < b_seq)) then 'reached'
+       when b_seq is not null then 'failed' else 'pending' end as status,
+  epoch_us(h_ts) as reached_us, epoch_us(b_ts) as failed_us, b_kind as failed_kind
+from hb"""))
+def q_time_to_running(spark, sf):
+    log = replay.replay_log(X.signals(spark, sf), P)
+    t = replay.time_to_state(log, "Running", ["WaitToStart", "TriggerStart", "StartInProgress"])
+    return t.select("id", "status", F.unix_micros("reached_ts").alias("reached_us"),
+                    F.unix_micros("failed_ts").alias("failed_us"), "failed_kind")
+
+
+@query("illegal_transitions", O.with_views(["registry", "updates", "edges"], """
+select u.id, r.state_kind as from_kind, u.after_kind as to_kind
+from updates u join registry r on r.id = u.id
+where not exists (select 1 from edges e where e.from_kind = r.state_kind and e.to_kind = u.after_kind)"""))
+def q_illegal_transitions(spark, sf):
+    """Audit requested writes: which (current state -> requested state) pairs no edge allows."""
+    r = X.registry(spark, sf).select("id", F.col("state_kind").alias("from_kind"))
+    u = X.updates(spark, sf).select("id", F.col("after_kind").alias("to_kind"))
+    return planning.illegal_transitions(u.join(r, "id").select("id", "from_kind", "to_kind"))

@@ -128,7 +128,8 @@ def with_views(names: list[str], body: str) -> str:
     for n in names:
         add(n)
     ctes = [f"{n} as ({VIEWS[n]}\n)" for n in ORDER if n in need]
-    return "with " + ",\n".join(ctes) + "\n" + body
+    head = "with recursive " if "rec as (" in body else "with "
+    return head + ",\n".join(ctes) + "\n" + body
 
 
 def msg_sql(old: str, rule: str, arg: str, const: str) -> str:

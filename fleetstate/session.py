@@ -61,3 +61,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.sparkContext.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the session's checkpoint folder.
+
+    Used where one nondeterministic assignment (a range partition id) is read by more than
+    one branch of a plan: every branch must see the same assignment, and a lost executor must
+    not re-derive a different one.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
