@@ -15,22 +15,27 @@ from fleetstate.operators.registry import due_records, refusal_text
 
 def plan_command(commands: DataFrame, registry: DataFrame, signal: str, p: Params,
                  edges: DataFrame | None = None) -> DataFrame:
-    """Plan STOP / RESTART / DELETE commands against the current snapshot.
-
-    ``commands`` has an ``id`` column (plus anything else, kept). Each command is judged on the
-    snapshot: Success with the new state, NotAllowed with the refusal text, or NotFound.
-    A command that loses a race retries on the actual state, which is what folding the
-    ordered commands does (``replay``); this operator plans one command per snapshot.
-    """
+    """Plan one kind of command (STOP / RESTART / DELETE) against the current snapshot."""
     if signal not in COMMAND_VERBS:
         raise ValueError(f"not a command: {signal}")
+    return plan_commands(commands.withColumn("signal", F.lit(signal)), registry, p, edges)
+
+
+def plan_commands(commands: DataFrame, registry: DataFrame, p: Params, edges: DataFrame | None = None) -> DataFrame:
+    """Plan commands (``id``, ``signal`` in STOP / RESTART / DELETE, plus any other columns).
+
+    One join with the snapshot for all kinds. Each command is judged on the snapshot:
+    Success with the new state, NotAllowed with the refusal text, or NotFound. A command that
+    loses a race retries on the actual state, which is what folding the ordered commands does
+    (``replay``); this operator plans each command against one snapshot.
+    """
     spark = registry.sparkSession
     cur = registry.select("id", "state_kind", "state_message", F.lit(True).alias("_found"))
-    j = join_edges(commands.join(cur, "id", "left").withColumn("signal", F.lit(signal)),
-                   resolve_edges(spark, edges))
+    j = join_edges(commands.join(cur, "id", "left"), resolve_edges(spark, edges))
     kind, msg, nxt = apply_edge(j, p)
     found = F.coalesce(F.col("_found"), F.lit(False))
     outcome = F.when(~found, "NotFound").when(kind.isNull(), "NotAllowed").otherwise("Success")
+    verbs = F.create_map(*[F.lit(x) for kv in COMMAND_VERBS.items() for x in kv])
     return j.select(
         commands["*"],
         F.col("state_kind").alias("current_kind"),
@@ -40,7 +45,8 @@ def plan_command(commands: DataFrame, registry: DataFrame, signal: str, p: Param
         F.when(outcome == "Success", nxt).alias("new_next_update_time"),
         ((outcome == "Success") & (kind == "Removed")).alias("removed"),
         F.when(outcome == "NotFound", F.concat(F.lit("Not found: Engine "), F.col("id"), F.lit(" not found")))
-        .when(outcome == "NotAllowed", refusal_text("id", "state_kind", "state_message", COMMAND_VERBS[signal]))
+        .when(outcome == "NotAllowed", refusal_text("id", "state_kind", "state_message",
+                                                    F.element_at(verbs, F.col("signal"))))
         .alias("error"),
     )
 

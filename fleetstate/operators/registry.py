@@ -138,7 +138,8 @@ def list_ids(registry: DataFrame, partitions: int | None = None) -> DataFrame:
             .select("id", (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_rn")).cast("bigint").alias("pos")))
 
 
-def refusal_text(id_col, kind_col, msg_col, verb: str):
+def refusal_text(id_col, kind_col, msg_col, verb):
     """'Not allowed: Engine {id} is in {state:?} state, cannot be {verb}'."""
+    verb_c = F.lit(verb) if isinstance(verb, str) else verb
     return F.concat(F.lit("Not allowed: Engine "), F.col(id_col), F.lit(" is in "),
-                    debug_text(kind_col, msg_col), F.lit(f" state, cannot be {verb}"))
+                    debug_text(kind_col, msg_col), F.lit(" state, cannot be "), verb_c)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fleetstate.functions import columns as C
 from fleetstate.model import DEFAULT_PARAMS as P
-from fleetstate.operators import observe, planning, registry, replay
+from fleetstate.operators import commands, observe, planning, registry, replay
 from fleetstate.plans import oracle as O
 from fleetstate.sources import fixtures as X
 
@@ -229,3 +229,142 @@ def q_illegal_transitions(spark, sf):
     r = X.registry(spark, sf).select("id", F.col("state_kind").alias("from_kind"))
     u = X.updates(spark, sf).select("id", F.col("after_kind").alias("to_kind"))
     return planning.illegal_transitions(u.join(r, "id").select("id", "from_kind", "to_kind"))
+
+
+# ---------------------------------------------------------------- keyed state changes
+
+_CAS_SQL = """
+select u.id, u.before_kind, u.before_message, u.after_kind, u.after_message,
+  case when r.id is null then 'NotFound'
+       when u.before_kind = r.state_kind and u.before_message is not distinct from r.state_message then 'Success'
+       else 'Fail' end as outcome,
+  r.state_kind as current_kind, r.state_message as current_message,
+  case when r.id is null then null
+       when u.before_kind = r.state_kind and u.before_message is not distinct from r.state_message then u.after_kind
+       else r.state_kind end as state_kind,
+  case when r.id is null then null
+       when u.before_kind = r.state_kind and u.before_message is not distinct from r.state_message then u.after_message
+       else r.state_message end as state_message,
+  case when r.id is null then null
+       when u.before_kind = r.state_kind and u.before_message is not distinct from r.state_message then u.next_update_time
+       else r.next_update_time end as next_update_time
+from updates u left join registry r on r.id = u.id"""
+
+
+@query("cas_update", O.with_views(["registry", "updates"], _CAS_SQL))
+def q_cas_update(spark, sf):
+    return registry.cas_update(X.updates(spark, sf), X.registry(spark, sf))
+
+
+@query("conditional_delete", O.with_views(["registry", "updates"], """
+select u.id, u.before_kind, u.before_message,
+  case when r.id is null then 'NotFound'
+       when u.before_kind = r.state_kind and u.before_message is not distinct from r.state_message then 'Success'
+       else 'Fail' end as outcome,
+  r.state_kind as current_kind, r.state_message as current_message
+from updates u left join registry r on r.id = u.id"""))
+def q_conditional_delete(spark, sf):
+    """Expected-state deletes (the CAS requests' expected states) against the snapshot."""
+    out, _ = registry.conditional_delete(X.updates(spark, sf), X.registry(spark, sf))
+    return out
+
+
+@query("apply_changes", O.with_views(["registry", "updates"], f"""
+, c as ({_CAS_SQL})
+select r.id, case when c.outcome = 'Success' then c.after_kind else r.state_kind end as state_kind,
+  case when c.outcome = 'Success' then c.after_message else r.state_message end as state_message,
+  case when c.outcome = 'Success' then c.next_update_time else r.next_update_time end as next_update_time
+from registry r left join (select * from c where outcome = 'Success') c on c.id = r.id"""))
+def q_apply_changes(spark, sf):
+    """A4: write the successful CAS updates back into the next registry snapshot."""
+    reg = X.registry(spark, sf)
+    won = registry.cas_update(X.updates(spark, sf), reg).where(F.col("outcome") == "Success").select(
+        "id", "state_kind", "state_message", "next_update_time", F.lit(False).alias("removed"))
+    return registry.apply_changes(reg, won).select("id", "state_kind", "state_message", "next_update_time")
+
+
+# ---------------------------------------------------------------- requests and commands
+
+@query("route_requests", O.with_views(["routed"], """
+select event_id, method, path, template, id, operation, route_status from routed"""))
+def q_route_requests(spark, sf):
+    return commands.route_requests(X.access_log(spark, sf)).select(
+        "event_id", "method", "path", "template", "id", "operation", "route_status")
+
+
+def _plan_sql(op: str, signal: str, verb: str) -> str:
+    return O.with_views(["routed", "registry", "edges"], f"""
+select c.event_id, c.id, case when r.id is null then 'NotFound' when e.to_kind is null then 'NotAllowed' else 'Success' end as outcome,
+  r.state_kind as current_kind, e.to_kind as new_kind,
+  case when e.to_kind is not null then {O.msg_sql('r.state_message', 'e.msg_rule', 'cast(null as varchar)', 'e.const_message')} end as new_message,
+  case when e.to_kind is not null then {O.next_sql('e.next_rule')} end as new_next_update_time,
+  case when r.id is null then 'Not found: Engine ' || c.id || ' not found'
+       when e.to_kind is null then 'Not allowed: Engine ' || c.id || ' is in ' || {O.debug_sql('r.state_kind', 'r.state_message')}
+         || ' state, cannot be {verb}' end as error
+from (select * from routed where operation = '{op}') c left join registry r on r.id = c.id
+left join edges e on e.from_kind = r.state_kind and e.signal = '{signal}'""")
+
+
+def _plan_query(op: str, signal: str):
+    def run(spark, sf):
+        c = commands.route_requests(X.access_log(spark, sf)).where(F.col("operation") == op).select("event_id", "id")
+        return planning.plan_command(c, X.registry(spark, sf), signal, P).select(
+            "event_id", "id", "outcome", "current_kind", "new_kind", "new_message", "new_next_update_time", "error")
+    return run
+
+
+for _op, _sig, _verb in [("stop", "STOP", "stopped"), ("restart", "RESTART", "restarted"), ("delete", "DELETE", "deleted")]:
+    query(f"plan_{_op}", _plan_sql(_op, _sig, _verb))(_plan_query(_op, _sig))
+
+
+@query("bulk_lookup", O.with_views(["routed", "registry"], """
+select c.event_id, c.id, case when r.id is null then 'NotFound' else 'Found' end as status, r.state_kind, r.state_message,
+  case when r.id is null then 'Not found: Engine ' || c.id || ' not found' end as error
+from (select * from routed where operation = 'get') c left join registry r on r.id = c.id"""))
+def q_bulk_lookup(spark, sf):
+    c = commands.route_requests(X.access_log(spark, sf)).where(F.col("operation") == "get").select("event_id", "id")
+    return registry.bulk_lookup(c, X.registry(spark, sf))
+
+
+@query("outcome_status", O.with_views(["routed", "registry", "edges"], f"""
+, c as (select event_id, id, operation, case operation when 'stop' then 'STOP' when 'restart' then 'RESTART'
+          when 'delete' then 'DELETE' else 'GET' end as signal
+        from routed where operation in ('get', 'stop', 'restart', 'delete')),
+j as (select c.*, r.id as rid, r.state_kind, r.state_message, e.to_kind
+      from c left join registry r on r.id = c.id left join edges e on e.from_kind = r.state_kind and e.signal = c.signal),
+k as (select *, case when rid is null then 'NotFound' when signal = 'GET' then 'Ok' when to_kind is not null then 'Ok'
+        else 'NotAllowed' end as kind from j)
+select event_id, id, operation, kind,
+  case kind when 'Ok' then 200 when 'NotFound' then 404 when 'NotAllowed' then 403 end as http_status,
+  case kind when 'NotFound' then 'Not found: Engine ' || id || ' not found'
+    when 'NotAllowed' then 'Not allowed: Engine ' || id || ' is in ' || {O.debug_sql('state_kind', 'state_message')}
+      || ' state, cannot be ' || case signal when 'STOP' then 'stopped' when 'RESTART' then 'restarted' else 'deleted' end
+  end as message,
+  case kind when 'NotFound' then 'Not found' when 'NotAllowed' then 'Not allowed' end as kind_display,
+  case when signal = 'GET' then state_kind else to_kind end as state_kind
+from k"""))
+def q_outcome_status(spark, sf):
+    return commands.command_responses(commands.route_requests(X.access_log(spark, sf)), X.registry(spark, sf), P)
+
+
+# ---------------------------------------------------------------- competing claims
+
+@query("acquire", O.with_views(["claims", "registry", "due", "edges"], f"""
+, w as (select id, ts, claimant, seq, tiebreak from (
+    select *, row_number() over (partition by id order by ts, claimant, seq, tiebreak) as rk from claims) x where rk = 1),
+t as (select d.id, e.to_kind, {O.msg_sql('d.state_message', 'e.msg_rule', 'cast(null as varchar)', 'e.const_message')} as to_msg,
+        {O.next_sql('e.next_rule')} as to_next
+      from due d join edges e on e.from_kind = d.state_kind and e.signal = 'ACQUIRE'
+      where d.state_kind in ('WaitToStart', 'WaitToTerminate', 'ErrorWaitToClean'))
+select c.id, epoch_us(c.ts) as ts_us, c.claimant, c.seq, c.tiebreak,
+  case when r.id is null then 'NotFound' when t.id is null then 'Fail'
+       when c.ts = w.ts and c.claimant = w.claimant and c.seq = w.seq and c.tiebreak = w.tiebreak then 'Success' else 'Fail' end as outcome,
+  case when t.id is not null then t.to_kind else r.state_kind end as state_kind,
+  case when t.id is not null then t.to_msg else r.state_message end as state_message,
+  case when r.id is not null and t.id is not null and c.ts = w.ts and c.claimant = w.claimant and c.seq = w.seq
+       and c.tiebreak = w.tiebreak then t.to_next end as next_update_time
+from claims c join w on w.id = c.id left join registry r on r.id = c.id left join t on t.id = c.id"""))
+def q_acquire(spark, sf):
+    a = planning.acquire(X.claims(spark, sf), X.registry(spark, sf), P)
+    return a.select("id", F.unix_micros("ts").alias("ts_us"), "claimant", "seq", "tiebreak", "outcome",
+                    "state_kind", "state_message", "next_update_time")

@@ -145,3 +145,27 @@ def next_sql(rule: str, now: str = str(NOW)) -> str:
 
 STATE_LIST = ", ".join(_q(s) for s in FOLD_STATES)
 SIGNAL_LIST = ", ".join(_q(s) for s in SIGNALS)
+
+
+def debug_sql(kind: str, msg: str) -> str:
+    esc = msg
+    for a, b in [("\\", "\\\\"), ('"', '\\"'), ("chr(10)", "\\n"), ("chr(13)", "\\r"), ("chr(9)", "\\t")]:
+        a_sql = a if a.startswith("chr(") else _q(a)
+        esc = f"replace({esc}, {a_sql}, {_q(b)})"
+    return f"case when {kind} like 'Error%' then {kind} || '(\"' || {esc} || '\")' else {kind} end"
+
+
+VIEWS["routed"] = """
+select *, case when template like '%{id}%' then regexp_extract(path, '^/engine/([^/]+)', 1) end as id,
+  case when operation is not null then 'routed' when template is not null then 'MethodNotAllowed' else 'NotFound' end as route_status
+from (
+  select a.*, t.template, r.operation from access_log a
+  cross join lateral (select case when regexp_matches(a.path, '^/engine$') then '/engine'
+      when regexp_matches(a.path, '^/engine/[^/]+$') then '/engine/{id}'
+      when regexp_matches(a.path, '^/engine/[^/]+/stop$') then '/engine/{id}/stop'
+      when regexp_matches(a.path, '^/engine/[^/]+/restart$') then '/engine/{id}/restart' end as template) t
+  left join (values ('POST', '/engine', 'create'), ('GET', '/engine', 'list'), ('GET', '/engine/{id}', 'get'),
+      ('DELETE', '/engine/{id}', 'delete'), ('POST', '/engine/{id}/stop', 'stop'), ('POST', '/engine/{id}/restart', 'restart'))
+    r(method, template, operation) on r.method = a.method and r.template = t.template) x"""
+DEPS["routed"] = ["access_log"]
+ORDER.append("routed")
