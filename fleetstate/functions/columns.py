@@ -39,11 +39,11 @@ def col_(c: Column | str) -> Column:
 
 
 def state_class(kind: Column | str) -> Column:
-    return F.element_at(_lit_map(STATE_CLASS), col_(kind))
+    return F.try_element_at(_lit_map(STATE_CLASS), col_(kind))
 
 
 def state_flow(kind: Column | str) -> Column:
-    return F.element_at(_lit_map(STATE_FLOW), col_(kind))
+    return F.try_element_at(_lit_map(STATE_FLOW), col_(kind))
 
 
 def next_update_time(kind: Column | str, now: Column | int, interval: int, timeout: int) -> Column:
@@ -87,8 +87,8 @@ def elapsed_seconds(ts: Column | str, now: int) -> Column:
 
 
 def error_display(kind: Column | str) -> Column:
-    return F.element_at(_lit_map({k: d for k, d, _ in ERROR_KINDS}), col_(kind))
+    return F.try_element_at(_lit_map({k: d for k, d, _ in ERROR_KINDS}), col_(kind))
 
 
 def error_status(kind: Column | str) -> Column:
-    return F.element_at(_lit_map({k: s for k, _, s in ERROR_KINDS}), col_(kind))
+    return F.try_element_at(_lit_map({k: s for k, _, s in ERROR_KINDS}), col_(kind))

@@ -67,7 +67,7 @@ def command_responses(routed: DataFrame, registry: DataFrame, p: Params) -> Data
     needs the lookup). The error kind maps to its HTTP status and display text through the
     fixed error-kind table: 'Not allowed: Engine ... cannot be stopped', 'Not found: ...'.
     """
-    sig = F.element_at(F.create_map(*[F.lit(x) for x in
+    sig = F.try_element_at(F.create_map(*[F.lit(x) for x in
                                       ["stop", "STOP", "restart", "RESTART", "delete", "DELETE", "get", "GET"]]),
                        F.col("operation"))
     cmds = routed.where(F.col("operation").isin("get", "stop", "restart", "delete")).select(

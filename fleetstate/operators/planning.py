@@ -46,7 +46,7 @@ def plan_commands(commands: DataFrame, registry: DataFrame, p: Params, edges: Da
         ((outcome == "Success") & (kind == "Removed")).alias("removed"),
         F.when(outcome == "NotFound", F.concat(F.lit("Not found: Engine "), F.col("id"), F.lit(" not found")))
         .when(outcome == "NotAllowed", refusal_text("id", "state_kind", "state_message",
-                                                    F.element_at(verbs, F.col("signal"))))
+                                                    F.try_element_at(verbs, F.col("signal"))))
         .alias("error"),
     )
 

@@ -49,7 +49,7 @@ def signal_index(col: str = "signal"):
     kv = []
     for i, s in enumerate(SIGNALS):
         kv += [F.lit(s), F.lit(i)]
-    return F.coalesce(F.element_at(F.create_map(*kv), F.col(col)), F.lit(-1))
+    return F.coalesce(F.try_element_at(F.create_map(*kv), F.col(col)), F.lit(-1))
 
 
 def prepare(signals: DataFrame) -> DataFrame:

@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetstate.functions import columns as C
+from fleetstate.functions import launch
 from fleetstate.model import DEFAULT_PARAMS as P
+from fleetstate.model import IN_PROGRESS, state_dimension_rows
 from fleetstate.operators import commands, observe, planning, registry, replay
 from fleetstate.plans import oracle as O
 from fleetstate.sources import fixtures as X
+from fleetstate.sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -368,3 +371,219 @@ def q_acquire(spark, sf):
     a = planning.acquire(X.claims(spark, sf), X.registry(spark, sf), P)
     return a.select("id", F.unix_micros("ts").alias("ts_us"), "claimant", "seq", "tiebreak", "outcome",
                     "state_kind", "state_message", "next_update_time")
+
+
+# ---------------------------------------------------------------- strict ingest
+
+def _config_kv(c):
+    return F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+
+
+@query("ingest_valid", O.with_views(["valid"], """
+select request_id, name, engine_type, version, array_to_string(config_kv, ',') as config_text,
+  len(config_kv) as n_config from valid"""))
+def q_ingest_valid(spark, sf):
+    good, _ = ingest.split_requests(X.requests(spark, sf))
+    return good.select("request_id", "name", "engine_type", "version",
+                       F.array_join(_config_kv(F.col("config")), ",").alias("config_text"),
+                       F.size("config").cast("bigint").alias("n_config"))
+
+
+@query("ingest_rejects", O.with_views(["checked"], """
+select request_id, body, reason, detail from checked where reason is not null"""))
+def q_ingest_rejects(spark, sf):
+    _, bad = ingest.split_requests(X.requests(spark, sf))
+    return bad
+
+
+@query("bulk_create", O.with_views(["created"], f"""
+select id, name, engine_type, version, state_kind, next_update_time, array_to_string(config_kv, ',') as config_text,
+  strftime(to_timestamp({O.NOW}), '%Y-%m-%d %H:%M:%S') || ' +00:00:00' as create_time
+from created"""))
+def q_bulk_create(spark, sf):
+    good, _ = ingest.split_requests(X.requests(spark, sf))
+    c = ingest.bulk_create(good, P)
+    return c.select("id", "name", "engine_type", "version", "state_kind", "next_update_time",
+                    F.array_join(_config_kv(F.col("config")), ",").alias("config_text"),
+                    C.format_time("create_time").alias("create_time"))
+
+
+@query("state_decode", O.with_views(["state_wire"], """
+, d as (select id, wire, wire0,
+  case when wire is null then 'malformed'
+       when json_type(wire) = 'VARCHAR' then case when json_extract_string(wire, '$') not in
+         ('WaitToStart', 'TriggerStart', 'StartInProgress', 'Running', 'WaitToTerminate', 'TriggerTermination',
+          'TerminateInProgress', 'Terminated') then 'unknown_variant' end
+       when json_type(wire) = 'OBJECT' then case when len(json_keys(wire)) <> 1 then 'not_one_key'
+         when json_keys(wire)[1] not in ('ErrorWaitToClean', 'ErrorTriggerClean', 'ErrorCleanInProgress', 'ErrorClean')
+           then 'unknown_variant'
+         when json_type(wire, '$."' || json_keys(wire)[1] || '"') <> 'VARCHAR' then 'bad_type' end
+       else 'bad_type' end as reason
+  from (select id, case when json_valid(wire0) then wire0 end as wire, wire0 from (select id, wire as wire0 from state_wire) a) b)
+select id, wire0 as wire, reason,
+  case when reason is null then case when json_type(wire) = 'VARCHAR' then json_extract_string(wire, '$')
+                                     else json_keys(wire)[1] end end as kind,
+  case when reason is null and json_type(wire) = 'OBJECT' then json_extract_string(wire, '$."' || json_keys(wire)[1] || '"') end as message
+from d"""))
+def q_state_decode(spark, sf):
+    w = X.state_wire(spark, sf)
+    d = ingest.decode_state(F.col("wire"))
+    return w.select("id", "wire", d["reason"].alias("reason"), d["kind"].alias("kind"), d["message"].alias("message"))
+
+
+@query("state_encode", O.with_views(["registry"], f"""
+select id, case when state_kind like 'Error%' then json_object(state_kind, state_message)::varchar
+                else '"' || state_kind || '"' end as wire,
+  {O.debug_sql('state_kind', 'state_message')} as debug_text
+from registry"""))
+def q_state_encode(spark, sf):
+    r = X.registry(spark, sf)
+    return r.select("id", C.encode_state("state_kind", "state_message").alias("wire"),
+                    C.debug_text("state_kind", "state_message").alias("debug_text"))
+
+
+@query("id_validation", O.with_views(["id_wire"], """
+, v as (select request_id, wire,
+  coalesce(json_type(wire) = 'OBJECT' and len(json_keys(wire)) = 1 and json_keys(wire)[1] = 'id'
+           and json_type(wire, '$.id') = 'VARCHAR', false) as ok_shape, wire0
+  from (select request_id, wire as wire0, case when json_valid(wire) then wire end as wire from id_wire) a)
+select request_id, wire0 as wire,
+  case when ok_shape and json_extract_string(wire, '$.id') <> '' then json_extract_string(wire, '$.id') end as id,
+  case when not ok_shape then 'bad_shape' when json_extract_string(wire, '$.id') = '' then 'empty' end as reason,
+  case when not ok_shape then 'Failed to deserialize EngineId, expect a map `{"id": <non empty string>}`'
+       when json_extract_string(wire, '$.id') = '' then 'Not allowed: Engine id cannot be empty.' end as detail
+from v"""))
+def q_id_validation(spark, sf):
+    w = X.id_wire(spark, sf)
+    v = ingest.validate_id(F.col("wire"))
+    return w.select("request_id", "wire", v["id"].alias("id"), v["reason"].alias("reason"), v["detail"].alias("detail"))
+
+
+# ---------------------------------------------------------------- launch configuration
+
+_PREFIX = launch.DEFAULT_APP_PREFIX
+
+
+@query("derived_names", O.with_views(["registry"], f"""
+select id, '{_PREFIX}' || id as app_id, '{_PREFIX}' || id || '-driver' as driver_name, '{_PREFIX}' || id as service_name,
+  'apache/spark:' || version as image, 'org.apache.spark:spark-connect_2.12:' || version as package
+from registry"""))
+def q_derived_names(spark, sf):
+    r = X.registry(spark, sf)
+    n = launch.derived_names(F.col("id"), F.col("version"))
+    return r.select("id", *[c.alias(k) for k, c in n.items()])
+
+
+_RESERVED_SQL = "[" + ", ".join(f"'{k}'" for k in launch.RESERVED_KEYS) + "]"
+
+
+@query("reserved_keys", O.with_views(["created"], f"""
+select id, list_min(list_filter({_RESERVED_SQL}, lambda rk: list_contains(list_transform(config_kv, lambda kv: split_part(kv, '=', 1)), rk))) as reserved_key
+from created"""))
+def q_reserved_keys(spark, sf):
+    good, _ = ingest.split_requests(X.requests(spark, sf))
+    c = ingest.bulk_create(good, P)
+    return c.select("id", launch.reserved_key(F.col("config")).alias("reserved_key"))
+
+
+@query("version_check", O.with_views(["registry"], """
+select id, version, version in ('3.5.3', '3.5.4') as supported,
+  case when version not in ('3.5.3', '3.5.4') then 'Not allowed: Spark version ' || version
+    || ' is not supported. Supported versions: ["3.5.3", "3.5.4"]' end as error
+from registry"""))
+def q_version_check(spark, sf):
+    r = X.registry(spark, sf)
+    plan = launch.launch_plan(F.col("id"), F.col("version"), F.col("config"))
+    return r.select("id", "version", launch.version_supported(F.col("version")).alias("supported"),
+                    F.when(plan["status"] == "bad_version", plan["error"]).alias("error"))
+
+
+@query("launch_args", O.with_views(["created"], f"""
+, k as (select *, list_min(list_filter({_RESERVED_SQL}, lambda rk: list_contains(list_transform(config_kv, lambda kv: split_part(kv, '=', 1)), rk))) as rk
+        from created),
+a as (select id, version, rk,
+  case when version not in ('3.5.3', '3.5.4') then 'bad_version' when rk is not null then 'reserved_key' else 'ok' end as status,
+  ['--master', 'k8s://https://kubernetes:443', '--deploy-mode', 'client', '--packages', 'org.apache.spark:spark-connect_2.12:' || version,
+   '--conf', 'spark.app.id={_PREFIX}' || id, '--conf', 'spark.driver.extraJavaOptions=-Divy.cache.dir=/tmp -Divy.home=/tmp',
+   '--conf', 'spark.driver.host={_PREFIX}' || id, '--conf', 'spark.kubernetes.container.image=apache/spark:' || version,
+   '--conf', 'spark.kubernetes.driver.pod.name={_PREFIX}' || id || '-driver',
+   '--conf', 'spark.kubernetes.executor.podNamePrefix={_PREFIX}' || id]
+  || flatten(list_transform(config_kv, lambda kv: ['--conf', kv])) as args
+  from k)
+select id, status,
+  case status when 'bad_version' then 'Not allowed: Spark version ' || version || ' is not supported. Supported versions: ["3.5.3", "3.5.4"]'
+    when 'reserved_key' then 'Not allowed: The config ' || rk || ' is not allowed as it is reserved.' end as error,
+  case when status = 'ok' then len(args) end as n_args,
+  case when status = 'ok' then to_json(args)::varchar end as args_json
+from a"""))
+def q_launch_args(spark, sf):
+    good, _ = ingest.split_requests(X.requests(spark, sf))
+    c = ingest.bulk_create(good, P)
+    plan = launch.launch_plan(F.col("id"), F.col("version"), F.col("config"))
+    return c.select("id", plan["status"].alias("status"), plan["error"].alias("error"),
+                    F.size(plan["args"]).cast("bigint").alias("n_args"), F.to_json(plan["args"]).alias("args_json")
+                    ).withColumn("n_args", F.when(F.col("status") == "ok", F.col("n_args")))
+
+
+# ---------------------------------------------------------------- projections
+
+@query("state_classes", O.with_views(["registry"], """
+select r.id, r.state_kind, d.state_class, d.flow, d.has_message from registry r join (values
+  ('WaitToStart', 'waiting', 'start', false), ('TriggerStart', 'trigger', 'start', false),
+  ('StartInProgress', 'in_progress', 'start', false), ('Running', 'in_progress', 'start', false),
+  ('WaitToTerminate', 'waiting', 'terminate', false), ('TriggerTermination', 'trigger', 'terminate', false),
+  ('TerminateInProgress', 'in_progress', 'terminate', false), ('Terminated', 'stable', 'terminate', false),
+  ('ErrorWaitToClean', 'waiting', 'error_clean', true), ('ErrorTriggerClean', 'trigger', 'error_clean', true),
+  ('ErrorCleanInProgress', 'in_progress', 'error_clean', true), ('ErrorClean', 'stable', 'error_clean', true))
+  d(state_kind, state_class, flow, has_message) on d.state_kind = r.state_kind"""))
+def q_state_classes(spark, sf):
+    dim = F.broadcast(spark.createDataFrame(state_dimension_rows(),
+                                            "state_kind string, state_index int, state_class string, flow string, has_message boolean"))
+    return X.registry(spark, sf).join(dim, "state_kind").select("id", "state_kind", "state_class", "flow", "has_message")
+
+
+@query("next_update", O.with_views(["registry"], f"""
+select id, state_kind, case when state_kind in ('WaitToStart', 'WaitToTerminate', 'ErrorWaitToClean') then {O.NOW}
+  when state_kind in ('TriggerStart', 'TriggerTermination', 'ErrorTriggerClean') then {O.NOW} + {O.TIMEOUT}
+  when state_kind in ('StartInProgress', 'Running', 'TerminateInProgress', 'ErrorCleanInProgress') then {O.NOW} + {O.INTERVAL}
+  end as next_update from registry"""))
+def q_next_update(spark, sf):
+    r = X.registry(spark, sf)
+    return r.select("id", "state_kind", C.next_update_time("state_kind", P.now, P.interval, P.timeout).alias("next_update"))
+
+
+@query("time_format", O.with_views(["registry"], """
+select id, strftime(create_time, '%Y-%m-%d %H:%M:%S') || ' +00:00:00' as created_text from registry"""))
+def q_time_format(spark, sf):
+    return X.registry(spark, sf).select("id", C.format_time("create_time").alias("created_text"))
+
+
+@query("time_parse", O.with_views(["time_text"], """
+select request_id, text,
+  case when regexp_matches(text, '^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{2}:[0-9]{2}:[0-9]{2}$') then
+    cast(epoch(try_strptime(substr(text, 1, 19), '%Y-%m-%d %H:%M:%S')) as bigint)
+    - (case when substr(text, 21, 1) = '-' then -1 else 1 end)
+      * (cast(substr(text, 22, 2) as bigint) * 3600 + cast(substr(text, 25, 2) as bigint) * 60 + cast(substr(text, 28, 2) as bigint))
+  end as epoch_seconds
+from time_text"""))
+def q_time_parse(spark, sf):
+    t = X.time_text(spark, sf)
+    return t.select("request_id", "text", F.unix_seconds(C.parse_time("text")).alias("epoch_seconds"))
+
+
+@query("elapsed", O.with_views(["registry"], f"""
+select id, {O.NOW} - cast(floor(epoch(create_time)) as bigint) as elapsed_seconds from registry"""))
+def q_elapsed(spark, sf):
+    return X.registry(spark, sf).select("id", C.elapsed_seconds("create_time", P.now).alias("elapsed_seconds"))
+
+
+@query("phase_normalize", O.with_views(["registry", "last_obs"], """
+select r.id, r.state_kind, l.phase as raw_phase,
+  case when l.id is null then 'NotExisted' when l.phase is null then 'Unknown'
+       when l.phase in ('Pending', 'Running', 'Succeeded', 'Failed', 'Unknown') then l.phase end as phase,
+  not (l.id is null or l.phase is null or l.phase in ('Pending', 'Running', 'Succeeded', 'Failed', 'Unknown')) as illegal
+from registry r left join last_obs l on l.id = r.id
+where r.state_kind in ('StartInProgress', 'Running', 'TerminateInProgress', 'ErrorCleanInProgress')"""))
+def q_phase_normalize(spark, sf):
+    recs = X.registry(spark, sf).where(F.col("state_kind").isin(*IN_PROGRESS)).select("id", "state_kind")
+    return observe.phase_normalize(recs, X.observations(spark, sf))

@@ -169,3 +169,86 @@ from (
     r(method, template, operation) on r.method = a.method and r.template = t.template) x"""
 DEPS["routed"] = ["access_log"]
 ORDER.append("routed")
+
+
+VIEWS["state_wire"] = """
+select id, state_kind, state_message,
+  case o_orderkey % 13 when 0 then '{"' || state_kind || '":' || cast(o_custkey as varchar) || '}'
+    when 1 then '"' || lower(state_kind) || '"'
+    when 2 then '{"' || state_kind || '":"a","x":"b"}'
+    when 3 then '"' || state_kind
+    else case when state_kind like 'Error%' then json_object(state_kind, state_message)::varchar
+              else '"' || state_kind || '"' end end as wire
+from registry"""
+DEPS["state_wire"] = ["registry"]
+
+VIEWS["id_wire"] = """
+select o_orderkey as request_id,
+  case o_orderkey % 6 when 0 then '{"id":"eng-' || cast(o_orderkey as varchar) || '"}'
+    when 1 then '"eng-' || cast(o_orderkey as varchar) || '"'
+    when 2 then '{"id":""}'
+    when 3 then '{"id":"eng-' || cast(o_orderkey as varchar) || '","other":"x"}'
+    when 4 then '{"id":' || cast(o_orderkey as varchar) || '}'
+    else '{"id":"eng-' || cast(o_orderkey as varchar) end as wire
+from orders"""
+
+VIEWS["time_text"] = """
+select o_orderkey as request_id,
+  case when o_orderkey % 7 = 0 then replace(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), ' ', 'T')
+       else strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') end
+  || ' ' || case o_orderkey % 3 when 0 then '+00:00:00' when 1 then '+05:30:15' else '-03:00:00' end as text
+from orders"""
+
+VIEWS["checked"] = """
+select request_id, body0 as body,
+  case when body is null then 'malformed'
+       when json_type(body) <> 'OBJECT' then 'not_object'
+       when first_problem is not null then split_part(first_problem, '|', 1)
+       when missing is not null then 'missing_field' end as reason,
+  case when body is null then 'malformed JSON'
+       when json_type(body) <> 'OBJECT' then 'invalid type, expected struct CreateEngineRequest'
+       when first_problem is not null then split_part(first_problem, '|', 2)
+       when missing is not null then 'missing field `' || missing || '`' end as detail
+from (
+  select *,
+    case when keys is not null then list_filter(list_transform(keys, lambda k, i: case
+        when k not in ('name', 'engine_type', 'version', 'config')
+          then 'unknown_field|unknown field `' || k || '`, expected one of `name`, `engine_type`, `version`, `config`'
+        when list_position(keys, k) < i then 'duplicate_field|duplicate field `' || k || '`'
+        when k = 'name' and json_type(body, '$.name') <> 'VARCHAR' then 'bad_type|name: invalid type, expected a string'
+        when k = 'version' and json_type(body, '$.version') <> 'VARCHAR' then 'bad_type|version: invalid type, expected a string'
+        when k = 'engine_type' and json_type(body, '$.engine_type') <> 'VARCHAR'
+          then 'bad_type|engine_type: invalid type, expected variant identifier'
+        when k = 'engine_type' and json_extract_string(body, '$.engine_type') not in ('Spark')
+          then 'unknown_variant|engine_type: unknown variant `' || json_extract_string(body, '$.engine_type') || '`, expected `Spark`'
+        when k = 'config' and json_type(body, '$.config') not in ('NULL', 'OBJECT') then 'bad_type|config: invalid type, expected a map'
+        when k = 'config' and json_type(body, '$.config') = 'OBJECT' and bad_cfg is not null
+          then 'bad_type|config.' || bad_cfg || ': invalid type, expected a string'
+      end), lambda x: x is not null)[1] end as first_problem,
+    case when keys is null then null when not list_contains(keys, 'name') then 'name'
+         when not list_contains(keys, 'engine_type') then 'engine_type'
+         when not list_contains(keys, 'version') then 'version' end as missing
+  from (
+    select *,
+      case when json_type(body) = 'OBJECT' then json_keys(body) end as keys,
+      case when json_type(body) = 'OBJECT' and json_type(body, '$.config') = 'OBJECT' then
+        list_filter(json_keys(body, '$.config'),
+                    lambda ck: json_type(body, '$.config."' || ck || '"') <> 'VARCHAR')[1] end as bad_cfg
+    from (select request_id, body as body0, case when json_valid(body) then body end as body from requests) r) a) b"""
+DEPS["checked"] = ["requests"]
+
+VIEWS["valid"] = """
+select request_id, json_extract_string(body, '$.name') as name, json_extract_string(body, '$.engine_type') as engine_type,
+  json_extract_string(body, '$.version') as version,
+  case when json_type(body, '$.config') = 'OBJECT' then
+    list_transform(list_sort(json_keys(body, '$.config')), lambda ck: ck || '=' || json_extract_string(body, '$.config."' || ck || '"'))
+  else [] end as config_kv
+from checked where reason is null"""
+DEPS["valid"] = ["checked"]
+
+VIEWS["created"] = f"""
+select sha256(cast(request_id as varchar)) as id, name, engine_type, version, config_kv,
+  'WaitToStart' as state_kind, {NOW} as next_update_time
+from valid"""
+DEPS["created"] = ["valid"]
+ORDER.extend(["state_wire", "id_wire", "time_text", "checked", "valid", "created"])

@@ -162,3 +162,42 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").cast("bigint").alias("seq"),
         F.col("l_partkey").alias("tiebreak"),
     )
+
+
+def state_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry states in wire form, with a share of corrupted texts (one kind per key residue)."""
+    from fleetstate.functions.columns import encode_state
+
+    r = _registry_base(spark, sf_dir)
+    k = F.col("o_orderkey") % 13
+    kind = F.col("state_kind")
+    wire = (F.when(k == 0, F.concat(F.lit('{"'), kind, F.lit('":'), F.col("o_custkey").cast("string"), F.lit("}")))
+            .when(k == 1, F.concat(F.lit('"'), F.lower(kind), F.lit('"')))
+            .when(k == 2, F.concat(F.lit('{"'), kind, F.lit('":"a","x":"b"}')))
+            .when(k == 3, F.concat(F.lit('"'), kind))
+            .otherwise(encode_state(kind, F.col("state_message"))))
+    return r.select("id", "state_kind", "state_message", wire.alias("wire"))
+
+
+def id_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Engine ids in wire form: the map form plus bare, empty, extra-field, numeric and broken texts."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    k = F.col("o_orderkey")
+    ks = k.cast("string")
+    wire = (F.when(k % 6 == 0, F.concat(F.lit('{"id":"eng-'), ks, F.lit('"}')))
+            .when(k % 6 == 1, F.concat(F.lit('"eng-'), ks, F.lit('"')))
+            .when(k % 6 == 2, F.lit('{"id":""}'))
+            .when(k % 6 == 3, F.concat(F.lit('{"id":"eng-'), ks, F.lit('","other":"x"}')))
+            .when(k % 6 == 4, F.concat(F.lit('{"id":'), ks, F.lit("}")))
+            .otherwise(F.concat(F.lit('{"id":"eng-'), ks)))
+    return o.select(k.alias("request_id"), wire.alias("wire"))
+
+
+def time_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Creation times as offset text (three offsets), one in seven with a broken separator."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    k = F.col("o_orderkey")
+    off = F.when(k % 3 == 0, "+00:00:00").when(k % 3 == 1, "+05:30:15").otherwise("-03:00:00")
+    base = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    base = F.when(k % 7 == 0, F.regexp_replace(base, " ", "T")).otherwise(base)
+    return o.select(k.alias("request_id"), F.concat(base, F.lit(" "), off).alias("text"))
