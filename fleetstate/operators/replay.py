@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetstate.session import materialize
+from fleetstate.functions.step import Stepper
 from fleetstate.model import ERROR_SEPARATOR, FOLD_STATES, SIGNALS, Params, dense_tables
+from fleetstate.session import materialize
 
 N_STATES = len(FOLD_STATES)
 N_SIGNALS = len(SIGNALS)
@@ -155,8 +156,7 @@ LOG_SCHEMA = T.StructType([
 
 
 def _log_fold(p: Params):
-    d = dense_tables()
-    nxt, msg, nr, const = d["next"], d["msg"], d["next_rule"], d["const"]
+    stepper = Stepper(p)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "seq"], kind="stable")
@@ -165,25 +165,10 @@ def _log_fold(p: Params):
         n = None if pd.isna(n) else int(n)
         out_from, out_to, out_oc, out_m, out_n = [], [], [], [], []
         for g, x_msg, t in zip(pdf["g"].to_numpy(), pdf["msg"].to_numpy(), pdf["t"].to_numpy()):
-            k = s * N_SIGNALS + int(g)
             out_from.append(FOLD_STATES[s])
-            if g < 0 or nxt[k] < 0:
-                out_oc.append("NotFound" if s == N_STATES - 1 else "NotAllowed")
-            else:
-                r = msg[k]
-                if r == 0:
-                    m = None
-                elif r == 2:
-                    m = x_msg
-                elif r == 3:
-                    m = None if m is None or x_msg is None else m + ERROR_SEPARATOR + x_msg
-                elif r == 4:
-                    m = const[k]
-                q = nr[k]
-                n = None if q == 0 else int(t) + (0 if q == 1 else p.interval if q == 2 else p.timeout)
-                s = nxt[k]
-                out_oc.append("Applied")
+            s, m, n, oc = stepper.step(s, m, n, int(g), None if pd.isna(x_msg) else x_msg, int(t))
             out_to.append(FOLD_STATES[s])
+            out_oc.append(oc)
             out_m.append(m)
             out_n.append(n)
         return pd.DataFrame({

@@ -20,6 +20,7 @@ from fleetstate.operators import commands, observe, planning, registry, replay
 from fleetstate.plans import oracle as O
 from fleetstate.sources import fixtures as X
 from fleetstate.sources import ingest
+from fleetstate.streaming import lifecycle as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -587,3 +588,37 @@ where r.state_kind in ('StartInProgress', 'Running', 'TerminateInProgress', 'Err
 def q_phase_normalize(spark, sf):
     recs = X.registry(spark, sf).where(F.col("state_kind").isin(*IN_PROGRESS)).select("id", "state_kind")
     return observe.phase_normalize(recs, X.observations(spark, sf))
+
+
+# ---------------------------------------------------------------- streaming
+
+@query("stream_replay", ORACLE["replay_state"])
+def q_stream_replay(spark, sf):
+    """G1: the lifecycle stream over the events file stream equals the batch replay."""
+    out_root = S.scratch_dir(spark, "stream-replay")
+    stream = S.lifecycle_stream(X.signals_from(X.stream_table(spark, sf, "events")), P)
+    S.run_available_now(stream, f"{out_root}/out", f"{out_root}/ck")
+    cur = S.latest_per_id(spark.read.parquet(f"{out_root}/out"))
+    return cur.select("id", "state_kind", "state_message", "next_update_time", "n_signals", "n_applied")
+
+
+@query("stream_timeouts", None)
+def q_stream_timeouts(spark, sf):
+    """As G1, plus event-time timers that time out records left in a trigger state."""
+    out_root = S.scratch_dir(spark, "stream-timeouts")
+    stream = S.lifecycle_stream(X.signals_from(X.stream_table(spark, sf, "events")), P, auto_timeout=True)
+    S.run_available_now(stream, f"{out_root}/out", f"{out_root}/ck")
+    cur = S.latest_per_id(spark.read.parquet(f"{out_root}/out"))
+    return cur.select("id", "state_kind", "state_message", "next_update_time", "n_signals", "n_applied", "via")
+
+
+@query("stream_ingest", ORACLE["bulk_create"])
+def q_stream_ingest(spark, sf):
+    """Strict ingest of the orders file stream; the good sink equals the batch bulk create."""
+    out_root = S.scratch_dir(spark, "stream-ingest")
+    S.ingest_stream(X.stream_table(spark, sf, "orders"), f"{out_root}/out", f"{out_root}/ck", P,
+                    to_requests=X.requests_from)
+    c = spark.read.parquet(f"{out_root}/out/good").drop("batch")
+    return c.select("id", "name", "engine_type", "version", "state_kind", "next_update_time",
+                    F.array_join(_config_kv(F.col("config")), ",").alias("config_text"),
+                    C.format_time("create_time").alias("create_time"))

@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The same table as a file stream (schema from the footer, never inferred per batch)."""
+    schema = table(spark, sf_dir, name).schema
+    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    return r.parquet(sf_dir.rstrip("/"))
+
+
 def _pick(index: Column, values: list[str]) -> Column:
     """values[index] (0-based) as a literal-array lookup; stays in codegen."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
@@ -81,7 +90,12 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands, monitor actions and observations as one ordered signal stream per id."""
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "props")
+    return signals_from(table(spark, sf_dir, "events"))
+
+
+def signals_from(events: DataFrame) -> DataFrame:
+    """The signal view over an events frame (batch or streaming)."""
+    ev = events.select("event_id", "ts", "user_id", "props")
     k = _props_k()
     names = ["STOP", "RESTART", "ACQUIRE", "RELEASE_OK", "RELEASE_ERR", "TIMEOUT",
              "PHASE_Pending", "PHASE_Running", "PHASE_Succeeded", "PHASE_Failed", "PHASE_Unknown", "PHASE_NotExisted"]
@@ -120,7 +134,12 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Create-request bodies as JSON text: valid shapes, a reserved key, null config, five kinds of bad body."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return requests_from(table(spark, sf_dir, "orders"))
+
+
+def requests_from(orders: DataFrame) -> DataFrame:
+    """The request view over an orders frame (batch or streaming)."""
+    o = orders.select("o_orderkey", "o_custkey")
     k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
     head = F.concat(F.lit('{"name":"job-'), c)
     body = (
