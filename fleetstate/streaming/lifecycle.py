@@ -3,7 +3,9 @@ timers (G2), fixed-rate monitor rounds (G3) and streaming ingest (G4).
 
 Rules we set for streams: signals of one id are applied in (ts, seq) order inside a micro-batch;
 a signal not newer than the last applied one is dropped and counted; a removed id keeps a
-tombstone (optionally with a TTL) so later commands are NotFound. Output is append-only: one row
+tombstone so later commands are NotFound; with a TTL the tombstone is dropped by an event-time
+timer once the watermark passes removal time + TTL (event time keeps drains finite and results
+reproducible, unlike a processing-time TTL). Output is append-only: one row
 per id per micro-batch (or timer) carrying a monotonically increasing ``version``; the latest
 row per id is the current state (``latest_per_id``).
 """
@@ -38,15 +40,15 @@ STATEFUL_CONF = {
 class LifecycleProcessor(StatefulProcessor):
     """Keyed lifecycle state; input rows: id, ts_us, t (epoch seconds), seq, signal, msg."""
 
-    def __init__(self, p: Params, auto_timeout: bool = False, tombstone_ttl_ms: int | None = None):
+    def __init__(self, p: Params, auto_timeout: bool = False, tombstone_ttl_s: int | None = None):
         self.p = p
         self.auto_timeout = auto_timeout
-        self.tombstone_ttl_ms = tombstone_ttl_ms
+        self.tombstone_ttl_s = tombstone_ttl_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("lifecycle", STATE_SCHEMA)
-        self.tomb = handle.getValueState("tombstone", "n_dropped bigint", self.tombstone_ttl_ms)
+        self.tomb = handle.getValueState("tombstone", "n_dropped bigint, expire_s bigint, version bigint")
         self.stepper = Stepper(self.p)
 
     def _load(self):
@@ -61,25 +63,29 @@ class LifecycleProcessor(StatefulProcessor):
             "next_update_time": pd.array([n], dtype="Int64"), "n_signals": [n_sig], "n_applied": [n_app],
             "n_dropped": [n_drop], "version": [ver], "via": [via]})
 
-    def _save(self, st):
-        if st[0] == REMOVED_INDEX and self.tombstone_ttl_ms is not None:
-            self.state.clear()
-            self.tomb.update((st[7],))
-        else:
-            self.state.update(tuple(st))
-        if self.auto_timeout:
+    def _save(self, st, now_s: int | None = None):
+        timed = self.auto_timeout or self.tombstone_ttl_s is not None
+        if timed:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            if st[0] in TRIGGER_INDEXES and st[2] is not None:
-                self.handle.registerTimer(int(st[2]) * 1000)
+        if st[0] == REMOVED_INDEX and self.tombstone_ttl_s is not None:
+            expire = int(now_s) + self.tombstone_ttl_s
+            self.state.clear()
+            self.tomb.update((st[7], expire, st[8]))
+            self.handle.registerTimer(expire * 1000)
+            return
+        self.state.update(tuple(st))
+        if self.auto_timeout and st[0] in TRIGGER_INDEXES and st[2] is not None:
+            self.handle.registerTimer(int(st[2]) * 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         (rid,) = key
         pdf = pd.concat(list(rows), ignore_index=True)
         if self.tomb.exists() and not self.state.exists():  # removed earlier: everything is NotFound
-            n_drop = int(self.tomb.get()[0]) + len(pdf)
-            self.tomb.update((n_drop,))
-            yield self._row(rid, [REMOVED_INDEX, None, None, None, None, 0, 0, n_drop, 0], "tombstone")
+            n_drop, expire, ver = self.tomb.get()
+            n_drop, ver = int(n_drop) + len(pdf), int(ver) + 1
+            self.tomb.update((n_drop, expire, ver))
+            yield self._row(rid, [REMOVED_INDEX, None, None, None, None, 0, 0, n_drop, ver], "tombstone")
             return
         order = np.lexsort((pdf["seq"].to_numpy(), pdf["ts_us"].to_numpy()))
         pdf = pdf.iloc[order]
@@ -97,19 +103,21 @@ class LifecycleProcessor(StatefulProcessor):
             n_app += oc == "Applied"
             last_ts, last_seq = ts_us, seq
         st = [s, m, n, last_ts, last_seq, n_sig, n_app, n_drop, ver + 1]
-        self._save(st)
+        self._save(st, None if last_ts is None else last_ts // 1_000_000)
         yield self._row(rid, st, "signals")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         (rid,) = key
+        fire_s = expiredTimerInfo.getExpiryTimeInMs() // 1000
         if not self.state.exists():
+            if self.tomb.exists() and int(self.tomb.get()[1]) == fire_s:
+                self.tomb.clear()  # tombstone expired: the id may be created again
             return
         st = self._load()
-        fire_s = expiredTimerInfo.getExpiryTimeInMs() // 1000
         if st[0] in TRIGGER_INDEXES and st[2] is not None and int(st[2]) == fire_s:
             s, m, n, _ = self.stepper.step(st[0], st[1], st[2], TIMEOUT_INDEX, None, fire_s)
             st = [s, m, n] + st[3:8] + [st[8] + 1]
-            self._save(st)
+            self._save(st, fire_s)
             yield self._row(rid, st, "timer")
 
     def close(self) -> None:
@@ -125,7 +133,7 @@ def prepare_stream(signals: DataFrame) -> DataFrame:
 
 
 def lifecycle_stream(signals: DataFrame, p: Params, auto_timeout: bool = False,
-                     watermark: str = "0 seconds", tombstone_ttl_ms: int | None = None) -> DataFrame:
+                     watermark: str = "0 seconds", tombstone_ttl_s: int | None = None) -> DataFrame:
     """Per-id lifecycle state over a signal stream (id, ts, seq, signal, msg).
 
     With ``auto_timeout`` a record left in a trigger state is sent back to waiting when the
@@ -135,12 +143,13 @@ def lifecycle_stream(signals: DataFrame, p: Params, auto_timeout: bool = False,
     for k, v in STATEFUL_CONF.items():
         spark.conf.set(k, v)
     src = prepare_stream(signals)
-    if auto_timeout:
+    timed = auto_timeout or tombstone_ttl_s is not None
+    if timed:  # timers (trigger timeouts, tombstone expiry) run on event time
         src = src.withWatermark("ts", watermark)
     return src.groupBy("id").transformWithStateInPandas(
-        statefulProcessor=LifecycleProcessor(p, auto_timeout, tombstone_ttl_ms),
+        statefulProcessor=LifecycleProcessor(p, auto_timeout, tombstone_ttl_s),
         outputStructType=OUTPUT_SCHEMA, outputMode="Append",
-        timeMode="EventTime" if auto_timeout else "None")
+        timeMode="EventTime" if timed else "None")
 
 
 def latest_per_id(out: DataFrame) -> DataFrame:

@@ -1,0 +1,98 @@
+"""Streams against their batch twins; timers; tombstones; fixed-rate rounds."""
+
+import os
+
+from pyspark.sql import functions as F
+
+from conftest import SF001, SF01
+from fleetstate.model import Params
+from fleetstate.operators import replay
+from fleetstate.operators.registry import read_registry, write_registry
+from fleetstate.sources import fixtures as X
+from fleetstate.streaming import lifecycle as S
+
+P = Params()
+
+
+def _drain(spark, stream, tag):
+    root = S.scratch_dir(spark, tag)
+    S.run_available_now(stream, f"{root}/out", f"{root}/ck")
+    return spark.read.parquet(f"{root}/out")
+
+
+def test_stream_equals_batch_replay(spark):
+    out = S.latest_per_id(_drain(spark, S.lifecycle_stream(X.signals_from(X.stream_table(spark, SF01, "events")), P), "t1"))
+    batch = replay.replay_state(X.signals(spark, SF01), P)
+    cols = ["id", "state_kind", "state_message", "next_update_time", "n_signals", "n_applied"]
+    assert {tuple(r) for r in out.select(*cols).collect()} == {tuple(r) for r in batch.select(*cols).collect()}
+
+
+def test_timers_send_triggers_back_to_waiting(spark):
+    rows = [("a", 100, 1, "ACQUIRE", None), ("b", 100, 1, "ACQUIRE", None), ("b", 110, 2, "RELEASE_OK", None),
+            ("c", 10_000, 1, "STOP", None)]  # c pushes the watermark far past a's timeout
+    root = S.scratch_dir(spark, "timers-src")
+    spark.createDataFrame(rows, "id string, t long, seq long, signal string, msg string").select(
+        "id", F.timestamp_seconds("t").alias("ts"), "seq", "signal", "msg").write.parquet(f"{root}/src")
+    src = spark.readStream.schema("id string, ts timestamp, seq long, signal string, msg string").parquet(f"{root}/src")
+    out = S.latest_per_id(_drain(spark, S.lifecycle_stream(src, P, auto_timeout=True), "t2"))
+    got = {r["id"]: (r["state_kind"], r["via"], r["next_update_time"]) for r in out.collect()}
+    assert got["a"] == ("WaitToStart", "timer", 100 + P.timeout)  # timed out at its deadline
+    assert got["b"][0] == "StartInProgress"
+    assert got["c"][0] == "Terminated"
+
+
+def _two_batches(spark, ttl_s):
+    root = S.scratch_dir(spark, "late-src")
+    schema = "id string, ts timestamp, seq long, signal string, msg string"
+
+    def batch(rows, name):
+        spark.createDataFrame(rows, "id string, t long, seq long, signal string, msg string").select(
+            "id", F.timestamp_seconds("t").alias("ts"), "seq", "signal", "msg").write.parquet(f"{root}/src/{name}")
+
+    batch([("a", 10, 1, "STOP", None), ("d", 10, 1, "DELETE", None)], "b1")
+    src = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/src")
+    out_root = S.scratch_dir(spark, "late-out")
+    stream = S.lifecycle_stream(src, P, tombstone_ttl_s=ttl_s)
+    S.run_available_now(stream, f"{out_root}/out", f"{out_root}/ck")
+    batch([("a", 5, 1, "RESTART", None), ("a", 20, 2, "RESTART", None), ("d", 30, 2, "STOP", None)], "b2")
+    S.run_available_now(stream, f"{out_root}/out", f"{out_root}/ck")
+    return {r["id"]: r for r in S.latest_per_id(spark.read.parquet(f"{out_root}/out")).collect()}
+
+
+def test_late_signals_dropped_and_counted(spark):
+    cur = _two_batches(spark, None)
+    assert cur["a"]["state_kind"] == "WaitToStart" and cur["a"]["n_dropped"] == 1  # the older RESTART is dropped
+    assert cur["d"]["state_kind"] == "Removed" and cur["d"]["n_applied"] == 1
+
+
+def test_tombstone_with_event_time_ttl(spark):
+    cur = _two_batches(spark, 3600)
+    assert cur["a"]["state_kind"] == "WaitToStart"  # the late RESTART falls behind the watermark
+    assert cur["d"]["state_kind"] == "Removed" and cur["d"]["via"] == "tombstone" and cur["d"]["n_dropped"] == 1
+
+
+def test_stream_ingest_equals_batch(spark):
+    from fleetstate.sources import ingest
+    root = S.scratch_dir(spark, "ingest")
+    S.ingest_stream(X.stream_table(spark, SF001, "orders"), f"{root}/out", f"{root}/ck", P, to_requests=X.requests_from)
+    good = spark.read.parquet(f"{root}/out/good")
+    bad = spark.read.parquet(f"{root}/out/rejects")
+    g_b, b_b = ingest.split_requests(X.requests(spark, SF001))
+    assert {r[0] for r in good.select("id").collect()} == {r[0] for r in ingest.bulk_create(g_b, P).select("id").collect()}
+    assert bad.count() == b_b.count()
+
+
+def test_monitor_rounds(spark):
+    root = S.scratch_dir(spark, "rounds")
+    reg0 = X.registry(spark, SF001)
+    write_registry(reg0, f"{root}/registry/v=0")
+    obs = X.observations(spark, SF001)
+    obs.write.parquet(f"{root}/obs")
+    stream = spark.readStream.schema(obs.schema).parquet(f"{root}/obs")
+    S.monitor_rounds(stream, f"{root}/registry", X.outcomes(spark, SF001), f"{root}/ck", P, now_fn=lambda e, b: P.now)
+    versions = sorted(os.listdir(f"{root}/registry".removeprefix("file:")))
+    assert "v=1" in versions
+    reg1 = read_registry(spark, f"{root}/registry/v=1")
+    assert reg1.count() == reg0.count()
+    moved = reg1.where(F.col("state_kind") == "StartInProgress").count()
+    assert moved > reg0.where(F.col("state_kind") == "StartInProgress").count() - 100
