@@ -49,16 +49,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is;
     a machine-local folder is only chosen for local sessions (tests).
     """
-    current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the folder
+        sc = None
+    current = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
+        if sc and not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
         return current
-    master = spark.sparkContext.master
+    master = sc.master if sc else spark.conf.get("spark.master", "")
     if not master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="fleetstate-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(path)
+    if sc:
+        sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 

@@ -25,9 +25,12 @@ def spread(df: DataFrame) -> DataFrame:
     shuffle (JSON parsing, view expressions, map-side aggregation) would run on one core. Large
     inputs have many splits and pass through untouched; no shuffle is added then.
     """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par:
+            return df.repartition(par)
+    except Exception:  # noqa: BLE001 - sessions without an RDD view (Spark Connect) keep the scan as is
+        pass
     return df
 
 
