@@ -62,13 +62,17 @@ def acquire(claims: DataFrame, registry: DataFrame, p: Params, edges: DataFrame
     spark = registry.sparkSession
     order = ["ts", "claimant", "seq", "tiebreak"]
     win = claims.groupBy("id").agg(F.min(F.struct(*order)).alias("_w"))
-    due = due_records(registry, p).where(F.col("state_kind").isin(*WAITING)).select(
-        "id", "state_kind", "state_message", F.lit(True).alias("_due"))
-    cur = registry.select("id", F.col("state_kind").alias("_cur_kind"), F.col("state_message").alias("_cur_msg"))
-    target = join_edges(due.withColumn("signal", F.lit("ACQUIRE")), resolve_edges(spark, edges))
-    kind, msg, nxt = apply_edge(target, p)
-    target = target.select("id", kind.alias("_to"), msg.alias("_to_msg"), nxt.alias("_to_next"), "_due")
-    j = claims.join(win, "id").join(cur, "id", "left").join(target, "id", "left")
+    # one registry pass: the current state, and for due waiting records the acquired state
+    is_due = (F.col("next_update_time").isNotNull() & (F.col("next_update_time") < F.lit(p.now))
+              & F.col("state_kind").isin(*WAITING))
+    cur = registry.select("id", "state_kind", "state_message",
+                          F.when(is_due, F.lit("ACQUIRE")).alias("signal"))
+    cur = join_edges(cur, resolve_edges(spark, edges))
+    kind, msg, nxt = apply_edge(cur, p)
+    cur = cur.select("id", F.col("state_kind").alias("_cur_kind"), F.col("state_message").alias("_cur_msg"),
+                     F.when(F.col("signal").isNotNull(), F.lit(True)).alias("_due"),
+                     kind.alias("_to"), msg.alias("_to_msg"), nxt.alias("_to_next"))
+    j = claims.join(win, "id").join(cur, "id", "left")
     is_winner = F.struct(*[F.col(c) for c in order]) == F.col("_w")
     outcome = (F.when(F.col("_cur_kind").isNull(), "NotFound")
                .when(F.col("_due").isNull(), "Fail")
