@@ -602,9 +602,25 @@ def q_stream_replay(spark, sf):
     return cur.select("id", "state_kind", "state_message", "next_update_time", "n_signals", "n_applied")
 
 
-@query("stream_timeouts", None)
+@query("stream_timeouts", O.with_views(["signals", "edges"], _REPLAY_REC + """
+, fin as (select r.id, r.state_kind, r.state_message, r.next_update_time, m.n as n_signals, r.n_applied
+          from rec r join (select id, count(*) as n from s group by id) m on m.id = r.id and r.rn = m.n),
+wm as (select max(epoch_ms(ts)) as w from signals),
+fired as (select fin.*, state_kind in ('TriggerStart', 'TriggerTermination', 'ErrorTriggerClean')
+            and next_update_time * 1000 <= w as timed_out from fin, wm)
+select id,
+  case when timed_out then case state_kind when 'TriggerStart' then 'WaitToStart'
+    when 'TriggerTermination' then 'WaitToTerminate' else 'ErrorWaitToClean' end else state_kind end as state_kind,
+  state_message, next_update_time, n_signals, n_applied,
+  case when timed_out then 'timer' else 'signals' end as via
+from fired"""))
 def q_stream_timeouts(spark, sf):
-    """As G1, plus event-time timers that time out records left in a trigger state."""
+    """As G1, plus event-time timers that time out records left in a trigger state.
+
+    The events file drains in one micro-batch, so the watermark ends at the newest event time and
+    every record still in a trigger state with a deadline at or before it times out (at its
+    deadline: back to waiting, message kept, next update = the deadline).
+    """
     out_root = S.scratch_dir(spark, "stream-timeouts")
     stream = S.lifecycle_stream(X.signals_from(X.stream_table(spark, sf, "events")), P, auto_timeout=True)
     S.run_available_now(stream, f"{out_root}/out", f"{out_root}/ck")
