@@ -16,7 +16,7 @@ from fleetstate.functions import columns as C
 from fleetstate.functions import launch
 from fleetstate.model import DEFAULT_PARAMS as P
 from fleetstate.model import IN_PROGRESS, state_dimension_rows
-from fleetstate.operators import commands, observe, planning, registry, replay
+from fleetstate.operators import cas_chain, commands, observe, planning, registry, replay
 from fleetstate.plans import oracle as O
 from fleetstate.sources import fixtures as X
 from fleetstate.sources import ingest
@@ -287,6 +287,33 @@ def q_apply_changes(spark, sf):
     return registry.apply_changes(reg, won).select("id", "state_kind", "state_message", "next_update_time")
 
 
+@query("cas_sequence", O.with_views(["registry", "cas_requests"], """
+, u as (select *, row_number() over (partition by id order by ts, seq) as rn from cas_requests),
+rec as (
+  select ids.id, cast(0 as bigint) as rn, r.state_kind as k, r.state_message as m, r.next_update_time as n,
+    r.id is not null as f, cast(null as varchar) as outcome, cast(null as varchar) as ck, cast(null as varchar) as cm
+  from (select distinct id from u) ids left join registry r on r.id = ids.id
+  union all
+  select r.id, u.rn,
+    case when r.f and u.before_kind = r.k and u.before_message is not distinct from r.m then u.after_kind else r.k end,
+    case when r.f and u.before_kind = r.k and u.before_message is not distinct from r.m then u.after_message else r.m end,
+    case when r.f and u.before_kind = r.k and u.before_message is not distinct from r.m then u.next_update_time else r.n end,
+    r.f,
+    case when not r.f then 'NotFound'
+         when u.before_kind = r.k and u.before_message is not distinct from r.m then 'Success' else 'Fail' end,
+    case when r.f then r.k end, case when r.f then r.m end
+  from rec r join u on u.id = r.id and u.rn = r.rn + 1)
+select u.id, epoch_us(u.ts) as ts_us, u.seq, u.before_kind, u.before_message, u.after_kind, u.after_message,
+  r.outcome, r.ck as current_kind, r.cm as current_message,
+  case when r.f then r.k end as state_kind, case when r.f then r.m end as state_message,
+  case when r.f then r.n end as next_update_time
+from rec r join u on u.id = r.id and u.rn = r.rn where r.rn > 0"""))
+def q_cas_sequence(spark, sf):
+    """D1 for same-id batches: attempts applied in (ts, seq) order, each on the state the last left."""
+    out = cas_chain.cas_sequence(X.cas_requests(spark, sf), X.registry(spark, sf))
+    return out.select("id", F.unix_micros("ts").alias("ts_us"), *[c for c in out.columns if c not in ("id", "ts")])
+
+
 # ---------------------------------------------------------------- requests and commands
 
 @query("route_requests", O.with_views(["routed"], """

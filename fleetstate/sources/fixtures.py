@@ -236,3 +236,23 @@ def time_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
     base = F.when(k % 7 == 0, F.regexp_replace(base, " ", "T")).otherwise(base)
     return o.select(k.alias("request_id"), F.concat(base, F.lit(" "), off).alias("text"))
+
+
+def cas_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered compare-and-set attempts, several per id: one per observation row of an order.
+
+    Expected and new states cycle through the unit states; ``seq`` packs the row's tie-breaks
+    so (ts, seq) orders the attempts of an id totally. One id in thirteen is absent.
+    """
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
+    k = F.col("l_orderkey")
+    return li.select(
+        F.when(k % 13 == 0, F.concat(F.lit("none-"), k.cast("string"))).otherwise(_eng(k)).alias("id"),
+        F.col("l_shipdate").cast("timestamp").alias("ts"),
+        (F.col("l_linenumber").cast("bigint") + F.col("l_suppkey") * 8 + F.col("l_partkey") * (8 << 20)).alias("seq"),
+        _pick(F.col("l_partkey") % 12, STATES).alias("before_kind"),
+        F.lit(None).cast("string").alias("before_message"),
+        _pick(F.col("l_suppkey") % 8, STATES).alias("after_kind"),
+        F.lit(None).cast("string").alias("after_message"),
+        _epoch(F.col("l_shipdate")).alias("next_update_time"),
+    )

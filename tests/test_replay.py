@@ -115,3 +115,37 @@ def test_fixture_replay_counts(spark):
     counts = dict(st.groupBy("state_kind").count().collect())
     assert st.count() == 150
     assert counts["ErrorClean"] == 66 and counts["Removed"] == 64
+
+
+def test_cas_sequence_matches_brute_force(spark):
+    from fleetstate.model import REGISTRY_SCHEMA, STATES
+    from fleetstate.operators.cas_chain import cas_sequence
+
+    rnd = random.Random(5)
+    reg = spark.createDataFrame([("h", "n", "Spark", "3.5.4", "Running", None, {}, None, 1),
+                                 ("c", "n", "Spark", "3.5.4", "ErrorClean", "x", {}, None, None)], REGISTRY_SCHEMA)
+    ups = []
+    kinds = STATES[:8] + ["ErrorClean"]
+    for i in range(3000):  # one hot id
+        ups.append(("h", 1000 + rnd.randint(0, 50), i, rnd.choice(kinds), None, rnd.choice(kinds), None, i))
+    ups += [("c", 5, 1, "ErrorClean", "x", "Terminated", None, 7), ("c", 6, 2, "ErrorClean", "x", "Running", None, 8),
+            ("z", 5, 1, "Running", None, "Terminated", None, 9)]
+    df = spark.createDataFrame(ups, "id string, t long, seq long, before_kind string, before_message string, "
+                                    "after_kind string, after_message string, next_update_time long").select(
+        "id", F.timestamp_seconds("t").alias("ts"), "seq", "before_kind", "before_message", "after_kind",
+        "after_message", "next_update_time")
+    got = {(r["id"], r["seq"]): (r["outcome"], r["state_kind"]) for r in cas_sequence(df, reg, partitions=6).collect()}
+    state = {"h": ("Running", None), "c": ("ErrorClean", "x")}
+    expect = {}
+    for u in sorted(ups, key=lambda u: (u[0], u[1], u[2])):
+        cur = state.get(u[0])
+        if cur is None:
+            expect[(u[0], u[2])] = ("NotFound", None)
+            continue
+        if cur == (u[3], u[4]):
+            state[u[0]] = (u[5], u[6])
+            expect[(u[0], u[2])] = ("Success", u[5])
+        else:
+            expect[(u[0], u[2])] = ("Fail", cur[0])
+    assert got == expect
+    assert sum(1 for v in got.values() if v[0] == "Success") > 50
