@@ -14,8 +14,18 @@ from pyspark.sql import functions as F
 from fleetstate.model import STATES
 
 
+# Read schemas of the shared tables (the columns the views use); declared, never inferred.
+TABLE_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    reader = spark.read.schema(TABLE_SCHEMAS[name]) if name in TABLE_SCHEMAS else spark.read
+    return spread(reader.parquet(path))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -27,7 +37,7 @@ def spread(df: DataFrame) -> DataFrame:
     """
     try:
         par = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:
+        if df._jdf.rdd().getNumPartitions() < par:  # the JVM plan's split count; no Python RDD wrapper
             return df.repartition(par)
     except Exception:  # noqa: BLE001 - sessions without an RDD view (Spark Connect) keep the scan as is
         pass
@@ -35,8 +45,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The same table as a file stream (schema from the footer, never inferred per batch)."""
-    schema = table(spark, sf_dir, name).schema
+    """The same table as a file stream (declared schema, never inferred per batch)."""
+    schema = TABLE_SCHEMAS.get(name) or spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
     r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
