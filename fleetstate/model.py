@@ -172,7 +172,7 @@ def edges_df(spark: SparkSession, include_create: bool = False) -> DataFrame:
         (x.from_kind, x.signal, x.to_kind, x.msg_rule, x.next_rule, x.actor, x.const_message)
         for x in (EDGES if include_create else FOLD_EDGES)
     ]
-    return spark.createDataFrame(rows, EDGE_SCHEMA)
+    return spark.createDataFrame(rows, EDGE_SCHEMA).coalesce(1)  # 44 rows: one partition
 
 
 def dense_tables() -> dict[str, list]:

@@ -29,12 +29,12 @@ ROUTE_SCHEMA = T.StructType([
 
 
 def routes_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ROUTES, ROUTE_SCHEMA)
+    return spark.createDataFrame(ROUTES, ROUTE_SCHEMA).coalesce(1)
 
 
 def error_kinds_df(spark: SparkSession) -> DataFrame:
     """The 11-row error-kind dimension: kind, display text, HTTP status."""
-    return spark.createDataFrame(ERROR_KINDS, "kind string, display string, http_status int")
+    return spark.createDataFrame(ERROR_KINDS, "kind string, display string, http_status int").coalesce(1)
 
 
 def route_requests(log: DataFrame) -> DataFrame:

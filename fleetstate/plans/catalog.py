@@ -566,7 +566,7 @@ select r.id, r.state_kind, d.state_class, d.flow, d.has_message from registry r
   d(state_kind, state_class, flow, has_message) on d.state_kind = r.state_kind"""))
 def q_state_classes(spark, sf):
     dim = F.broadcast(spark.createDataFrame(state_dimension_rows(),
-                                            "state_kind string, state_index int, state_class string, flow string, has_message boolean"))
+                                            "state_kind string, state_index int, state_class string, flow string, has_message boolean").coalesce(1))
     return X.registry(spark, sf).join(dim, "state_kind").select("id", "state_kind", "state_class", "flow", "has_message")
 
 
