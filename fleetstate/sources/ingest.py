@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetstate.functions.columns import ERROR_STATES, UNIT_STATES, format_time
+from fleetstate.functions.columns import ERROR_STATES, UNIT_STATES
 from fleetstate.model import Params
 
 # --- fixed values: the request's fields and the supported engine types ------
@@ -30,10 +30,6 @@ _EXPECTED = ", ".join(f"`{f}`" for f in REQUEST_FIELDS)
 _VARIANTS = ", ".join(f"`{t}`" for t in ENGINE_TYPES)
 
 
-def _vtype(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
-
 def validate_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
     """A2: add ``reason`` (NULL when valid), ``detail`` and the typed fields to every request.
 
@@ -193,7 +189,3 @@ def validate_id(wire: Column) -> Column:
     detail = (F.when(reason == "bad_shape", 'Failed to deserialize EngineId, expect a map `{"id": <non empty string>}`')
               .when(reason == "empty", "Not allowed: Engine id cannot be empty."))
     return F.struct(F.when(reason.isNull(), txt).alias("id"), reason.alias("reason"), detail.alias("detail"))
-
-
-def created_time_text(p: Params) -> Column:
-    return format_time(F.timestamp_seconds(F.lit(p.now)))

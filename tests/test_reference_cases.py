@@ -261,3 +261,11 @@ def test_error_kinds(spark):
     assert got["NotFound"] == ("Not found", 404) and got["NotAllowed"] == ("Not allowed", 403)
     assert got["Unauthorized"] == ("Unauthorized", 401) and got["FailToLoadConfig"][1] == 500
     assert len(got) == 11
+
+
+def test_error_kind_table_and_flows(spark):
+    from fleetstate.operators.commands import error_kinds_df
+    d = {r["kind"]: r["http_status"] for r in error_kinds_df(spark).collect()}
+    assert len(d) == 11 and d["NotFound"] == 404 and d["FailToStartEngine"] == 500
+    df = spark.createDataFrame([("TriggerTermination",), ("ErrorClean",), ("Running",)], "k string")
+    assert [r[0] for r in df.select(C.state_flow("k")).collect()] == ["terminate", "error_clean", "start"]
