@@ -133,23 +133,28 @@ def prepare_stream(signals: DataFrame) -> DataFrame:
 
 
 def lifecycle_stream(signals: DataFrame, p: Params, auto_timeout: bool = False,
-                     watermark: str = "0 seconds", tombstone_ttl_s: int | None = None) -> DataFrame:
+                     watermark: str = "0 seconds", tombstone_ttl_s: int | None = None,
+                     clock: str = "event") -> DataFrame:
     """Per-id lifecycle state over a signal stream (id, ts, seq, signal, msg).
 
-    With ``auto_timeout`` a record left in a trigger state is sent back to waiting when the
-    event-time watermark passes its next update time (a timer per id; needs a watermark).
+    With ``auto_timeout`` a record left in a trigger state is sent back to waiting once its next
+    update time has passed: on the event-time watermark (``clock="event"``, reproducible; drains
+    with availableNow) or on the wall clock (``clock="processing"``, for live monitors; needs a
+    continuing trigger). The deadline and the TIMEOUT transition are the same in both.
     """
+    if clock not in ("event", "processing"):
+        raise ValueError("clock must be 'event' or 'processing'")
     spark = signals.sparkSession
     for k, v in STATEFUL_CONF.items():
         spark.conf.set(k, v)
     src = prepare_stream(signals)
     timed = auto_timeout or tombstone_ttl_s is not None
-    if timed:  # timers (trigger timeouts, tombstone expiry) run on event time
+    if timed and clock == "event":  # timers (trigger timeouts, tombstone expiry) run on event time
         src = src.withWatermark("ts", watermark)
+    mode = "None" if not timed else ("EventTime" if clock == "event" else "ProcessingTime")
     return src.groupBy("id").transformWithStateInPandas(
         statefulProcessor=LifecycleProcessor(p, auto_timeout, tombstone_ttl_s),
-        outputStructType=OUTPUT_SCHEMA, outputMode="Append",
-        timeMode="EventTime" if timed else "None")
+        outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode=mode)
 
 
 def latest_per_id(out: DataFrame) -> DataFrame:

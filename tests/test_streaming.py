@@ -96,3 +96,32 @@ def test_monitor_rounds(spark):
     assert reg1.count() == reg0.count()
     moved = reg1.where(F.col("state_kind") == "StartInProgress").count()
     assert moved > reg0.where(F.col("state_kind") == "StartInProgress").count() - 100
+
+
+def test_processing_time_timers(spark):
+    """Live clock: a trigger state whose deadline is a couple of seconds away times out on the wall clock."""
+    import time
+
+    now = int(time.time())
+    root = S.scratch_dir(spark, "ptime")
+    rows = [("a", now - P.timeout + 2, 1, "ACQUIRE", None), ("b", now, 1, "STOP", None)]
+    spark.createDataFrame(rows, "id string, t long, seq long, signal string, msg string").select(
+        "id", F.timestamp_seconds("t").alias("ts"), "seq", "signal", "msg").write.parquet(f"{root}/src")
+    src = spark.readStream.schema("id string, ts timestamp, seq long, signal string, msg string").parquet(f"{root}/src")
+    stream = S.lifecycle_stream(src, P, auto_timeout=True, clock="processing")
+    q = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/ck").trigger(processingTime="1 second").start())
+    try:
+        deadline = time.time() + 60
+        fired = False
+        while time.time() < deadline and not fired:
+            time.sleep(2)
+            try:
+                fired = spark.read.parquet(f"{root}/out").where("via = 'timer'").count() > 0
+            except Exception:  # noqa: BLE001 - the sink has no file yet
+                fired = False
+    finally:
+        q.stop()
+    cur = {r["id"]: r for r in S.latest_per_id(spark.read.parquet(f"{root}/out")).collect()}
+    assert fired and cur["a"]["state_kind"] == "WaitToStart" and cur["a"]["via"] == "timer"
+    assert cur["b"]["state_kind"] == "Terminated"
