@@ -119,7 +119,8 @@ def retry_timeouts(registry: DataFrame, p: Params, edges: DataFrame | None = Non
 
 
 def sync_round(registry: DataFrame, observations: DataFrame, outcomes: DataFrame, p: Params,
-               edges: DataFrame | None = None) -> DataFrame:
+               edges: DataFrame | None = None, launch_check: bool = False,
+               app_prefix: str | None = None) -> DataFrame:
     """One full monitor round over every due record, in one job.
 
     Each due record gets an ``action`` - RELEASE_OK / RELEASE_ERR / CRASH (waiting: acquired and
@@ -127,21 +128,33 @@ def sync_round(registry: DataFrame, observations: DataFrame, outcomes: DataFrame
     - and one join to the round's edge table gives its new state. The registry is read once and
     filtered before any join; observations are reduced to one row per id map-side. Stable states
     are never due; a due stable record or an unknown phase is reported as ``illegal``.
+
+    With ``launch_check`` a WaitToStart record is first checked as its launch would be (version
+    allow-list, then reserved config keys); a refusal is its release error and no outcome is read.
     """
     spark = registry.sparkSession
     rules = F.broadcast(round_edges(resolve_edges(spark, edges)))  # <= 44 rows
-    due = due_records(registry, p).select("id", "state_kind", "state_message", "next_update_time")
+    cols = ["id", "state_kind", "state_message", "next_update_time"]
+    due = due_records(registry, p)
+    if launch_check:
+        from fleetstate.functions.launch import DEFAULT_APP_PREFIX, launch_plan
+        plan = launch_plan(F.col("id"), F.col("version"), F.col("config"), app_prefix or DEFAULT_APP_PREFIX)
+        due = due.select(*cols, F.when(F.col("state_kind") == "WaitToStart", plan["error"]).alias("_launch_err"))
+    else:
+        due = due.select(*cols, F.lit(None).cast("string").alias("_launch_err"))
     last = latest_observation(observations).select("id", F.col("phase").alias("_raw"), F.lit(True).alias("_pod"))
     res = outcomes.select("id", "err_msg", F.lit(True).alias("_done"))
     j = due.join(last, "id", "left").join(res, "id", "left")
     cls = state_class("state_kind")
     phase = normalize_phase(F.col("_raw"), F.coalesce(F.col("_pod"), F.lit(False)))
+    err = F.coalesce(F.col("_launch_err"), F.col("err_msg"))
     action = (F.when(cls == "waiting",
-                     F.when(F.col("_done").isNull(), "CRASH")
+                     F.when(F.col("_launch_err").isNotNull(), "RELEASE_ERR")
+                     .when(F.col("_done").isNull(), "CRASH")
                      .when(F.col("err_msg").isNull(), "RELEASE_OK").otherwise("RELEASE_ERR"))
               .when(cls == "trigger", "TIMEOUT")
               .when(cls == "in_progress", F.concat(F.lit("PHASE_"), phase)))
-    j = j.select("id", "state_kind", "state_message", "err_msg", action.alias("action"))
+    j = j.select("id", "state_kind", "state_message", err.alias("err_msg"), action.alias("action"))
     j = join_edges(j, rules, signal_col="action")
     kind = F.col("_e_to")
     return j.select(

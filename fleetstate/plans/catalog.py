@@ -103,16 +103,25 @@ def q_reconcile(spark, sf):
 
 # ---------------------------------------------------------------- monitor round
 
-@query("sync_round", O.with_views(["due", "last_obs", "outcomes", "edges"], f"""
-, j as (
-  select d.id, d.state_kind, d.state_message, o.err_msg,
-    case when d.state_kind in ('WaitToStart', 'WaitToTerminate', 'ErrorWaitToClean') then
-           case when o.id is null then 'CRASH' when o.err_msg is null then 'RELEASE_OK' else 'RELEASE_ERR' end
-         when d.state_kind in ('TriggerStart', 'TriggerTermination', 'ErrorTriggerClean') then 'TIMEOUT'
-         when d.state_kind in ('StartInProgress', 'Running', 'TerminateInProgress', 'ErrorCleanInProgress') then
-           'PHASE_' || case when l.id is null then 'NotExisted' when l.phase is null then 'Unknown' else l.phase end
-    end as action
+def _sync_sql(launch_check: bool) -> str:
+    versions = "('3.5.3', '3.5.4')"
+    launch_err = (f"case when d.state_kind = 'WaitToStart' and d.version not in {versions} then 'Not allowed: Spark version ' "
+                  "|| d.version || ' is not supported. Supported versions: [\"3.5.3\", \"3.5.4\"]' end"
+                  if launch_check else "cast(null as varchar)")
+    return O.with_views(["due", "last_obs", "outcomes", "edges"], f"""
+, j0 as (
+  select d.id, d.state_kind, d.state_message, o.err_msg, o.id as oid, l.id as lid, l.phase, {launch_err} as launch_err
   from due d left join last_obs l on l.id = d.id left join outcomes o on o.id = d.id),
+j as (
+  select id, state_kind, state_message, coalesce(launch_err, err_msg) as err_msg,
+    case when state_kind in ('WaitToStart', 'WaitToTerminate', 'ErrorWaitToClean') then
+           case when launch_err is not null then 'RELEASE_ERR'
+                when oid is null then 'CRASH' when err_msg is null then 'RELEASE_OK' else 'RELEASE_ERR' end
+         when state_kind in ('TriggerStart', 'TriggerTermination', 'ErrorTriggerClean') then 'TIMEOUT'
+         when state_kind in ('StartInProgress', 'Running', 'TerminateInProgress', 'ErrorCleanInProgress') then
+           'PHASE_' || case when lid is null then 'NotExisted' when phase is null then 'Unknown' else phase end
+    end as action
+  from j0),
 acq as (select from_kind, to_kind as mid, msg_rule as a_msg, next_rule as a_next from edges where signal = 'ACQUIRE'),
 rules as (
   select a.from_kind, r.signal, r.to_kind, case when r.msg_rule = 'keep' then a.a_msg else r.msg_rule end as msg_rule,
@@ -125,11 +134,21 @@ select j.id, j.state_kind as from_kind, j.action, coalesce(e.to_kind, j.state_ki
   case when e.to_kind is null then j.state_message else {O.msg_sql('j.state_message', 'e.msg_rule', 'j.err_msg', 'e.const_message')} end as state_message,
   {O.next_sql('e.next_rule')} as next_update_time,
   case when e.to_kind is null then 'illegal' else 'ok' end as status
-from j left join rules e on e.from_kind = j.state_kind and e.signal = j.action"""))
+from j left join rules e on e.from_kind = j.state_kind and e.signal = j.action""")
+
+
+@query("sync_round", _sync_sql(False))
 def q_sync_round(spark, sf):
     return planning.sync_round(X.registry(spark, sf), X.observations(spark, sf), X.outcomes(spark, sf), P)
 
 
+@query("sync_round_checked", _sync_sql(True))
+def q_sync_round_checked(spark, sf):
+    """D10 with C5/C3 wired in: a WaitToStart record's launch checks decide before its outcome."""
+    return planning.sync_round(X.registry(spark, sf), X.observations(spark, sf), X.outcomes(spark, sf), P,
+                               launch_check=True)
+
+
 @query("retry_timeouts", O.with_views(["due", "edges"], f"""
 select d.id, d.state_kind as from_kind, e.to_kind as state_kind,
   {O.msg_sql('d.state_message', 'e.msg_rule', 'cast(null as varchar)', 'e.const_message')} as state_message,

@@ -269,3 +269,18 @@ def test_error_kind_table_and_flows(spark):
     assert len(d) == 11 and d["NotFound"] == 404 and d["FailToStartEngine"] == 500
     df = spark.createDataFrame([("TriggerTermination",), ("ErrorClean",), ("Running",)], "k string")
     assert [r[0] for r in df.select(C.state_flow("k")).collect()] == ["terminate", "error_clean", "start"]
+
+
+def test_sync_round_launch_check(spark):
+    """The start of a WaitToStart engine runs the launch checks; a refusal is the release error."""
+    r = reg(spark, [("a", "WaitToStart", None, 1, "3.5.5", None), ("b", "WaitToStart", None, 1, "3.5.4", None),
+                    ("c", "WaitToStart", None, 1, "3.5.4", {"spark.driver.host": "x"}),
+                    ("d", "WaitToTerminate", None, 1, "3.5.5", None)])
+    outcomes = spark.createDataFrame([("a", None), ("b", None), ("c", None), ("d", None)], "id string, err_msg string")
+    obs = spark.createDataFrame([], "id string, ts timestamp, l_linenumber int, l_partkey long, l_suppkey long, phase string")
+    out = {x["id"]: (x["state_kind"], x["state_message"])
+           for x in planning.sync_round(r, obs, outcomes, P, launch_check=True).collect()}
+    assert out["a"] == ("ErrorClean", 'Not allowed: Spark version 3.5.5 is not supported. Supported versions: ["3.5.3", "3.5.4"]')
+    assert out["b"] == ("StartInProgress", None)
+    assert out["c"] == ("ErrorClean", "Not allowed: The config spark.driver.host is not allowed as it is reserved.")
+    assert out["d"] == ("TerminateInProgress", None)  # only starts are checked
