@@ -7,12 +7,15 @@ however hot - is ever collected into one task:
 
 1. ``repartitionByRange(P, id, ts, seq)``: sampled range boundaries split a hot id across
    several partitions ("chunks"); each chunk is bounded by the partition size.
-2. Per (id, chunk): fold the chunk's signals into a 13-entry transition table (what the chunk
-   does to each possible start state). JVM-side higher-order functions over a chunk-bounded list.
-3. Per id: apply the chunk tables in chunk order to the initial state. At most P tables per id.
+2. Per (id, chunk): fold the chunk's signals into a transition table - what the chunk does to
+   each start state it can meet - in one sorted, memory-flat pass per partition. Only the first
+   run of a partition can continue an id from an earlier partition, so only it needs all 13
+   start states; every other run starts its id and folds from the initial state alone.
+3. Per id: apply the chunk tables in chunk order to the initial state (JVM higher-order
+   functions over at most P small tables per id).
 
 The transition log needs the state before every signal; it re-folds each chunk from its known
-start state in a grouped pandas function (again one chunk per call, bounded).
+start state in a second sorted pass per partition.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetstate.functions.step import Stepper
-from fleetstate.model import ERROR_SEPARATOR, FOLD_STATES, SIGNALS, Params, dense_tables
+from fleetstate.model import ERROR_SEPARATOR, FOLD_STATES, SIGNALS, Params
 from fleetstate.session import materialize
 
 N_STATES = len(FOLD_STATES)
@@ -31,21 +34,6 @@ N_SIGNALS = len(SIGNALS)
 INITIAL_STATE = 0  # every replay starts in WaitToStart, no message, no next update time
 
 
-def _sql_array(values, kind: str) -> str:
-    if kind == "int":
-        return "array(" + ",".join(str(int(v)) for v in values) + ")"
-    items = []
-    for v in values:
-        items.append("cast(null as string)" if v is None else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'")
-    return "array(" + ",".join(items) + ")"
-
-
-def _tables_sql():
-    d = dense_tables()
-    return (_sql_array(d["next"], "int"), _sql_array(d["msg"], "int"),
-            _sql_array(d["next_rule"], "int"), _sql_array(d["const"], "str"))
-
-
 def signal_index(col: str = "signal"):
     kv = []
     for i, s in enumerate(SIGNALS):
@@ -70,41 +58,89 @@ def chunked(signals: DataFrame, partitions: int | None = None) -> DataFrame:
             .withColumn("chunk", F.spark_partition_id()))
 
 
-def _chunk_lists(ch: DataFrame) -> DataFrame:
-    """One row per (id, chunk) with its signals in order; the list is bounded by the partition size."""
-    item = F.struct("ts", "seq", "g", "msg", "t")
-    return ch.groupBy("id", "chunk").agg(
-        F.array_sort(F.collect_list(item)).alias("sigs"), F.count(F.lit(1)).alias("n_sig"))
-
-
-def _table_expr(p: Params) -> str:
-    nxt, msg, nr, const = _tables_sql()
-    sep = ERROR_SEPARATOR.replace("\n", "\\n")
-    k = f"(e.s * {N_SIGNALS} + x.g)"
-    step = (
-        f"IF(x.g < 0 OR {nxt}[{k}] < 0, e, named_struct("
-        f"'s', {nxt}[{k}],"
-        f"'mk', CASE {msg}[{k}] WHEN 1 THEN e.mk WHEN 3 THEN e.mk ELSE false END,"
-        f"'mt', CASE {msg}[{k}] WHEN 0 THEN cast(null as string) WHEN 1 THEN e.mt WHEN 2 THEN x.msg "
-        f"WHEN 3 THEN concat(e.mt, '{sep}', x.msg) ELSE {const}[{k}] END,"
-        f"'nk', false,"
-        f"'nv', CASE {nr}[{k}] WHEN 0 THEN cast(null as bigint) WHEN 1 THEN x.t "
-        f"WHEN 2 THEN x.t + {p.interval} ELSE x.t + {p.timeout} END,"
-        f"'na', e.na + 1))"
-    )
-    init = (f"transform(sequence(0, {N_STATES - 1}), i -> named_struct('s', i, 'mk', true, 'mt', IF(i >= 0, '', NULL), "
-            f"'nk', true, 'nv', cast(null as bigint), 'na', 0))")
-    return f"aggregate(sigs, {init}, (acc, x) -> transform(acc, e -> {step}))"
+TAB_SCHEMA = T.StructType([
+    T.StructField("id", T.StringType()), T.StructField("chunk", T.IntegerType()),
+    T.StructField("n_sig", T.LongType()),
+    T.StructField("tab", T.ArrayType(T.StructType([
+        T.StructField("start", T.IntegerType()), T.StructField("s", T.IntegerType()),
+        T.StructField("mk", T.BooleanType()), T.StructField("mt", T.StringType()),
+        T.StructField("nk", T.BooleanType()), T.StructField("nv", T.LongType()),
+        T.StructField("na", T.LongType())]))),
+])
+
+
+def _fold_runs(p: Params):
+    """Fold each (id, chunk) run of a partition sorted by (id, ts, seq), streaming over Arrow batches.
+
+    Only the first run of a partition can continue an id from an earlier partition: it gets the
+    full table (one entry per possible start state). Every later run starts its id, so it folds
+    from the initial state alone. Entry fields: end state s; mk = message kept from the start
+    (then mt is a suffix), else mt is the message; nk = next update kept, else nv; na = applied.
+    """
+    stepper = Stepper(p)
+    sep = ERROR_SEPARATOR
+
+    def step_entry(e, g, x_msg, t):
+        start, s, mk, mt, nk, nv, na = e
+        k = s * N_SIGNALS + g
+        if g < 0 or stepper.next[k] < 0:
+            return e
+        r = stepper.msg[k]
+        if r == 0:
+            mk, mt = False, None
+        elif r == 2:
+            mk, mt = False, x_msg
+        elif r == 3:
+            mt = None if mt is None or x_msg is None else mt + sep + x_msg
+        elif r == 4:
+            mk, mt = False, stepper.const[k]
+        q = stepper.rule[k]
+        nv = None if q == 0 else int(t) + (0 if q == 1 else p.interval if q == 2 else p.timeout)
+        return (start, stepper.next[k], mk, mt, False, nv, na + 1)
+
+    def fold(batches):
+        cur, first_run, entries, n = None, True, None, 0
+        out = []
+
+        def flush():
+            out.append((cur[0], int(cur[1]), n, [dict(zip(("start", "s", "mk", "mt", "nk", "nv", "na"), e))
+                                                 for e in entries]))
+
+        for pdf in batches:
+            ids, chunks = pdf["id"].to_numpy(), pdf["chunk"].to_numpy()
+            gs, msgs, ts_ = pdf["g"].to_numpy(), pdf["msg"].to_numpy(), pdf["t"].to_numpy()
+            for j in range(len(pdf)):
+                key = (ids[j], chunks[j])
+                if key != cur:
+                    if cur is not None:
+                        flush()
+                        first_run = False
+                    cur, n = key, 0
+                    starts = range(N_STATES) if first_run else (INITIAL_STATE,)
+                    entries = [(i, i, True, "", True, None, 0) for i in starts]
+                x = msgs[j]
+                x = None if x is None or pd.isna(x) else x
+                g, t = int(gs[j]), int(ts_[j])
+                entries = [step_entry(e, g, x, t) for e in entries]
+                n += 1
+            if len(out) >= 4096:
+                yield pd.DataFrame(out, columns=["id", "chunk", "n_sig", "tab"])
+                out = []
+        if cur is not None:
+            flush()
+        if out:
+            yield pd.DataFrame(out, columns=["id", "chunk", "n_sig", "tab"])
+
+    return fold
 
 
 def chunk_tables(signals: DataFrame, p: Params, partitions: int | None = None) -> DataFrame:
-    """Level 2: per (id, chunk) the 13-entry table of what the chunk does to each start state.
+    """Level 2: per (id, chunk) what the chunk does to each start state it can meet.
 
-    Entry i: s = end state, mk = message kept from the start (then mt is a suffix), else mt is the
-    new message; nk = next update kept, else nv; na = signals applied.
+    One sorted, memory-flat pass per range partition (no per-chunk list is collected).
     """
-    return _chunk_lists(chunked(signals, partitions)).select(
-        "id", "chunk", "n_sig", F.expr(_table_expr(p)).alias("tab"))
+    ch = chunked(signals, partitions).sortWithinPartitions("id", "ts", "seq")
+    return ch.select("id", "chunk", "g", "msg", "t").mapInPandas(_fold_runs(p), TAB_SCHEMA)
 
 
 def _apply_sql(a: str, t: str) -> str:
@@ -114,7 +150,12 @@ def _apply_sql(a: str, t: str) -> str:
             f"'n', IF({t}.nk, {a}.n, {t}.nv), 'na', {a}.na + {t}.na)")
 
 
-_INIT = f"named_struct('s', {INITIAL_STATE}, 'm', cast(null as string), 'n', cast(null as bigint), 'na', 0)"
+def _entry(c: str, state: str) -> str:
+    """The entry of chunk ``c`` for start ``state`` (a run that starts its id has only the initial one)."""
+    return f"element_at(filter({c}.tab, e -> e.start = {state}), 1)"
+
+
+_INIT = f"named_struct('s', {INITIAL_STATE}, 'm', cast(null as string), 'n', cast(null as bigint), 'na', cast(0 as bigint))"
 
 
 def replay_state(signals: DataFrame, p: Params, partitions: int | None = None) -> DataFrame:
@@ -126,7 +167,7 @@ def replay_state(signals: DataFrame, p: Params, partitions: int | None = None) -
     per_id = tabs.groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("chunk", "tab"))).alias("tabs"),
         F.sum("n_sig").alias("n_signals"))
-    fold = F.expr(f"aggregate(tabs, {_INIT}, (acc, c) -> {_apply_sql('acc', 'c.tab[acc.s]')})")
+    fold = F.expr(f"aggregate(tabs, {_INIT}, (acc, c) -> {_apply_sql('acc', _entry('c', 'acc.s'))})")
     states = F.array(*[F.lit(s) for s in FOLD_STATES])
     return per_id.select("id", fold.alias("f"), "n_signals").select(
         "id", states[F.col("f.s")].alias("state_kind"), F.col("f.m").alias("state_message"),
@@ -140,7 +181,7 @@ def chunk_starts(tabs: DataFrame) -> DataFrame:
     scan = F.expr(
         f"aggregate(tabs, named_struct('cur', {_INIT}, "
         f"'out', cast(array() as array<struct<chunk:int,s:int,m:string,n:bigint>>)), "
-        f"(acc, c) -> named_struct('cur', {_apply_sql('acc.cur', 'c.tab[acc.cur.s]')}, "
+        f"(acc, c) -> named_struct('cur', {_apply_sql('acc.cur', _entry('c', 'acc.cur.s'))}, "
         f"'out', concat(acc.out, array(named_struct('chunk', c.chunk, 's', acc.cur.s, 'm', acc.cur.m, "
         f"'n', acc.cur.n)))))")
     return per_id.select("id", F.inline(scan.getField("out")))
@@ -199,7 +240,8 @@ def replay_log(signals: DataFrame, p: Params, partitions: int | None = None) ->
     spark = signals.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ch = materialize(chunked(signals, partitions))  # both branches must see the same chunks
-    tabs = _chunk_lists(ch).select("id", "chunk", F.expr(_table_expr(p)).alias("tab"))
+    tabs = (ch.sortWithinPartitions("id", "ts", "seq").select("id", "chunk", "g", "msg", "t")
+            .mapInPandas(_fold_runs(p), TAB_SCHEMA))
     starts = chunk_starts(tabs).select("id", "chunk", F.col("s").alias("s0"), F.col("m").alias("m0"),
                                        F.col("n").alias("n0"))
     rows = (ch.join(starts, ["id", "chunk"]).repartition(n, "id", "chunk")
