@@ -590,10 +590,10 @@ def q_state_classes(spark, sf):
 
 
 @query("next_update", O.with_views(["registry"], f"""
-select id, state_kind, case when state_kind in ('WaitToStart', 'WaitToTerminate', 'ErrorWaitToClean') then {O.NOW}
+select id, state_kind, cast(case when state_kind in ('WaitToStart', 'WaitToTerminate', 'ErrorWaitToClean') then {O.NOW}
   when state_kind in ('TriggerStart', 'TriggerTermination', 'ErrorTriggerClean') then {O.NOW} + {O.TIMEOUT}
   when state_kind in ('StartInProgress', 'Running', 'TerminateInProgress', 'ErrorCleanInProgress') then {O.NOW} + {O.INTERVAL}
-  end as next_update from registry"""))
+  end as bigint) as next_update from registry"""))
 def q_next_update(spark, sf):
     r = X.registry(spark, sf)
     return r.select("id", "state_kind", C.next_update_time("state_kind", P.now, P.interval, P.timeout).alias("next_update"))

@@ -139,8 +139,8 @@ def msg_sql(old: str, rule: str, arg: str, const: str) -> str:
 
 
 def next_sql(rule: str, now: str = str(NOW)) -> str:
-    return (f"case {rule} when 'now' then {now} when 'interval' then {now} + {INTERVAL} "
-            f"when 'timeout' then {now} + {TIMEOUT} else cast(null as bigint) end")
+    return (f"cast(case {rule} when 'now' then {now} when 'interval' then {now} + {INTERVAL} "
+            f"when 'timeout' then {now} + {TIMEOUT} else cast(null as bigint) end as bigint)")
 
 
 STATE_LIST = ", ".join(_q(s) for s in FOLD_STATES)
@@ -248,7 +248,7 @@ DEPS["valid"] = ["checked"]
 
 VIEWS["created"] = f"""
 select sha256(cast(request_id as varchar)) as id, name, engine_type, version, config_kv,
-  'WaitToStart' as state_kind, {NOW} as next_update_time
+  'WaitToStart' as state_kind, cast({NOW} as bigint) as next_update_time
 from valid"""
 DEPS["created"] = ["valid"]
 ORDER.extend(["state_wire", "id_wire", "time_text", "checked", "valid", "created"])
