@@ -284,3 +284,17 @@ def test_sync_round_launch_check(spark):
     assert out["b"] == ("StartInProgress", None)
     assert out["c"] == ("ErrorClean", "Not allowed: The config spark.driver.host is not allowed as it is reserved.")
     assert out["d"] == ("TerminateInProgress", None)  # only starts are checked
+
+
+def test_write_back_and_delete(spark):
+    r = reg(spark, [("a", "WaitToStart", None, 5, "3.5.4", None), ("b", "Running", None, 9, "3.5.4", None),
+                    ("c", "Terminated", None, None, "3.5.4", None)])
+    ch = spark.createDataFrame([("a", "Terminated", None, None, False), ("c", None, None, None, True)],
+                               "id string, state_kind string, state_message string, next_update_time long, removed boolean")
+    nxt = {x["id"]: (x["state_kind"], x["next_update_time"]) for x in registry.apply_changes(r, ch).collect()}
+    assert nxt == {"a": ("Terminated", None), "b": ("Running", 9)}
+    dels = spark.createDataFrame([("a", "WaitToStart", None), ("b", "Terminated", None), ("q", "Running", None)],
+                                 "id string, before_kind string, before_message string")
+    out, rest = registry.conditional_delete(dels, r)
+    assert dict((x["id"], x["outcome"]) for x in out.collect()) == {"a": "Success", "b": "Fail", "q": "NotFound"}
+    assert sorted(x["id"] for x in rest.collect()) == ["b", "c"]
