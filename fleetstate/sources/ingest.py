@@ -91,8 +91,11 @@ def validate_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
     missing = F.coalesce(*[F.when(~F.array_contains(keys, F.lit(f)), F.lit(f)) for f in REQUIRED_FIELDS])
     staged = checks.select("*", first.alias("__first"), missing.alias("__missing"))
     first, missing = F.col("__first"), F.col("__missing")
-    # a NULL key list is malformed text or a non-object; parse again only for those rows
-    bad_json = keys.isNull() & F.try_parse_json(body).isNull()
+    # a NULL key list is malformed text or a non-object; parse again only for those rows. The
+    # parsers stop after the first value, so a body must also be exactly one value: "[" body "]"
+    # has to be a one-element array (rejects trailing text, like the closed-world decoder does).
+    one_value = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
+    bad_json = (keys.isNull() & F.try_parse_json(body).isNull()) | (keys.isNotNull() & ~F.coalesce(one_value, F.lit(False)))
     reason = (F.when(bad_json, "malformed")
               .when(keys.isNull(), "not_object")
               .when(first.isNotNull(), first["reason"])

@@ -44,6 +44,9 @@ def test_create_request_cases(spark):
         json.dumps({"name": 7, "engine_type": "Spark", "version": "3.5.3"}),
         json.dumps({"name": "x", "configs": {}}),  # documented key, rejected by the code
         json.dumps({"name": "", "engine_type": "Spark", "version": "9"}),  # any name and version string
+        '{"name":"a","engine_type":"Spark","version":"3.5.3"} x',  # trailing characters
+        '{"name":"a","engine_type":"Spark","version":"3.5.3"}{}',
+        json.dumps({"name": "a", "engine_type": "Spark", "version": "3.5.3", "config": {"k": "1"}})[:-1] + ',"config":{}}',
     ]
     r = _validate(spark, bodies)
     assert r[0]["reason"] == "missing_field" and "missing field `name`" in r[0]["detail"]
@@ -62,6 +65,8 @@ def test_create_request_cases(spark):
     assert r[11]["reason"] == "bad_type" and r[11]["detail"].startswith("name:")
     assert r[12]["reason"] == "unknown_field"
     assert r[13]["reason"] is None
+    assert r[14]["reason"] == "malformed" and r[15]["reason"] == "malformed"
+    assert r[16]["reason"] == "duplicate_field"
 
 
 def test_bulk_create_is_idempotent(spark):
