@@ -110,3 +110,26 @@ def test_state_class(spark):
     got = dict(df.select("k", state_class("k")).collect())
     assert got["Running"] == "in_progress" and got["ErrorClean"] == "stable" and got["TriggerStart"] == "trigger"
     assert F is not None
+
+
+def test_all_pairs_through_rule_join(spark):
+    """Every (state, signal) pair through the Spark rule join: allowed exactly when an edge exists."""
+    from fleetstate.operators.edges import apply_edge, join_edges, resolve_edges
+
+    p = Params(now=100, interval=3, timeout=5)
+    pairs = [(s, g, "old", "arg") for s in FOLD_STATES for g in SIGNALS]
+    df = spark.createDataFrame(pairs, "state_kind string, signal string, state_message string, arg string")
+    j = join_edges(df, resolve_edges(spark, None))
+    kind, msg, nxt = apply_edge(j, p, arg=F.col("arg"))
+    got = {(r[0], r[1]): (r[2], r[3], r[4]) for r in j.select("state_kind", "signal", kind, msg, nxt).collect()}
+    assert len(got) == len(FOLD_STATES) * len(SIGNALS)
+    for (s, g), (to, m, n) in got.items():
+        e = E.get((s, g))
+        if e is None:
+            assert to is None, (s, g)
+            continue
+        assert to == e.to_kind
+        expect_m = {"clear": None, "keep": "old", "set": "arg", "append": "old\n\narg", "const": e.const_message}[e.msg_rule]
+        assert m == expect_m, (s, g)
+        assert n == {"none": None, "now": 100, "interval": 103, "timeout": 105}[e.next_rule], (s, g)
+    assert sum(1 for v in got.values() if v[0] is not None) == 44
