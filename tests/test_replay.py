@@ -149,3 +149,12 @@ def test_cas_sequence_matches_brute_force(spark):
             expect[(u[0], u[2])] = ("Fail", cur[0])
     assert got == expect
     assert sum(1 for v in got.values() if v[0] == "Success") > 50
+
+
+def test_error_history_hot_id(spark):
+    rows = [("h", 10 + i // 7, i, "RELEASE_ERR", f"e{i}") for i in range(700)] + [("c", 1, 1, "RELEASE_ERR", "only")]
+    df = spark.createDataFrame(rows, "id string, t long, seq long, signal string, msg string").select(
+        "id", F.timestamp_seconds("t").alias("ts"), "seq", "signal", "msg")
+    got = {r["id"]: (r["history"], r["n_errors"]) for r in replay.error_history(df, partitions=5).collect()}
+    assert got["h"] == ("\n\n".join(f"e{i}" for i in range(700)), 700)
+    assert got["c"] == ("only", 1)
