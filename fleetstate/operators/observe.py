@@ -31,9 +31,9 @@ def normalize_phase(raw_phase, has_pod):
             .when(raw_phase.isin(*[p for p in PHASES if p != "NotExisted"]), raw_phase))
 
 
-def phase_normalize(records: DataFrame, observations: DataFrame) -> DataFrame:
+def phase_normalize(records: DataFrame, observations: DataFrame, order: list[str] | None = None) -> DataFrame:
     """B12 over a set of records: one row per record with its normalized phase and an illegal flag."""
-    last = latest_observation(observations).select("id", F.col("phase").alias("_raw"), F.lit(True).alias("_pod"))
+    last = latest_observation(observations, order).select("id", F.col("phase").alias("_raw"), F.lit(True).alias("_pod"))
     j = records.join(last, "id", "left")
     has_pod = F.coalesce(F.col("_pod"), F.lit(False))
     ph = normalize_phase(F.col("_raw"), has_pod)
@@ -42,7 +42,7 @@ def phase_normalize(records: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def reconcile(registry: DataFrame, observations: DataFrame, p: Params, edges: DataFrame | None = None,
-              only_due: bool = False) -> DataFrame:
+              only_due: bool = False, obs_order: list[str] | None = None) -> DataFrame:
     """Move every in-progress record by its latest observation (observation edges).
 
     "Unchanged" outcomes still write: the next update time moves (heartbeat).
@@ -52,7 +52,7 @@ def reconcile(registry: DataFrame, observations: DataFrame, p: Params, edges: Da
     if only_due:
         recs = recs.where(F.col("next_update_time").isNotNull() & (F.col("next_update_time") < p.now))
     recs = recs.select("id", "state_kind", "state_message")
-    norm = phase_normalize(recs, observations)
+    norm = phase_normalize(recs, observations, obs_order)
     j = join_edges(norm.withColumn("signal", F.concat(F.lit("PHASE_"), F.col("phase"))),
                    resolve_edges(spark, edges))
     kind, msg, nxt = apply_edge(j, p)

@@ -120,7 +120,7 @@ def retry_timeouts(registry: DataFrame, p: Params, edges: DataFrame | None = Non
 
 def sync_round(registry: DataFrame, observations: DataFrame, outcomes: DataFrame, p: Params,
                edges: DataFrame | None = None, launch_check: bool = False,
-               app_prefix: str | None = None) -> DataFrame:
+               app_prefix: str | None = None, obs_order: list[str] | None = None) -> DataFrame:
     """One full monitor round over every due record, in one job.
 
     Each due record gets an ``action`` - RELEASE_OK / RELEASE_ERR / CRASH (waiting: acquired and
@@ -131,6 +131,7 @@ def sync_round(registry: DataFrame, observations: DataFrame, outcomes: DataFrame
 
     With ``launch_check`` a WaitToStart record is first checked as its launch would be (version
     allow-list, then reserved config keys); a refusal is its release error and no outcome is read.
+    ``obs_order``: the observation columns that order them totally (newest = max), ts first.
     """
     spark = registry.sparkSession
     rules = F.broadcast(round_edges(resolve_edges(spark, edges)))  # <= 44 rows
@@ -142,7 +143,8 @@ def sync_round(registry: DataFrame, observations: DataFrame, outcomes: DataFrame
         due = due.select(*cols, F.when(F.col("state_kind") == "WaitToStart", plan["error"]).alias("_launch_err"))
     else:
         due = due.select(*cols, F.lit(None).cast("string").alias("_launch_err"))
-    last = latest_observation(observations).select("id", F.col("phase").alias("_raw"), F.lit(True).alias("_pod"))
+    last = latest_observation(observations, obs_order).select("id", F.col("phase").alias("_raw"),
+                                                               F.lit(True).alias("_pod"))
     res = outcomes.select("id", "err_msg", F.lit(True).alias("_done"))
     j = due.join(last, "id", "left").join(res, "id", "left")
     cls = state_class("state_kind")

@@ -303,3 +303,13 @@ def test_write_back_and_delete(spark):
     out, rest = registry.conditional_delete(dels, r)
     assert dict((x["id"], x["outcome"]) for x in out.collect()) == {"a": "Success", "b": "Fail", "q": "NotFound"}
     assert sorted(x["id"] for x in rest.collect()) == ["b", "c"]
+
+
+def test_sync_round_custom_observation_order(spark):
+    r = reg(spark, [("a", "StartInProgress", None, 1, "3.5.4", None)])
+    obs = spark.createDataFrame([("a", 5, 1, "Pending"), ("a", 5, 2, "Running"), ("a", 4, 9, "Failed")],
+                                "id string, t long, seq long, phase string").select(
+        "id", F.timestamp_seconds("t").alias("ts"), "seq", "phase")
+    outcomes = spark.createDataFrame([], "id string, err_msg string")
+    x = planning.sync_round(r, obs, outcomes, P, obs_order=["ts", "seq"]).collect()[0]
+    assert (x["action"], x["state_kind"]) == ("PHASE_Running", "Running")  # newest by (ts, seq)
