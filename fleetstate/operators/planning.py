@@ -51,7 +51,8 @@ def plan_commands(commands: DataFrame, registry: DataFrame, p: Params, edges: Da
     )
 
 
-def acquire(claims: DataFrame, registry: DataFrame, p: Params, edges: DataFrame | None = None) -> DataFrame:
+def acquire(claims: DataFrame, registry: DataFrame, p: Params, edges: DataFrame | None = None,
+            order: list[str] | None = None) -> DataFrame:
     """Competing claims on due waiting records; the earliest claim per id wins.
 
     The winner is ``min(struct(ts, claimant, seq, tiebreak))`` per id - an aggregate with a
@@ -60,7 +61,7 @@ def acquire(claims: DataFrame, registry: DataFrame, p: Params, edges: DataFrame
     state; every other claim fails with the state the winner wrote.
     """
     spark = registry.sparkSession
-    order = ["ts", "claimant", "seq", "tiebreak"]
+    order = order or ["ts", "claimant", "seq", "tiebreak"]  # a total order of the claims of an id
     win = claims.groupBy("id").agg(F.min(F.struct(*order)).alias("_w"))
     # one registry pass: the current state, and for due waiting records the acquired state
     is_due = (F.col("next_update_time").isNotNull() & (F.col("next_update_time") < F.lit(p.now))
@@ -78,7 +79,7 @@ def acquire(claims: DataFrame, registry: DataFrame, p: Params, edges: DataFrame
                .when(F.col("_due").isNull(), "Fail")
                .when(is_winner, "Success").otherwise("Fail"))
     return j.select(
-        "id", "ts", "claimant", "seq", "tiebreak", outcome.alias("outcome"),
+        claims["*"], outcome.alias("outcome"),
         F.when(F.col("_due").isNotNull(), F.col("_to")).otherwise(F.col("_cur_kind")).alias("state_kind"),
         F.when(F.col("_due").isNotNull(), F.col("_to_msg")).otherwise(F.col("_cur_msg")).alias("state_message"),
         F.when(outcome == "Success", F.col("_to_next")).alias("next_update_time"),
