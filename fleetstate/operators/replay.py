@@ -69,7 +69,7 @@ TAB_SCHEMA = T.StructType([
 ])
 
 
-def _fold_runs(p: Params):
+def _fold_runs(p: Params, full: bool = False):
     """Fold each (id, chunk) run of a partition sorted by (id, ts, seq), streaming over Arrow batches.
 
     Only the first run of a partition can continue an id from an earlier partition: it gets the
@@ -116,7 +116,7 @@ def _fold_runs(p: Params):
                         flush()
                         first_run = False
                     cur, n = key, 0
-                    starts = range(N_STATES) if first_run else (INITIAL_STATE,)
+                    starts = range(N_STATES) if (first_run or full) else (INITIAL_STATE,)
                     entries = [(i, i, True, "", True, None, 0) for i in starts]
                 x = msgs[j]
                 x = None if x is None or pd.isna(x) else x
@@ -134,13 +134,13 @@ def _fold_runs(p: Params):
     return fold
 
 
-def chunk_tables(signals: DataFrame, p: Params, partitions: int | None = None) -> DataFrame:
+def chunk_tables(signals: DataFrame, p: Params, partitions: int | None = None, full: bool = False) -> DataFrame:
     """Level 2: per (id, chunk) what the chunk does to each start state it can meet.
 
     One sorted, memory-flat pass per range partition (no per-chunk list is collected).
     """
     ch = chunked(signals, partitions).sortWithinPartitions("id", "ts", "seq")
-    return ch.select("id", "chunk", "g", "msg", "t").mapInPandas(_fold_runs(p), TAB_SCHEMA)
+    return ch.select("id", "chunk", "g", "msg", "t").mapInPandas(_fold_runs(p, full), TAB_SCHEMA)
 
 
 def _apply_sql(a: str, t: str) -> str:
@@ -158,16 +158,39 @@ def _entry(c: str, state: str) -> str:
 _INIT = f"named_struct('s', {INITIAL_STATE}, 'm', cast(null as string), 'n', cast(null as bigint), 'na', cast(0 as bigint))"
 
 
-def replay_state(signals: DataFrame, p: Params, partitions: int | None = None) -> DataFrame:
+_ABSENT = (f"named_struct('s', {N_STATES - 1}, 'm', cast(null as string), 'n', cast(null as bigint), "
+           f"'na', cast(0 as bigint))")
+
+
+def _with_initial(per_id: DataFrame, initial: DataFrame | None) -> tuple[DataFrame, str]:
+    """Attach each id's start: WaitToStart by default, else its record in ``initial`` (absent ids
+    start as removed, so their signals are NotFound)."""
+    if initial is None:
+        return per_id, _INIT
+    kv = []
+    for i, st in enumerate(FOLD_STATES):
+        kv += [F.lit(st), F.lit(i)]
+    init = initial.select("id", F.struct(
+        F.element_at(F.create_map(*kv), F.col("state_kind")).alias("s"), F.col("state_message").alias("m"),
+        F.col("next_update_time").cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("na")).alias("_init0"))
+    return per_id.join(init, "id", "left"), f"coalesce(_init0, {_ABSENT})"
+
+
+def replay_state(signals: DataFrame, p: Params, partitions: int | None = None,
+                 initial: DataFrame | None = None) -> DataFrame:
     """final state of every id after all its signals, in order.
 
+    ``initial`` (id, state_kind, state_message, next_update_time), e.g. a registry snapshot, makes
+    the fold start from each record's current state: ordered commands applied to the latest
+    state, which is what a command that loses a race and retries amounts to.
     Output: id, state_kind, state_message, next_update_time, n_signals, n_applied.
     """
-    tabs = chunk_tables(signals, p, partitions)
+    tabs = chunk_tables(signals, p, partitions, full=initial is not None)
     per_id = tabs.groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("chunk", "tab"))).alias("tabs"),
         F.sum("n_sig").alias("n_signals"))
-    fold = F.expr(f"aggregate(tabs, {_INIT}, (acc, c) -> {_apply_sql('acc', _entry('c', 'acc.s'))})")
+    per_id, start = _with_initial(per_id, initial)
+    fold = F.expr(f"aggregate(tabs, {start}, (acc, c) -> {_apply_sql('acc', _entry('c', 'acc.s'))})")
     states = F.array(*[F.lit(s) for s in FOLD_STATES])
     return per_id.select("id", fold.alias("f"), "n_signals").select(
         "id", states[F.col("f.s")].alias("state_kind"), F.col("f.m").alias("state_message"),
@@ -175,11 +198,12 @@ def replay_state(signals: DataFrame, p: Params, partitions: int | None = None) -
         F.col("f.na").cast("bigint").alias("n_applied"))
 
 
-def chunk_starts(tabs: DataFrame) -> DataFrame:
+def chunk_starts(tabs: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """The concrete state each chunk starts from: a scan over the id's chunk tables (<= P per id)."""
     per_id = tabs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("chunk", "tab"))).alias("tabs"))
+    per_id, start = _with_initial(per_id, initial)
     scan = F.expr(
-        f"aggregate(tabs, named_struct('cur', {_INIT}, "
+        f"aggregate(tabs, named_struct('cur', {start}, "
         f"'out', cast(array() as array<struct<chunk:int,s:int,m:string,n:bigint>>)), "
         f"(acc, c) -> named_struct('cur', {_apply_sql('acc.cur', _entry('c', 'acc.cur.s'))}, "
         f"'out', concat(acc.out, array(named_struct('chunk', c.chunk, 's', acc.cur.s, 'm', acc.cur.m, "
@@ -230,7 +254,8 @@ def _log_fold(p: Params):
     return fold
 
 
-def replay_log(signals: DataFrame, p: Params, partitions: int | None = None) -> DataFrame:
+def replay_log(signals: DataFrame, p: Params, partitions: int | None = None,
+               initial: DataFrame | None = None) -> DataFrame:
     """A5: the transition log of the replay - one row per signal with the state before and after.
 
     outcome: Applied, NotAllowed (no edge from the current state), NotFound (record removed).
@@ -241,8 +266,8 @@ def replay_log(signals: DataFrame, p: Params, partitions: int | None = None) ->
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ch = materialize(chunked(signals, partitions))  # both branches must see the same chunks
     tabs = (ch.sortWithinPartitions("id", "ts", "seq").select("id", "chunk", "g", "msg", "t")
-            .mapInPandas(_fold_runs(p), TAB_SCHEMA))
-    starts = chunk_starts(tabs).select("id", "chunk", F.col("s").alias("s0"), F.col("m").alias("m0"),
+            .mapInPandas(_fold_runs(p, full=initial is not None), TAB_SCHEMA))
+    starts = chunk_starts(tabs, initial).select("id", "chunk", F.col("s").alias("s0"), F.col("m").alias("m0"),
                                        F.col("n").alias("n0"))
     rows = (ch.join(starts, ["id", "chunk"]).repartition(n, "id", "chunk")
             .sortWithinPartitions("id", "chunk", "ts", "seq"))

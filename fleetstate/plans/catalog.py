@@ -212,6 +212,36 @@ def q_replay_log(spark, sf):
                       "state_message", "next_update_time")
 
 
+@query("apply_commands", O.with_views(["routed", "registry", "edges"], f"""
+, s as (select id, ts, event_id as seq,
+    case operation when 'stop' then 'STOP' when 'restart' then 'RESTART' else 'DELETE' end as signal,
+    cast(null as varchar) as msg, cast(floor(epoch(ts)) as bigint) as t,
+    row_number() over (partition by id order by ts, event_id) as rn
+  from routed where operation in ('stop', 'restart', 'delete')),
+rec as (
+  select ids.id, cast(0 as bigint) as rn, coalesce(r.state_kind, 'Removed') as state_kind, r.state_message,
+    r.next_update_time, cast(0 as bigint) as n_applied
+  from (select distinct id from s) ids left join registry r on r.id = ids.id
+  union all
+  select r.id, s.rn, coalesce(e.to_kind, r.state_kind),
+    case when e.to_kind is null then r.state_message
+         else {O.msg_sql('r.state_message', 'e.msg_rule', 's.msg', 'e.const_message')} end,
+    case when e.to_kind is null then r.next_update_time else {O.next_sql('e.next_rule', 's.t')} end,
+    r.n_applied + case when e.to_kind is null then 0 else 1 end
+  from rec r join s on s.id = r.id and s.rn = r.rn + 1
+  left join edges e on e.from_kind = r.state_kind and e.signal = s.signal)
+select r.id, r.state_kind, r.state_message, r.next_update_time, m.n as n_signals, r.n_applied
+from rec r join (select id, count(*) as n from s group by id) m on m.id = r.id and r.rn = m.n"""))
+def q_apply_commands(spark, sf):
+    """D3-D5 in order: every routed stop / restart / delete applied to the record's current state,
+    so a command that would lose a race is judged on the state the earlier ones left."""
+    routed = commands.route_requests(X.access_log(spark, sf)).where(
+        F.col("operation").isin("stop", "restart", "delete"))
+    sig = routed.select("id", "ts", F.col("event_id").alias("seq"), F.upper("operation").alias("signal"),
+                        F.lit(None).cast("string").alias("msg"))
+    return replay.replay_state(sig, P, initial=X.registry(spark, sf))
+
+
 @query("error_history", O.with_views(["signals"], """
 select id, string_agg(msg, chr(10) || chr(10) order by ts, seq) as history, count(*) as n_errors
 from signals where signal = 'RELEASE_ERR' and msg is not null group by id"""))

@@ -158,3 +158,23 @@ def test_error_history_hot_id(spark):
     got = {r["id"]: (r["history"], r["n_errors"]) for r in replay.error_history(df, partitions=5).collect()}
     assert got["h"] == ("\n\n".join(f"e{i}" for i in range(700)), 700)
     assert got["c"] == ("only", 1)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_fold_from_registry_state(spark, parts):
+    from fleetstate.model import REGISTRY_SCHEMA
+    reg = spark.createDataFrame([("r", "n", "Spark", "3.5.4", "Running", None, {}, None, 9),
+                                 ("e", "n", "Spark", "3.5.4", "ErrorClean", "boom", {}, None, None),
+                                 ("t", "n", "Spark", "3.5.4", "WaitToTerminate", None, {}, None, 3)], REGISTRY_SCHEMA)
+    rows = [("r", 10, 1, "STOP", None), ("r", 11, 2, "STOP", None),     # Running -> WaitToTerminate; 2nd refused
+            ("e", 10, 1, "RESTART", None), ("e", 11, 2, "DELETE", None),  # refused; then removed
+            ("t", 10, 1, "RESTART", None),                              # WaitToTerminate -> Running, next = now
+            ("x", 10, 1, "STOP", None)]                                 # not in the registry
+    df = spark.createDataFrame(rows, "id string, t long, seq long, signal string, msg string").select(
+        "id", F.timestamp_seconds("t").alias("ts"), "seq", "signal", "msg")
+    got = {r["id"]: (r["state_kind"], r["state_message"], r["next_update_time"], r["n_applied"])
+           for r in replay.replay_state(df, P, partitions=parts, initial=reg).collect()}
+    assert got == {"r": ("WaitToTerminate", None, 10, 1), "e": ("Removed", None, None, 1),
+                   "t": ("Running", None, 10, 1), "x": ("Removed", None, None, 0)}
+    log = {(r["id"], r["seq"]): r["outcome"] for r in replay.replay_log(df, P, partitions=parts, initial=reg).collect()}
+    assert log[("r", 2)] == "NotAllowed" and log[("x", 1)] == "NotFound" and log[("e", 2)] == "Applied"
