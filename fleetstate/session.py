@@ -77,3 +77,30 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the files under ``paths`` (the file system's own summary; nothing is read)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        total += path.getFileSystem(conf).getContentSummary(path).getLength()
+    return int(total)
+
+
+def size_for_input(spark: SparkSession, paths: list[str], target_bytes: int = 128 << 20,
+                   min_partitions: int | None = None) -> int:
+    """Size shuffles for the data at hand: about ``target_bytes`` of input per shuffle partition
+    (a start for AQE, which coalesces small ones and splits skewed ones at runtime).
+
+    At 100 TB and 128 MB this gives ~800k partitions; scans use the same split size. Returns the
+    partition count it set.
+    """
+    floor = min_partitions or spark.sparkContext.defaultParallelism
+    n = max(floor, -(-input_bytes(spark, paths) // target_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    return n

@@ -51,3 +51,20 @@ def test_pluggable_rules(spark):
     assert (r["outcome"], r["new_kind"], r["new_next_update_time"]) == ("Success", "Terminated", None)
     built_in = planning.plan_commands(cmds, reg, P).collect()[0]
     assert built_in["new_kind"] == "WaitToTerminate"
+
+
+def test_size_for_input(spark):
+    from fleetstate.session import input_bytes, size_for_input
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        path = "/root/testdata/sf0.1/lineitem.parquet"
+        b = input_bytes(spark, [path])
+        assert b > 1 << 20
+        n = size_for_input(spark, [path], target_bytes=1 << 20, min_partitions=1)
+        assert n == -(-b // (1 << 20))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(n)
+        assert size_for_input(spark, [path], min_partitions=64) == 64  # small inputs keep the floor
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 20))
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(64 << 20))
