@@ -68,3 +68,22 @@ def test_size_for_input(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 20))
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(64 << 20))
+
+
+def test_flagship_shape_without_broadcast(spark):
+    """At scale the data joins are sort-merge joins: each input hashed on id once, the aggregate's
+    partitioning reused by the join, and only the fixed rule tables broadcast."""
+    import __spark_entry__ as E
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        plan = _plan(E.queries()["sync_round"](spark, "/root/testdata/sf0.01"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert plan.count("Exchange hashpartitioning(id") == 3  # registry, observations (after partial agg), outcomes
+    assert plan.count("SortMergeJoin") == 2
+    assert "partial_max(struct(ts" in plan  # map-side combine before the shuffle
+    assert plan.count("BroadcastExchange") >= 1  # the rule table, whatever the threshold
