@@ -93,8 +93,10 @@ def validate_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
     first, missing = F.col("__first"), F.col("__missing")
     # a NULL key list is malformed text or a non-object; parse again only for those rows. The
     # parsers stop after the first value, so a body must also be exactly one value: "[" body "]"
-    # has to be a one-element array (rejects trailing text, like the closed-world decoder does).
-    one_value = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
+    # must be a one-element array and "[" body ",0]" a two-element one. Trailing text either
+    # breaks one of the two or changes a count (a body cannot close the wrapper early in both).
+    one_value = ((F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1)
+                 & (F.json_array_length(F.concat(F.lit("["), body, F.lit(",0]"))) == 2))
     bad_json = (keys.isNull() & F.try_parse_json(body).isNull()) | (keys.isNotNull() & ~F.coalesce(one_value, F.lit(False)))
     reason = (F.when(bad_json, "malformed")
               .when(keys.isNull(), "not_object")

@@ -47,6 +47,9 @@ def test_create_request_cases(spark):
         '{"name":"a","engine_type":"Spark","version":"3.5.3"} x',  # trailing characters
         '{"name":"a","engine_type":"Spark","version":"3.5.3"}{}',
         json.dumps({"name": "a", "engine_type": "Spark", "version": "3.5.3", "config": {"k": "1"}})[:-1] + ',"config":{}}',
+        '{"name":"a","engine_type":"Spark","version":"3.5.3"}]',
+        '{"name":"a","engine_type":"Spark","version":"3.5.3"},0]',
+        '  {"name":"a","engine_type":"Spark","version":"3.5.3"}  ',  # surrounding whitespace is fine
     ]
     r = _validate(spark, bodies)
     assert r[0]["reason"] == "missing_field" and "missing field `name`" in r[0]["detail"]
@@ -67,6 +70,7 @@ def test_create_request_cases(spark):
     assert r[13]["reason"] is None
     assert r[14]["reason"] == "malformed" and r[15]["reason"] == "malformed"
     assert r[16]["reason"] == "duplicate_field"
+    assert r[17]["reason"] == "malformed" and r[18]["reason"] == "malformed" and r[19]["reason"] is None
 
 
 def test_bulk_create_is_idempotent(spark):
