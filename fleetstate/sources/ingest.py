@@ -89,15 +89,15 @@ def validate_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
 
     first = F.try_element_at(F.filter(F.transform(keys, problem), lambda x: x.isNotNull()), F.lit(1))
     missing = F.coalesce(*[F.when(~F.array_contains(keys, F.lit(f)), F.lit(f)) for f in REQUIRED_FIELDS])
-    staged = checks.select("*", first.alias("__first"), missing.alias("__missing"))
-    first, missing = F.col("__first"), F.col("__missing")
     # a NULL key list is malformed text or a non-object; parse again only for those rows. The
     # parsers stop after the first value, so a body must also be exactly one value: "[" body "]"
     # must be a one-element array and "[" body ",0]" a two-element one. Trailing text either
     # breaks one of the two or changes a count (a body cannot close the wrapper early in both).
     one_value = ((F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1)
                  & (F.json_array_length(F.concat(F.lit("["), body, F.lit(",0]"))) == 2))
-    bad_json = (keys.isNull() & F.try_parse_json(body).isNull()) | (keys.isNotNull() & ~F.coalesce(one_value, F.lit(False)))
+    bad_json = F.when(keys.isNull(), F.try_parse_json(body).isNull()).otherwise(~F.coalesce(one_value, F.lit(False)))
+    staged = checks.select("*", first.alias("__first"), missing.alias("__missing"), bad_json.alias("__bad_json"))
+    first, missing, bad_json = F.col("__first"), F.col("__missing"), F.col("__bad_json")
     reason = (F.when(bad_json, "malformed")
               .when(keys.isNull(), "not_object")
               .when(first.isNotNull(), first["reason"])
