@@ -178,3 +178,18 @@ def test_fold_from_registry_state(spark, parts):
                    "t": ("Running", None, 10, 1), "x": ("Removed", None, None, 0)}
     log = {(r["id"], r["seq"]): r["outcome"] for r in replay.replay_log(df, P, partitions=parts, initial=reg).collect()}
     assert log[("r", 2)] == "NotAllowed" and log[("x", 1)] == "NotFound" and log[("e", 2)] == "Applied"
+
+
+def test_time_to_running(spark):
+    rows = [("a", 1, 1, "ACQUIRE", None), ("a", 2, 2, "RELEASE_OK", None), ("a", 3, 3, "PHASE_Running", None),
+            ("a", 4, 4, "PHASE_Failed", None),                                       # reached before failing
+            ("b", 1, 1, "ACQUIRE", None), ("b", 2, 2, "RELEASE_ERR", "x"),           # ErrorClean first
+            ("c", 1, 1, "STOP", None),                                                # Terminated: unexpected
+            ("d", 1, 1, "ACQUIRE", None), ("d", 2, 2, "PHASE_Running", None)]        # refused; still TriggerStart
+    df = spark.createDataFrame(rows, "id string, t long, seq long, signal string, msg string").select(
+        "id", F.timestamp_seconds("t").alias("ts"), "seq", "signal", "msg")
+    log = replay.replay_log(df, P, partitions=2)
+    out = {r["id"]: (r["status"], r["failed_kind"]) for r in replay.time_to_state(
+        log, "Running", ["WaitToStart", "TriggerStart", "StartInProgress"]).collect()}
+    assert out == {"a": ("reached", "ErrorClean"), "b": ("failed", "ErrorClean"),
+                   "c": ("failed", "Terminated"), "d": ("pending", None)}
