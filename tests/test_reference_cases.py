@@ -317,3 +317,18 @@ def test_sync_round_custom_observation_order(spark):
     outcomes = spark.createDataFrame([], "id string, err_msg string")
     x = planning.sync_round(r, obs, outcomes, P, obs_order=["ts", "seq"]).collect()[0]
     assert (x["action"], x["state_kind"]) == ("PHASE_Running", "Running")  # newest by (ts, seq)
+
+
+def test_route_requests(spark):
+    from fleetstate.operators.commands import route_requests
+    log = spark.createDataFrame([(1, "POST", "/engine"), (2, "GET", "/engine"), (3, "GET", "/engine/abc"),
+                                 (4, "DELETE", "/engine/abc"), (5, "POST", "/engine/abc/stop"),
+                                 (6, "POST", "/engine/abc/restart"), (7, "GET", "/engine/abc/stop"),
+                                 (8, "GET", "/engine/"), (9, "GET", "/any"), (10, "PUT", "/engine/abc")],
+                                "event_id long, method string, path string")
+    got = {r["event_id"]: (r["operation"], r["id"], r["route_status"]) for r in route_requests(log).collect()}
+    assert got[1] == ("create", None, "routed") and got[2] == ("list", None, "routed")
+    assert got[3] == ("get", "abc", "routed") and got[4] == ("delete", "abc", "routed")
+    assert got[5] == ("stop", "abc", "routed") and got[6] == ("restart", "abc", "routed")
+    assert got[7][2] == "MethodNotAllowed" and got[10][2] == "MethodNotAllowed"
+    assert got[8][2] == "NotFound" and got[9][2] == "NotFound"
