@@ -332,3 +332,21 @@ def test_route_requests(spark):
     assert got[5] == ("stop", "abc", "routed") and got[6] == ("restart", "abc", "routed")
     assert got[7][2] == "MethodNotAllowed" and got[10][2] == "MethodNotAllowed"
     assert got[8][2] == "NotFound" and got[9][2] == "NotFound"
+
+
+def test_release_and_retry(spark):
+    r = reg(spark, [("a", "TriggerStart", None, 1, "3.5.4", None), ("b", "TriggerTermination", None, 1, "3.5.4", None),
+                    ("c", "ErrorTriggerClean", "s", 1, "3.5.4", None), ("d", "TriggerStart", None, 5000, "3.5.4", None),
+                    ("e", "Running", None, 1, "3.5.4", None)])
+    outcomes = spark.createDataFrame([("a", None), ("b", "e1"), ("c", "e2")], "id string, err_msg string")
+    rel = {x["id"]: (x["signal"], x["state_kind"], x["state_message"], x["next_update_time"], x["written"])
+           for x in planning.release(r, outcomes, P).collect()}
+    assert rel["a"] == ("RELEASE_OK", "StartInProgress", None, 1003, True)
+    assert rel["b"] == ("RELEASE_ERR", "ErrorWaitToClean", "e1", 1000, True)
+    assert rel["c"] == ("RELEASE_ERR", "ErrorWaitToClean", "s\n\ne2", 1000, True)
+    assert rel["d"] == ("CRASH", "TriggerStart", None, None, False)  # no result: stays until its timeout
+    assert "e" not in rel
+    ret = {x["id"]: (x["state_kind"], x["state_message"], x["next_update_time"])
+           for x in planning.retry_timeouts(r, P).collect()}
+    assert ret == {"a": ("WaitToStart", None, 1000), "b": ("WaitToTerminate", None, 1000),
+                   "c": ("ErrorWaitToClean", "s", 1000)}  # d is not due yet
