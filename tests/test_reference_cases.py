@@ -350,3 +350,22 @@ def test_release_and_retry(spark):
            for x in planning.retry_timeouts(r, P).collect()}
     assert ret == {"a": ("WaitToStart", None, 1000), "b": ("WaitToTerminate", None, 1000),
                    "c": ("ErrorWaitToClean", "s", 1000)}  # d is not due yet
+
+
+def test_reconcile_cases(spark):
+    from fleetstate.operators.observe import reconcile
+    r = reg(spark, [("a", "ErrorCleanInProgress", "s", 1, "3.5.4", None), ("b", "TerminateInProgress", None, 1, "3.5.4", None),
+                    ("c", "TerminateInProgress", None, 1, "3.5.4", None), ("d", "Running", None, 1, "3.5.4", None),
+                    ("e", "Running", None, 1, "3.5.4", None), ("f", "WaitToStart", None, 1, "3.5.4", None)])
+    obs = spark.createDataFrame([("b", 1, "Running"), ("d", 1, "Pending"), ("e", 1, "Exploded")],
+                                "id string, t long, phase string").select(
+        "id", F.timestamp_seconds("t").alias("ts"), F.lit(1).alias("l_linenumber"), F.lit(1).alias("l_partkey"),
+        F.lit(1).alias("l_suppkey"), "phase")
+    out = {x["id"]: (x["phase"], x["state_kind"], x["state_message"], x["next_update_time"], x["status"])
+           for x in reconcile(r, obs, P).collect()}
+    assert out["a"] == ("NotExisted", "ErrorClean", "s", None, "changed")       # message kept
+    assert out["b"] == ("Running", "TerminateInProgress", None, 1003, "unchanged")  # heartbeat still writes
+    assert out["c"] == ("NotExisted", "Terminated", None, None, "changed")
+    assert out["d"] == ("Pending", "ErrorCleanInProgress", "Engine restarts unexpected.", 1003, "changed")
+    assert out["e"][0] is None and out["e"][4] == "illegal"                      # unknown phase text
+    assert "f" not in out                                                         # only in-progress records
