@@ -369,3 +369,18 @@ def test_reconcile_cases(spark):
     assert out["d"] == ("Pending", "ErrorCleanInProgress", "Engine restarts unexpected.", 1003, "changed")
     assert out["e"][0] is None and out["e"][4] == "illegal"                      # unknown phase text
     assert "f" not in out                                                         # only in-progress records
+
+
+def test_command_responses(spark):
+    from fleetstate.operators.commands import command_responses
+    r = reg(spark, [("a", "Running", None, 1, "3.5.4", None), ("b", "ErrorClean", 'x"y', None, "3.5.4", None)])
+    routed = spark.createDataFrame([(1, "a", "stop"), (2, "a", "delete"), (3, "b", "stop"), (4, "z", "get"),
+                                    (5, "b", "get"), (6, "b", "delete")], "event_id long, id string, operation string")
+    out = {x["event_id"]: (x["kind"], x["http_status"], x["message"], x["kind_display"], x["state_kind"])
+           for x in command_responses(routed, r, P).collect()}
+    assert out[1] == ("Ok", 200, None, None, "WaitToTerminate")
+    assert out[2] == ("NotAllowed", 403, "Not allowed: Engine a is in Running state, cannot be deleted", "Not allowed", None)
+    assert out[3][2] == 'Not allowed: Engine b is in ErrorClean("x\\"y") state, cannot be stopped'
+    assert out[4] == ("NotFound", 404, "Not found: Engine z not found", "Not found", None)
+    assert out[5] == ("Ok", 200, None, None, "ErrorClean")
+    assert out[6] == ("Ok", 200, None, None, "Removed")
