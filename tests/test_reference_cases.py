@@ -384,3 +384,17 @@ def test_command_responses(spark):
     assert out[4] == ("NotFound", 404, "Not found: Engine z not found", "Not found", None)
     assert out[5] == ("Ok", 200, None, None, "ErrorClean")
     assert out[6] == ("Ok", 200, None, None, "Removed")
+
+
+def test_hot_id_claims_have_one_winner(spark):
+    r = reg(spark, [("h", "WaitToTerminate", None, 1, "3.5.4", None), ("c", "WaitToStart", None, 1, "3.5.4", None)])
+    rows = [("h", 100 + (i * 7919) % 997, f"m{i % 13}", i, i) for i in range(3000)] + [("c", 5, "m1", 1, 1)]
+    claims = spark.createDataFrame(rows, "id string, t long, claimant string, seq long, tiebreak long").select(
+        "id", F.timestamp_seconds("t").alias("ts"), "claimant", "seq", "tiebreak")
+    out = planning.acquire(claims, r, P).collect()
+    wins = [x for x in out if x["outcome"] == "Success"]
+    assert sorted(x["id"] for x in wins) == ["c", "h"]
+    first = min((x for x in rows if x[0] == "h"), key=lambda x: (x[1], x[2], x[3], x[4]))
+    assert [x["seq"] for x in wins if x["id"] == "h"] == [first[3]]
+    assert all(x["state_kind"] == "TriggerTermination" for x in out if x["id"] == "h")
+    assert sum(1 for x in out if x["outcome"] == "Fail") == 2999
