@@ -77,7 +77,7 @@ def test_dense_tables_match_edges():
     assert all(x == -1 for x in d["next"][FOLD_STATES.index("Removed") * n_g:])
 
 
-def test_next_update_time_reference_case(spark):
+def test_next_update_time_service_case(spark):
     # state, now=0, interval=3, timeout=5
     df = spark.createDataFrame([(s,) for s in STATES], "state_kind string")
     got = {r[0]: r[1] for r in df.select("state_kind", next_update_time("state_kind", 0, 3, 5)).collect()}

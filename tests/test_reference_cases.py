@@ -1,4 +1,4 @@
-"""The reference's own test cases, re-expressed as rows through the bulk operators."""
+"""The original service's own test cases, re-expressed as rows through the bulk operators."""
 
 import json
 
