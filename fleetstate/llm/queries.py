@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fleetstate.llm import langid
+from fleetstate.llm import langid, packing
 
 QUERIES = {
     "op9_language_id": langid.op9_language_id,
+    "op10_packing": packing.op10_packing,
 }
 ORACLE: dict[str, str] = {}
