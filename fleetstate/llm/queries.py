@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fleetstate.llm import langid, packing, toxicity
+from fleetstate.llm import fingerprint, langid, packing, toxicity
 
 QUERIES = {
+    "op6_fingerprints": fingerprint.op6_fingerprints,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language_id": langid.op9_language_id,
     "op10_packing": packing.op10_packing,
