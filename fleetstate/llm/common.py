@@ -136,3 +136,22 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def large(x) -> pa.Array:
     return pa.array(x)
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back, where a result is used
+    more than once and would cost more to make again than to keep. The folder goes when the
+    application ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def offsets_of_list(col: pa.Array) -> np.ndarray:
+    """Where each list's values begin in ``flatten()`` of a list column without nulls."""
+    offs = np.asarray(col.offsets)
+    return offs - offs[0]

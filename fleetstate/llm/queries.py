@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from fleetstate.llm import fingerprint, langid, packing, toxicity
+from fleetstate.llm import fingerprint, langid, packing, substrings, toxicity
 
 QUERIES = {
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op6_fingerprints": fingerprint.op6_fingerprints,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language_id": langid.op9_language_id,
     "op10_packing": packing.op10_packing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_substring_dedup": substrings.OP4_SQL,
+}
