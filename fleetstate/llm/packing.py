@@ -11,7 +11,7 @@ documents without waiting for, or talking to, any other.
 from __future__ import annotations
 
 import os
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +28,7 @@ MAX_ROUNDS = 1 << 31
 BROADCAST_BYTES = 64 << 20
 CACHED_PIECES = 300_000
 
-_tokenizers: dict[str, object] = {}
+_encoders: dict = {}
 
 
 def default_vocabulary() -> str:
@@ -37,57 +37,71 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Spaced(Exception):
+    """A piece next to white space other than the one space before it."""
+
+
+class Pieces(dict):
+    """Ids (as bytes) of pieces that follow a space; a bounded cache that fills itself."""
+
+    def __init__(self, encode, room: int):
+        super().__init__()
+        self.encode, self.room = encode, room
+
+    def __missing__(self, piece: str) -> bytes:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _Spaced
+        ids = self.encode(" " + piece)
+        if len(self) < self.room:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes, with a bounded cache of frequent pieces.
+    """Token ids as little-endian unsigned bytes, two or four an id by the vocabulary's size.
 
     A text may be cut before a single space between two characters that aren't white space: a
     byte-level BPE never joins tokens over such a place, so the pieces' ids are the text's ids.
+    Pieces are encoded once and cached, up to a bound. With ``ranks``, the same vocabulary as a
+    rank file, tiktoken encodes the pieces, which is faster; the ids are the same.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, ranks: tuple[str, str] | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        if vocabulary not in _tokenizers:
-            _tokenizers[vocabulary] = Tokenizer.from_file(vocabulary)
-        self.model = _tokenizers[vocabulary]
-        self.cache: dict[str, bytes | None] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        got = self.model.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in got]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        cut = [t.split(" ") for t in texts]
-        missing = {w for words in cut for w in words[1:]} - cache.keys()
-        new = {}
-        good = [w for w in missing if w and not w[0].isspace() and not w[-1].isspace()]
-        new.update(zip(good, self._ids([" " + w for w in good]), strict=True))
-        for w in missing - new.keys():
-            new[w] = None  # next to white space: the whole text is encoded as it is
-        room = CACHED_PIECES - len(cache)
-        known = cache if not new else cache | new if len(new) > room else cache
-        if len(new) <= room:
-            cache.update(new)
-        elif room > 0:
-            cache.update(list(new.items())[:room])
-        out: list[bytes | None] = []
-        whole = []
-        for i, words in enumerate(cut):
-            parts = [known[w] for w in words[1:]]
-            head = words[0]
-            if None in parts or (parts and (not head or head[-1].isspace())):
-                out.append(None)
-                whole.append(i)
-            else:
-                out.append(b"".join(parts))
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        rest = sorted(set(range(len(texts))) - set(whole))
-        for i, ids in zip(rest, self._ids([cut[i][0] for i in rest]), strict=True):
-            out[i] = ids + out[i]
-        return out
+        self.model = Tokenizer.from_file(vocabulary)
+        self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.fast = _rank_encoder(*ranks) if ranks else None
+        self.pieces = Pieces(self.text, CACHED_PIECES)
+
+    def text(self, text: str) -> bytes:
+        if self.fast and not any(t in text for t in self.special):
+            return array(self.code, self.fast(text)).tobytes()
+        return array(self.code, self.model.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        head, *rest = text.split(" ")
+        if not rest:
+            return self.text(text)
+        try:
+            if not head or head[-1].isspace():
+                raise _Spaced
+            return self.text(head) + b"".join(map(self.pieces.__getitem__, rest))
+        except _Spaced:
+            return self.text(text)
+
+
+def _rank_encoder(path: str, pattern: str):
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def queue_names(docs: DataFrame, column: str, max_queues: int = MAX_QUEUES):
@@ -99,8 +113,8 @@ def queue_names(docs: DataFrame, column: str, max_queues: int = MAX_QUEUES):
     return name
 
 
-def tokenize(docs: DataFrame, vocabulary: str, queue, end_id: int = 0) -> DataFrame:
-    """doc_id, queue, part, at (tokens of that queue before it in its part), n, ids (zstd), cut once.
+def tokenize(docs: DataFrame, vocabulary: str, queue, end_id: int = 0, ranks: tuple[str, str] | None = None) -> DataFrame:
+    """doc_id, queue, part, at (tokens of that queue before it in its part), n, width, ids (zstd), cut once.
 
     ``part`` numbers the scan's partitions. The rows are checkpointed, so every later step sees one
     assignment of rows to parts, whichever executors are lost."""
@@ -108,43 +122,27 @@ def tokenize(docs: DataFrame, vocabulary: str, queue, end_id: int = 0) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = Encoder(vocabulary)
+        key = (vocabulary, ranks)
+        encode = _encoders.get(key) or _encoders.setdefault(key, Encoder(vocabulary, ranks))
         part = TaskContext.get().partitionId()
         used: dict[str, int] = {}
-        end = np.asarray([end_id], "<u4").tobytes()
+        end = array(encode.code, [end_id]).tobytes()
         for batch in C.slices(batches):
             queues = batch.column(1).to_pylist()
-            ids = [x + end for x in encode([t or "" for t in batch.column(2).to_pylist()])]
-            n = [len(x) // 4 for x in ids]
+            ids = [encode(t or "") + end for t in batch.column(2).to_pylist()]
+            n = [len(x) // encode.width for x in ids]
             at = []
             for q, k in zip(queues, n, strict=True):
                 at.append(used.get(q, 0))
                 used[q] = at[-1] + k
-            packed = [pa.compress(x, codec="zstd", asbytes=True) for x in map(_narrow, ids)]
+            packed = [pa.compress(x, codec="zstd", asbytes=True) for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())],
-                ["doc_id", "queue", "part", "at", "n", "ids"])
+                [batch.column(0), batch.column(1), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array([encode.width] * len(n), pa.int32()), pa.array(packed, pa.binary())],
+                ["doc_id", "queue", "part", "at", "n", "width", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return C.cut(docs.select("doc_id", queue.alias("queue"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, queue string, part int, at long, n long, ids binary"))
-
-
-def _narrow(ids: bytes) -> bytes:
-    """Two bytes an id where all fit, else four; the first byte says which."""
-    a = np.frombuffer(ids, "<u4")
-    return b"\x02" + a.astype("<u2").tobytes() if a.max(initial=0) < 1 << 16 else b"\x04" + ids
-
-
-def _wide(blob: bytes, n: int) -> bytes:
-    for width in (2, 4):
-        try:
-            raw = pa.decompress(blob, decompressed_size=1 + width * n, codec="zstd", asbytes=True)
-        except (pa.ArrowException, OSError):
-            continue
-        if raw[0] == width:
-            return np.frombuffer(raw[1:], f"<u{width}").astype("<u4").tobytes()
-    raise ValueError("token ids can't be read back")
+        run, f"doc_id {kind}, queue string, part int, at long, n long, width int, ids binary"))
 
 
 class Schedule:
@@ -179,27 +177,31 @@ class Schedule:
             base += size
         self.size = base
 
-    def pieces(self, queue: str, t0: int, t1: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token range [t0, t1) of a queue as (first token, tokens, position in the packed stream)."""
+    def pieces(self, queue: str, t0: np.ndarray, t1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Token ranges [t0, t1) of a queue, cut up: range number, first token, tokens, position in
+        the packed stream; by range and then by token."""
         s = self.names.index(queue)
         parts = []
         for before, give, rounds, base in self.phases:
-            a, b = max(t0, int(before[s])), min(t1, int(before[s] + give[s]))
-            if a >= b:
+            m, skip = int(give[s]), int(before[s])
+            some = np.flatnonzero((t1 > skip) & (t0 < skip + m))
+            if not len(some):
                 continue
-            lo, hi = a - int(before[s]), b - int(before[s])
-            m = int(give[s])
-            # the round of a token: the last one that begins at or before it
-            j0 = ((lo + 1) * rounds - 1) // m
-            j1 = (hi * rounds - 1) // m
-            j = np.arange(j0, j1 + 2, dtype=np.int64)
-            done = np.stack([floor_share(int(k), j, rounds) for k in give])  # queue x round
-            first = np.maximum(done[s][:-1], lo)
-            last = np.minimum(done[s][1:], hi)
-            place = base + done[:, :-1].sum(0) + (done[:s, 1:] - done[:s, :-1]).sum(0) + first - done[s][:-1]
-            some = last > first
-            parts.append((first[some] + int(before[s]), (last - first)[some], place[some]))
-        first, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            lo, hi = np.maximum(t0[some] - skip, 0), np.minimum(t1[some] - skip, m)
+            j0, j1 = round_of(lo, m, rounds), round_of(hi - 1, m, rounds)
+            count = j1 - j0 + 1
+            k = np.repeat(np.arange(len(some)), count)
+            j = j0[k] + np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
+            uj = np.unique(np.concatenate([j, j + 1]))
+            done = np.stack([floor_share(int(g), uj, rounds) for g in give])  # queue x round
+            at = np.searchsorted(uj, j)
+            total = base + done.sum(0) + np.append(np.diff(done[:s].sum(0)), 0)  # where the queue's slice of a round begins
+            first = np.maximum(done[s][at], lo[k])
+            last = np.minimum(done[s][at + 1], hi[k])
+            place = total[at] + first - done[s][at]
+            real = last > first
+            parts.append((some[k][real], (first + skip)[real], (last - first)[real], place[real]))
+        who, first, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         # then at the windows' edges
         w = self.window
         spans = (place + size - 1) // w - place // w + 1
@@ -207,7 +209,19 @@ class Schedule:
         nth = np.arange(len(k)) - np.repeat(np.cumsum(spans) - spans, spans)
         begin = np.maximum(place[k], (place[k] // w + nth) * w)
         stop = np.minimum(place[k] + size[k], (place[k] // w + nth + 1) * w)
-        return first[k] + begin - place[k], stop - begin, begin
+        first = first[k] + begin - place[k]
+        order = np.lexsort((first, who[k]))
+        return who[k][order], first[order], (stop - begin)[order], begin[order]
+
+
+def round_of(t: np.ndarray, m: int, rounds: int) -> np.ndarray:
+    """The last round that begins at token ``t`` or before: the largest j with floor(m * j / rounds) <= t."""
+    j = np.minimum((t / m * rounds).astype(np.int64), rounds - 1)
+    for _ in range(2):  # the quotient of floats is off by one at most, on either side
+        j -= floor_share(m, j, rounds) > t
+    for _ in range(2):
+        j += (j + 1 < rounds) & (floor_share(m, j + 1, rounds) <= t)
+    return j
 
 
 def floor_share(m: int, j: np.ndarray, rounds: int) -> np.ndarray:
@@ -219,23 +233,23 @@ def floor_share(m: int, j: np.ndarray, rounds: int) -> np.ndarray:
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, source: str = "source", targets: dict[str, float] | None = None,
-         window: int = WINDOW, end_id: int = 0) -> DataFrame:
+         window: int = WINDOW, end_id: int = 0, ranks: tuple[str, str] | None = None) -> DataFrame:
     """Pack all documents into windows of ``window`` tokens; one row per piece.
 
-    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, ids (the
-    piece's token ids). Null text is the empty text, which still has its end token. Rows with equal
-    or null ids are packed each on its own. All windows but the last are full. An empty table gives
-    no pieces. Other columns of ``docs`` are not read.
+    Returns doc_id, start, length, doc_tokens, sequence_id, offset, queue, ids (the piece's token
+    ids, little-endian unsigned 32-bit). Null text is the empty text, which still has its end token.
+    Rows with equal or null ids are packed each on its own. All windows but the last are full. An
+    empty table gives no pieces. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
-    tokens = tokenize(docs, vocabulary or default_vocabulary(), queue_names(docs, source), end_id)
+    tokens = tokenize(docs, vocabulary or default_vocabulary(), queue_names(docs, source), end_id, ranks)
     sums = C.cut(tokens.groupBy("queue", "part").agg(F.sum("n").alias("tokens")))
     totals = {r["queue"]: r["tokens"] for r in sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}  # MAX_QUEUES rows at most
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("queue", "part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     if sums.count() * 64 <= BROADCAST_BYTES:
         offsets = F.broadcast(offsets)
-    placed = tokens.join(offsets, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("t0"), "n", "ids")
+    placed = tokens.join(offsets, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("t0"), "n", "width", "ids")
     kind = docs.schema["doc_id"].dataType
     plan = spark.sparkContext.broadcast(Schedule(totals, targets, window))
 
@@ -243,32 +257,36 @@ def pack(docs: DataFrame, vocabulary: str | None = None, source: str = "source",
         schedule = plan.value
         w = schedule.window
         for batch in C.slices(batches, "ids", 1 << 20):
-            rows, starts, sizes, crcs, totals_, seqs, offs, parts = [], [], [], [], [], [], [], []
-            for i, (q, t0, n, blob) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True)):
-                ids = _wide(blob, n)
-                first, size, place = schedule.pieces(q, t0, t0 + n)
-                a = ((first - t0) * 4).tolist()
-                b = ((first - t0 + size) * 4).tolist()
-                own = [ids[x:y] for x, y in zip(a, b, strict=True)]
-                rows += [i] * len(a)
-                starts.append(first - t0)
-                sizes.append(size)
-                crcs += map(zlib.crc32, own)
-                parts += own
-                totals_ += [n] * len(a)
-                seqs.append(place // w)
-                offs.append(place % w)
-            take = pa.array(rows, pa.int64())
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<u4").astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), *(pa.array(np.concatenate(x)) for x in (starts, sizes)), pa.array(crcs, pa.int64()), pa.array(totals_, pa.int64()),
-                 *(pa.array(np.concatenate(x)) for x in (seqs, offs)), batch.column(1).take(take), ids],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"])
-
-    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")),
-                           T.StructField("queue", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+            t0, n = (np.asarray(batch.column(c)).astype(np.int64) for c in (2, 3))
+            queues = np.asarray(batch.column(1).to_pylist())
+            parts = []
+            for q in np.unique(queues):
+                mine = np.flatnonzero(queues == q)
+                who, first, size, place = schedule.pieces(str(q), t0[mine], t0[mine] + n[mine])
+                parts.append((mine[who], first - t0[mine][who], size, place))
+            row, start, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((start, row))  # as their ids follow each other
+            row, start, size, place = row[order], start[order], size[order], place[order]
+            ids = np.concatenate([np.frombuffer(pa.decompress(x, decompressed_size=k * b, codec="zstd", asbytes=True), f"<u{b}").astype("<u4")
+                                  for x, k, b in zip(batch.column(5).to_pylist(), n.tolist(), batch.column(4).to_pylist(), strict=True)])
+            take = pa.array(row)
+            edges = pa.py_buffer(np.concatenate([[0], np.cumsum(size * 4)]).astype(np.int64))
+            blob = pa.Array.from_buffers(pa.large_binary(), len(size), [None, edges, pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(start), pa.array(size), pa.array(n[row]), pa.array(place // w), pa.array(place % w), batch.column(1).take(take), blob],
+                                             ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "queue", "ids"])
+
+    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")),
+                           T.StructField("queue", T.StringType()), T.StructField("ids", T.BinaryType())])
     return placed.mapInArrow(run, schema)
 
 
+def default_ranks() -> tuple[str, str]:
+    """The default vocabulary as ranks, and the pattern that cuts its text."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op10_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(C.read_table(spark, sf_dir, "documents")).drop("ids")
+    pieces = pack(C.read_table(spark, sf_dir, "documents"), ranks=default_ranks())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
