@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fleetstate.llm import fingerprint, langid, packing, substrings, toxicity
+from fleetstate.llm import fingerprint, jaccard, langid, packing, substrings, toxicity
 
 QUERIES = {
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op6_fingerprints": fingerprint.op6_fingerprints,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -12,5 +13,6 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
 }
 ORACLE: dict[str, str] = {
+    "op5_jaccard_join": jaccard.OP5_SQL,
     "op4_substring_dedup": substrings.OP4_SQL,
 }
