@@ -128,9 +128,10 @@ def worst(col: pa.Array, table: np.ndarray, known: np.ndarray) -> np.ndarray:
     return top
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], max_chars: int) -> list[tuple[str, int]]:
-    """Up to ``per_class`` texts of class 0 and 1, of ``max_chars`` characters at most, in hash order of
-    the id. That bounds what the driver gets. Texts with both labels or a null one aren't taken."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], max_chars: int) -> DataFrame:
+    """doc_id, text, y: up to ``per_class`` texts of class 0 and 1, of ``max_chars`` characters at most,
+    in hash order of the id. That bounds what trains the model. Texts with both labels or a null one
+    aren't taken."""
     one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z")
     short = docs.where((F.col("text") != "") & (F.length("text") <= max_chars)).select("doc_id", F.xxhash64("doc_id").alias("h"))
     picked = None
@@ -138,11 +139,36 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int,
         some = one.where(F.col("y") == y).select("doc_id", "y").join(short, "doc_id").dropDuplicates(["doc_id"]).orderBy("h", "doc_id").limit(per_class[y])
         picked = some if picked is None else picked.unionAll(some)
     chosen = F.broadcast(picked.select("doc_id", "y"))  # as many ids as per_class at most
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").where((F.col("text") != "") & (F.length("text") <= max_chars)).select("doc_id", "text", "y").collect()
-    seen = {}
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"])):
-        seen.setdefault(r["doc_id"], (r["text"], int(r["y"])))
-    return list(seen.values())
+    rows = docs.select("doc_id", "text").where((F.col("text") != "") & (F.length("text") <= max_chars)).join(chosen, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").cast("int").alias("y"))
+
+
+def _windows(starts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word and end of every window, and the number of windows before each text."""
+    n = np.diff(starts)
+    count = np.maximum(-(-(n - SPAN) // step) + 1, 1)
+    before = np.concatenate([[0], np.cumsum(count)])
+    text = np.repeat(np.arange(len(n), dtype=np.int32), count)
+    lo = (starts[:-1][text] + (np.arange(before[-1]) - before[text]) * step).astype(np.int32)
+    return text, lo, np.minimum(lo + SPAN, starts[1:][text]).astype(np.int32), before
+
+
+def _vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Word number of every word, words before each text, and the distinct words."""
+    parts, counts, known, spelled = [], [], {}, []
+    for batch in C.slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])])):
+        out, begin, end, starts = words_of(*C.text_bytes(batch.column(0)))
+        counts.append(np.diff(starts))
+        hashes, _ = C.hash_words(out, np.array([0, len(out)]))
+        own, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        number = np.zeros(len(own), np.int32)
+        for i, (h, f) in enumerate(zip(own.tolist(), first.tolist(), strict=True)):
+            if h not in known:
+                known[h] = len(spelled)
+                spelled.append(out[begin[f]: end[f]].tobytes())
+            number[i] = known[h]
+        parts.append(number[at])
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), spelled
 
 
 def fit(texts: list[tuple[str, int]], share: float = 0.5, rounds: int = 4, steps: int = 10, seed: int = 7) -> Model:
@@ -151,94 +177,86 @@ def fit(texts: list[tuple[str, int]], share: float = 0.5, rounds: int = 4, steps
     First round: every window has its text's label, both classes weigh the same, so words that only
     toxic texts have gain weight. Later rounds: a toxic text keeps its worst window alone, a clean
     text its few worst ones, which takes back what the first round learned from chance.
+    ``share`` is the share of class 1 among the rows to score; it sets where the score passes 0.5.
     """
-    if not texts or len({y for _, y in texts}) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, bool), 1.0, -10.0 if not texts or texts[0][1] == 0 else 10.0)
+    texts = [t for t in texts if len(words_of(*C.text_bytes(pa.array([t[0]])))[1])]
+    if len({y for _, y in texts}) < 2:
+        return Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, bool), 1.0, 10.0 if texts and texts[0][1] else -10.0)
     y = np.array([t[1] for t in texts])
-    col = pa.array([t[0] for t in texts], pa.large_string())
-    out, begin, end, starts = words_of(*C.text_bytes(col))
-    keep = np.diff(starts) > 0
-    if not keep.all():
-        return fit([t for t, k in zip(texts, keep, strict=True) if k], share, rounds, steps, seed)
-    # each distinct word once: its subword buckets
-    h = _word_ids(out, begin, end)
-    _, first, word = np.unique(h, return_index=True, return_inverse=True)
+    word, starts, spelled = _vocabulary([t[0] for t in texts])
     owner, bucket = [], []
-    for n, b, inner in subwords(out, begin, end):
-        lo, hi = begin[first] - 1, np.minimum(end[first] + 1 - n + 1, len(b))
-        size = np.maximum(hi - lo, 0)
-        at = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        own = np.repeat(np.arange(len(first)), size)
-        ok = inner[at]
-        owner.append(own[ok])
-        bucket.append(b[at[ok]])
+    joined = np.frombuffer(b" " + b" ".join(spelled) + b" ", np.uint8)
+    edge = np.flatnonzero(joined == 32)
+    for n, b, inner in subwords(joined, edge[:-1] + 1, edge[1:]):
+        own = (np.searchsorted(edge, np.arange(len(b)), side="right") - 1).astype(np.int32)  # an n-gram belongs to the word after the last mark at or before it
+        owner.append(own[inner])
+        bucket.append(b[inner].astype(np.int32))
     owner, bucket = np.concatenate(owner), np.concatenate(bucket)
+    del joined, edge, own, b, inner
     known = _widespread(owner, bucket, word, starts)
-    owner, bucket = owner[known[bucket]], bucket[known[bucket]]
-    order = np.argsort(owner, kind="stable")
-    owner, bucket = owner[order], bucket[order]
-    per_word = np.maximum(np.bincount(owner, minlength=len(first)), 1)
-
-    n = np.diff(starts)
-    windows = np.maximum(-(-(n - SPAN) // STEP) + 1, 1)
-    before = np.concatenate([[0], np.cumsum(windows)])
-    text = np.repeat(np.arange(len(n)), windows)
-    lo = starts[:-1][text] + (np.arange(before[-1]) - before[text]) * STEP
-    hi = np.minimum(lo + SPAN, starts[1:][text])
+    keep = known[bucket]
+    owner, bucket = owner[keep], bucket[keep]
+    per_word = np.maximum(np.bincount(owner, minlength=len(spelled)), 1)
 
     rng = np.random.default_rng(seed)
-    emb = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
+    emb = (rng.standard_normal((BUCKETS, DIM), dtype=np.float32) * 0.1).astype(np.float32)
     soft = (rng.standard_normal((DIM, 2)) * 0.1).astype(np.float32)
     bias = np.zeros(2, np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, soft, bias)]
+    text, lo, hi, before = _windows(starts, STEP)
 
     def diff_scores() -> np.ndarray:
         """Logit difference of every window, through the scalar table."""
         table = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float64)
-        per = np.bincount(owner, table[bucket], len(first)) / per_word
+        per = np.bincount(owner, table[bucket], len(spelled)) / per_word
         sums = np.concatenate([[0.0], np.cumsum(per[word])])
-        return (sums[hi] - sums[lo]) / (hi - lo)
+        return ((sums[hi] - sums[lo]) / (hi - lo)).astype(np.float32)
 
     step = 0
     for r in range(rounds):
         if r == 0:
-            use = np.arange(before[-1])
-            weight = 1.0 / windows[text]
+            of, a, b, seen = _windows(starts, SPAN)  # side by side
+            weight = 1.0 / np.diff(seen)[of]
         else:
             means = diff_scores()
             order = np.lexsort((-means, text))
             rank = np.arange(len(order)) - before[text[order]]
             use = np.sort(order[rank < np.where(y[text[order]] == 1, 1, 6)])
-            weight = np.ones(len(use)) / np.where(y[text[use]] == 1, 1, np.minimum(windows[text[use]], 6))
-        label = y[text[use]]
+            del order, rank
+            of, a, b = text[use], lo[use], hi[use]
+            weight = 1.0 / np.bincount(of, minlength=len(y))[of]
+        label = y[of]
         for cls in (0, 1):
             weight[label == cls] /= weight[label == cls].sum() * 2
         # word occurrences of the windows used
-        size = hi[use] - lo[use]
-        occ = np.repeat(lo[use], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        win = np.repeat(np.arange(len(use)), size)
+        size = b - a
+        win = np.repeat(np.arange(len(a), dtype=np.int32), size)
+        occ = np.repeat(a, size) + (np.arange(len(win)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
         # words and subwords those windows have: the rest has no gradient
         used, at = np.unique(word[occ], return_inverse=True)
-        some = np.zeros(len(first), bool)
+        at = at.astype(np.int32)
+        some = np.zeros(len(spelled), bool)
         some[used] = True
         pick = some[owner]
-        place = np.cumsum(some) - 1
-        sub_owner, sub_bucket = place[owner[pick]], bucket[pick]
-        live, sub_at = np.unique(sub_bucket, return_inverse=True)
+        sub_owner = (np.cumsum(some, dtype=np.int32) - 1)[owner[pick]]
+        live, sub_at = np.unique(bucket[pick], return_inverse=True)
+        sub_at = sub_at.astype(np.int32)
+        of_word = per_word[used][:, None]
+        del occ, some, pick
         for _ in range(steps):
             step += 1
             e = emb[live]
-            vec = np.stack([np.bincount(sub_owner, e[sub_at, d], len(used)) for d in range(DIM)], 1) / per_word[used][:, None]
-            mean = np.stack([np.bincount(win, vec[at, d], len(use)) for d in range(DIM)], 1) / size[:, None]
+            vec = np.stack([np.bincount(sub_owner, e[sub_at, d], len(used)) for d in range(DIM)], 1) / of_word
+            mean = np.stack([np.bincount(win, vec[at, d], len(a)) for d in range(DIM)], 1) / size[:, None]
             z = mean @ soft + bias
             z -= z.max(1, keepdims=True)
             p = np.exp(z)
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(use)), label] -= 1
+            p[np.arange(len(a)), label] -= 1
             p *= weight[:, None] * 1000
             g_soft, g_bias = mean.T @ p, p.sum(0)
             g_mean = (p @ soft.T) / size[:, None]
-            g_vec = np.stack([np.bincount(at, g_mean[win, d], len(used)) for d in range(DIM)], 1) / per_word[used][:, None]
+            g_vec = np.stack([np.bincount(at, g_mean[win, d], len(used)) for d in range(DIM)], 1) / of_word
             g_emb = np.stack([np.bincount(sub_at, g_vec[sub_owner, d], len(live)) for d in range(DIM)], 1)
             for i, (p_, g) in enumerate(((emb, g_emb), (soft, g_soft), (bias, g_bias))):
                 m, v = state[i]
@@ -248,21 +266,20 @@ def fit(texts: list[tuple[str, int]], share: float = 0.5, rounds: int = 4, steps
                 v[w] = 0.99 * v[w] + 0.01 * g * g
                 p_[w] -= (0.05 if i == 0 else 0.1) * (m[w] / (1 - 0.9 ** step)) / (np.sqrt(v[w] / (1 - 0.99 ** step)) + 1e-6)
     table = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
-    means = diff_scores()
-    top = np.maximum.reduceat(means, before[:-1])
-    scale, offset = _calibrate(top, y, share)
-    return Model(table, known, scale, offset)
+    scale, offset = _calibrate(np.maximum.reduceat(diff_scores(), before[:-1]), y, share)
+    return Model(np.where(known, table, np.float32(0)), known, scale, offset)
 
 
 def _widespread(owner: np.ndarray, bucket: np.ndarray, word: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Subwords that MIN_TEXTS training texts or more have."""
     text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    pairs = np.unique(word.astype(np.int64) * len(starts) + text)  # word in text, once
+    words = int(word.max()) + 1
+    pairs = np.unique(text * words + word)  # each word of a text once, text by text
     by_word = np.argsort(owner, kind="stable")
-    begins = np.searchsorted(owner[by_word], np.arange(word.max() + 2))
+    begins = np.searchsorted(owner[by_word], np.arange(words + 1))
     texts = np.zeros(BUCKETS, np.int32)
-    for part in np.array_split(pairs, len(pairs) // 500_000 + 1):  # bounds the memory of the expansion
-        w, t = part // len(starts), part % len(starts)
+    for part in np.array_split(pairs, len(pairs) // 200_000 + 1):  # bounds the memory of the expansion
+        w, t = part % words, part // words
         size = begins[w + 1] - begins[w]
         at = np.repeat(begins[w], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         seen = np.unique(bucket[by_word[at]] * np.int64(len(starts)) + np.repeat(t, size))
@@ -270,11 +287,6 @@ def _widespread(owner: np.ndarray, bucket: np.ndarray, word: np.ndarray, starts:
     return texts >= MIN_TEXTS
 
 
-def _word_ids(out: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    offs = np.array([0, len(out)])
-    return C.hash_words(out, offs)[0]
-
-
 def _calibrate(top: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
     """Logistic fit of a text's worst window to its label, class 1 at ``share`` of the weight."""
     mid, spread = top.mean(), top.std() + 1e-9
@@ -313,11 +325,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rest.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = (4000, 2000), max_chars: int = 40_000) -> Model:
-    """Fit on a bounded sample: ``per_class`` rows of class 0 and 1, texts of ``max_chars`` at most."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = (4000, 2000), max_chars: int = 20_000) -> Model:
+    """Fit on a bounded sample: ``per_class`` rows of class 0 and 1, texts of ``max_chars`` at most.
+    One task trains; the driver gets the learned subwords' weights, BUCKETS at most."""
     counts = labels.agg(F.avg(F.col(label).cast("double")).alias("share")).first()
     share = min(max(counts["share"] or 0.5, 0.02), 0.98)
-    return fit(sample(docs, labels, label, per_class, max_chars), share)
+
+    def learn(batches):
+        rows = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+        model = fit([(r[1], r[2]) for r in sorted(rows)], share)
+        some = np.flatnonzero(model.known).astype("<i4")
+        yield pa.RecordBatch.from_arrays([pa.array([some.tobytes()], pa.binary()), pa.array([model.table[some].astype("<f4").tobytes()], pa.binary()), pa.array([model.scale]), pa.array([model.bias])], ["known", "weights", "scale", "bias"])
+
+    row = sample(docs, labels, label, per_class, max_chars).coalesce(1).mapInArrow(learn, "known binary, weights binary, scale double, bias double").first()
+    table, known = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, bool)
+    if row is None:
+        return Model(table, known, 1.0, -10.0)
+    some = np.frombuffer(row["known"], "<i4")
+    table[some], known[some] = np.frombuffer(row["weights"], "<f4"), True
+    return Model(table, known, row["scale"], row["bias"])
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
