@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fleetstate.llm import decontaminate, fingerprint, jaccard, langid, license_scan, packing, substrings, toxicity
+from fleetstate.llm import chat, decontaminate, fingerprint, jaccard, langid, license_scan, packing, substrings, toxicity
 
 QUERIES = {
+    "op2_chat_format": chat.op2_chat_format,
     "op1_license_scan": license_scan.op1_license_scan,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
 }
 ORACLE: dict[str, str] = {
+    "op2_chat_format": chat.OP2_SQL,
     "op1_license_scan": license_scan.OP1_SQL,
     "op7_decontamination": decontaminate.OP7_SQL,
     "op5_jaccard_join": jaccard.OP5_SQL,
