@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fleetstate.llm import chat, decontaminate, fingerprint, jaccard, langid, license_scan, packing, substrings, toxicity
+from fleetstate.llm import chat, decontaminate, fingerprint, jaccard, langid, license_scan, packing, ppm, substrings, toxicity
 
 QUERIES = {
+    "op3_lm_score": ppm.op3_lm_score,
     "op2_chat_format": chat.op2_chat_format,
     "op1_license_scan": license_scan.op1_license_scan,
     "op7_decontamination": decontaminate.op7_decontamination,
