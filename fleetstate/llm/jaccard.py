@@ -2,12 +2,14 @@
 
 Documents become sets of hashed word shingles; equal sets are one node. Two sets that link share a
 shingle among the first few of each in any one order of all shingles (prefix filter), rare ones
-first here. Nodes that share such shingles, directly or by way of others, form a cell, so a link
-never leaves a cell. Within a cell each set queries an inverted index of the smaller ones: with T
-the overlap it needs, lists are divided by DivideSkip. The short lists are merged (by one sort,
-a heap's work as a vector), what occurs T minus the number of long lists times or more is looked up
-in the long lists by binary search, and what reaches the exact overlap is linked. Cells too large
-for a task are dealt out in pairs of parts, each a task of bounded size.
+first here. A shingle that no other document has can't be shared, so a set whose prefix has no
+other shingles links with nothing; that leaves few sets. Nodes that share prefix shingles, directly
+or by way of others, form a cell, so a link never leaves a cell. Within a cell each set queries an
+inverted index of the smaller ones: with T the overlap it needs, lists are divided by DivideSkip.
+The short lists are merged (by one sort, a heap's work as a vector), what occurs T minus the number
+of long lists times or more is looked up in the long lists by binary search, and what reaches the
+exact overlap is linked. Cells too large for a task are dealt out in pairs of parts, each a task of
+bounded size.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetstate.llm import common as C
+from fleetstate.llm.blocks import Lookup, blocks, pack_numbers, parts, tally, unpack_numbers
 from fleetstate.llm.cells import components
 
-RARITY = 1 << 16  # counters of the shingle frequency sketch
+RANGE_ITEMS = 4_000_000  # shingles that one task counts at once
 CELL = 3000  # nodes of a cell that one task takes whole; larger cells are dealt out in parts of half that
 LONG_WEIGHT = 0.01  # DivideSkip's mu
 LAST = (1 << 63) - 1
@@ -28,7 +31,11 @@ LAST = (1 << 63) - 1
 
 def sets_of(col: pa.Array, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words than k are one shingle."""
-    words, starts = C.hash_words(*C.text_bytes(col), lower=True)
+    return _sets(*C.text_bytes(col), k)
+
+
+def _sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
+    words, starts = C.hash_words(data, offs, lower=True)
     out = []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         out.append(np.unique(C.shingle_hashes(words[a:b], k if b - a >= k else b - a)) if b > a else np.zeros(0, np.uint64))
@@ -40,56 +47,76 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """How many shingles of the corpus fall on each of RARITY counters; a fixed size at any scale."""
-
-    def run(batches):
-        total = np.zeros(RARITY, np.int64)
-        for batch in C.slices(batches):
-            for s in sets_of(batch.column(0), k):
-                total += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=RARITY) if len(s) > RARITY else 0
-                if len(s) <= RARITY:
-                    np.add.at(total, (s >> np.uint64(48)).astype(np.int64), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # RARITY rows at most
-    total = np.zeros(RARITY, np.int64)
-    for r in rows:
-        total[r["slot"]] = r["n"]
-    return total
-
-
-def rarity_levels(total: np.ndarray) -> np.ndarray:
-    """0 for counters up to twice the mean, then a step for each doubling: hot shingles come last."""
-    mean = max(1.0, total.mean())
-    return np.maximum(0, np.ceil(np.log2(np.maximum(total, 1) / mean / 2))).astype(np.uint64)
-
-
-def nodes_of(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """doc_key, text_key, node (hash of the set), n_shingles, prefix (the rarest shingles)."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
-
-    def run(batches):
-        level = shared.value
-        for batch in C.slices(batches):
-            sets = sets_of(batch.column(2), k)
-            node, size, prefix = [], [], []
-            for s in sets:
-                n = len(s)
-                size.append(n)
-                node.append(int(C.mix(C.mix(s).sum(dtype=np.uint64, keepdims=True) * np.uint64(3) + np.uint64(n))[0].view(np.int64)) if n else 0)
-                if n:
-                    order = np.lexsort((s, level[(s >> np.uint64(48)).astype(np.int64)]))
-                    prefix.append(s[order[: n - needed(n, percent) + 1]].view(np.int64))
-                else:
-                    prefix.append(np.zeros(0, np.int64))
-            edges = np.concatenate([[0], np.cumsum([len(p) for p in prefix])])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()),
-                                              pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(prefix)))],
-                                             ["doc_key", "text_key", "node", "n_shingles", "prefix"])
-
-    return docs.select("doc_key", "text_key", "text").mapInArrow(run, "doc_key long, text_key long, node long, n_shingles long, prefix array<long>")
+def nodes_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_key, text_key, node (hash of the set), n_shingles, and for sets that may link: prefix (the
+    rarest shingles that another document has, too) and set."""
+    packed = blocks(docs, ["doc_key", "text_key"])
+
+    def count(batches):
+        n = sum(len(s) for batch in batches for sizes, blob in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) for _, _, data, offs in parts(sizes, blob) for s in _sets(data, offs, k))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    total = packed.select("sizes", "bytes").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    # how often documents have a shingle is asked for by this many of its bits: 256 places or more a shingle
+    shift = np.uint64(max(0, 64 - (max(1, total).bit_length() + 8)))
+    ranges = 1 << max(0, (total // RANGE_ITEMS).bit_length())
+    range_shift = np.uint64(64 - int(shift) - (ranges.bit_length() - 1)) if ranges > 1 else None
+
+    def ask(batches):
+        for batch in batches:
+            for block, sizes, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                keys, counts = [], []
+                for _, _, data, offs in parts(sizes, blob):
+                    u, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *_sets(data, offs, k)]) >> shift, return_counts=True)
+                    keys.append(u)
+                    counts.append(c)
+                u, c = tally(np.concatenate(keys), np.concatenate(counts))
+                cut = np.searchsorted(u, np.arange(1, ranges, dtype=np.uint64) << range_shift) if ranges > 1 else []
+                rows = [(r, pack_numbers(a, True), pack_numbers(b)) for r, (a, b) in enumerate(zip(np.split(u, cut), np.split(c, cut), strict=True)) if len(a)]
+                if rows:
+                    r, a, b = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(r), pa.int64()), pa.array(r, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["block", "range", "keys", "counts"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        block = table["block"].to_pylist()
+        keys = [unpack_numbers(x, True) for x in table["keys"].to_pylist()]
+        u, n = tally(np.concatenate(keys), np.concatenate([unpack_numbers(x) for x in table["counts"].to_pylist()]))
+        u, n = u[n > 1], n[n > 1]
+        out = []
+        for b, own in zip(block, keys, strict=True):
+            at = np.searchsorted(u, own)
+            at = at[(at < len(u)) & (u[np.minimum(at, len(u) - 1)] == own)] if len(u) else at[:0]
+            out.append((b, pack_numbers(u[at], True), pack_numbers(n[at])))
+        b, x, y = zip(*out, strict=True)
+        return pa.table([pa.array(b, pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["block", "keys", "counts"])
+
+    answers = packed.select("block", "sizes", "bytes").mapInArrow(ask, "block long, range int, keys binary, counts binary").groupBy("range").applyInArrow(merge, "block long, keys binary, counts binary")
+    names = ["doc_key", "text_key", "node", "n_shingles", "prefix", "set"]
+
+    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = [unpack_numbers(x, True) for x in right["keys"].to_pylist()]
+        counts = [unpack_numbers(x) for x in right["counts"].to_pylist()]
+        often = Lookup(np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.uint64), *counts]))
+        rows = []
+        for i in range(left.num_rows):
+            doc, text, sizes, blob = (left[c][i].as_py() for c in ("doc_key", "text_key", "sizes", "bytes"))
+            for at, _, data, offs in parts(sizes, blob):
+                sets = _sets(data, offs, k)
+                n_all = often.get(np.concatenate([np.zeros(0, np.uint64), *sets]) >> shift, 1)
+                edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                for j, s in enumerate(sets):
+                    own = n_all[edges[j]: edges[j + 1]]
+                    shared = own > 1
+                    n, least = len(s), needed(len(s), percent)
+                    some, mine = s[shared], own[shared]
+                    able = n > 0 and len(some) >= least
+                    prefix = some[np.lexsort((some, mine))[: len(some) - least + 1]] if able else None
+                    node = int(C.mix(C.mix(s).sum(dtype=np.uint64, keepdims=True) * np.uint64(3) + np.uint64(n)).view(np.int64)[0]) if n else 0
+                    rows.append((doc[at + j], text[at + j], node, n, None if prefix is None else prefix.view(np.int64), s.view(np.int64) if able else None))
+        cols = list(zip(*rows, strict=True))
+        return pa.table([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[4:])], names)
+
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(choose, "doc_key long, text_key long, node long, n_shingles long, prefix array<long>, set array<long>")
 
 
 def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -164,9 +191,9 @@ def join(docs: DataFrame, k: int, percent: int) -> DataFrame:
     text = F.col("text").cast("string")
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     some = base.select("doc_key", "text_key", "text").where("text is not null")
-    member = C.table(nodes_of(some, k, percent, rarity_levels(sketch(some, k))), "shingles")
-    node = C.table(member.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_key", "text_key")).alias("first"), F.first("prefix").alias("prefix")).select("node", "first.doc_key", "first.text_key", "prefix"), "nodes")
-    edges = _links(some, node.select("node", "doc_key", "text_key", "prefix"), k, percent)
+    member = C.table(nodes_of(some, k, percent), "shingles")
+    node = C.table(member.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_key", "text_key", "prefix", "set")).alias("first")).select("node", "first.doc_key", "first.prefix", "first.set"), "nodes")
+    edges = _links(node.where("prefix is not null").select("node", "prefix", "set"), percent)
     found = C.cut(components(edges).select(F.col("id").alias("node"), "component"))
     least = node.select("node", "doc_key").join(found, "node").groupBy("component").agg(F.min("doc_key").alias("least"))
     known = node.select("node", "doc_key").join(found.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "doc_key").alias("least"))
@@ -178,8 +205,7 @@ def join(docs: DataFrame, k: int, percent: int) -> DataFrame:
                        F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.when(own != LAST, own).cast(kind).alias("component_id"))
 
 
-def _links(docs: DataFrame, node: DataFrame, k: int, percent: int) -> DataFrame:
-    spark = docs.sparkSession
+def _links(node: DataFrame, percent: int) -> DataFrame:
     token = node.select("node", F.explode("prefix").alias("token"))
     hub = token.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "low")
     cell = components(token.join(hub, "token").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
@@ -193,17 +219,7 @@ def _links(docs: DataFrame, node: DataFrame, k: int, percent: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cell"), F.lit(bins))).otherwise(F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other")))
     tasks = dealt.select("node", "cell", "part", "parts", other).select("node", "cell", task.alias("task"))
-    wanted = C.cut(tasks.groupBy("node").agg(F.collect_list(F.struct("task", "cell")).alias("tasks")))  # as many as its cell has parts
-    rows = docs.join(node.select("node", "doc_key", "text_key").join(wanted, "node"), ["doc_key", "text_key"]).select("node", "tasks", "text")
-
-    def sets(batches):
-        for batch in C.slices(batches, "text"):
-            own = sets_of(batch.column(2), k)
-            edges = np.concatenate([[0], np.cumsum([len(s) for s in own])])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(own).view(np.int64)))], ["node", "tasks", "set"])
-
-    packed = rows.mapInArrow(sets, "node long, tasks array<struct<task: long, cell: long>>, set array<long>")
-    queries = packed.select("node", "set", F.explode("tasks").alias("t")).select("t.task", "t.cell", "node", "set")
+    queries = tasks.join(node.select("node", "set"), "node").select("task", "cell", "node", "set")
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()

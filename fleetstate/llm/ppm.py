@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetstate.llm import common as C
+from fleetstate.llm.blocks import BLOCK_BYTES, Lookup, blocks, parts, tally
 
 ORDER = 4
-BLOCK_BYTES = 32 << 20
 BUCKETS = 512  # the trie is dealt out by the last two context bytes
 START, STOP = 0xFE, 0xFF  # bytes that UTF-8 never has: before a text, and its end
 SYMBOLS = 256
@@ -60,99 +60,12 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, starts + np.arange(n + 1)
 
 
-def tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sum of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-class Lookup:
-    """Vectorised hash table from 64-bit keys to values."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys) * 3).bit_length())
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.values = np.zeros(1 << self.bits, values.dtype)
-        self.used = np.zeros(1 << self.bits, bool)
-        left = np.arange(len(keys))
-        slot = self._slot(keys)
-        while len(left):
-            free = ~self.used[slot]
-            self.keys[slot[free]] = keys[left[free]]
-            self.used[slot[free]] = True
-            mine = self.keys[slot] == keys[left]
-            self.values[slot[mine]] = values[left[mine]]
-            left, slot = left[~mine], (slot[~mine] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray, default: float) -> np.ndarray:
-        slot = self._slot(keys)
-        out = np.full(len(keys), default, self.values.dtype)
-        left = np.arange(len(keys))
-        while len(left):
-            hit = self.used[slot] & (self.keys[slot] == keys[left])
-            out[left[hit]] = self.values[slot[hit]]
-            on = self.used[slot] & ~hit
-            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
-        return out
-
-
-def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """block, ids, held, sizes and bytes (zstd) of the texts, some ``block_bytes`` a row."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        part, nth = TaskContext.get().partitionId(), 0
-        held: list = []
-        size = 0
-
-        def out():
-            raw = b"".join(bytes(x[3]) for x in held)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 24) + nth], pa.int64()), pa.array([sum((x[0] for x in held), [])], pa.list_(ids.type)), pa.array([sum((x[1] for x in held), [])], pa.list_(pa.bool_())),
-                 pa.array([np.concatenate([x[2] for x in held])], pa.list_(pa.int64())), pa.array([pa.compress(raw, codec="zstd", asbytes=True)], pa.binary())], names)
-
-        for batch in C.slices(batches):
-            ids = batch.column(0)
-            data, offs = C.text_bytes(batch.column(2))
-            held.append((ids.to_pylist(), batch.column(1).to_pylist(), np.diff(offs), data))
-            size += len(data)
-            if size >= block_bytes:
-                yield out()
-                held, size, nth = [], 0, nth + 1
-        if held:
-            yield out()
-
-    kind = docs.schema["doc_id"].dataType
-    names = ["block", "ids", "held", "sizes", "bytes"]
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("bytes", T.BinaryType())])
-    return C.table(docs.select("doc_id", "held_out", "text").mapInArrow(run, schema), "blocks")
-
-
-def _parts(sizes: list[int], blob: bytes, held: list[bool]):
-    """The texts of a block in slices: bytes, offsets, held-out flags."""
-    sizes = np.asarray(sizes, np.int64)
-    raw = np.frombuffer(pa.decompress(blob, decompressed_size=int(sizes.sum()), codec="zstd", asbytes=True), np.uint8) if sizes.sum() else np.zeros(0, np.uint8)
-    offs = np.concatenate([[0], np.cumsum(sizes)])
-    held = np.asarray(held, bool)
-    at = 0
-    while at < len(sizes):
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + C.SLICE_BYTES, side="right")) - 1)
-        yield raw[offs[at]: offs[to]], offs[at: to + 1] - offs[at], held[at:to]
-        at = to
-
-
 def _distinct(sizes, blob, held, items) -> tuple[np.ndarray, np.ndarray]:
     """Distinct items of a block and how often its training texts have them."""
     keys, counts = [], []
-    for data, offs, out in _parts(sizes, blob, held):
+    for at, to, data, offs in parts(sizes, blob):
         k, starts = items(data, offs)
-        learned = np.repeat(~out, np.diff(starts))
+        learned = np.repeat(~held[at:to], np.diff(starts))
         u, c = np.unique(k[learned], return_counts=True)
         v = np.unique(k[~learned])
         keys += [u, v]
@@ -221,13 +134,13 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     takes N = V = 0. An empty table gives no rows. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    packed = blocks(docs, block_bytes)
+    packed = blocks(docs, ["doc_id", "held_out"], block_bytes)
 
     def ask(batches):
         for batch in batches:
             for block, held, sizes, blob in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 for kind, items in ((0, grams), (1, words)):
-                    k, n = _distinct(sizes, blob, held, items)
+                    k, n = _distinct(sizes, blob, np.asarray(held, bool), items)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["block", "kind", "key", "n"])
 
     asked = C.table(packed.mapInArrow(ask, "block long, kind byte, key long, n long"), "asked")
@@ -259,22 +172,23 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         which, key, value = np.asarray(right["kind"]), np.asarray(right["key"]).view(np.uint64), np.asarray(right["value"])
         trie = Lookup(key[which == 0], value[which == 0])
-        parts = []
+        found = []
         for i in range(left.num_rows):
-            held, sizes, blob = (left[c][i].as_py() for c in ("held", "sizes", "bytes"))
+            held, sizes, blob = (left[c][i].as_py() for c in ("held_out", "sizes", "bytes"))
+            held = np.asarray(held, bool)
             own, n = _distinct(sizes, blob, held, words)
             k, v = key[which == 1], value[which == 1]
             # the corpus counts replace the block's own
             n = n.astype(np.float64)
             n[np.searchsorted(own, k)] = v
             count = Lookup(own, n)
-            for data, offs, out in _parts(sizes, blob, held):
+            for at, to, data, offs in parts(sizes, blob):
                 w, starts = words(data, offs)
                 c = count.get(w, 0.0)
                 g, begin = grams(data, offs)
-                parts.append((out, np.diff(starts), np.add.reduceat(c > 0, starts[:-1], dtype=np.int64), np.add.reduceat(np.log10(c + 0.1), starts[:-1]), np.add.reduceat(trie.get(g, np.nan), begin[:-1])))
-        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        ids = left["ids"].combine_chunks().flatten() if left.num_rows == 1 else pa.concat_arrays([c.flatten() for c in left["ids"].chunks])
+                found.append((held[at:to], np.diff(starts), np.add.reduceat(c > 0, starts[:-1], dtype=np.int64), np.add.reduceat(np.log10(c + 0.1), starts[:-1]), np.add.reduceat(trie.get(g, np.nan), begin[:-1])))
+        cols = [np.concatenate(x) for x in zip(*found, strict=True)]
+        ids = pa.concat_arrays([c.flatten() for c in left["doc_id"].chunks])
         return pa.table([ids, *map(pa.array, cols)], names)
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("log_counts", T.DoubleType()), T.StructField("code", T.DoubleType())])
