@@ -179,30 +179,32 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def join(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """One row per row of ``docs``: its columns, n_shingles and component_id (both long).
+    """One row per row of ``docs``: its columns, n_shingles (long), component_id, and stays: whether
+    the row is the one of its component to keep (the smallest id's; all of them, if rows repeat it).
 
     Two documents link when 100 * intersection >= percent * union of their sets of k-word shingles
     (words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; shorter texts are one shingle). component_id is
     the smallest doc_id that links reach, its own included. Null or empty text has no shingles and
     links with nothing; so does a text of white space. A null id counts as larger than any other,
     and where it is the smallest, component_id is null. Rows of one id are documents of their own.
-    Columns named n_shingles or component_id are replaced.
+    Columns of the appended names are replaced.
     """
     text = F.col("text").cast("string")
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     some = base.select("doc_key", "text_key", "text").where("text is not null")
     member = C.table(nodes_of(some, k, percent), "shingles")
-    node = C.table(member.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_key", "text_key", "prefix", "set")).alias("first")).select("node", "first.doc_key", "first.prefix", "first.set"), "nodes")
+    node = C.table(member.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_key", "text_key", "prefix", "set")).alias("first")).select("node", "first.doc_key", "first.text_key", "first.prefix", "first.set"), "nodes")
     edges = _links(node.where("prefix is not null").select("node", "prefix", "set"), percent)
     found = C.cut(components(edges).select(F.col("id").alias("node"), "component"))
-    least = node.select("node", "doc_key").join(found, "node").groupBy("component").agg(F.min("doc_key").alias("least"))
-    known = node.select("node", "doc_key").join(found.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "doc_key").alias("least"))
+    first = F.struct("doc_key", "text_key")
+    least = node.select("node", first.alias("first")).join(found, "node").groupBy("component").agg(F.min("first").alias("least"))
+    known = node.select("node", first.alias("first")).join(found.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first").alias("least"))
     result = member.select("doc_key", "text_key", "node", "n_shingles").distinct().join(known, "node", "left").select("doc_key", "text_key", "n_shingles", "least")
     kind = docs.schema["doc_id"].dataType
-    done = base.drop("text").join(result, ["doc_key", "text_key"], "left")
-    own = F.coalesce("least", "doc_key")
-    return done.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_shingles", "component_id")],
-                       F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.when(own != LAST, own).cast(kind).alias("component_id"))
+    done = base.drop("text").join(result, ["doc_key", "text_key"], "left").withColumn("least", F.coalesce("least", first))
+    return done.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_shingles", "component_id", "stays")],
+                       F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("least.doc_key") != LAST, F.col("least.doc_key")).cast(kind).alias("component_id"),
+                       ((F.col("doc_key") == F.col("least.doc_key")) & F.col("text_key").eqNullSafe(F.col("least.text_key"))).alias("stays"))
 
 
 def _links(node: DataFrame, percent: int) -> DataFrame:

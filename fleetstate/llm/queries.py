@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from fleetstate.llm import chat, decontaminate, fingerprint, jaccard, langid, license_scan, packing, ppm, substrings, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op3_lm_score": ppm.op3_lm_score,
     "op2_chat_format": chat.op2_chat_format,
     "op1_license_scan": license_scan.op1_license_scan,
