@@ -154,7 +154,8 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_key, text_key, ranges (first and last window, both inclusive) of the windows whose words
     also start in a document of smaller id. ``docs`` as ``_prepared`` makes it."""
     seen = C.table(occurrences(docs, window), "occurrences")
-    shared = seen.groupBy("name").agg(F.min("doc_key").alias("least"), F.max("doc_key").alias("most"), F.min("around").alias("a"), F.max("around").alias("b")).where("least < most").select("name", "least", (F.col("a") != F.col("b")).alias("mixed"))
+    # written, so that the joins have a plain shuffle on either side, which Spark can split at a hot key
+    shared = C.table(seen.groupBy("name").agg(F.min("doc_key").alias("least"), F.max("doc_key").alias("most"), F.min("around").alias("a"), F.max("around").alias("b")).where("least < most").select("name", "least", (F.col("a") != F.col("b")).alias("mixed")), "shared")
     found = C.table(seen.drop("around").join(shared, "name").where("mixed or doc_key > least").select("doc_key", "text_key", "name", "lo", "hi", "mixed"), "candidates")
     mixed = found.where("mixed").groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("name", "lo", "hi")).alias("spans"))
 
@@ -170,14 +171,19 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             at = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             row = np.repeat(owner, size)
             first = starts[:-1][row] + at
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.repeat(name, size)), _signed(sums.of(first, first + window)), pa.array(at.astype(np.int32))],
-                                             ["doc_key", "text_key", "name", "words", "lo"])
+            name, hashed = np.repeat(name, size), sums.of(first, first + window).view(np.int64)
+            # one row for all places of a window in a text: a text may repeat itself without end
+            order = np.lexsort((at, hashed, name, row))
+            row, name, hashed, at = row[order], name[order], hashed[order], at[order]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (name[1:] != name[:-1]) | (hashed[1:] != hashed[:-1])])) if len(row) else np.zeros(0, np.int64)
+            take = pa.array(row[new])
+            places = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)), pa.int32()), pa.array(at.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(name[new]), pa.array(hashed[new]), places], ["doc_key", "text_key", "name", "words", "places"])
 
     text = docs.select("doc_key", "text_key", "text")
-    single = C.table(text.join(mixed, ["doc_key", "text_key"]).select("doc_key", "text_key", "text", "spans").mapInArrow(windows, "doc_key long, text_key long, name long, words long, lo int"), "windows")
-    least = single.groupBy("name", "words").agg(F.min("doc_key").alias("least"), F.max("doc_key").alias("most")).where("least < most")
-    more = single.join(least, ["name", "words"]).where("doc_key > least").select("doc_key", "text_key", "lo", F.col("lo").alias("hi"))
+    single = C.table(text.join(mixed, ["doc_key", "text_key"]).select("doc_key", "text_key", "text", "spans").mapInArrow(windows, "doc_key long, text_key long, name long, words long, places array<int>"), "windows")
+    least = C.table(single.groupBy("name", "words").agg(F.min("doc_key").alias("least"), F.max("doc_key").alias("most")).where("least < most").drop("most"), "least")
+    more = single.join(least, ["name", "words"]).where("doc_key > least").select("doc_key", "text_key", F.explode("places").alias("lo")).select("doc_key", "text_key", "lo", F.col("lo").alias("hi"))
     settled = found.where("not mixed").select("doc_key", "text_key", "lo", "hi")
     return settled.unionByName(more).groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
