@@ -20,7 +20,7 @@ BROADCAST_ROWS = 100_000  # digests and names of some 100 bytes: 10 MB at most
 _LINES = ("(?m)^[^a-z0-9\\n]*(copyright[ \\t]*(\\(c\\)|\\x{A9}|[0-9<\\[])|\\(c\\)[ \\t]*[0-9]|\\x{A9}|all rights reserved)[^\\n]*$", "")
 _SIGNS = ("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{A0}\\x{A9}\\x{2010}-\\x{2015}\\x{2018}-\\x{201F}\\x{2022}\\x{2026}]+", " ")
 _SPELLINGS = [  # words stand between single spaces by now
-    ("(^| )licenc", "\\1licens"),
+    ("licenc", "licens"),
     ("(^| )sub licens", "\\1sublicens"),
     ("(^| )non (commercial|infring)", "\\1non\\2"),
     ("(^| )copyright owner", "\\1copyright holder"),

@@ -216,11 +216,9 @@ class Schedule:
 
 def round_of(t: np.ndarray, m: int, rounds: int) -> np.ndarray:
     """The last round that begins at token ``t`` or before: the largest j with floor(m * j / rounds) <= t."""
-    j = np.minimum((t / m * rounds).astype(np.int64), rounds - 1)
-    for _ in range(2):  # the quotient of floats is off by one at most, on either side
+    j = np.minimum(((t + 1) / m * rounds).astype(np.int64) + 1, rounds - 1)  # at most three too large
+    for _ in range(4):
         j -= floor_share(m, j, rounds) > t
-    for _ in range(2):
-        j += (j + 1 < rounds) & (floor_share(m, j + 1, rounds) <= t)
     return j
 
 

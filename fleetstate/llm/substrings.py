@@ -217,7 +217,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 kept.append(text if not out else _without(words, raw, out))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(kept, pa.string())], schema.names)
 
-    done = base.join(ranges, ["doc_key", "text_key"], "left").select("row", "text", "ranges").mapInArrow(remove, schema)
+    done = base.drop("text").join(ranges, ["doc_key", "text_key"], "left").select("row", F.col("row.text").cast("string").alias("text"), "ranges").mapInArrow(remove, schema)
     return done.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in new], *new)
 
 

@@ -110,11 +110,12 @@ def test_toxicity(spark, hard, none):
     model = toxicity.fit(texts, 0.25)
     unseen = ["ab de zorgwitz ge hi", "ab de bluffheadd ge hi"]
     clean = [" ".join(word() for _ in range(100)) for _ in range(100)]
-    df = spark.createDataFrame([doc(i, t) for i, t in enumerate(unseen + clean)], SCHEMA).unionByName(hard)
+    df = spark.createDataFrame([doc(1000 + i, t) for i, t in enumerate(unseen + clean)], SCHEMA).unionByName(hard)
     out = toxicity.score(df, model)
     assert out.columns.count("score") == 1 and out.count() == 102 + len(hard_rows())
-    got = {r["doc_id"]: r for r in out.where("text like 'ab de %' or doc_id < 102").where("not (doc_id = 40 or doc_id = 41)").collect()}
-    assert got[0]["predicted"] == got[1]["predicted"] == 1
+    got = {r["doc_id"]: r for r in out.where("doc_id >= 1000").collect()}
+    others = sorted(got[i]["score"] for i in range(1002, 1102))
+    assert min(got[1000]["score"], got[1001]["score"]) > others[90]  # spellings that training hasn't seen
     assert sum(r["predicted"] for r in out.collect()) <= 8
     assert all(0 <= r["score"] <= 1 for r in out.collect()) and out.where("text is null").first()["score"] == 0.0
     assert toxicity.score(none, model).count() == 0
