@@ -167,12 +167,25 @@ EDGE_SCHEMA = T.StructType([
 
 
 def edges_df(spark: SparkSession, include_create: bool = False) -> DataFrame:
-    """The transition table as a (tiny, fixed-size) DataFrame; safe to broadcast."""
+    """The transition table as literal rows: a relation of known, fixed size; safe to broadcast."""
     rows = [
         (x.from_kind, x.signal, x.to_kind, x.msg_rule, x.next_rule, x.actor, x.const_message)
         for x in (EDGES if include_create else FOLD_EDGES)
     ]
-    return spark.createDataFrame(rows, EDGE_SCHEMA).coalesce(1)  # 44 rows: one partition
+    return literal_rows(spark, rows, EDGE_SCHEMA)
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A VALUES relation of string and integer literals; no Python rows, and the planner knows its size."""
+    def text(v) -> str:
+        if v is None or isinstance(v, int):
+            return "NULL" if v is None else str(v)
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    values = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+    cols = ", ".join(f"CAST(c{i} AS {f.dataType.simpleString()}) AS {f.name}" for i, f in enumerate(schema.fields))
+    names = ", ".join(f"c{i}" for i in range(len(schema.fields)))
+    return spark.sql(f"SELECT {cols} FROM VALUES {values} AS t({names})")
 
 
 def dense_tables() -> dict[str, list]:

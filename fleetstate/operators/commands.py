@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetstate.functions.columns import ERROR_KINDS, error_display, error_status
-from fleetstate.model import Params
+from fleetstate.model import Params, literal_rows
 from fleetstate.operators.planning import plan_commands
 
 # --- fixed values: the service's routes (method, template, operation) -------
@@ -29,12 +29,13 @@ ROUTE_SCHEMA = T.StructType([
 
 
 def routes_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ROUTES, ROUTE_SCHEMA).coalesce(1)
+    return literal_rows(spark, ROUTES, ROUTE_SCHEMA)
 
 
 def error_kinds_df(spark: SparkSession) -> DataFrame:
     """The 11-row error-kind dimension: kind, display text, HTTP status."""
-    return spark.createDataFrame(ERROR_KINDS, "kind string, display string, http_status int").coalesce(1)
+    schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("display", T.StringType()), T.StructField("http_status", T.IntegerType())])
+    return literal_rows(spark, ERROR_KINDS, schema)
 
 
 def route_requests(log: DataFrame) -> DataFrame:

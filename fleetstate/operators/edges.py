@@ -7,24 +7,14 @@ from pyspark.sql import functions as F
 
 from fleetstate.model import ERROR_SEPARATOR, Params, edges_df
 
-# A caller-supplied rule table (D12) is broadcast only when it is proven small;
-# the built-in table has 44 rows.
-MAX_BROADCAST_EDGES = 100_000
-
-
 def default_edges(spark: SparkSession) -> DataFrame:
     return edges_df(spark)
 
 
-def small(edges: DataFrame, built_in: bool) -> DataFrame:
-    """Broadcast the rule table when its size is bounded; otherwise let the planner shuffle."""
-    if built_in or edges.limit(MAX_BROADCAST_EDGES + 1).count() <= MAX_BROADCAST_EDGES:
-        return F.broadcast(edges)
-    return edges
-
-
 def resolve_edges(spark: SparkSession, edges: DataFrame | None) -> DataFrame:
-    return small(default_edges(spark), True) if edges is None else small(edges, False)
+    """The built-in rules (44 literal rows, hinted for broadcast), or a caller's table (D12) as it is:
+    its size isn't known here, so the planner chooses the join from its statistics."""
+    return F.broadcast(default_edges(spark)) if edges is None else edges
 
 
 def join_edges(df: DataFrame, edges: DataFrame, state_col: str = "state_kind",

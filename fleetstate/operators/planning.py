@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetstate.functions.columns import state_class
 from fleetstate.model import COMMAND_VERBS, TRIGGER, WAITING, Params
-from fleetstate.operators.edges import (apply_edge, join_edges, new_message, new_next_time,
+from fleetstate.operators.edges import (apply_edge, default_edges, join_edges, new_message, new_next_time,
                                         resolve_edges, round_edges)
 from fleetstate.operators.observe import latest_observation, normalize_phase
 from fleetstate.operators.registry import due_records, refusal_text
@@ -56,9 +56,10 @@ def acquire(claims: DataFrame, registry: DataFrame, p: Params, edges: DataFrame
     """Competing claims on due waiting records; the earliest claim per id wins.
 
     The winner is ``min(struct(ts, claimant, seq, tiebreak))`` per id - an aggregate with a
-    map-side combine, so a hot id never lands whole in one task. Claims are joined back to
-    their winner (AQE splits a skewed side). The winner moves the record to its trigger
-    state; every other claim fails with the state the winner wrote.
+    map-side combine, so a hot id never lands whole in one task. Winners meet the registry first,
+    one row per id on both sides, and the claims come last, in one join whose sides are both
+    plainly shuffled: such a join Spark splits at a hot id. The winner moves the record to its
+    trigger state; every other claim fails with the state the winner wrote.
     """
     spark = registry.sparkSession
     order = order or ["ts", "claimant", "seq", "tiebreak"]  # a total order of the claims of an id
@@ -73,7 +74,9 @@ def acquire(claims: DataFrame, registry: DataFrame, p: Params, edges: DataFrame
     cur = cur.select("id", F.col("state_kind").alias("_cur_kind"), F.col("state_message").alias("_cur_msg"),
                      F.when(F.col("signal").isNotNull(), F.lit(True)).alias("_due"),
                      kind.alias("_to"), msg.alias("_to_msg"), nxt.alias("_to_next"))
-    j = claims.join(win, "id").join(cur, "id", "left")
+    # a key of its own, so that the rows are shuffled for this join and not left as the aggregate had them
+    known = win.join(cur, "id", "left").withColumn("_key", F.concat(F.lit("id:"), F.col("id"))).drop("id")
+    j = claims.join(known, F.concat(F.lit("id:"), claims["id"]) == F.col("_key"))
     is_winner = F.struct(*[F.col(c) for c in order]) == F.col("_w")
     outcome = (F.when(F.col("_cur_kind").isNull(), "NotFound")
                .when(F.col("_due").isNull(), "Fail")
@@ -121,7 +124,8 @@ def retry_timeouts(registry: DataFrame, p: Params, edges: DataFrame | None = Non
 
 def sync_round(registry: DataFrame, observations: DataFrame, outcomes: DataFrame, p: Params,
                edges: DataFrame | None = None, launch_check: bool = False,
-               app_prefix: str | None = None, obs_order: list[str] | None = None) -> DataFrame:
+               app_prefix: str | None = None, obs_order: list[str] | None = None,
+               absent_phase: str = "NotExisted") -> DataFrame:
     """One full monitor round over every due record, in one job.
 
     Each due record gets an ``action`` - RELEASE_OK / RELEASE_ERR / CRASH (waiting: acquired and
@@ -133,9 +137,13 @@ def sync_round(registry: DataFrame, observations: DataFrame, outcomes: DataFrame
     With ``launch_check`` a WaitToStart record is first checked as its launch would be (version
     allow-list, then reserved config keys); a refusal is its release error and no outcome is read.
     ``obs_order``: the observation columns that order them totally (newest = max), ts first.
+    ``absent_phase``: what a record without any observation reads as. Where observations arrive by
+    and by, that is "Unknown", and a pod that is gone says so by the phase "NotExisted".
     """
     spark = registry.sparkSession
-    rules = F.broadcast(round_edges(resolve_edges(spark, edges)))  # <= 44 rows
+    rules = round_edges(resolve_edges(spark, edges))
+    if edges is None:
+        rules = F.broadcast(rules)  # from 44 literal rows
     cols = ["id", "state_kind", "state_message", "next_update_time"]
     due = due_records(registry, p)
     if launch_check:
@@ -150,6 +158,9 @@ def sync_round(registry: DataFrame, observations: DataFrame, outcomes: DataFrame
     j = due.join(last, "id", "left").join(res, "id", "left")
     cls = state_class("state_kind")
     phase = normalize_phase(F.col("_raw"), F.coalesce(F.col("_pod"), F.lit(False)))
+    if absent_phase != "NotExisted":
+        phase = (F.when(F.col("_pod").isNull(), F.lit(absent_phase))
+                 .when(F.col("_raw") == "NotExisted", F.lit("NotExisted")).otherwise(phase))
     err = F.coalesce(F.col("_launch_err"), F.col("err_msg"))
     action = (F.when(cls == "waiting",
                      F.when(F.col("_launch_err").isNotNull(), "RELEASE_ERR")
@@ -172,11 +183,11 @@ def sync_round(registry: DataFrame, observations: DataFrame, outcomes: DataFrame
 
 
 def illegal_transitions(log: DataFrame, edges: DataFrame | None = None, with_signal: bool = False) -> DataFrame:
-    """Transitions of a log that no edge allows (left anti join to the broadcast rule table).
+    """Transitions of a log that no edge allows (left anti join to the rule table).
 
     ``log`` has from_kind, to_kind (and signal when ``with_signal``).
     """
     spark = log.sparkSession
     keys = ["from_kind", "signal", "to_kind"] if with_signal else ["from_kind", "to_kind"]
-    e = resolve_edges(spark, edges).select(*keys).distinct()
-    return log.join(F.broadcast(e), keys, "left_anti")
+    e = (default_edges(spark) if edges is None else edges).select(*keys).distinct()
+    return log.join(F.broadcast(e) if edges is None else e, keys, "left_anti")

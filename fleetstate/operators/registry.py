@@ -16,10 +16,17 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_registry(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a snapshot directory (a new path per round; readers never see a partial one)."""
+    """Write a snapshot directory (a new path per round). It is whole once its _SUCCESS file is there,
+    which is written last: see ``snapshot_complete``."""
     df.select(*[f.name for f in REGISTRY_SCHEMA.fields]).write.mode(mode).parquet(path)
 
 
+def snapshot_complete(spark: SparkSession, path: str) -> bool:
+    """Whether the write of a snapshot directory ended: its _SUCCESS file exists."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def point_lookup(registry: DataFrame, engine_id: str) -> DataFrame:
     """B1: one record by id; the equality reaches the parquet scan as a pushed filter."""
     return registry.where(F.col("id") == F.lit(engine_id))
@@ -94,27 +101,34 @@ def conditional_delete(deletes: DataFrame, registry: DataFrame) -> tuple[DataFra
 
 
 def apply_changes(registry: DataFrame, changes: DataFrame) -> DataFrame:
-    """A4: keyed write-back. ``changes``: id, state_kind, state_message, next_update_time, removed.
+    """A4: keyed write-back: insert, update and delete in one full outer join.
 
-    One change per id (fold same-id changes first). Produces the next snapshot; write it to a new
+    ``changes``: id, state_kind, state_message, next_update_time, removed, and for new records any
+    other registry column. A change of an id that the registry has sets its state (or removes it);
+    one of a new id creates the record, unless it is a removal. Two changes of one id are an error
+    (fold them first), raised by the plan itself. Produces the next snapshot; write it to a new
     directory, or MERGE it where the table format supports that.
     """
-    c = changes.select("id", F.col("state_kind").alias("_k"), F.col("state_message").alias("_m"),
-                       F.col("next_update_time").alias("_n"),
-                       F.coalesce(F.col("removed"), F.lit(False)).alias("_rm"), F.lit(True).alias("_hit"))
-    j = registry.join(c, "id", "left").where(~F.coalesce(F.col("_rm"), F.lit(False)))
-    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    extra = [c for c in changes.columns if c in registry.columns and c not in ("id", "state_kind", "state_message", "next_update_time")]
+    first = F.first(F.struct("state_kind", "state_message", "next_update_time",
+                             F.coalesce(F.col("removed"), F.lit(False)).alias("removed"), *extra)).alias("_c")
+    many = F.concat(F.lit("more than one change for id "), F.coalesce(F.col("id"), F.lit("NULL")))
+    c = changes.groupBy("id").agg(first, F.count(F.lit(1)).alias("_n")).select(
+        F.col("id").alias("_id"), F.when(F.col("_n") > 1, F.raise_error(many).cast("boolean")).otherwise(F.lit(True)).alias("_hit"), "_c")
+    j = registry.withColumn("_old", F.lit(True)).join(c, F.col("id") == F.col("_id"), "full")
+    hit, old = F.coalesce(F.col("_hit"), F.lit(False)), F.coalesce(F.col("_old"), F.lit(False))
+    kept = j.where(~(hit & F.coalesce(F.col("_c.removed"), F.lit(False))))
     cols = []
     for f in registry.columns:
-        if f == "state_kind":
-            cols.append(F.when(hit, F.col("_k")).otherwise(F.col(f)).alias(f))
-        elif f == "state_message":
-            cols.append(F.when(hit, F.col("_m")).otherwise(F.col(f)).alias(f))
-        elif f == "next_update_time":
-            cols.append(F.when(hit, F.col("_n")).otherwise(F.col(f)).alias(f))
+        if f == "id":
+            cols.append(F.coalesce("id", "_id").alias("id"))
+        elif f in ("state_kind", "state_message", "next_update_time"):
+            cols.append(F.when(hit, F.col(f"_c.{f}")).otherwise(F.col(f)).alias(f))
+        elif f in extra:
+            cols.append(F.when(old, F.col(f)).otherwise(F.col(f"_c.{f}")).alias(f))
         else:
             cols.append(F.col(f))
-    return j.select(*cols)
+    return kept.select(*cols)
 
 
 def list_ids(registry: DataFrame, partitions: int | None = None) -> DataFrame:

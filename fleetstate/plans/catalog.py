@@ -11,11 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetstate.functions import columns as C
 from fleetstate.functions import launch
 from fleetstate.model import DEFAULT_PARAMS as P
-from fleetstate.model import IN_PROGRESS, state_dimension_rows
+from fleetstate.model import EDGE_SCHEMA, IN_PROGRESS, literal_rows, state_dimension_rows
 from fleetstate.operators import cas_chain, commands, observe, planning, registry, replay
 from fleetstate.plans import oracle as O
 from fleetstate.sources import fixtures as X
@@ -336,6 +337,47 @@ def q_apply_changes(spark, sf):
     return registry.apply_changes(reg, won).select("id", "state_kind", "state_message", "next_update_time")
 
 
+@query("delete_survivors", O.with_views(["registry", "updates"], """
+select r.id, r.state_kind, r.state_message, r.next_update_time from registry r
+where not exists (select 1 from updates u where u.id = r.id and u.before_kind = r.state_kind
+  and u.before_message is not distinct from r.state_message)"""))
+def q_delete_survivors(spark, sf):
+    """The registry that conditional deletes leave."""
+    _, left = registry.conditional_delete(X.updates(spark, sf), X.registry(spark, sf))
+    return left.select("id", "state_kind", "state_message", "next_update_time")
+
+
+@query("write_back", O.with_views(["routed", "registry", "edges", "created"], """
+, gone as (select distinct r.id from routed c join registry r on r.id = c.id
+  join edges e on e.from_kind = r.state_kind and e.signal = 'DELETE' where c.operation = 'delete')
+select id, name, version, state_kind, state_message, next_update_time from registry where id not in (select id from gone)
+union all select id, name, version, state_kind, cast(null as varchar), next_update_time from created"""))
+def q_write_back(spark, sf):
+    """A4: one write-back with inserts (bulk creates) and removals (allowed delete commands)."""
+    reg = X.registry(spark, sf)
+    good, _ = ingest.split_requests(X.requests(spark, sf))
+    new = ingest.bulk_create(good, P).select("id", "name", "version", "state_kind", "state_message", "next_update_time", F.lit(False).alias("removed"))
+    asked = commands.route_requests(X.access_log(spark, sf)).where(F.col("operation") == "delete").select("id").distinct()
+    gone = planning.plan_command(asked, reg, "DELETE", P).where("removed").select(
+        "id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("version"), F.col("new_kind").alias("state_kind"),
+        F.col("new_message").alias("state_message"), F.col("new_next_update_time").alias("next_update_time"), "removed")
+    return registry.apply_changes(reg, new.unionByName(gone)).select("id", "name", "version", "state_kind", "state_message", "next_update_time")
+
+
+@query("custom_rules", O.with_views(["registry"], f"""
+select id, state_kind as from_kind, case state_kind when 'TriggerStart' then 'ErrorClean' when 'TriggerTermination' then 'WaitToTerminate' end as state_kind,
+  case state_kind when 'TriggerStart' then 'gave up' end as state_message,
+  cast(case state_kind when 'TriggerTermination' then {O.NOW} + {O.INTERVAL} end as bigint) as next_update_time
+from registry where next_update_time is not null and next_update_time < {O.NOW}
+  and state_kind in ('TriggerStart', 'TriggerTermination', 'ErrorTriggerClean')"""))
+def q_custom_rules(spark, sf):
+    """A caller's rule table: a start that times out fails for good, a clean-up has no timeout edge."""
+    rules = literal_rows(spark, [
+        ("TriggerStart", "TIMEOUT", "ErrorClean", "const", "none", "custom", "gave up"),
+        ("TriggerTermination", "TIMEOUT", "WaitToTerminate", "clear", "interval", "custom", None)], EDGE_SCHEMA)
+    return planning.retry_timeouts(X.registry(spark, sf), P, edges=rules)
+
+
 @query("cas_sequence", O.with_views(["registry", "cas_requests"], """
 , u as (select *, row_number() over (partition by id order by ts, seq) as rn from cas_requests),
 rec as (
@@ -614,8 +656,9 @@ select r.id, r.state_kind, d.state_class, d.flow, d.has_message from registry r
   ('ErrorCleanInProgress', 'in_progress', 'error_clean', true), ('ErrorClean', 'stable', 'error_clean', true))
   d(state_kind, state_class, flow, has_message) on d.state_kind = r.state_kind"""))
 def q_state_classes(spark, sf):
-    dim = F.broadcast(spark.createDataFrame(state_dimension_rows(),
-                                            "state_kind string, state_index int, state_class string, flow string, has_message boolean").coalesce(1))
+    text = [(s, i, c, f, int(m)) for s, i, c, f, m in state_dimension_rows()]
+    schema = T._parse_datatype_string("state_kind string, state_index int, state_class string, flow string, has_message boolean")
+    dim = F.broadcast(literal_rows(spark, text, schema))
     return X.registry(spark, sf).join(dim, "state_kind").select("id", "state_kind", "state_class", "flow", "has_message")
 
 
@@ -678,24 +721,49 @@ def q_stream_replay(spark, sf):
     return cur.select("id", "state_kind", "state_message", "next_update_time", "n_signals", "n_applied")
 
 
-@query("stream_timeouts", O.with_views(["signals", "edges"], _REPLAY_REC + """
+_TRIGGERS = "('TriggerStart', 'TriggerTermination', 'ErrorTriggerClean')"
+_BACK = ("case {0} when 'TriggerStart' then 'WaitToStart' when 'TriggerTermination' then 'WaitToTerminate' "
+         "else 'ErrorWaitToClean' end")
+# the fold with deadlines: before a signal, a trigger state whose deadline is past is back to waiting
+_TIMED_REC = f"""
+, s as (select id, ts, seq, signal, msg, cast(floor(epoch(ts)) as bigint) as t,
+    row_number() over (partition by id order by ts, seq) as rn from signals),
+rec as (
+  select id, cast(0 as bigint) as rn, 'WaitToStart' as state_kind, cast(null as varchar) as state_message,
+    cast(null as bigint) as next_update_time, cast(0 as bigint) as n_applied
+  from (select distinct id from s) ids
+  union all
+  select x.id, x.rn, coalesce(e.to_kind, x.kind),
+    case when e.to_kind is null then x.state_message
+         else {O.msg_sql('x.state_message', 'e.msg_rule', 'x.msg', 'e.const_message')} end,
+    case when e.to_kind is null then x.n else {O.next_sql('e.next_rule', 'x.t')} end,
+    x.n_applied + case when e.to_kind is null then 0 else 1 end
+  from (select r.id, s.rn, s.t, s.signal, s.msg, r.state_message, r.n_applied,
+          case when r.state_kind in {_TRIGGERS} and r.next_update_time < s.t then {_BACK.format('r.state_kind')} else r.state_kind end as kind,
+          case when r.state_kind in {_TRIGGERS} and r.next_update_time < s.t then r.next_update_time + 1 else r.next_update_time end as n
+        from rec r join s on s.id = r.id and s.rn = r.rn + 1) x
+  left join edges e on e.from_kind = x.kind and e.signal = x.signal)"""
+
+
+@query("stream_timeouts", O.with_views(["signals", "edges"], _TIMED_REC + """
 , fin as (select r.id, r.state_kind, r.state_message, r.next_update_time, m.n as n_signals, r.n_applied
           from rec r join (select id, count(*) as n from s group by id) m on m.id = r.id and r.rn = m.n),
 wm as (select max(epoch_ms(ts)) as w from signals),
 fired as (select fin.*, state_kind in ('TriggerStart', 'TriggerTermination', 'ErrorTriggerClean')
-            and next_update_time * 1000 <= w as timed_out from fin, wm)
+            and (next_update_time + 1) * 1000 <= w as timed_out from fin, wm)
 select id,
   case when timed_out then case state_kind when 'TriggerStart' then 'WaitToStart'
     when 'TriggerTermination' then 'WaitToTerminate' else 'ErrorWaitToClean' end else state_kind end as state_kind,
-  state_message, next_update_time, n_signals, n_applied,
+  state_message, case when timed_out then next_update_time + 1 else next_update_time end as next_update_time, n_signals, n_applied,
   case when timed_out then 'timer' else 'signals' end as via
 from fired"""))
 def q_stream_timeouts(spark, sf):
     """As G1, plus event-time timers that time out records left in a trigger state.
 
     The events file drains in one micro-batch, so the watermark ends at the newest event time and
-    every record still in a trigger state with a deadline at or before it times out (at its
-    deadline: back to waiting, message kept, next update = the deadline).
+    every record still in a trigger state whose deadline is past by then times out (in the first
+    second after it: back to waiting, message kept, next update = that second). So does a record
+    whose next signal comes after its deadline, before that signal.
     """
     out_root = S.scratch_dir(spark, "stream-timeouts")
     stream = S.lifecycle_stream(X.signals_from(X.stream_table(spark, sf, "events")), P, auto_timeout=True)
@@ -714,3 +782,47 @@ def q_stream_ingest(spark, sf):
     return c.select("id", "name", "engine_type", "version", "state_kind", "next_update_time",
                     F.array_join(_config_kv(F.col("config")), ",").alias("config_text"),
                     C.format_time("create_time").alias("create_time"))
+
+
+def _round_sql(e: int) -> str:
+    """Round ``e`` as CTEs: the registry r<e> and the observations so far give r<e+1>."""
+    now = f"({O.NOW} + {100 * e})"
+    return f"""
+, last{e} as (select id, phase from (select id, phase, row_number() over (partition by id
+    order by ts desc, l_linenumber desc, l_partkey desc, l_suppkey desc) as rn from observations where l_partkey % 3 <= {e}) x where rn = 1),
+j{e} as (select d.id, d.state_kind, d.state_message, o.err_msg,
+    case when d.state_kind in ('WaitToStart', 'WaitToTerminate', 'ErrorWaitToClean') then
+           case when o.id is null then 'CRASH' when o.err_msg is null then 'RELEASE_OK' else 'RELEASE_ERR' end
+         when d.state_kind in {_TRIGGERS} then 'TIMEOUT' else 'PHASE_' || coalesce(l.phase, 'Unknown') end as action
+  from r{e} d left join last{e} l on l.id = d.id left join outcomes o on o.id = d.id
+  where d.next_update_time is not null and d.next_update_time < {now}),
+c{e} as (select j.id, e.to_kind, {O.msg_sql('j.state_message', 'e.msg_rule', 'j.err_msg', 'e.const_message')} as m,
+    {O.next_sql('e.next_rule', now)} as n
+  from j{e} j join rules e on e.from_kind = j.state_kind and e.signal = j.action),
+r{e + 1} as (select r.id, coalesce(c.to_kind, r.state_kind) as state_kind,
+    case when c.id is null then r.state_message else c.m end as state_message,
+    case when c.id is null then r.next_update_time else c.n end as next_update_time
+  from r{e} r left join c{e} c on c.id = r.id)"""
+
+
+@query("monitor_rounds", O.with_views(["registry", "observations", "outcomes", "edges"], """
+, acq as (select from_kind, to_kind as mid, msg_rule as a_msg, next_rule as a_next from edges where signal = 'ACQUIRE'),
+rules as (
+  select a.from_kind, r.signal, r.to_kind, case when r.msg_rule = 'keep' then a.a_msg else r.msg_rule end as msg_rule,
+    r.next_rule, r.const_message
+  from acq a join edges r on r.from_kind = a.mid and r.signal in ('RELEASE_OK', 'RELEASE_ERR')
+  union all select from_kind, 'CRASH', mid, a_msg, a_next, cast(null as varchar) from acq
+  union all select from_kind, signal, to_kind, msg_rule, next_rule, const_message from edges
+    where signal = 'TIMEOUT' or signal like 'PHASE_%'),
+r0 as (select id, state_kind, state_message, next_update_time from registry)""" + "".join(map(_round_sql, range(3))) + """
+select * from r3"""))
+def q_monitor_rounds(spark, sf):
+    """Three rounds, 100 seconds apart; a third of the observations arrives before each."""
+    root = S.scratch_dir(spark, "monitor-rounds")
+    registry.write_registry(X.registry(spark, sf), f"{root}/registry/v=0")
+    obs = X.observations(spark, sf)
+    for third in range(3):
+        obs.where(F.col("l_partkey") % 3 == third).write.parquet(f"{root}/obs/{third}")
+        stream = spark.readStream.schema(obs.schema).option("recursiveFileLookup", "true").parquet(f"{root}/obs")
+        S.monitor_rounds(stream, f"{root}/registry", X.outcomes(spark, sf), f"{root}/ck", P, now_fn=lambda e: P.now + 100 * e)
+    return registry.read_registry(spark, f"{root}/registry/v=3").select("id", "state_kind", "state_message", "next_update_time")

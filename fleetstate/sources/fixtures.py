@@ -25,23 +25,7 @@ TABLE_SCHEMAS = {
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     reader = spark.read.schema(TABLE_SCHEMAS[name]) if name in TABLE_SCHEMAS else spark.read
-    return spread(reader.parquet(path))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the cluster has cores.
-
-    A file written as one row group is read by one task, so all per-row work before the first
-    shuffle (JSON parsing, view expressions, map-side aggregation) would run on one core. Large
-    inputs have many splits and pass through untouched; no shuffle is added then.
-    """
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        if df._jdf.rdd().getNumPartitions() < par:  # the JVM plan's split count; no Python RDD wrapper
-            return df.repartition(par)
-    except Exception:  # noqa: BLE001 - sessions without an RDD view (Spark Connect) keep the scan as is
-        pass
-    return df
+    return reader.parquet(path)
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -142,16 +126,17 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compare-and-set requests: half carry a stale expected state, some name absent ids.
+    """Compare-and-set requests, one per record: half carry a stale expected state, a third of all a
+    stale message (their records stay as they are), some name absent ids.
 
     Derived from the registry rows of the same orders (one row per key), so no join is needed.
     """
     r = _registry_base(spark, sf_dir)
     k = F.col("o_orderkey")
-    return r.where(k % 3 != 1).select(
+    return r.select(
         F.when(k % 11 == 0, F.concat(F.lit("none-"), k.cast("string"))).otherwise(F.col("id")).alias("id"),
         F.when(F.col("o_custkey") % 2 == 0, F.col("state_kind")).otherwise(F.lit("Running")).alias("before_kind"),
-        F.col("state_message").alias("before_message"),
+        F.when(k % 3 == 1, F.lit("an older message")).otherwise(F.col("state_message")).alias("before_message"),
         F.lit("Terminated").alias("after_kind"),
         F.lit(None).cast("string").alias("after_message"),
         F.lit(None).cast("bigint").alias("next_update_time"),

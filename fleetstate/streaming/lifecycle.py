@@ -6,8 +6,10 @@ a signal not newer than the last applied one is dropped and counted; a removed i
 tombstone so later commands are NotFound; with a TTL the tombstone is dropped by an event-time
 timer once the watermark passes removal time + TTL (event time keeps drains finite and results
 reproducible, unlike a processing-time TTL). Output is append-only: one row
-per id per micro-batch (or timer) carrying a monotonically increasing ``version``; the latest
-row per id is the current state (``latest_per_id``).
+per id per micro-batch (or timer) carrying a ``version`` that rises with event time; the latest
+row per id is the current state (``latest_per_id``). A trigger state whose deadline is past at the
+time of the next signal is timed out before that signal, whether its timer fired in an earlier
+micro-batch or not, so the result doesn't depend on how signals are cut into batches.
 """
 
 from __future__ import annotations
@@ -76,7 +78,14 @@ class LifecycleProcessor(StatefulProcessor):
             return
         self.state.update(tuple(st))
         if self.auto_timeout and st[0] in TRIGGER_INDEXES and st[2] is not None:
-            self.handle.registerTimer(int(st[2]) * 1000)
+            # due is strict in whole seconds: the first second after the deadline
+            self.handle.registerTimer((int(st[2]) + 1) * 1000)
+
+    def _time_out(self, s, m, n, t: int):
+        """What a trigger state is at second ``t``: back to waiting once its deadline is past."""
+        if self.auto_timeout and s in TRIGGER_INDEXES and n is not None and int(n) < t:
+            s, m, n, _ = self.stepper.step(s, m, n, TIMEOUT_INDEX, None, int(n) + 1)
+        return s, m, n
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         (rid,) = key
@@ -98,11 +107,13 @@ class LifecycleProcessor(StatefulProcessor):
                 n_drop += 1
                 continue
             g = SIGNAL_INDEX.get(sig, -1)
+            s, m, n = self._time_out(s, m, n, int(t))  # as its timer would have, had it come first
             s, m, n, oc = self.stepper.step(s, m, n, g, None if x_msg is None or pd.isna(x_msg) else x_msg, int(t))
             n_sig += 1
             n_app += oc == "Applied"
             last_ts, last_seq = ts_us, seq
-        st = [s, m, n, last_ts, last_seq, n_sig, n_app, n_drop, ver + 1]
+        # versions follow event time, so they rise even after an expired tombstone took the state along
+        st = [s, m, n, last_ts, last_seq, n_sig, n_app, n_drop, max(ver + 1, last_ts or 0)]
         self._save(st, None if last_ts is None else last_ts // 1_000_000)
         yield self._row(rid, st, "signals")
 
@@ -114,9 +125,9 @@ class LifecycleProcessor(StatefulProcessor):
                 self.tomb.clear()  # tombstone expired: the id may be created again
             return
         st = self._load()
-        if st[0] in TRIGGER_INDEXES and st[2] is not None and int(st[2]) == fire_s:
-            s, m, n, _ = self.stepper.step(st[0], st[1], st[2], TIMEOUT_INDEX, None, fire_s)
-            st = [s, m, n] + st[3:8] + [st[8] + 1]
+        if st[0] in TRIGGER_INDEXES and st[2] is not None and int(st[2]) + 1 == fire_s:
+            s, m, n = self._time_out(st[0], st[1], st[2], fire_s)
+            st = [s, m, n] + st[3:8] + [max(st[8] + 1, fire_s * 1_000_000)]
             self._save(st, fire_s)
             yield self._row(rid, st, "timer")
 
@@ -201,39 +212,62 @@ def ingest_stream(orders_or_requests: DataFrame, out_dir: str, checkpoint: str,
     return q
 
 
-def monitor_rounds(observations: DataFrame, registry_root: str, outcomes: DataFrame, checkpoint: str,
-                   p: Params, now_fn: Callable[[int, DataFrame], int] | None = None,
-                   interval_seconds: int | None = None):
-    """The monitor as a fixed-rate stream: every trigger runs one ``sync_round`` over the newest
-    registry snapshot with the observations of that micro-batch and writes snapshot ``v=<epoch+1>``.
+def monitor_rounds(observations: DataFrame, registry_root: str, outcomes, checkpoint: str,
+                   p: Params, now_fn: Callable[[int], int] | None = None, interval_seconds: int | None = None,
+                   obs_order: list[str] | None = None):
+    """The monitor as a fixed-rate stream. Round ``e`` reads the snapshots that round ``e - 1``
+    completed and writes, in this order and each as a directory of its own:
+
+    * ``phases/v=e+1``: the latest observation of every id so far. A record without a new
+      observation keeps its last phase; one never observed reads as Unknown; a pod that is gone is
+      observed as NotExisted.
+    * ``log/batch=e``: the transitions the round made (id, from_kind, signal, state_kind,
+      state_message, next_update_time, ts).
+    * ``v=e+1``: the next registry. Its _SUCCESS file, written last, completes the round.
+
+    A round that failed before that is written anew from the same ``v=e``; a completed one is not
+    repeated. ``registry_root`` starts with ``v=0``. ``outcomes``: id, err_msg, or a function of the
+    round's number that gives them. ``now_fn`` gives a round's clock (default: the wall clock).
 
-    ``interval_seconds`` None drains what is available (tests); otherwise a processing-time trigger
-    (a round that overruns its interval starts the next one at once, never sleeping a negative time).
+    ``interval_seconds`` None drains what is available (tests); otherwise a rate stream of ticks
+    beside the observations makes every interval a round, new observations or not (a round that
+    overruns its interval starts the next one at once).
     """
     import time
 
+    from fleetstate.operators.observe import OBS_ORDER
     from fleetstate.operators.planning import sync_round
-    from fleetstate.operators.registry import apply_changes, read_registry, write_registry
+    from fleetstate.operators.registry import apply_changes, read_registry, snapshot_complete, write_registry
 
-    def latest_version(spark):
-        hconf = spark.sparkContext._jsc.hadoopConfiguration()
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(registry_root)
-        fs = path.getFileSystem(hconf)
-        vs = [int(st.getPath().getName()[2:]) for st in fs.listStatus(path) if st.getPath().getName().startswith("v=")]
-        return max(vs)
+    order = obs_order or OBS_ORDER
 
     def round_(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        v = latest_version(spark)
-        if v > epoch:  # this round already wrote its snapshot (a retried batch)
-            return
-        reg = read_registry(spark, f"{registry_root}/v={v}")
-        now = now_fn(epoch, batch) if now_fn else int(time.time())
-        rp = Params(now=now, interval=p.interval, timeout=p.timeout)
-        ch = sync_round(reg, batch, outcomes, rp).where(F.col("status") == "ok").select(
-            "id", "state_kind", "state_message", "next_update_time", F.lit(False).alias("removed"))
-        write_registry(apply_changes(reg, ch), f"{registry_root}/v={epoch + 1}")
-
+        if snapshot_complete(spark, f"{registry_root}/v={epoch + 1}"):
+            return  # this round ended, but its commit in the stream's checkpoint didn't
+        if not snapshot_complete(spark, f"{registry_root}/v={epoch}"):
+            raise RuntimeError(f"{registry_root}/v={epoch} isn't a complete snapshot")
+        seen = batch.where(F.col("id").isNotNull()).select("id", *order, "phase")
+        if epoch:
+            seen = spark.read.schema(seen.schema).parquet(f"{registry_root}/phases/v={epoch}").unionByName(seen)
+        last = seen.groupBy("id").agg(F.max(F.struct(*order, "phase")).alias("_l")).select("id", "_l.*")
+        phases = f"{registry_root}/phases/v={epoch + 1}"
+        last.write.mode("overwrite").parquet(phases)
+        reg = read_registry(spark, f"{registry_root}/v={epoch}")
+        rp = Params(now=now_fn(epoch) if now_fn else int(time.time()), interval=p.interval, timeout=p.timeout)
+        results = outcomes(epoch) if callable(outcomes) else outcomes
+        done = sync_round(reg, spark.read.schema(seen.schema).parquet(phases), results, rp, obs_order=order, absent_phase="Unknown")
+        log = f"{registry_root}/log/batch={epoch}"
+        done.where(F.col("status") == "ok").select(
+            "id", "from_kind", F.col("action").alias("signal"), "state_kind", "state_message", "next_update_time",
+            F.timestamp_seconds(F.lit(rp.now)).alias("ts")).write.mode("overwrite").parquet(log)
+        changes = spark.read.parquet(log).select("id", "state_kind", "state_message", "next_update_time", F.lit(False).alias("removed"))
+        write_registry(apply_changes(reg, changes), f"{registry_root}/v={epoch + 1}")
+
+    if interval_seconds is not None:
+        ticks = observations.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in observations.schema.fields]
+        observations = observations.unionByName(ticks.select(*blank))
     w = observations.writeStream.foreachBatch(round_).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if interval_seconds is None else w.trigger(processingTime=f"{interval_seconds} seconds")
     q = w.start()

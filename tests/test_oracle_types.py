@@ -2,8 +2,8 @@
 
 import duckdb
 
-import __spark_entry__ as E
 from conftest import SF001
+from fleetstate.plans.catalog import ORACLE, QUERIES
 
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
@@ -13,13 +13,12 @@ def test_types_match_oracle(spark):
     con.execute("SET TimeZone='UTC'")
     for t in ["orders", "lineitem", "events"]:
         con.execute(f"create view {t} as select * from read_parquet('{SF001}/{t}.parquet')")
-    orc = E.oracle_sql()
     bad = {}
-    for name, fn in E.queries().items():
-        if name.startswith("stream_"):
+    for name, fn in QUERIES.items():
+        if name.startswith("stream_") or name == "monitor_rounds":
             continue  # covered by test_streaming and the oracle check
         st = dict(fn(spark, SF001).dtypes)
-        rel = con.sql(orc[name])
+        rel = con.sql(ORACLE[name])
         dt = dict(zip(rel.columns, [str(t) for t in rel.types]))
         diff = [(c, st.get(c), dt.get(c)) for c in set(st) | set(dt) if SPARK_TO_DUCK.get(st.get(c), st.get(c)) != dt.get(c)]
         if diff:

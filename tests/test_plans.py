@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from conftest import SF001
 from fleetstate.model import REGISTRY_SCHEMA, Params, edges_df
 from fleetstate.operators import planning, registry
 from fleetstate.streaming.lifecycle import scratch_dir
@@ -87,3 +88,61 @@ def test_flagship_shape_without_broadcast(spark):
     assert plan.count("SortMergeJoin") == 2
     assert "partial_max(struct(ts" in plan  # map-side combine before the shuffle
     assert plan.count("BroadcastExchange") >= 1  # the rule table, whatever the threshold
+
+
+def test_no_round_robin_and_no_hint_on_a_callers_rules(spark):
+    from fleetstate.model import edges_df
+    from fleetstate.operators.planning import illegal_transitions, sync_round
+    from fleetstate.sources import fixtures as X
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        reg, obs, out = X.registry(spark, SF001), X.observations(spark, SF001), X.outcomes(spark, SF001)
+        own = edges_df(spark)
+        many = own.crossJoin(spark.range(3000).select(F.concat(F.lit("s"), "id").alias("x"))).withColumn("signal", F.concat("signal", "x")).drop("x").unionByName(own)
+        df = sync_round(reg, obs, out, Params(), edges=many)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and "RoundRobin" not in plan
+        log = reg.select("id", F.col("state_kind").alias("from_kind"), F.col("state_kind").alias("to_kind"))
+        assert "BroadcastExchange" not in illegal_transitions(log, many)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in sync_round(reg, obs, out, Params())._jdf.queryExecution().executedPlan().toString()
+        cols = ["id", "state_kind", "state_message", "next_update_time"]
+        assert sorted(map(str, df.select(*cols).collect())) == sorted(map(str, sync_round(reg, obs, out, Params()).select(*cols).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_claims_on_a_hot_id_are_split(spark):
+    from fleetstate.operators.planning import acquire
+    from fleetstate.sources import fixtures as X
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        i = F.col("id")
+        claims = spark.range(0, 400_000, 1, 16).select(F.when(i % 10 > 0, "eng-7").otherwise(F.concat(F.lit("eng-"), i)).alias("id"), F.timestamp_seconds(i).alias("ts"),
+                                                       F.concat(F.lit("m"), i % 3).alias("claimant"), i.alias("seq"), i.alias("tiebreak"))
+        df = acquire(claims, X.registry(spark, SF001), Params())
+        df.write.format("noop").mode("overwrite").save()
+        rows = df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+        assert len(rows) == 400_000
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def test_write_back_inserts_removes_and_refuses_duplicates(spark):
+    import pytest
+
+    from fleetstate.operators.registry import apply_changes
+
+    reg = spark.createDataFrame([("a", "n1", "Running", None, 5), ("b", "n2", "Terminated", None, None)], "id string, name string, state_kind string, state_message string, next_update_time long")
+    schema = "id string, name string, state_kind string, state_message string, next_update_time long, removed boolean"
+    changes = [("a", "other", "WaitToTerminate", None, 9, False), ("b", None, "Removed", None, None, True), ("c", "n3", "WaitToStart", None, 1, None), ("d", None, "Removed", None, None, True)]
+    got = sorted(map(tuple, apply_changes(reg, spark.createDataFrame(changes, schema)).collect()))
+    assert got == [("a", "n1", "WaitToTerminate", None, 9), ("c", "n3", "WaitToStart", None, 1)]
+    with pytest.raises(Exception, match="more than one change for id a"):
+        apply_changes(reg, spark.createDataFrame([changes[0], changes[0]], schema)).collect()

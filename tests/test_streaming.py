@@ -36,7 +36,7 @@ def test_timers_send_triggers_back_to_waiting(spark):
     src = spark.readStream.schema("id string, ts timestamp, seq long, signal string, msg string").parquet(f"{root}/src")
     out = S.latest_per_id(_drain(spark, S.lifecycle_stream(src, P, auto_timeout=True), "t2"))
     got = {r["id"]: (r["state_kind"], r["via"], r["next_update_time"]) for r in out.collect()}
-    assert got["a"] == ("WaitToStart", "timer", 100 + P.timeout)  # timed out at its deadline
+    assert got["a"] == ("WaitToStart", "timer", 100 + P.timeout + 1)  # timed out in the second after its deadline
     assert got["b"][0] == "StartInProgress"
     assert got["c"][0] == "Terminated"
 
@@ -89,7 +89,7 @@ def test_monitor_rounds(spark):
     obs = X.observations(spark, SF001)
     obs.write.parquet(f"{root}/obs")
     stream = spark.readStream.schema(obs.schema).parquet(f"{root}/obs")
-    S.monitor_rounds(stream, f"{root}/registry", X.outcomes(spark, SF001), f"{root}/ck", P, now_fn=lambda e, b: P.now)
+    S.monitor_rounds(stream, f"{root}/registry", X.outcomes(spark, SF001), f"{root}/ck", P, now_fn=lambda e: P.now)
     versions = sorted(os.listdir(f"{root}/registry".removeprefix("file:")))
     assert "v=1" in versions
     reg1 = read_registry(spark, f"{root}/registry/v=1")
@@ -97,7 +97,7 @@ def test_monitor_rounds(spark):
     from fleetstate.operators.planning import sync_round
     from fleetstate.operators.registry import apply_changes
     base = read_registry(spark, f"{root}/registry/v=0")
-    ch = sync_round(base, obs, X.outcomes(spark, SF001), P).where(F.col("status") == "ok").select(
+    ch = sync_round(base, obs, X.outcomes(spark, SF001), P, absent_phase="Unknown").where(F.col("status") == "ok").select(
         "id", "state_kind", "state_message", "next_update_time", F.lit(False).alias("removed"))
     cols = ["id", "state_kind", "state_message", "next_update_time"]
     want = {tuple(r) for r in apply_changes(base, ch).select(*cols).collect()}
@@ -133,3 +133,82 @@ def test_processing_time_timers(spark):
     cur = {r["id"]: r for r in S.latest_per_id(spark.read.parquet(f"{root}/out")).collect()}
     assert fired and cur["a"]["state_kind"] == "WaitToStart" and cur["a"]["via"] == "timer"
     assert cur["b"]["state_kind"] == "Terminated"
+
+
+def _signal_stream(spark, root, batches):
+    """Drain a lifecycle stream with timeouts, one micro-batch per list of signals."""
+    schema = "id string, ts timestamp, seq long, signal string, msg string"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "id string, t long, seq long, signal string, msg string").select(
+            "id", F.timestamp_seconds("t").alias("ts"), "seq", "signal", "msg").coalesce(1).write.parquet(f"{root}/src/{i}")
+        src = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/src")
+        S.run_available_now(S.lifecycle_stream(src, P, auto_timeout=True), f"{root}/out", f"{root}/ck")
+    cur = S.latest_per_id(spark.read.parquet(f"{root}/out"))
+    return {r["id"]: (r["state_kind"], r["next_update_time"], r["n_signals"], r["n_applied"]) for r in cur.collect()}
+
+
+def test_timeouts_do_not_depend_on_the_batches(spark):
+    rows = [("a", 100, 1, "ACQUIRE", None), ("b", 101, 1, "ACQUIRE", None), ("c", 102, 1, "ACQUIRE", None), ("b", 161, 2, "RELEASE_OK", None),
+            ("c", 163, 2, "RELEASE_OK", None), ("a", 500, 2, "RELEASE_OK", None), ("z", 600, 1, "STOP", None)]  # rows at or behind the watermark would be late
+    got = [_signal_stream(spark, S.scratch_dir(spark, f"split{len(b)}"), b) for b in ([rows], [rows[:2], rows[2:5], rows[5:]], [[r] for r in rows])]
+    assert got[0] == got[1] == got[2]
+    assert got[0]["b"][0] == "StartInProgress"  # at its deadline it isn't due yet
+    assert got[0]["c"] == ("WaitToStart", 163, 2, 1) and got[0]["a"] == ("WaitToStart", 161, 2, 1)
+
+
+def _rounds(spark, root, obs, rounds, outcomes=None):
+    schema = "id string, ts long, phase string"
+    none = spark.createDataFrame([], "id string, err_msg string")
+    for i, rows in enumerate(obs):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{root}/obs/{i}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/obs")
+        S.monitor_rounds(stream, f"{root}/registry", outcomes or none, f"{root}/ck", P, now_fn=lambda e: P.now + 100 * e, obs_order=["ts"])
+    reg = read_registry(spark, f"{root}/registry/v={rounds}")
+    return {r["id"]: (r["state_kind"], r["state_message"]) for r in reg.collect()}
+
+
+def _running(spark, root, ids):
+    X_cols = "id string, name string, engine_type string, version string, state_kind string, state_message string, config map<string,string>, create_time timestamp, next_update_time long"
+    rows = [(i, "n", "Spark", "3.5.3", "Running", None, {}, None, P.now - 1) for i in ids]
+    write_registry(spark.createDataFrame(rows, X_cols), f"{root}/registry/v=0")
+
+
+def test_unobserved_running_records_stay(spark):
+    root = S.scratch_dir(spark, "unobserved")
+    _running(spark, root, ["a", "b", "c", "d"])
+    got = _rounds(spark, root, [[("a", 1, "Running"), ("b", 1, "Running")], [("a", 2, "Failed"), ("d", 2, "NotExisted")]], 2)
+    assert got["b"] == got["c"] == ("Running", None)  # b keeps its last phase, c was never observed
+    assert got["a"][0] == got["d"][0] == "ErrorClean" and got["d"][1] == "Engine terminates during running."
+    log = {(r["id"], r["signal"]) for r in spark.read.parquet(f"{root}/registry/log/batch=1").collect()}
+    assert log == {("a", "PHASE_Failed"), ("b", "PHASE_Running"), ("c", "PHASE_Unknown"), ("d", "PHASE_NotExisted")}
+
+
+def test_round_after_a_failed_write(spark):
+    root = S.scratch_dir(spark, "crash")
+    _running(spark, root, [f"e{i}" for i in range(20)])
+    os.makedirs(f"{root}/registry/v=1".removeprefix("file:"))  # a write that ended before its first file
+    obs = [[(f"e{i}", 1, "Running") for i in range(20)], [("e0", 2, "Failed")]]
+    got = _rounds(spark, root, obs, 2)
+    assert len(got) == 20 and got["e0"][0] == "ErrorClean" and sum(k == "Running" for k, _ in got.values()) == 19
+
+
+def test_round_that_ended_is_not_repeated(spark):
+    """The stream's commit was lost after the snapshot was written: the round's data isn't applied twice."""
+    root = S.scratch_dir(spark, "retry")
+    _running(spark, root, ["a"])
+    first = _rounds(spark, root, [[("a", 1, "Pending")]], 1)
+    before = os.stat(f"{root}/registry/v=1/_SUCCESS".removeprefix("file:")).st_mtime_ns
+    import pathlib
+
+    for c in pathlib.Path(f"{root}/ck/commits".removeprefix("file:")).iterdir():
+        c.unlink()
+    assert _rounds(spark, root, [[("a", 1, "Pending")]], 1) == first
+    assert os.stat(f"{root}/registry/v=1/_SUCCESS".removeprefix("file:")).st_mtime_ns == before
+
+
+def test_missing_snapshot_stops_the_round(spark):
+    import pytest
+
+    root = S.scratch_dir(spark, "missing")
+    with pytest.raises(Exception, match="isn't a complete snapshot"):
+        _rounds(spark, root, [[("a", 1, "Running")]], 1)
