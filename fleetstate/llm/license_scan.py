@@ -16,30 +16,32 @@ from fleetstate.llm.license_texts import KNOWN
 LAST = (1 << 63) - 1
 BROADCAST_ROWS = 100_000  # digests and names of some 100 bytes: 10 MB at most
 
-# (pattern, replacement), applied in order to lower-cased text
-_LINES = ("(?m)^[^a-z0-9\\n]*(copyright[ \\t]*(\\(c\\)|\\x{A9}|[0-9<\\[])|\\(c\\)[ \\t]*[0-9]|\\x{A9}|all rights reserved)[^\\n]*$", "")
-_SIGNS = ("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{A0}\\x{A9}\\x{2010}-\\x{2015}\\x{2018}-\\x{201F}\\x{2022}\\x{2026}]+", " ")
-_SPELLINGS = [  # words stand between single spaces by now
-    ("licenc", "licens"),
-    ("(^| )sub licens", "\\1sublicens"),
-    ("(^| )non (commercial|infring)", "\\1non\\2"),
-    ("(^| )copyright owner", "\\1copyright holder"),
-    ("is(e|ed|es|ing|er|ers|ation|ations)( |$)", "iz\\1\\2"),
-    ("([a-z][a-z])our(s|ed|able|ing|less)?( |$)", "\\1or\\2\\3"),
-    ("(^| )(acknowledg|judg)ement", "\\1\\2ment"),
-    ("(^| )https( |$)", "\\1http\\2"),
+# in order, on lower-cased text; line breaks stay, as each line is looked up, too
+_LINES = ("(^|\\n)[^a-z0-9\\n]*(copyright[ \\t]*(\\(c\\)|\\x{A9}|[0-9<\\[])|\\(c\\)[ \\t]*[0-9]|\\x{A9}|all rights reserved)[^\\n]*", "\\1")
+_SIGNS = ("[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{A0}\\x{A9}\\x{2010}-\\x{2015}\\x{2018}-\\x{201F}\\x{2022}\\x{2026}]+", " ")
+_PATTERNS = [
+    _LINES,
+    _SIGNS,
+    ("(copyright[ \\n]+)owner", "\\1holder"),
+    ("is(e|ed|es|ing|er|ers|ation|ations)([ \\n]|$)", "iz\\1\\2"),
+    ("([a-z][a-z])our(s|ed|able|ing|less)?([ \\n]|$)", "\\1or\\2\\3"),
 ]
+_WORDS = [("licenc", "licens"), (" sub licens", " sublicens"), (" non commercial", " noncommercial"), (" non infring", " noninfring"),
+          ("acknowledgement", "acknowledgment"), ("judgement", "judgment"), ("https ", "http ")]
 
 
-def canonical(text: Column) -> Column:
+def canonical_lines(text: Column) -> Column:
+    """The canonical form with its line breaks."""
     out = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    for pattern, new in [_LINES, _SIGNS, *_SPELLINGS]:
+    for pattern, new in _PATTERNS:
         out = F.regexp_replace(out, pattern, new.replace("\\", "$"))
-    return F.trim(out)
+    for word, new in _WORDS:
+        out = F.replace(out, F.lit(word), F.lit(new))
+    return out
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+def one_line(form: Column) -> Column:
+    return F.trim(F.regexp_replace(form, "[ \\n]+", " "))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -56,18 +58,23 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     " OR ". Rows of one id are looked up each on its own. Columns of the appended names are replaced.
     """
     known = known_licenses(docs.sparkSession) if known is None else known
-    names = known.select("license_id", canonical(F.col("text")).alias("form")).where("form <> ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.array_join(F.sort_array(F.collect_set("license_id")), " OR ").alias("license_id"))
+    names = known.select("license_id", one_line(canonical_lines(F.col("text"))).alias("form")).where("form <> ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.array_join(F.sort_array(F.collect_set("license_id")), " OR ").alias("name"))
     names = C.cut(names)
     if names.count() <= BROADCAST_ROWS:
         names = F.broadcast(names)
     text = F.col("text").cast("string")
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    lines = base.select("doc_key", "text_key", F.posexplode(F.split("text", "\n")).alias("line", "text")).select("doc_key", "text_key", "line", digest(F.col("text")).alias("digest"))
-    found = lines.join(names, "digest").groupBy("doc_key", "text_key").agg(F.sort_array(F.collect_set("license_id")).alias("notices"), F.count_distinct("line").alias("n_notice_lines"))
+    # a text's own digest (line 0) and its lines', from one pass over the text
+    form = base.select("doc_key", "text_key", canonical_lines(F.col("text")).alias("form"))
+    lines = F.transform(F.split("form", "\n"), lambda x: F.sha2(F.trim(x), 256))
+    every = form.select("doc_key", "text_key", F.posexplode(F.concat(F.array(F.sha2(one_line(F.col("form")), 256)), lines)).alias("line", "digest"))
+    whole, known_line = F.col("line") == 0, (F.col("line") > 0) & F.col("name").isNotNull()
+    found = every.join(names, "digest", "left").groupBy("doc_key", "text_key").agg(
+        F.max(F.when(whole, F.col("digest"))).alias("digest"), F.max(F.when(whole, F.col("name"))).alias("license_id"),
+        F.sort_array(F.collect_set(F.when(known_line, F.col("name")))).alias("notices"), F.collect_set(F.when(known_line, F.col("line"))).alias("at"))
     new = ["digest", "license_id", "notices", "n_notice_lines"]
-    done = base.withColumn("digest", digest(F.col("text"))).drop("text").join(names, "digest", "left").join(found, ["doc_key", "text_key"], "left")
-    return done.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in new], "digest", "license_id",
-                       F.coalesce("notices", F.array().cast("array<string>")).alias("notices"), F.coalesce("n_notice_lines", F.lit(0)).cast("long").alias("n_notice_lines"))
+    done = base.drop("text").join(found, ["doc_key", "text_key"])
+    return done.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in new], "digest", "license_id", "notices", F.size("at").cast("long").alias("n_notice_lines"))
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -75,20 +82,24 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "digest", "license_id", F.array_join("notices", ",").alias("notices"), "n_notice_lines")
 
 
-def _sql_canonical(text: str) -> str:
+def _sql_form(text: str) -> str:
     out = f"lower(coalesce({text}, ''))"
-    for pattern, new in [_LINES, _SIGNS, *_SPELLINGS]:
+    for pattern, new in _PATTERNS:
         out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
-    return f"trim({out})"
+    for word, new in _WORDS:
+        out = f"replace({out}, '{word}', '{new}')"
+    return out
 
 
 def _sql() -> str:
     rows = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
+    whole = "trim(regexp_replace({}, '[ \\n]+', ' ', 'g'))"
     return f"""
-WITH k AS (SELECT digest, string_agg(license_id, ' OR ' ORDER BY license_id) AS license_id FROM (SELECT DISTINCT license_id, sha256(form) AS digest FROM (SELECT license_id, {_sql_canonical('text')} AS form FROM (VALUES {rows}) v(license_id, text)) WHERE form <> '') GROUP BY digest),
-l AS (SELECT doc_id, line, sha256({_sql_canonical('x')}) AS digest FROM (SELECT doc_id, unnest(range(1, len(a) + 1)) AS line, unnest(a) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL))),
+WITH k AS (SELECT digest, string_agg(license_id, ' OR ' ORDER BY license_id) AS license_id FROM (SELECT DISTINCT license_id, sha256(form) AS digest FROM (SELECT license_id, {whole.format(_sql_form('text'))} AS form FROM (VALUES {rows}) v(license_id, text)) WHERE form <> '') GROUP BY digest),
+f AS (SELECT doc_id, {_sql_form('text')} AS form FROM documents),
+l AS (SELECT doc_id, line, sha256(trim(x)) AS digest FROM (SELECT doc_id, unnest(range(1, len(a) + 1)) AS line, unnest(a) AS x FROM (SELECT doc_id, string_split(form, chr(10)) AS a FROM f))),
 n AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices, count(DISTINCT line) AS n FROM l JOIN k ON k.digest = l.digest GROUP BY doc_id),
-d AS (SELECT doc_id, sha256({_sql_canonical('text')}) AS digest FROM documents)
+d AS (SELECT doc_id, sha256({whole.format('form')}) AS digest FROM f)
 SELECT d.doc_id, d.digest, k.license_id, coalesce(n.notices, '') AS notices, coalesce(n.n, 0)::BIGINT AS n_notice_lines FROM d LEFT JOIN k ON k.digest = d.digest LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
