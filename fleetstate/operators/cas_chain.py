@@ -22,21 +22,40 @@ from pyspark.sql import types as T
 
 from fleetstate.session import materialize
 
-_STATE = "struct<k:string,m:string,n:bigint,f:boolean>"
-
-
 def _nn(x):
     return None if x is None or (not isinstance(x, str) and pd.isna(x)) else x
 
 
-def _compose(batches):
-    """Step 2: one map per (id, chunk) run of a partition sorted by (id, chunk, order)."""
-    cur, M, n = None, {}, 0
+class _Map:
+    """The composed updates of a run: where each expected state has led so far.
+
+    ``at`` holds, by the state they are in now, groups of start states with one next-update time.
+    An update moves the groups of the state it expects; lists are joined short to long, so a start
+    state moves a logarithmic number of times however many updates follow."""
+
+    def __init__(self):
+        self.at: dict[tuple, list[tuple[list, int | None]]] = {}
+        self.known: set[tuple] = set()
+
+    def update(self, before: tuple, after: tuple, time: int | None) -> None:
+        groups = self.at.pop(before, [])
+        if before not in self.known:  # a state that no update has expected yet is still where it was
+            self.known.add(before)
+            groups.append(([before], None))
+        if groups:
+            starts = max((g[0] for g in groups), key=len)
+            for g, _ in groups:
+                if g is not starts:
+                    starts.extend(g)
+            self.at.setdefault(after, []).append((starts, time))
+
+    def rows(self) -> list[dict]:
+        return [{"fk": k, "fm": m, "tk": to[0], "tm": to[1], "tn": time} for to, groups in self.at.items() for starts, time in groups for k, m in starts]
 
-    def flush():
-        return (cur[0], int(cur[1]), n,
-                [{"fk": k[0], "fm": k[1], "tk": v[0], "tm": v[1], "tn": v[2]} for k, v in M.items()])
 
+def _compose(batches):
+    """Step 2: one map per (id, chunk) run of a partition sorted by (id, chunk, order)."""
+    cur, M, n = None, _Map(), 0
     out = []
     for pdf in batches:
         cols = [pdf[c].to_numpy() for c in ["id", "chunk", "before_kind", "before_message",
@@ -45,25 +64,37 @@ def _compose(batches):
             key = (i, c)
             if key != cur:
                 if cur is not None:
-                    out.append(flush())
-                cur, M, n = key, {}, 0
-            b = (bk, _nn(bm))
-            a = (ak, _nn(am), None if pd.isna(nt) else int(nt))
-            for x, v in M.items():  # f after the composed map
-                if (v[0], v[1]) == b:
-                    M[x] = a
-            if b not in M:  # states outside the map were unchanged so far
-                M[b] = a
+                    out.append((cur[0], int(cur[1]), n, M.rows()))
+                cur, M, n = key, _Map(), 0
+            M.update((bk, _nn(bm)), (ak, _nn(am)), None if pd.isna(nt) else int(nt))
             n += 1
         if len(out) >= 1024:
             yield pd.DataFrame(out, columns=["id", "chunk", "n", "tab"])
             out = []
     if cur is not None:
-        out.append(flush())
+        out.append((cur[0], int(cur[1]), n, M.rows()))
     if out:
         yield pd.DataFrame(out, columns=["id", "chunk", "n", "tab"])
 
 
+def _starts(batches):
+    """Step 3: the state each chunk starts from, in one pass over rows sorted by (id, chunk)."""
+    cur, out = None, []
+    for pdf in batches:
+        for i, c, tab, k0, m0, n0, f0 in zip(*(pdf[x].to_numpy() for x in ["id", "chunk", "tab", "k0", "m0", "n0", "f0"])):
+            if i != cur:
+                cur, k, m, n, found = i, _nn(k0), _nn(m0), None if pd.isna(n0) else int(n0), f0 is not None and not pd.isna(f0)
+            out.append((i, int(c), k, m, n, found))
+            hit = next((e for e in tab if e["fk"] == k and e["fm"] == m), None) if found else None
+            if hit:
+                k, m, n = hit["tk"], hit["tm"], hit["tn"]
+        if len(out) >= 4096:
+            yield pd.DataFrame(out, columns=["id", "chunk", "s_k", "s_m", "s_n", "s_f"]).astype({"s_n": "Int64"})
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=["id", "chunk", "s_k", "s_m", "s_n", "s_f"]).astype({"s_n": "Int64"})
+
+
 _COMPOSE_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("chunk", T.IntegerType()),
     T.StructField("n", T.LongType()), T.StructField("tab", T.ArrayType(T.StructType([
@@ -125,22 +156,10 @@ def cas_sequence(updates: DataFrame, registry: DataFrame, partitions: int | None
     up = materialize(updates.select(*cols).repartitionByRange(n, "id", "ts", "seq")
                      .withColumn("chunk", F.spark_partition_id()))
     maps = up.sortWithinPartitions("id", "chunk", "ts", "seq").mapInPandas(_compose, _COMPOSE_SCHEMA)
-    s0 = registry.select("id", F.struct(F.col("state_kind").alias("k"), F.col("state_message").alias("m"),
-                                        F.col("next_update_time").alias("n"), F.lit(True).alias("f")).alias("s0"))
-    per_id = maps.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("chunk", "tab"))).alias("tabs")).join(
-        s0, "id", "left")
-    absent = f"cast(named_struct('k', null, 'm', null, 'n', null, 'f', false) as {_STATE})"
-    apply = ("IF(NOT acc.cur.f, acc.cur, coalesce(try_element_at(transform(filter(c.tab, "
-             "e -> e.fk = acc.cur.k AND e.fm <=> acc.cur.m), "
-             "e -> named_struct('k', e.tk, 'm', e.tm, 'n', e.tn, 'f', true)), 1), acc.cur))")
-    scan = F.expr(
-        f"aggregate(tabs, named_struct('cur', coalesce(s0, {absent}), "
-        f"'out', cast(array() as array<struct<chunk:int,s:{_STATE}>>)), "
-        f"(acc, c) -> named_struct('cur', {apply}, "
-        f"'out', concat(acc.out, array(named_struct('chunk', c.chunk, 's', acc.cur)))))")
-    starts = per_id.select("id", F.inline(scan.getField("out"))).select(
-        "id", "chunk", F.col("s.k").alias("s_k"), F.col("s.m").alias("s_m"), F.col("s.n").alias("s_n"),
-        F.col("s.f").alias("s_f"))
+    s0 = registry.select("id", F.col("state_kind").alias("k0"), F.col("state_message").alias("m0"),
+                         F.col("next_update_time").alias("n0"), F.lit(True).alias("f0"))
+    starts = (maps.join(s0, "id", "left").repartition(n, "id").sortWithinPartitions("id", "chunk")
+              .mapInPandas(_starts, "id string, chunk int, s_k string, s_m string, s_n long, s_f boolean"))
     rows = (up.join(starts, ["id", "chunk"]).repartition(n, "id", "chunk")
             .sortWithinPartitions("id", "chunk", "ts", "seq"))
     return rows.mapInPandas(_run, OUT_SCHEMA)

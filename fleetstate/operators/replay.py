@@ -143,37 +143,59 @@ def chunk_tables(signals: DataFrame, p: Params, partitions: int | None = None, f
     return ch.select("id", "chunk", "g", "msg", "t").mapInPandas(_fold_runs(p, full), TAB_SCHEMA)
 
 
-def _apply_sql(a: str, t: str) -> str:
-    """Apply chunk-table entry ``t`` to the concrete state ``a`` (struct s, m, n, na)."""
-    return (f"named_struct('s', {t}.s, "
-            f"'m', IF({t}.mk, IF({t}.mt = '', {a}.m, concat({a}.m, {t}.mt)), {t}.mt), "
-            f"'n', IF({t}.nk, {a}.n, {t}.nv), 'na', {a}.na + {t}.na)")
-
-
-def _entry(c: str, state: str) -> str:
-    """The entry of chunk ``c`` for start ``state`` (a run that starts its id has only the initial one)."""
-    return f"element_at(filter({c}.tab, e -> e.start = {state}), 1)"
+def _scan(starts: bool):
+    """One pass over (id, chunk, n_sig, tab, i_s, i_m, i_n) rows sorted by id and chunk: the state an
+    id starts each chunk with, or its state after the last one. Holds one state at a time, so an id
+    may have any number of chunks."""
 
+    def scan(batches):
+        cur, out = None, []
+        s = m = n = None
+        n_sig = n_app = 0
+        names = ["id", "chunk", "s", "m", "n"] if starts else ["id", "s", "m", "n", "n_sig", "n_app"]
 
-_INIT = f"named_struct('s', {INITIAL_STATE}, 'm', cast(null as string), 'n', cast(null as bigint), 'na', cast(0 as bigint))"
+        def frame():
+            return pd.DataFrame(out, columns=names).astype({"n": "Int64"})
 
+        for pdf in batches:
+            for rid, chunk, k, tab, i_s, i_m, i_n in zip(*(pdf[c].to_numpy() for c in ["id", "chunk", "n_sig", "tab", "i_s", "i_m", "i_n"])):
+                if rid != cur:
+                    if cur is not None and not starts:
+                        out.append((cur, s, m, n, n_sig, n_app))
+                    cur, s, m, n = rid, int(i_s), i_m, None if pd.isna(i_n) else int(i_n)
+                    n_sig = n_app = 0
+                if starts:
+                    out.append((rid, int(chunk), s, m, n))
+                e = next(x for x in tab if x["start"] == s)  # at most one per state
+                if not e["mk"]:
+                    m = e["mt"]
+                elif e["mt"] != "":
+                    m = None if m is None or e["mt"] is None else m + e["mt"]
+                s, n = e["s"], n if e["nk"] else e["nv"]
+                n_sig, n_app = n_sig + int(k), n_app + e["na"]
+            if len(out) >= 4096:
+                yield frame()
+                out = []
+        if cur is not None and not starts:
+            out.append((cur, s, m, n, n_sig, n_app))
+        if out:
+            yield frame()
 
-_ABSENT = (f"named_struct('s', {N_STATES - 1}, 'm', cast(null as string), 'n', cast(null as bigint), "
-           f"'na', cast(0 as bigint))")
+    return scan
 
 
-def _with_initial(per_id: DataFrame, initial: DataFrame | None) -> tuple[DataFrame, str]:
-    """Attach each id's start: WaitToStart by default, else its record in ``initial`` (absent ids
-    start as removed, so their signals are NotFound)."""
+def _scanned(tabs: DataFrame, initial: DataFrame | None, starts: bool) -> DataFrame:
+    """Run ``_scan``. Ids begin in WaitToStart, or with their record in ``initial`` (absent ids begin
+    removed, so their signals are NotFound). An id has one row per chunk here, never its signals."""
     if initial is None:
-        return per_id, _INIT
-    kv = []
-    for i, st in enumerate(FOLD_STATES):
-        kv += [F.lit(st), F.lit(i)]
-    init = initial.select("id", F.struct(
-        F.element_at(F.create_map(*kv), F.col("state_kind")).alias("s"), F.col("state_message").alias("m"),
-        F.col("next_update_time").cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("na")).alias("_init0"))
-    return per_id.join(init, "id", "left"), f"coalesce(_init0, {_ABSENT})"
+        t = tabs.select("*", F.lit(INITIAL_STATE).alias("i_s"), F.lit(None).cast("string").alias("i_m"), F.lit(None).cast("bigint").alias("i_n"))
+    else:
+        index = F.array_position(F.array(*[F.lit(x) for x in FOLD_STATES]), F.col("state_kind")).cast("int") - 1
+        init = initial.select("id", index.alias("i_s"), F.col("state_message").alias("i_m"), F.col("next_update_time").cast("bigint").alias("i_n"))
+        t = tabs.join(init, "id", "left").withColumn("i_s", F.coalesce("i_s", F.lit(N_STATES - 1)))
+    n = int(tabs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = t.repartition(n, "id").sortWithinPartitions("id", "chunk")
+    return t.mapInPandas(_scan(starts), "id string, chunk int, s int, m string, n long" if starts else "id string, s int, m string, n long, n_sig long, n_app long")
 
 
 def replay_state(signals: DataFrame, p: Params, partitions: int | None = None,
@@ -186,29 +208,15 @@ def replay_state(signals: DataFrame, p: Params, partitions: int | None = None,
     Output: id, state_kind, state_message, next_update_time, n_signals, n_applied.
     """
     tabs = chunk_tables(signals, p, partitions, full=initial is not None)
-    per_id = tabs.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("chunk", "tab"))).alias("tabs"),
-        F.sum("n_sig").alias("n_signals"))
-    per_id, start = _with_initial(per_id, initial)
-    fold = F.expr(f"aggregate(tabs, {start}, (acc, c) -> {_apply_sql('acc', _entry('c', 'acc.s'))})")
     states = F.array(*[F.lit(s) for s in FOLD_STATES])
-    return per_id.select("id", fold.alias("f"), "n_signals").select(
-        "id", states[F.col("f.s")].alias("state_kind"), F.col("f.m").alias("state_message"),
-        F.col("f.n").alias("next_update_time"), F.col("n_signals").cast("bigint").alias("n_signals"),
-        F.col("f.na").cast("bigint").alias("n_applied"))
+    return _scanned(tabs, initial, False).select(
+        "id", states[F.col("s")].alias("state_kind"), F.col("m").alias("state_message"),
+        F.col("n").alias("next_update_time"), F.col("n_sig").alias("n_signals"), F.col("n_app").alias("n_applied"))
 
 
 def chunk_starts(tabs: DataFrame, initial: DataFrame | None = None) -> DataFrame:
-    """The concrete state each chunk starts from: a scan over the id's chunk tables (<= P per id)."""
-    per_id = tabs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("chunk", "tab"))).alias("tabs"))
-    per_id, start = _with_initial(per_id, initial)
-    scan = F.expr(
-        f"aggregate(tabs, named_struct('cur', {start}, "
-        f"'out', cast(array() as array<struct<chunk:int,s:int,m:string,n:bigint>>)), "
-        f"(acc, c) -> named_struct('cur', {_apply_sql('acc.cur', _entry('c', 'acc.cur.s'))}, "
-        f"'out', concat(acc.out, array(named_struct('chunk', c.chunk, 's', acc.cur.s, 'm', acc.cur.m, "
-        f"'n', acc.cur.n)))))")
-    return per_id.select("id", F.inline(scan.getField("out")))
+    """The concrete state each chunk starts from: a prefix pass over the id's chunk tables."""
+    return _scanned(tabs, initial, True)
 
 
 LOG_SCHEMA = T.StructType([

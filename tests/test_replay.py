@@ -193,3 +193,59 @@ def test_time_to_running(spark):
         log, "Running", ["WaitToStart", "TriggerStart", "StartInProgress"]).collect()}
     assert out == {"a": ("reached", "ErrorClean"), "b": ("failed", "ErrorClean"),
                    "c": ("failed", "Terminated"), "d": ("pending", None)}
+
+
+def test_prefix_pass_is_linear_in_the_chunks_of_a_hot_id(spark):
+    """100,000 chunks of one id: the pass keeps one state, so twice the chunks take about twice the time."""
+    import time
+
+    import pandas as pd
+
+    from fleetstate.model import FOLD_STATES
+    from fleetstate.operators.replay import _scan
+
+    tab = [{"start": i, "s": (i + 1) % 12, "mk": True, "mt": "", "nk": False, "nv": 7, "na": 1} for i in range(len(FOLD_STATES))]
+
+    def run(n):
+        pdf = pd.DataFrame({"id": "hot", "chunk": range(n), "n_sig": 1, "tab": [tab] * n, "i_s": 0, "i_m": None, "i_n": None})
+        t = time.process_time()
+        starts = pd.concat(_scan(True)(iter([pdf])))
+        (end,) = [r for f in _scan(False)(iter([pdf])) for r in f.itertuples(index=False)]
+        return time.process_time() - t, starts, end
+
+    run(1000)
+    small, starts, _ = run(50_000)
+    large, starts, end = run(100_000)
+    assert starts["s"].tolist() == [i % 12 for i in range(100_000)] and end.s == 100_000 % 12 and end.n_app == 100_000
+    assert large < 4 * small + 1
+
+
+def test_composed_updates_with_many_messages():
+    """Distinct messages keep distinct entries; composing stays near linear and equals a plain run."""
+    import random
+    import time
+
+    from fleetstate.operators.cas_chain import _Map
+
+    r = random.Random(1)
+    for _ in range(50):
+        states = [(k, m) for k in "AB" for m in (None, "x", "y")]
+        ups = [(r.choice(states), r.choice(states), i) for i in range(12)]
+        m = _Map()
+        for b, a, t in ups:
+            m.update(b, a, t)
+        got = {(e["fk"], e["fm"]): (e["tk"], e["tm"], e["tn"]) for e in m.rows()}
+        for s in states:
+            cur, time_ = s, None
+            for b, a, t in ups:
+                if cur == b:
+                    cur, time_ = a, t
+            if time_ is not None:
+                assert got[s] == (*cur, time_)
+            else:
+                assert s not in got
+    t = time.process_time()
+    m = _Map()
+    for i in range(100_000):
+        m.update(("A", f"m{i}"), ("A", f"m{i + 1}"), i)
+    assert len(m.rows()) == 100_000 and time.process_time() - t < 10
