@@ -32,17 +32,17 @@ def summarize(plan: str) -> dict:
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from fleetstate.session import local_session
-    import __spark_entry__ as E
+    from fleetstate.plans.catalog import QUERIES
     spark = local_session()
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `scripts/plan_report.py` on `{sf}` (8 shuffle partitions, AQE on). Counts are taken "
           "from the plan before runtime re-planning, so shuffle joins that AQE later turns into broadcasts still "
-          "count as hash shuffles here. `round_robin` is the spread of a single-split scan, a no-op on large "
-          "inputs; `range` is the chunking of ordered folds. The fixed rule tables are the broadcasts.\n")
+          "count as hash shuffles here. `range` is the chunking of ordered folds. The fixed rule tables are the "
+          "broadcasts.\n")
     print("| query | hash | range | round robin | broadcast | aggregates | python | pushed filter |")
     print("|---|---|---|---|---|---|---|---|")
-    for name, fn in E.queries().items():
-        if name.startswith("stream_"):
+    for name, fn in QUERIES.items():
+        if name.startswith("stream_") or name == "monitor_rounds":
             continue
         df = fn(spark, sf)
         plan = df._jdf.queryExecution().executedPlan().toString()
