@@ -42,8 +42,9 @@ STATEFUL_CONF = {
 class LifecycleProcessor(StatefulProcessor):
     """Keyed lifecycle state; input rows: id, ts_us, t (epoch seconds), seq, signal, msg."""
 
-    def __init__(self, p: Params, auto_timeout: bool = False, tombstone_ttl_s: int | None = None):
+    def __init__(self, p: Params, auto_timeout: bool = False, tombstone_ttl_s: int | None = None, explicit_create: bool = False):
         self.p = p
+        self.explicit_create = explicit_create
         self.auto_timeout = auto_timeout
         self.tombstone_ttl_s = tombstone_ttl_s
 
@@ -90,6 +91,10 @@ class LifecycleProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         (rid,) = key
         pdf = pd.concat(list(rows), ignore_index=True)
+        removed_version = 0
+        if self.tomb.exists() and not self.state.exists() and self.explicit_create and (pdf["signal"] == "CREATE").any():
+            removed_version = int(self.tomb.get()[2])
+            self.tomb.clear()
         if self.tomb.exists() and not self.state.exists():  # removed earlier: everything is NotFound
             n_drop, expire, ver = self.tomb.get()
             n_drop, ver = int(n_drop) + len(pdf), int(ver) + 1
@@ -100,18 +105,29 @@ class LifecycleProcessor(StatefulProcessor):
         pdf = pdf.iloc[order]
         st = self._load()
         s, m, n, last_ts, last_seq, n_sig, n_app, n_drop, ver = st
+        ver = max(ver, removed_version)
+        there = not self.explicit_create or self.state.exists()
         for ts_us, seq, sig, x_msg, t in zip(pdf["ts_us"].to_numpy(), pdf["seq"].to_numpy(), pdf["signal"].to_numpy(),
                                              pdf["msg"].to_numpy(), pdf["t"].to_numpy()):
             ts_us, seq = int(ts_us), int(seq)
             if last_ts is not None and (ts_us, seq) <= (last_ts, last_seq):
                 n_drop += 1
                 continue
+            if not there:
+                if sig != "CREATE":  # no such record: NotFound
+                    n_drop += 1
+                    continue
+                there, s, m, n = True, 0, None, int(t)
+                n_sig, n_app, last_ts, last_seq = n_sig + 1, n_app + 1, ts_us, seq
+                continue
             g = SIGNAL_INDEX.get(sig, -1)
             s, m, n = self._time_out(s, m, n, int(t))  # as its timer would have, had it come first
             s, m, n, oc = self.stepper.step(s, m, n, g, None if x_msg is None or pd.isna(x_msg) else x_msg, int(t))
             n_sig += 1
             n_app += oc == "Applied"
             last_ts, last_seq = ts_us, seq
+        if not there:
+            return
         # versions follow event time, so they rise even after an expired tombstone took the state along
         st = [s, m, n, last_ts, last_seq, n_sig, n_app, n_drop, max(ver + 1, last_ts or 0)]
         self._save(st, None if last_ts is None else last_ts // 1_000_000)
@@ -145,13 +161,18 @@ def prepare_stream(signals: DataFrame) -> DataFrame:
 
 def lifecycle_stream(signals: DataFrame, p: Params, auto_timeout: bool = False,
                      watermark: str = "0 seconds", tombstone_ttl_s: int | None = None,
-                     clock: str = "event") -> DataFrame:
+                     clock: str = "event", explicit_create: bool = False) -> DataFrame:
     """Per-id lifecycle state over a signal stream (id, ts, seq, signal, msg).
 
     With ``auto_timeout`` a record left in a trigger state is sent back to waiting once its next
     update time has passed: on the event-time watermark (``clock="event"``, reproducible; drains
     with availableNow) or on the wall clock (``clock="processing"``, for live monitors; needs a
     continuing trigger). The deadline and the TIMEOUT transition are the same in both.
+
+    With ``explicit_create`` only the signal CREATE makes a record (WaitToStart, next update at its
+    time); signals of ids without one are NotFound: dropped and, once the record exists, counted.
+    Use it with tombstones, so that a late command can't bring back an id whose tombstone expired.
+    Without it every id starts in WaitToStart, as in the batch replay.
     """
     if clock not in ("event", "processing"):
         raise ValueError("clock must be 'event' or 'processing'")
@@ -164,7 +185,7 @@ def lifecycle_stream(signals: DataFrame, p: Params, auto_timeout: bool = False,
         src = src.withWatermark("ts", watermark)
     mode = "None" if not timed else ("EventTime" if clock == "event" else "ProcessingTime")
     return src.groupBy("id").transformWithStateInPandas(
-        statefulProcessor=LifecycleProcessor(p, auto_timeout, tombstone_ttl_s),
+        statefulProcessor=LifecycleProcessor(p, auto_timeout, tombstone_ttl_s, explicit_create),
         outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode=mode)
 
 

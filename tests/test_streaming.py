@@ -135,14 +135,15 @@ def test_processing_time_timers(spark):
     assert cur["b"]["state_kind"] == "Terminated"
 
 
-def _signal_stream(spark, root, batches):
+def _signal_stream(spark, root, batches, **options):
     """Drain a lifecycle stream with timeouts, one micro-batch per list of signals."""
+    options = options or {"auto_timeout": True}
     schema = "id string, ts timestamp, seq long, signal string, msg string"
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, "id string, t long, seq long, signal string, msg string").select(
             "id", F.timestamp_seconds("t").alias("ts"), "seq", "signal", "msg").coalesce(1).write.parquet(f"{root}/src/{i}")
         src = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/src")
-        S.run_available_now(S.lifecycle_stream(src, P, auto_timeout=True), f"{root}/out", f"{root}/ck")
+        S.run_available_now(S.lifecycle_stream(src, P, **options), f"{root}/out", f"{root}/ck")
     cur = S.latest_per_id(spark.read.parquet(f"{root}/out"))
     return {r["id"]: (r["state_kind"], r["next_update_time"], r["n_signals"], r["n_applied"]) for r in cur.collect()}
 
@@ -156,6 +157,14 @@ def test_timeouts_do_not_depend_on_the_batches(spark):
     assert got[0]["c"] == ("WaitToStart", 163, 2, 1) and got[0]["a"] == ("WaitToStart", 161, 2, 1)
 
 
+def test_only_create_makes_a_record(spark):
+    batches = [[("x", 10, 1, "STOP", None), ("x", 20, 2, "CREATE", None), ("x", 30, 3, "STOP", None), ("y", 10, 1, "STOP", None), ("d", 10, 1, "CREATE", None), ("d", 20, 2, "DELETE", None)],
+               [("t", 5000, 1, "CREATE", None)], [("d", 6000, 3, "STOP", None), ("t", 6001, 2, "STOP", None)], [("d", 7000, 4, "CREATE", None)]]
+    got = _signal_stream(spark, S.scratch_dir(spark, "create"), batches, tombstone_ttl_s=100, explicit_create=True)
+    assert got["x"] == ("Terminated", None, 2, 2) and "y" not in got
+    assert got["d"] == ("WaitToStart", 7000, 1, 1)  # its tombstone expired: the late STOP made nothing, CREATE a new record, which is the latest
+
+
 def _rounds(spark, root, obs, rounds, outcomes=None):
     schema = "id string, ts long, phase string"
     none = spark.createDataFrame([], "id string, err_msg string")
