@@ -42,10 +42,14 @@ def route_requests(log: DataFrame) -> DataFrame:
     """(method, path) -> operation and id via a broadcast join to the 6-row route table.
 
     A path matching no template is NotFound (404); a known template with another method is
-    MethodNotAllowed (405).
+    MethodNotAllowed (405). A query string doesn't count, and the id is percent-decoded (an id
+    that isn't valid percent-encoding stays as it is).
     """
     spark = log.sparkSession
-    path = F.col("path")
+    path = F.regexp_replace("path", "[?#].*$", "")
+    raw_id = F.regexp_extract(path, "^/engine/([^/]+)", 1)
+    # url_decode reads forms, where a plus is a space; in a path it is a plus
+    decoded = F.coalesce(F.try_url_decode(F.replace(raw_id, F.lit("+"), F.lit("%2B"))), raw_id)
     template = (F.when(path.rlike("^/engine$"), "/engine")
                 .when(path.rlike("^/engine/[^/]+$"), "/engine/{id}")
                 .when(path.rlike("^/engine/[^/]+/stop$"), "/engine/{id}/stop")
@@ -54,7 +58,7 @@ def route_requests(log: DataFrame) -> DataFrame:
         F.broadcast(routes_df(spark)), ["method", "template"], "left")
     return j.select(
         log["*"], "template",
-        F.when(F.col("template").contains("{id}"), F.regexp_extract(path, "^/engine/([^/]+)", 1)).alias("id"),
+        F.when(F.col("template").contains("{id}"), decoded).alias("id"),
         "operation",
         F.when(F.col("operation").isNotNull(), "routed")
         .when(F.col("template").isNotNull(), "MethodNotAllowed").otherwise("NotFound").alias("route_status"),

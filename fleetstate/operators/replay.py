@@ -50,8 +50,15 @@ def prepare(signals: DataFrame) -> DataFrame:
     )
 
 
+def unordered_signals(signals: DataFrame) -> DataFrame:
+    """Signals without an id, time or sequence number: they have no place in a history. The folds
+    leave them out; this is where they are found."""
+    return signals.where(F.col("id").isNull() | F.col("ts").isNull() | F.col("seq").isNull())
+
+
 def chunked(signals: DataFrame, partitions: int | None = None) -> DataFrame:
     """Range-partition signals by (id, ts, seq) and tag each row with its chunk (= partition)."""
+    signals = signals.where(F.col("id").isNotNull() & F.col("ts").isNotNull() & F.col("seq").isNotNull())
     spark = signals.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (prepare(signals).repartitionByRange(n, "id", "ts", "seq")
@@ -282,40 +289,19 @@ def replay_log(signals: DataFrame, p: Params, partitions: int | None = None,
     return rows.mapInPandas(_log_fold(p), LOG_SCHEMA)
 
 
-_ERR_SCHEMA = "id string, chunk int, txt string, n long"
-
-
-def _join_runs(batches):
-    """Concatenate the messages of each (id, chunk) run of a sorted partition."""
-    cur, parts, out = None, [], []
-    for pdf in batches:
-        for i, c, m in zip(pdf["id"].to_numpy(), pdf["chunk"].to_numpy(), pdf["msg"].to_numpy()):
-            if (i, c) != cur:
-                if cur is not None:
-                    out.append((cur[0], int(cur[1]), ERROR_SEPARATOR.join(parts), len(parts)))
-                cur, parts = (i, c), []
-            parts.append(m)
-        if len(out) >= 4096:
-            yield pd.DataFrame(out, columns=["id", "chunk", "txt", "n"])
-            out = []
-    if cur is not None:
-        out.append((cur[0], int(cur[1]), ERROR_SEPARATOR.join(parts), len(parts)))
-    if out:
-        yield pd.DataFrame(out, columns=["id", "chunk", "txt", "n"])
-
-
 def error_history(signals: DataFrame, partitions: int | None = None) -> DataFrame:
     """Every action error of an id, oldest first, joined with the error separator.
 
-    Two levels like the fold: per (id, chunk) the run's messages in one sorted pass per range
-    partition, then per id the chunk texts in chunk order (string concatenation is associative).
+    Two levels like the fold: per (id, chunk) the messages of a range partition in order, then per
+    id the chunk texts in chunk order (string concatenation is associative).
     """
     errs = signals.where((F.col("signal") == "RELEASE_ERR") & F.col("msg").isNotNull())
     spark = signals.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    run = F.array_sort(F.collect_list(F.struct("ts", "seq", "msg")))  # of one id in one range partition
     runs = (errs.select("id", "ts", "seq", "msg").repartitionByRange(n, "id", "ts", "seq")
-            .withColumn("chunk", F.spark_partition_id()).sortWithinPartitions("id", "ts", "seq")
-            .select("id", "chunk", "msg").mapInPandas(_join_runs, _ERR_SCHEMA))
+            .groupBy("id", F.spark_partition_id().alias("chunk"))
+            .agg(F.array_join(F.transform(run, lambda x: x["msg"]), ERROR_SEPARATOR).alias("txt"), F.count(F.lit(1)).alias("n")))
     return runs.groupBy("id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "txt"))), lambda x: x["txt"]),
                      ERROR_SEPARATOR).alias("history"),

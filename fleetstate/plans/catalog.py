@@ -285,6 +285,18 @@ def q_illegal_transitions(spark, sf):
     return planning.illegal_transitions(u.join(r, "id").select("id", "from_kind", "to_kind"))
 
 
+@query("illegal_log", O.with_views(["signals", "edges"], _REPLAY_REC + """
+, lg as (select r.id, s.seq, r.from_kind, s.signal, case when s.seq % 50 = 0 then 'Running' else r.state_kind end as to_kind
+  from rec r join s on s.id = r.id and s.rn = r.rn where r.rn > 0 and r.outcome = 'Applied')
+select * from lg where not exists (select 1 from edges e
+  where e.from_kind = lg.from_kind and e.signal = lg.signal and e.to_kind = lg.to_kind)"""))
+def q_illegal_log(spark, sf):
+    """D11 on the transition log, signal included: every fiftieth row has a wrong target."""
+    log = replay.replay_log(X.signals(spark, sf), P).where("outcome = 'Applied'")
+    wrong = F.when(F.col("seq") % 50 == 0, F.lit("Running")).otherwise(F.col("to_kind")).alias("to_kind")
+    return planning.illegal_transitions(log.select("id", "seq", "from_kind", "signal", wrong), with_signal=True)
+
+
 # ---------------------------------------------------------------- keyed state changes
 
 _CAS_SQL = """

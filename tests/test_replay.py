@@ -249,3 +249,22 @@ def test_composed_updates_with_many_messages():
     for i in range(100_000):
         m.update(("A", f"m{i}"), ("A", f"m{i + 1}"), i)
     assert len(m.rows()) == 100_000 and time.process_time() - t < 10
+
+
+def test_signals_without_a_time_are_left_out_and_found(spark):
+    from fleetstate.operators.replay import replay_state, unordered_signals
+
+    rows = [("a", 10, 1, "STOP", None), ("a", None, 2, "RESTART", None), (None, 10, 3, "STOP", None)]
+    df = spark.createDataFrame(rows, "id string, t long, seq long, signal string, msg string").selectExpr("id", "timestamp_seconds(t) as ts", "seq", "signal", "msg")
+    got = replay_state(df, Params()).collect()
+    assert [(r["id"], r["state_kind"], r["n_signals"]) for r in got] == [("a", "Terminated", 1)]
+    assert unordered_signals(df).count() == 2
+
+
+def test_ids_of_requests_are_decoded(spark):
+    from fleetstate.operators.commands import route_requests
+
+    paths = ["/engine/a%20b", "/engine/a+b?x=1", "/engine/%zz/stop", "/engine?all=1", "/engine/a/stop?force=/engine/b"]
+    log = spark.createDataFrame([("POST" if "stop" in p else "GET", p) for p in paths], "method string, path string")
+    got = {r["path"]: (r["operation"], r["id"]) for r in route_requests(log).collect()}
+    assert [got[p] for p in paths] == [("get", "a b"), ("get", "a+b"), ("stop", "%zz"), ("list", None), ("stop", "a")]
