@@ -232,9 +232,13 @@ def _links(node: DataFrame, percent: int) -> DataFrame:
         offs, values = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
         a, b = [], []
         for group in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
-            for x, y in links([values[offs[i]: offs[i + 1]] for i in group.tolist()], percent):
-                a.append(ids[group[x]])
-                b.append(ids[group[y]])
+            least = ids[group]  # of each set's component so far; links come as stars around it
+            found = links([values[offs[i]: offs[i + 1]] for i in group.tolist()], percent)
+            for x, y in found:
+                least[least == max(least[x], least[y])] = min(least[x], least[y])
+            own = np.unique(np.array(found, np.int64).reshape(-1))
+            a += ids[group[own]].tolist()
+            b += least[own].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return queries.groupBy("task").applyInArrow(search, "a long, b long")
