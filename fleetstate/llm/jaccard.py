@@ -23,6 +23,7 @@ from fleetstate.llm import common as C
 from fleetstate.llm.blocks import Lookup, blocks, pack_numbers, parts, tally, unpack_numbers
 from fleetstate.llm.cells import components
 
+BLOCK_BYTES = 16 << 20  # a block's sets take some ten times that in a task
 RANGE_ITEMS = 4_000_000  # shingles that one task counts at once
 CELL = 3000  # nodes of a cell that one task takes whole; larger cells are dealt out in parts of half that
 LONG_WEIGHT = 0.01  # DivideSkip's mu
@@ -50,7 +51,7 @@ def needed(n: int, percent: int) -> int:
 def nodes_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_key, text_key, node (hash of the set), n_shingles, and for sets that may link: prefix (the
     rarest shingles that another document has, too) and set."""
-    packed = blocks(docs, ["doc_key", "text_key"])
+    packed = blocks(docs, ["doc_key", "text_key"], BLOCK_BYTES)
 
     def count(batches):
         n = sum(len(s) for batch in batches for sizes, blob in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) for _, _, data, offs in parts(sizes, blob) for s in _sets(data, offs, k))
