@@ -16,7 +16,7 @@ from fleetstate.llm import common as C
 BLOCK_BYTES = 32 << 20
 
 
-def blocks(df: DataFrame, keep: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def blocks(df: DataFrame, keep: list[str], block_bytes: int = BLOCK_BYTES, scratch: C.Scratch | None = None) -> DataFrame:
     """block, a list of each column of ``keep``, sizes and bytes (zstd) of ``text``: some
     ``block_bytes`` of text a row. Written once, so that a block is the same wherever it is read."""
     fields = [df.schema[c] for c in keep]
@@ -46,7 +46,7 @@ def blocks(df: DataFrame, keep: list[str], block_bytes: int = BLOCK_BYTES) -> Da
         if held:
             yield out()
 
-    return C.table(df.select(*keep, "text").mapInArrow(run, schema), "blocks")
+    return C.table(df.select(*keep, "text").mapInArrow(run, schema), "blocks", scratch)
 
 
 def parts(sizes: list[int], blob: bytes):

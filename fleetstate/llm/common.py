@@ -138,12 +138,29 @@ def large(x) -> pa.Array:
     return pa.array(x)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+class Scratch:
+    """Tables that an operator needs only while it makes its result; they go with the block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def table(df: DataFrame, name: str, scratch: Scratch | None = None) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back, where a result is used
-    more than once and would cost more to make again than to keep. The folder goes when the
-    application ends."""
+    more than once and would cost more to make again than to keep. The folder goes with ``scratch``,
+    or when the application ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if scratch:
+        scratch.paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

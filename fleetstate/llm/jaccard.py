@@ -48,10 +48,10 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def nodes_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def nodes_of(docs: DataFrame, k: int, percent: int, scratch: C.Scratch) -> DataFrame:
     """doc_key, text_key, node (hash of the set), n_shingles, and for sets that may link: prefix (the
     rarest shingles that another document has, too) and set."""
-    packed = blocks(docs, ["doc_key", "text_key"], BLOCK_BYTES)
+    packed = blocks(docs, ["doc_key", "text_key"], BLOCK_BYTES, scratch)
 
     def count(batches):
         n = sum(len(s) for batch in batches for sizes, blob in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) for _, _, data, offs in parts(sizes, blob) for s in _sets(data, offs, k))
@@ -192,15 +192,9 @@ def join(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """
     text = F.col("text").cast("string")
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    some = base.select("doc_key", "text_key", "text").where("text is not null")
-    member = C.table(nodes_of(some, k, percent), "shingles")
-    node = C.table(member.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_key", "text_key", "prefix", "set")).alias("first")).select("node", "first.doc_key", "first.text_key", "first.prefix", "first.set"), "nodes")
-    edges = _links(node.where("prefix is not null").select("node", "prefix", "set"), percent)
-    found = C.cut(components(edges).select(F.col("id").alias("node"), "component"))
+    with C.Scratch(docs.sparkSession) as scratch:
+        result = C.table(_components(base.select("doc_key", "text_key", "text").where("text is not null"), k, percent, scratch), "components")
     first = F.struct("doc_key", "text_key")
-    least = node.select("node", first.alias("first")).join(found, "node").groupBy("component").agg(F.min("first").alias("least"))
-    known = node.select("node", first.alias("first")).join(found.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first").alias("least"))
-    result = member.select("doc_key", "text_key", "node", "n_shingles").distinct().join(known, "node", "left").select("doc_key", "text_key", "n_shingles", "least")
     kind = docs.schema["doc_id"].dataType
     done = base.drop("text").join(result, ["doc_key", "text_key"], "left").withColumn("least", F.coalesce("least", first))
     return done.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_shingles", "component_id", "stays")],
@@ -208,6 +202,18 @@ def join(docs: DataFrame, k: int, percent: int) -> DataFrame:
                        ((F.col("doc_key") == F.col("least.doc_key")) & F.col("text_key").eqNullSafe(F.col("least.text_key"))).alias("stays"))
 
 
+def _components(docs: DataFrame, k: int, percent: int, scratch: C.Scratch) -> DataFrame:
+    """doc_key, text_key, n_shingles, least: the smallest (doc_key, text_key) of the component."""
+    member = C.table(nodes_of(docs, k, percent, scratch), "shingles", scratch)
+    node = C.table(member.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_key", "text_key", "prefix", "set")).alias("first")).select("node", "first.doc_key", "first.text_key", "first.prefix", "first.set"), "nodes", scratch)
+    edges = _links(node.where("prefix is not null").select("node", "prefix", "set"), percent)
+    found = C.cut(components(edges).select(F.col("id").alias("node"), "component"))
+    first = F.struct("doc_key", "text_key")
+    least = node.select("node", first.alias("first")).join(found, "node").groupBy("component").agg(F.min("first").alias("least"))
+    known = node.select("node", first.alias("first")).join(found.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first").alias("least"))
+    return member.select("doc_key", "text_key", "node", "n_shingles").distinct().join(known, "node", "left").select("doc_key", "text_key", "n_shingles", "least")
+
+
 def _links(node: DataFrame, percent: int) -> DataFrame:
     token = node.select("node", F.explode("prefix").alias("token"))
     hub = token.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "low")

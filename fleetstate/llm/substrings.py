@@ -153,10 +153,15 @@ def _prepared(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_key, text_key, ranges (first and last window, both inclusive) of the windows whose words
     also start in a document of smaller id. ``docs`` as ``_prepared`` makes it."""
-    seen = C.table(occurrences(docs, window), "occurrences")
+    with C.Scratch(docs.sparkSession) as scratch:
+        return C.table(_ranges(docs, window, scratch), "ranges")
+
+
+def _ranges(docs: DataFrame, window: int, scratch: C.Scratch) -> DataFrame:
+    seen = C.table(occurrences(docs, window), "occurrences", scratch)
     # written, so that the joins have a plain shuffle on either side, which Spark can split at a hot key
-    shared = C.table(seen.groupBy("name").agg(F.min("doc_key").alias("least"), F.max("doc_key").alias("most"), F.min("around").alias("a"), F.max("around").alias("b")).where("least < most").select("name", "least", (F.col("a") != F.col("b")).alias("mixed")), "shared")
-    found = C.table(seen.drop("around").join(shared, "name").where("mixed or doc_key > least").select("doc_key", "text_key", "name", "lo", "hi", "mixed"), "candidates")
+    shared = C.table(seen.groupBy("name").agg(F.min("doc_key").alias("least"), F.max("doc_key").alias("most"), F.min("around").alias("a"), F.max("around").alias("b")).where("least < most").select("name", "least", (F.col("a") != F.col("b")).alias("mixed")), "shared", scratch)
+    found = C.table(seen.drop("around").join(shared, "name").where("mixed or doc_key > least").select("doc_key", "text_key", "name", "lo", "hi", "mixed"), "candidates", scratch)
     mixed = found.where("mixed").groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("name", "lo", "hi")).alias("spans"))
 
     def windows(batches):
@@ -181,8 +186,8 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(name[new]), pa.array(hashed[new]), places], ["doc_key", "text_key", "name", "words", "places"])
 
     text = docs.select("doc_key", "text_key", "text")
-    single = C.table(text.join(mixed, ["doc_key", "text_key"]).select("doc_key", "text_key", "text", "spans").mapInArrow(windows, "doc_key long, text_key long, name long, words long, places array<int>"), "windows")
-    least = C.table(single.groupBy("name", "words").agg(F.min("doc_key").alias("least"), F.max("doc_key").alias("most")).where("least < most").drop("most"), "least")
+    single = C.table(text.join(mixed, ["doc_key", "text_key"]).select("doc_key", "text_key", "text", "spans").mapInArrow(windows, "doc_key long, text_key long, name long, words long, places array<int>"), "windows", scratch)
+    least = C.table(single.groupBy("name", "words").agg(F.min("doc_key").alias("least"), F.max("doc_key").alias("most")).where("least < most").drop("most"), "least", scratch)
     more = single.join(least, ["name", "words"]).where("doc_key > least").select("doc_key", "text_key", F.explode("places").alias("lo")).select("doc_key", "text_key", "lo", F.col("lo").alias("hi"))
     settled = found.where("not mixed").select("doc_key", "text_key", "lo", "hi")
     return settled.unionByName(more).groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
