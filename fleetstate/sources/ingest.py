@@ -42,7 +42,8 @@ def validate_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
         *[F.col(c) for c in requests.columns],
         F.json_object_keys(body).alias("__keys"),
         F.from_json(body, "name variant, engine_type variant, version variant, config variant").alias("__v"),
-        F.from_json(F.get_json_object(body, "$.config"), "map<string,variant>").alias("__cfg"),
+        # only bodies that name a config are parsed for it
+        F.when(body.contains("config") | body.contains("\\"), F.from_json(F.get_json_object(body, "$.config"), "map<string,variant>")).alias("__cfg"),
     )
     v, cfg = F.col("__v"), F.col("__cfg")
 
@@ -90,12 +91,17 @@ def validate_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
     first = F.try_element_at(F.filter(F.transform(keys, problem), lambda x: x.isNotNull()), F.lit(1))
     missing = F.coalesce(*[F.when(~F.array_contains(keys, F.lit(f)), F.lit(f)) for f in REQUIRED_FIELDS])
     # a NULL key list is malformed text or a non-object; parse again only for those rows. The
-    # parsers stop after the first value, so a body must also be exactly one value: "[" body "]"
-    # must be a one-element array and "[" body ",0]" a two-element one. Trailing text either
-    # breaks one of the two or changes a count (a body cannot close the wrapper early in both).
+    # parsers stop after the first value, so a body must also be exactly one value. It is, if it ends
+    # with a brace and has no more closing braces than its object and the config need: the last one
+    # then closes the object. Other bodies (braces in strings, nested values, trailing text) are
+    # probed: "[" body "]" must be a one-element array and "[" body ",0]" a two-element one. Trailing
+    # text either breaks one of the two or changes a count (a body can't close the wrapper early in both).
+    closing = F.length(body) - F.length(F.replace(body, F.lit("}"), F.lit("")))
+    plain = F.rtrim(body).endswith("}") & (closing == F.when(cfg.isNotNull(), 2).otherwise(1))
     one_value = ((F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1)
                  & (F.json_array_length(F.concat(F.lit("["), body, F.lit(",0]"))) == 2))
-    bad_json = F.when(keys.isNull(), F.try_parse_json(body).isNull()).otherwise(~F.coalesce(one_value, F.lit(False)))
+    bad_json = (F.when(keys.isNull(), F.try_parse_json(body).isNull()).when(plain, F.lit(False))
+                .otherwise(~F.coalesce(one_value, F.lit(False))))
     staged = checks.select("*", first.alias("__first"), missing.alias("__missing"), bad_json.alias("__bad_json"))
     first, missing, bad_json = F.col("__first"), F.col("__missing"), F.col("__bad_json")
     reason = (F.when(bad_json, "malformed")
