@@ -103,8 +103,25 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 
 
+LONG_BYTES = 16 << 20  # a single text beyond this is hashed in stretches cut at white space
+
+
 def hash_words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word ``[^\\x20\\x09-\\x0D]+``, and where each text's words begin."""
+    if len(offs) != 2 or len(data) <= LONG_BYTES:
+        return _hash_words(data, offs, lower)
+    spaces = np.flatnonzero(_IS_SPACE[data])
+    parts, at = [], 0
+    while at < len(data):
+        i = np.searchsorted(spaces, at + LONG_BYTES)
+        to = int(spaces[i]) if i < len(spaces) else len(data)
+        parts.append(_hash_words(data[at:to], np.array([0, to - at]), lower)[0])
+        at = to
+    words = np.concatenate(parts)
+    return words, np.array([0, len(words)])
+
+
+def _hash_words(data: np.ndarray, offs: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     if lower:
         data = LOWER[data]
     solid = ~_IS_SPACE[data]

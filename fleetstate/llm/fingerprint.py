@@ -60,7 +60,7 @@ def digests(texts: list[bytes]) -> np.ndarray:
         ranked = np.sort(c, axis=1)
         for q in (1, 2, 3):
             out[at:to, :BUCKETS] += c > ranked[:, [q * BUCKETS // 4 - 1]]
-        out[at:to, BUCKETS] = np.round(8 * np.log2(np.diff(offs) + 1.0)).astype(np.uint8)
+        out[at:to, BUCKETS] = np.minimum(np.round(8 * np.log2(np.diff(offs) + 1.0)), 255).astype(np.uint8)
         at = to
     return out
 

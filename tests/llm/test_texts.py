@@ -155,3 +155,11 @@ def test_languages_beyond_one_word_of_bits(spark):
     filters = langid.learn(df)
     assert filters.slots.shape[0] == 2
     assert langid.predict(df, filters).where("lang <> lang_pred").count() == 0
+
+
+def test_long_text_is_hashed_in_stretches(monkeypatch):
+    data, offs = C.text_bytes(pa.array(["ab cd  ef\n" * 500 + "z" * 3000 + " end"]))
+    whole = C.hash_words(data, offs)
+    monkeypatch.setattr(C, "LONG_BYTES", 777)
+    cut = C.hash_words(data, offs)
+    assert (whole[0] == cut[0]).all() and whole[1].tolist() == cut[1].tolist()
