@@ -59,11 +59,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(current)
         return current
     master = sc.master if sc else spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if master != "local" and not master.startswith("local["):  # local-cluster is a cluster
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="fleetstate-ckpt-", dir="/tmp")
     if sc:
         sc.setCheckpointDir(path)
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)  # the scratch folder goes with the session
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
