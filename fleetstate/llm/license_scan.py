@@ -7,6 +7,8 @@ whole text is looked up, and so is each of its lines, where a licence notice may
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,8 @@ def one_line(form: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(a).alias("license_id"), F.lit(b).alias("text")) for a, b in KNOWN])
-    return spark.range(1).select(F.inline(rows))
+    rows = json.dumps([{"license_id": a, "text": b} for a, b in KNOWN])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<license_id: string, text: string>>")))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
