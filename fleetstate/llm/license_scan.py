@@ -1,7 +1,7 @@
 """License scans by canonical digest lookup.
 
-A text's canonical form has one case, no punctuation, no copyright lines and one spelling of words
-that have several; its SHA-256 is looked up among the digests of known licences by a hash join. The
+A text's canonical form has one case, no punctuation, no copyright lines, list marks or title line and
+one spelling of words that have several; its SHA-256 is looked up among the digests of known licences by a hash join. The
 whole text is looked up, and so is each of its lines, where a licence notice may stand by itself.
 """
 
@@ -19,16 +19,31 @@ LAST = (1 << 63) - 1
 BROADCAST_ROWS = 100_000  # digests and names of some 100 bytes: 10 MB at most
 
 # in order, on lower-cased text; line breaks stay, as each line is looked up, too
-_LINES = ("(^|\\n)[^a-z0-9\\n]*(copyright[ \\t]*(\\(c\\)|\\x{A9}|[0-9<\\[])|\\(c\\)[ \\t]*[0-9]|\\x{A9}|all rights reserved)[^\\n]*", "\\1")
+_START = "(^|\\n)([^a-z0-9\\n]*)"
+# what follows "copyright" where a wrapped text goes on at the start of a line, and no holder is named
+_PLAIN = "(notices?|holders?|owners?|ownership|laws?|licen[cs]es?|interests?|statements?|permissions?|protection|treaty|treaties|disclaimers?|status|doctrines?|resulting|and|or|in|on|of|to|is|as|are|was|for|from|with|under|if|when|where|that|which|will|shall|may|the[ \\t]+(software|program|library|work))\\b"
+_NO_NAME = (_START + "copyright([ \\t]+" + _PLAIN + "|[ \\t]*[,.;)])", "\\1\\2copyrightkept\\3")
+_LINES = (_START + "((portions[ \\t]+)?(copyright[ \\t]*(\\(c\\)|\\x{A9}|[0-9<\\[])|\\(c\\)[ \\t]*(copyright|[0-9])|\\x{A9}|copyright([ \\t]*:|[ \\t])[ \\t]*[^\\x00-\\x20,.;:)])|spdx-filecopyrighttext|all rights reserved)[^\\n]*", "\\1")
+# numbers and letters of a list: after the end of a clause or a blank line, so that "version 2." stays
+_VERSION = ("([^a-z0-9]v(er|ers)?)\\.", "\\1")
+_MARKS = ("(^|[.;:,][^a-z0-9]{0,40}[ \\t\\r\\n]((and|or)[ \\t\\r\\n]+)?|\\n[^a-z0-9\\n]{0,40}\\n[^a-z0-9]{0,40})\\(?([0-9][0-9]?|[a-z]|ii|iii|iv|vi|vii|viii|ix)[.)][ \\t\\r\\n]", "\\1")
 _SIGNS = ("[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{A0}\\x{A9}\\x{2010}-\\x{2015}\\x{2018}-\\x{201F}\\x{2022}\\x{2026}]+", " ")
+# a first line that is only the name of a short licence, whose text follows
+_TITLE = ("^[ \\n]*((the|mit|expat|x11|isc|zlib|libpng|bsd|0bsd|freebsd|new|modified|revised|simplified|or|zero|one|two|three|1|2|3|clause|style|licen[cs]e) )*(mit|expat|x11|isc|zlib|libpng|bsd|0bsd|licen[cs]e) *\\n[ \\n]*([a-z0-9])", "\\4")
 _PATTERNS = [
+    _NO_NAME,
     _LINES,
+    ("copyrightkept", "copyright"),
+    _VERSION,
+    _MARKS,
     _SIGNS,
+    _TITLE,
+    ("([ \\n]non)[ \\n]+(commercial|infring)", "\\1\\2"),
     ("(copyright[ \\n]+)owner", "\\1holder"),
     ("is(e|ed|es|ing|er|ers|ation|ations)([ \\n]|$)", "iz\\1\\2"),
     ("([a-z][a-z])our(s|ed|able|ing|less)?([ \\n]|$)", "\\1or\\2\\3"),
 ]
-_WORDS = [("licenc", "licens"), (" sub licens", " sublicens"), (" non commercial", " noncommercial"), (" non infring", " noninfring"),
+_WORDS = [("licenc", "licens"), (" sub licens", " sublicens"),
           ("acknowledgement", "acknowledgment"), ("judgement", "judgment"), ("https ", "http ")]
 
 
