@@ -4,8 +4,10 @@ Every round gives each queue its share of one window's tokens. A share is rarely
 left over (under one token a queue) is the queue's deficit, and it is carried to the next round,
 over windows and partitions alike. With ``m`` tokens of a queue to hand out in ``J`` rounds, the
 queue has given ``floor(m * j / J)`` tokens after round ``j`` and its deficit is the fraction cut
-off. The state at any round is therefore known in closed form, so each partition places its own
-documents without waiting for, or talking to, any other.
+off. Queues of equal ``m`` share one account and take its tokens in turn, so however many sources
+there are, a round is off by less than a token for each distinct ``m``. The state at any round is
+therefore known in closed form, so each partition places its own documents without waiting for, or
+talking to, any other.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from pyspark.sql import types as T
 from fleetstate.llm import common as C
 
 WINDOW = 1024
-MAX_QUEUES = 64
 MAX_ROUNDS = 1 << 31
 BROADCAST_BYTES = 64 << 20
 CACHED_PIECES = 300_000
@@ -104,13 +105,9 @@ def _rank_encoder(path: str, pattern: str):
     return tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-def queue_names(docs: DataFrame, column: str, max_queues: int = MAX_QUEUES):
-    """The queue of each row: its source, or a hash bucket of it where there are more sources than
-    ``max_queues`` (a window cannot hold a share of more queues than that). Null is a queue, too."""
-    name = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
-    if docs.select(name.alias("q")).distinct().limit(max_queues + 1).count() > max_queues:
-        return F.pmod(F.xxhash64(name), F.lit(max_queues)).cast("string")
-    return name
+def queue_name(column: str):
+    """The queue of each row: its source. Null is a queue, too, named by the empty string."""
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
 def tokenize(docs: DataFrame, vocabulary: str, queue, end_id: int = 0, ranks: tuple[str, str] | None = None) -> DataFrame:
@@ -153,52 +150,63 @@ class Schedule:
     """
 
     def __init__(self, totals: dict[str, int], targets: dict[str, float] | None = None, window: int = WINDOW):
-        self.names = sorted(totals)
         self.window = window
-        left = {q: totals[q] for q in self.names}
+        left = {q: n for q, n in totals.items() if n}
         base = 0
-        self.phases = []  # (tokens given before, tokens to give, rounds, position of its first token)
-        given = {q: 0 for q in self.names}
-        while any(left.values()):
-            want = {q: (targets or {}).get(q, 0.0) if targets else float(totals[q]) for q in self.names if left[q]}
+        self.phases = []  # (tokens to give: distinct numbers, queues of each), (per queue: tokens given before, to give, rank among its equals), rounds, position of its first token
+        while left:
+            want = {q: (targets or {}).get(q, 0.0) if targets else float(n) for q, n in left.items()}
             if not any(want.values()):
-                want = {q: float(left[q]) for q in want}
+                want = {q: float(n) for q, n in left.items()}
             end = min(left[q] / w for q, w in want.items() if w > 0)
-            give = {q: min(left[q], round(want.get(q, 0.0) * end)) for q in self.names}
-            for q, w in want.items():
-                if w > 0 and left[q] / w <= end * (1 + 1e-12):
-                    give[q] = left[q]
+            give = {q: left[q] if left[q] / w <= end * (1 + 1e-12) else min(left[q], round(w * end)) for q, w in want.items() if w > 0}
             size = sum(give.values())
             rounds = min(MAX_ROUNDS, -(-size // window))
-            self.phases.append((np.array([given[q] for q in self.names]), np.array([give[q] for q in self.names]), rounds, base))
-            for q in self.names:
-                given[q] += give[q]
-                left[q] -= give[q]
+            ranks: dict[int, int] = {}
+            queues = {}
+            for q in sorted(give):
+                if m := give[q]:
+                    queues[q] = (totals[q] - left[q], m, ranks.get(m, 0))
+                    ranks[m] = ranks.get(m, 0) + 1
+                    left[q] -= m
+            self.phases.append((sorted(ranks.items()), queues, rounds, base))
+            left = {q: n for q, n in left.items() if n}
             base += size
         self.size = base
 
     def pieces(self, queue: str, t0: np.ndarray, t1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Token ranges [t0, t1) of a queue, cut up: range number, first token, tokens, position in
         the packed stream; by range and then by token."""
-        s = self.names.index(queue)
         parts = []
-        for before, give, rounds, base in self.phases:
-            m, skip = int(give[s]), int(before[s])
+        for equals, queues, rounds, base in self.phases:
+            if queue not in queues:
+                continue
+            skip, m, rank = queues[queue]
             some = np.flatnonzero((t1 > skip) & (t0 < skip + m))
             if not len(some):
                 continue
             lo, hi = np.maximum(t0[some] - skip, 0), np.minimum(t1[some] - skip, m)
-            j0, j1 = round_of(lo, m, rounds), round_of(hi - 1, m, rounds)
+            n = dict(equals)[m]
+            j0, j1 = (round_of(n * (t + 1) - rank - 1, n * m, rounds) for t in (lo, hi - 1))
             count = j1 - j0 + 1
             k = np.repeat(np.arange(len(some)), count)
             j = j0[k] + np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
             uj = np.unique(np.concatenate([j, j + 1]))
-            done = np.stack([floor_share(int(g), uj, rounds) for g in give])  # queue x round
+            every = np.zeros(len(uj), np.int64)  # given by all queues
+            ahead = every.copy()  # and by those ahead of this one in a round
+            for give, count in equals:
+                done = floor_share(count * give, uj, rounds)
+                every += done
+                if give < m:
+                    ahead += done
+                elif give == m:  # shared out among the equals in turn
+                    own = (done + rank) // n
+                    ahead += rank * (done // n) + np.maximum(0, rank - n + done % n)
             at = np.searchsorted(uj, j)
-            total = base + done.sum(0) + np.append(np.diff(done[:s].sum(0)), 0)  # where the queue's slice of a round begins
-            first = np.maximum(done[s][at], lo[k])
-            last = np.minimum(done[s][at + 1], hi[k])
-            place = total[at] + first - done[s][at]
+            total = base + every + np.append(np.diff(ahead), 0)  # where the queue's slice of a round begins
+            first = np.maximum(own[at], lo[k])
+            last = np.minimum(own[at + 1], hi[k])
+            place = total[at] + first - own[at]
             real = last > first
             parts.append((some[k][real], (first + skip)[real], (last - first)[real], place[real]))
         who, first, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -240,9 +248,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, source: str = "source",
     empty table gives no pieces. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
-    tokens = tokenize(docs, vocabulary or default_vocabulary(), queue_names(docs, source), end_id, ranks)
+    tokens = tokenize(docs, vocabulary or default_vocabulary(), queue_name(source), end_id, ranks)
     sums = C.cut(tokens.groupBy("queue", "part").agg(F.sum("n").alias("tokens")))
-    totals = {r["queue"]: r["tokens"] for r in sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}  # MAX_QUEUES rows at most
+    totals = {r["queue"]: r["tokens"] for r in sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}  # one number per source
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("queue", "part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     if sums.count() * 64 <= BROADCAST_BYTES:
@@ -256,11 +264,13 @@ def pack(docs: DataFrame, vocabulary: str | None = None, source: str = "source",
         w = schedule.window
         for batch in C.slices(batches, "ids", 1 << 20):
             t0, n = (np.asarray(batch.column(c)).astype(np.int64) for c in (2, 3))
-            queues = np.asarray(batch.column(1).to_pylist())
+            rows: dict[str, list[int]] = {}
+            for i, q in enumerate(batch.column(1).to_pylist()):
+                rows.setdefault(q, []).append(i)
             parts = []
-            for q in np.unique(queues):
-                mine = np.flatnonzero(queues == q)
-                who, first, size, place = schedule.pieces(str(q), t0[mine], t0[mine] + n[mine])
+            for q, mine in rows.items():
+                mine = np.array(mine)
+                who, first, size, place = schedule.pieces(q, t0[mine], t0[mine] + n[mine])
                 parts.append((mine[who], first - t0[mine][who], size, place))
             row, start, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((start, row))  # as their ids follow each other
