@@ -14,6 +14,8 @@ bounded size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -121,10 +123,13 @@ def nodes_of(docs: DataFrame, k: int, percent: int, scratch: C.Scratch) -> DataF
 
 
 def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links among ``sets`` (sorted distinct hashes) that connect what is linked: a spanning forest.
+    """All links among ``sets`` (sorted distinct hashes), each pair once."""
+    return [(x, int(y)) for x, ys in neighbours(sets, percent) for y in ys]
 
-    A candidate already connected to the query isn't looked at again; no other is left out.
-    """
+
+def neighbours(sets: list[np.ndarray], percent: int, part: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Each of ``sets`` that links with smaller ones (or earlier ones of its size), and all of those.
+    With ``part``, only links between sets of different parts."""
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     size = size[order]
@@ -135,8 +140,6 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     width = np.int64(n + 1)
     keys = np.sort((token * width + pos)[often[token]])  # inverted lists, one after another: (shingle, set)
     starts = np.concatenate([[0], np.cumsum(size)])
-    group = np.arange(n)
-    out: list[tuple[int, int]] = []
     for x in range(n):
         t = needed(int(size[x]), percent)
         low = int(np.searchsorted(size, t))  # smaller sets can't overlap enough
@@ -159,29 +162,23 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         found, count = np.unique(keys[at] % width, return_counts=True)
         good = count >= max(1, t - n_long)
         found, count = found[good], count[good]
-        open_ = group[found] != group[x]
-        found, count = found[open_], count[open_]
-        best = np.argsort(-count, kind="stable")
-        found, count = found[best], count[best]
-        while len(found):
-            some, have = found[:64], count[:64]
+        if part is not None:
+            other = part[order[found]] != part[order[x]]
+            found, count = found[other], count[other]
+        linked = []
+        for at in range(0, len(found), 64):
+            some, have = found[at: at + 64], count[at: at + 64]
             probe = own[long][None, :] * width + some[:, None]
             hit = np.searchsorted(keys, probe)
             both = have + (keys[np.minimum(hit, len(keys) - 1)] == probe).sum(1)
-            linked = 100 * both >= percent * (size[x] + size[some] - both)
-            found, count = found[64:], count[64:]
-            for y in some[linked].tolist():
-                if group[y] != group[x]:
-                    out.append((int(order[x]), int(order[y])))
-                    group[group == group[y]] = group[x]
-            open_ = group[found] != group[x]
-            found, count = found[open_], count[open_]
-    return out
+            linked.append(some[100 * both >= percent * (size[x] + size[some] - both)])
+        if sum(map(len, linked)):
+            yield int(order[x]), order[np.concatenate(linked)]
 
 
 def join(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """One row per row of ``docs``: its columns, n_shingles (long), component_id, and stays: whether
-    the row is the one of its component to keep (the smallest id's; all of them, if rows repeat it).
+    """One row per row of ``docs``: its columns, n_shingles (long), component_id, n_links (long: the
+    other rows that it links with, copies included), and stays: whether the row is the one of its component to keep (the smallest id's; all of them, if rows repeat it).
 
     Two documents link when 100 * intersection >= percent * union of their sets of k-word shingles
     (words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; shorter texts are one shingle). component_id is
@@ -197,24 +194,29 @@ def join(docs: DataFrame, k: int, percent: int) -> DataFrame:
     first = F.struct("doc_key", "text_key")
     kind = docs.schema["doc_id"].dataType
     done = base.drop("text").join(result, ["doc_key", "text_key"], "left").withColumn("least", F.coalesce("least", first))
-    return done.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_shingles", "component_id", "stays")],
+    return done.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_shingles", "component_id", "n_links", "stays")],
                        F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("least.doc_key") != LAST, F.col("least.doc_key")).cast(kind).alias("component_id"),
+                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                        ((F.col("doc_key") == F.col("least.doc_key")) & F.col("text_key").eqNullSafe(F.col("least.text_key"))).alias("stays"))
 
 
 def _components(docs: DataFrame, k: int, percent: int, scratch: C.Scratch) -> DataFrame:
-    """doc_key, text_key, n_shingles, least: the smallest (doc_key, text_key) of the component."""
+    """doc_key, text_key, n_shingles, least: the smallest (doc_key, text_key) of the component, n_links."""
     member = C.table(nodes_of(docs, k, percent, scratch), "shingles", scratch)
-    node = C.table(member.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_key", "text_key", "prefix", "set")).alias("first")).select("node", "first.doc_key", "first.text_key", "first.prefix", "first.set"), "nodes", scratch)
-    edges = _links(node.where("prefix is not null").select("node", "prefix", "set"), percent)
-    found = C.cut(components(edges).select(F.col("id").alias("node"), "component"))
+    node = C.table(member.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_key", "text_key", "prefix", "set")).alias("first"), F.count("*").alias("copies")).select("node", "copies", "first.doc_key", "first.text_key", "first.prefix", "first.set"), "nodes", scratch)
+    linked = C.table(_links(node.where("prefix is not null").select("node", "copies", "prefix", "set"), percent), "links", scratch)
+    found = C.cut(components(linked.select("a", "b")).select(F.col("id").alias("node"), "component"))
+    degree = linked.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("degree"))
     first = F.struct("doc_key", "text_key")
     least = node.select("node", first.alias("first")).join(found, "node").groupBy("component").agg(F.min("first").alias("least"))
-    known = node.select("node", first.alias("first")).join(found.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first").alias("least"))
-    return member.select("doc_key", "text_key", "node", "n_shingles").distinct().join(known, "node", "left").select("doc_key", "text_key", "n_shingles", "least")
+    known = node.select("node", "copies", first.alias("first")).join(found.join(least, "component").select("node", "least"), "node", "left").join(degree, "node", "left")
+    known = known.select("node", F.coalesce("least", "first").alias("least"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"))
+    return member.select("doc_key", "text_key", "node", "n_shingles").distinct().join(known, "node", "left").select("doc_key", "text_key", "n_shingles", "least", "n_links")
 
 
 def _links(node: DataFrame, percent: int) -> DataFrame:
+    """a: a node that links, once a task that finds links of it; b: the least node they reach there; n:
+    the documents it links with there. Each pair of nodes is looked at by one task: that of its parts."""
     token = node.select("node", F.explode("prefix").alias("token"))
     hub = token.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "low")
     cell = components(token.join(hub, "token").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
@@ -227,8 +229,8 @@ def _links(node: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cell"), F.lit(bins))).otherwise(F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other")))
-    tasks = dealt.select("node", "cell", "part", "parts", other).select("node", "cell", task.alias("task"))
-    queries = tasks.join(node.select("node", "set"), "node").select("task", "cell", "node", "set")
+    tasks = dealt.select("node", "cell", "part", "parts", other).select("node", "cell", "part", (F.col("part") != F.col("other")).alias("across"), task.alias("task"))
+    queries = tasks.join(node.select("node", "copies", "set"), "node").select("task", "cell", "node", "part", "across", "copies", "set")
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -237,18 +239,24 @@ def _links(node: DataFrame, percent: int) -> DataFrame:
         order = order[np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (cells[order][1:] != cells[order][:-1])])]  # repeated rows once
         lists = table["set"].chunk(0)
         offs, values = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
-        a, b = [], []
+        part, across, copies = np.asarray(table["part"]), np.asarray(table["across"]), np.asarray(table["copies"])
+        a, b, n = [], [], []
         for group in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
-            least = ids[group]  # of each set's component so far; links come as stars around it
-            found = links([values[offs[i]: offs[i + 1]] for i in group.tolist()], percent)
-            for x, y in found:
-                least[least == max(least[x], least[y])] = min(least[x], least[y])
-            own = np.unique(np.array(found, np.int64).reshape(-1))
+            least = ids[group]  # of each set's component so far; links to it stand for the ones found
+            weight, degree = copies[group], np.zeros(len(group), np.int64)
+            for x, ys in neighbours([values[offs[i]: offs[i + 1]] for i in group.tolist()], percent, part[group] if across[group[0]] else None):
+                degree[x] += weight[ys].sum()
+                degree[ys] += weight[x]
+                met = np.unique(np.append(least[ys], least[x]))
+                if len(met) > 1:
+                    least[np.isin(least, met)] = met[0]
+            own = np.flatnonzero(degree)
             a += ids[group[own]].tolist()
             b += least[own].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            n += degree[own].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    return queries.groupBy("task").applyInArrow(search, "a long, b long")
+    return queries.groupBy("task").applyInArrow(search, "a long, b long, n long")
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
