@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fleetstate.llm import chat, decontaminate, fingerprint, jaccard, langid, license_scan, packing, ppm, substrings, toxicity
+from fleetstate.llm import chat, decontaminate, fingerprint, jaccard, langid, license_scan, merkle, packing, ppm, substrings, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language_id": langid.op9_language_id,
     "op10_packing": packing.op10_packing,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLE: dict[str, str] = {
     "op2_chat_format": chat.OP2_SQL,
@@ -24,4 +25,5 @@ ORACLE: dict[str, str] = {
     "op7_decontamination": decontaminate.OP7_SQL,
     "op5_jaccard_join": jaccard.OP5_SQL,
     "op4_substring_dedup": substrings.OP4_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
