@@ -28,8 +28,9 @@ _LINES = (_START + "((portions[ \\t]+)?(copyright[ \\t]*(\\(c\\)|\\x{A9}|[0-9<\\
 _VERSION = ("([^a-z0-9]v(er|ers)?)\\.", "\\1")
 _MARKS = ("(^|[.;:,][^a-z0-9]{0,40}[ \\t\\r\\n]((and|or)[ \\t\\r\\n]+)?|\\n[^a-z0-9\\n]{0,40}\\n[^a-z0-9]{0,40})\\(?([0-9][0-9]?|[a-z]|ii|iii|iv|vi|vii|viii|ix)[.)][ \\t\\r\\n]", "\\1")
 _SIGNS = ("[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{A0}\\x{A9}\\x{2010}-\\x{2015}\\x{2018}-\\x{201F}\\x{2022}\\x{2026}]+", " ")
-# a first line that is only the name of a short licence, whose text follows
-_TITLE = ("^[ \\n]*((the|mit|expat|x11|isc|zlib|libpng|bsd|0bsd|freebsd|new|modified|revised|simplified|or|zero|one|two|three|1|2|3|clause|style|licen[cs]e) )*(mit|expat|x11|isc|zlib|libpng|bsd|0bsd|licen[cs]e) *\\n[ \\n]*([a-z0-9])", "\\4")
+# a first line that is only the name of a short licence, whose text follows; no group repeats without a
+# bound, as the JVM's engine takes a stack frame for each time
+_TITLE = ("^[ \\n]*((the|mit|expat|x11|isc|zlib|libpng|bsd|0bsd|freebsd|new|modified|revised|simplified|or|zero|one|two|three|1|2|3|clause|style|licen[cs]e) ){0,12}(mit|expat|x11|isc|zlib|libpng|bsd|0bsd|licen[cs]e) *\\n[ \\n]*([a-z0-9])", "\\4")
 _PATTERNS = [
     _NO_NAME,
     _LINES,

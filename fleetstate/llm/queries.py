@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fleetstate.llm import chat, decontaminate, fingerprint, jaccard, langid, license_scan, merkle, packing, ppm, substrings, toxicity
+from fleetstate.llm import chat, decontaminate, filter_audit, fingerprint, jaccard, langid, license_scan, merkle, packing, ppm, substrings, toxicity, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language_id": langid.op9_language_id,
     "op10_packing": packing.op10_packing,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_warc": warc.op12_warc,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLE: dict[str, str] = {
@@ -25,5 +27,7 @@ ORACLE: dict[str, str] = {
     "op7_decontamination": decontaminate.OP7_SQL,
     "op5_jaccard_join": jaccard.OP5_SQL,
     "op4_substring_dedup": substrings.OP4_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_warc": warc.OP12_SQL,
     "op13_merkle_manifest": merkle.OP13_SQL,
 }

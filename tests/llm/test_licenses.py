@@ -97,3 +97,12 @@ def test_forms_keep_what_tells_texts_apart(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["under GPL, version 2.", "under GPL, version 3.", "under GPL v. 2. It", "under GPL v. 3. It", "see Section\n4. below", "see Section\n5. below", "the\ncopyright notice", "the"])], "i long, text string")
     forms = [r[0] for r in df.orderBy("i").select(license_scan.one_line(license_scan.canonical_lines(F.col("text")))).collect()]
     assert len(set(forms)) == len(forms)
+
+
+def test_long_runs_of_the_patterns_words(spark):
+    """Every pattern on texts made of what it looks for, over and over."""
+    parts = ["mit ", "licence ", "the ", "1 ", "or one ", "copyright ", "copyright (c) ", "portions copyright ", "a. ", "(a) ", "\n", " \n\t", "* ", "v2.", "non ", "is", "ised ", "colour", "our", "and ", ";\n1. ", "spdx-license-identifier: mit "]
+    texts = [p * (n // len(p)) + end for p in parts for n in (8_000, 200_000) for end in ("", "\nx")]
+    got = scan(spark, texts)
+    assert len(got) == len(texts)
+    assert {r[0] for r in got} == {None}
