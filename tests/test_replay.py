@@ -195,60 +195,134 @@ def test_time_to_running(spark):
                    "c": ("failed", "Terminated"), "d": ("pending", None)}
 
 
-def test_prefix_pass_is_linear_in_the_chunks_of_a_hot_id(spark):
-    """100,000 chunks of one id: the pass keeps one state, so twice the chunks take about twice the time."""
+def test_prefix_pass_is_linear_in_the_chunks_of_a_hot_id():
+    """50,000 chunks of one id: the pass keeps one state, so twice the chunks take about twice the time."""
     import time
 
-    import pandas as pd
-
-    from fleetstate.model import FOLD_STATES
-    from fleetstate.operators.replay import _scan
-
-    tab = [{"start": i, "s": (i + 1) % 12, "mk": True, "mt": "", "nk": False, "nv": 7, "na": 1} for i in range(len(FOLD_STATES))]
+    from fleetstate.operators.replay import _as_batch, _chain
 
     def run(n):
-        pdf = pd.DataFrame({"id": "hot", "chunk": range(n), "n_sig": 1, "tab": [tab] * n, "i_s": 0, "i_m": None, "i_n": None})
+        rows = [("hot", c, True, i, (i + 1) % 12, True, "", False, 7, 1, 1, 0, None, None) for c in range(n) for i in range(13)]
+        batches = [_as_batch(rows[i: i + 10_001]) for i in range(0, len(rows), 10_001)]
         t = time.process_time()
-        starts = pd.concat(_scan(True)(iter([pdf])))
-        (end,) = [r for f in _scan(False)(iter([pdf])) for r in f.itertuples(index=False)]
+        starts = [r for b in _chain(True)(iter(batches)) for r in b.to_pylist()]
+        (end,) = [r for b in _chain(False)(iter(batches)) for r in b.to_pylist()]
         return time.process_time() - t, starts, end
 
     run(1000)
-    small, starts, _ = run(50_000)
-    large, starts, end = run(100_000)
-    assert starts["s"].tolist() == [i % 12 for i in range(100_000)] and end.s == 100_000 % 12 and end.n_app == 100_000
+    small, starts, _ = run(25_000)
+    large, starts, end = run(50_000)
+    assert [r["s"] for r in starts] == [i % 12 for i in range(50_000)] and end["s"] == 50_000 % 12 and end["n_app"] == end["n_sig"] == 50_000
     assert large < 4 * small + 1
 
 
-def test_composed_updates_with_many_messages():
-    """Distinct messages keep distinct entries; composing stays near linear and equals a plain run."""
-    import random
+def cut(table, r):
+    """The rows of a table as record batches of random sizes."""
+    out, at = [], 0
+    while at < table.num_rows:
+        n = r.choice([1, 2, 3, 10, 100])
+        out += table.slice(at, n).combine_chunks().to_batches()
+        at += n
+    return out
+
+
+def test_folds_over_any_batches_equal_single_steps():
+    """The passes over record batches, cut anywhere, against one step after the other."""
+    import pyarrow as pa
+
+    from fleetstate.functions.rules import BUILT_IN
+    from fleetstate.operators.replay import _chain, _fold_runs, _log_fold
+
+    step = Stepper(P)
+    for seed in range(40):
+        r = random.Random(seed)
+        lively = ["ACQUIRE", "RELEASE_OK", "RELEASE_ERR", "TIMEOUT", "PHASE_Running", "STOP", "ACQUIRE", "RELEASE_ERR"]
+        rows, want_log, want = [], [], {}
+        for i in range(r.choice([1, 3, 12])):
+            init = (r.randrange(13), r.choice([None, "old"]), r.choice([None, 5])) if seed % 2 else (0, None, None)
+            state, n_app = init, 0
+            n = r.choice([1, 2, 5, 200])
+            for k in range(n):
+                g = r.choice(lively) if r.random() < 0.8 else r.choice(SIGNALS + ["BOGUS"])
+                msg = r.choice([f"e{i}.{k}", None]) if g == "RELEASE_ERR" else None
+                rows.append((f"id{i:02}", len(rows) // r.choice([7, 40]), k, g, SIGNAL_INDEX.get(g, -1), msg, 100 + k, *init))
+                s, m, nx, oc = step.step(*state, SIGNAL_INDEX.get(g, -1), msg, 100 + k)
+                want_log.append((FOLD_STATES[state[0]], FOLD_STATES[s], oc, m, nx))
+                state, n_app = (s, m, nx), n_app + (oc == "Applied")
+            want[f"id{i:02}"] = (*state, n, n_app)
+        chunk = 0
+        fixed = []
+        for x in rows:  # chunk numbers rise
+            chunk = max(chunk, x[1])
+            fixed.append((x[0], chunk, *x[2:]))
+        names = ["id", "chunk", "seq", "signal", "g", "msg", "t", "i_s", "i_m", "i_n"]
+        types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64()]
+        table = pa.table([pa.array(list(c), t) for c, t in zip(zip(*fixed), types)], names)
+        tables = list(_fold_runs(BUILT_IN, P)(iter(cut(table, r))))
+        ordered = lambda bs: cut(pa.Table.from_batches(bs).sort_by([("id", "ascending"), ("chunk", "ascending")]), r)  # noqa: E731, B023
+        got = {x["id"]: (x["s"], x["m"], x["n"], x["n_sig"], x["n_app"]) for b in _chain(False)(iter(ordered(tables))) for x in b.to_pylist()}
+        assert got == want
+        assert sum(x["n_sig"] for b in tables for x in b.to_pylist() if x["start"] == 0 or not x["border"]) >= 1
+        borders = [b.filter(b.column("border")) for b in _fold_runs(BUILT_IN, P, True)(iter(cut(table, r)))]
+        keep = lambda bs: sorted((tuple(x.values()) for b in bs for x in b.to_pylist()), key=str)
+        assert keep(borders) == keep([b.filter(b.column("border")) for b in tables])
+        starts = {(x["id"], x["chunk"]): (x["s"], x["m"], x["n"]) for b in _chain(True)(iter(ordered(borders))) for x in b.to_pylist()}
+        begin = [starts.get((x[0], x[1]), x[7:]) for x in fixed]
+        log = table.append_column("ts", pa.array([x[6] for x in fixed], pa.timestamp("us"))).append_column("s0", pa.array([b[0] for b in begin], pa.int32()))
+        log = log.append_column("m0", pa.array([b[1] for b in begin], pa.string())).append_column("n0", pa.array([b[2] for b in begin], pa.int64()))
+        rows_ = [(x["from_kind"], x["to_kind"], x["outcome"], x["state_message"], x["next_update_time"]) for b in _log_fold(BUILT_IN, P)(iter(cut(log, r))) for x in b.to_pylist()]
+        assert rows_ == want_log
+
+
+def test_ordered_updates_over_any_batches_equal_single_steps():
+    import pyarrow as pa
+
+    from fleetstate.operators.cas_chain import _borders, _starts, _walk
+
+    for seed in range(40):
+        r = random.Random(seed)
+        states = [(k, m) for k in "AB" for m in (None, "x", "y", "")][: r.choice([2, 5, 8])]
+        rows, want, chunk = [], [], 0
+        for i in range(r.choice([1, 4, 15])):
+            found = r.random() < 0.8
+            init = (*r.choice(states), 3, True) if found else (None, None, None, None)
+            cur = init[:3]
+            for k in range(r.choice([1, 3, 150])):
+                b, a, t = r.choice([*states, (None, None)]), r.choice(states), r.choice([None, k])
+                chunk += r.random() < 0.05
+                rows.append((f"id{i:02}", chunk, k, *b, *a, t, *init))
+                if not found:
+                    want.append(("NotFound", None, None, None, None, None))
+                    continue
+                ok = b[0] is not None and b == cur[:2]
+                met, cur = cur, (*a, t) if ok else cur
+                want.append(("Success" if ok else "Fail", *met[:2], *cur))
+        names = ["id", "chunk", "seq", "before_kind", "before_message", "after_kind", "after_message", "next_update_time", "k0", "m0", "n0", "f0"]
+        types = [pa.string(), pa.int32(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
+        table = pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names)
+        starts = {(x["id"], x["chunk"]): (x["s_k"], x["s_m"], x["s_n"]) for b in _starts(_borders(iter(cut(table, r)))) for x in b.to_pylist()}
+        begin = [starts.get((x[0], x[1]), x[8:11]) for x in rows]
+        table = table.append_column("ts", pa.array([x[2] for x in rows], pa.timestamp("us")))
+        for j, (c, t) in enumerate([("s_k", pa.string()), ("s_m", pa.string()), ("s_n", pa.int64())]):
+            table = table.append_column(c, pa.array([b[j] for b in begin], t))
+        cols = ["outcome", "current_kind", "current_message", "state_kind", "state_message", "next_update_time"]
+        assert [tuple(x[c] for c in cols) for b in _walk(iter(cut(table, r))) for x in b.to_pylist()] == want
+
+
+def test_updates_of_one_id_with_many_messages_stay_near_linear():
     import time
 
-    from fleetstate.operators.cas_chain import _Map
-
-    r = random.Random(1)
-    for _ in range(50):
-        states = [(k, m) for k in "AB" for m in (None, "x", "y")]
-        ups = [(r.choice(states), r.choice(states), i) for i in range(12)]
-        m = _Map()
-        for b, a, t in ups:
-            m.update(b, a, t)
-        got = {(e["fk"], e["fm"]): (e["tk"], e["tm"], e["tn"]) for e in m.rows()}
-        for s in states:
-            cur, time_ = s, None
-            for b, a, t in ups:
-                if cur == b:
-                    cur, time_ = a, t
-            if time_ is not None:
-                assert got[s] == (*cur, time_)
-            else:
-                assert s not in got
+    import numpy as np
+    import pyarrow as pa
+
+    from fleetstate.operators.cas_chain import Chains
+
+    n = 200_000
+    batch = pa.RecordBatch.from_pydict({"before_kind": ["A"] * n, "before_message": [f"m{i}" for i in range(n)], "after_kind": ["A"] * n, "after_message": [f"m{i + 1}" for i in range(n)]})
     t = time.process_time()
-    m = _Map()
-    for i in range(100_000):
-        m.update(("A", f"m{i}"), ("A", f"m{i + 1}"), i)
-    assert len(m.rows()) == 100_000 and time.process_time() - t < 10
+    x = Chains(batch, np.zeros(1, np.int64))
+    assert x.won(np.array([n // 2])).sum() == n // 2 and (x.ends() == n - 1).all()
+    assert time.process_time() - t < 10
 
 
 def test_signals_without_a_time_are_left_out_and_found(spark):
