@@ -1,11 +1,12 @@
 """Filter interaction audit over a sparse document-term matrix.
 
 The corpus becomes a sparse matrix of documents by words. Shards of documents are counted with a
-dictionary of their own first (compressed sparse rows: row starts, columns, counts); the distinct
-words of all shards get dense global ids, and each shard's columns are renamed by them, so that what
-moves between tasks is words per shard, never occurrences. Row sums are a document's words and
-nonzero counts its distinct words: filters A and B. The other filters are flags of the row. What the
-filters do in every order follows from the number of documents with each set of failed filters.
+dictionary of their own first (compressed sparse rows: row starts, columns, counts), whose words are
+in the order of their hashes. Each shard asks for its words once, packed by hash range; a range
+numbers the distinct words of all shards, and each shard's columns are renamed by these dense global
+ids. What moves between tasks is words per shard, never occurrences. Row sums are a document's words
+and nonzero counts its distinct words: filters A and B. The other filters are flags of the row. What
+the filters do in every order follows from the number of documents with each set of failed filters.
 """
 
 from __future__ import annotations
@@ -21,173 +22,221 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetstate.llm import common as C
+from fleetstate.llm.blocks import pack_numbers, unpack_numbers
 
-SHARD_BYTES = 8 << 20  # text of a shard
-BROADCAST_ROWS = 200_000  # word counts of dictionary partitions: 12 bytes each
+SHARD_BYTES = 16 << 20  # text of a shard
+RANGE_ITEMS = 1 << 20  # words of all shards in a hash range, about
+BROADCAST_ROWS = 200_000  # word counts of hash ranges: 12 bytes each
 FILTERS = "ABCDE"
-MIN_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, SIGNS = 200, 50, 3, "[#$%&*|]"
-_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MIN_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, SIGNS = 200, 50, 3, b"#$%&*|"
+
+_KIND = np.zeros((3, 256), np.int64)  # of a byte: begins a code point, is A-Z, is one of SIGNS
+_KIND[0] = 1
+_KIND[0, 0x80:0xC0] = 0
+_KIND[1, 65:91] = 1
+_KIND[2, list(SIGNS)] = 1
 
 
 # ---------------------------------------------------------------- document-term matrix
 
-def _words(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Row and column of each word of the texts, the columns' words, and the texts' row starts."""
-    lists = pc.ascii_split_whitespace(text)  # 0x20 and 0x09-0x0D
+def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Row, column and count of each distinct word of each text, and the columns' words."""
+    lists = pc.ascii_split_whitespace(text)  # at 0x20 and 0x09-0x0D
     coded = lists.flatten().dictionary_encode()
     starts = np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
     row, col = np.repeat(np.arange(len(text)), np.diff(starts)), np.asarray(coded.indices, np.int64)
     blank = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()  # before the first space, after the last
     keep = col != blank
-    return row[keep], coded.dictionary, col[keep]
+    wide = len(coded.dictionary) + 1
+    cell, count = np.unique(row[keep] * wide + col[keep], return_counts=True)
+    return cell // wide, cell % wide, count, coded.dictionary
 
 
 def _stretches(batch: pa.RecordBatch, text: int):
-    """(first row, rows) of a batch in stretches of bounded text; a very long text comes in several,
-    cut at white space."""
+    """(first row, end row, texts, whether the last row goes on) of a batch in stretches of bounded
+    text; a very long text comes in several, cut at white space."""
     at = 0
     for part in C.slices([batch], batch.schema.names[text]):
-        col = part.column(text)
-        if part.num_rows == 1 and col[0].is_valid and len(col[0].as_buffer()) > 2 * C.SLICE_BYTES:
-            data, offs = C.text_bytes(col)
-            spaces = np.flatnonzero(C._IS_SPACE[data])
-            begin = 0
-            while begin < len(data):
-                i = int(np.searchsorted(spaces, begin + C.SLICE_BYTES))
-                end = int(spaces[i]) if i < len(spaces) else len(data)
-                yield at, pa.array([data[begin:end].tobytes()], pa.large_binary()).cast(pa.large_string())
-                begin = end
-        else:
-            yield at, col.cast(pa.large_string()).fill_null("")
+        data, offs = C.text_bytes(part.column(text))
+        begin = 0
+        while part.num_rows == 1 and len(data) - begin > 2 * C.SLICE_BYTES:
+            near = data[begin + C.SLICE_BYTES: begin + 2 * C.SLICE_BYTES]
+            space = np.flatnonzero(C._IS_SPACE[near])
+            if not len(space):  # one very long word
+                break
+            end = begin + C.SLICE_BYTES + int(space[0])
+            yield at, at + 1, data[begin:end], np.array([0, end - begin]), True
+            begin = end
+        yield at, at + part.num_rows, data[begin:], np.maximum(offs - begin, 0), False
         at += part.num_rows
 
 
+class _Shard:
+    """Rows counted so far: kept columns, cells and words."""
+
+    def __init__(self):
+        self.held, self.rows, self.cols, self.counts, self.words, self.n, self.size = [], [], [], [], {}, 0, 0
+        self.kinds: list[np.ndarray] = []
+
+    def add(self, first: int, data: np.ndarray, offs: np.ndarray) -> None:
+        """Texts of the rows from number ``first``."""
+        n = len(offs) - 1
+        text = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+        row, col, count, dictionary = _words(text)
+        words = self.words
+        number = np.fromiter((words.setdefault(w, len(words)) for w in dictionary.to_pylist()), np.int64, len(dictionary))
+        self.rows.append(first + row)
+        self.cols.append(number[col] if len(col) else col)
+        self.counts.append(count)
+        self.size += len(data)
+        kind = np.zeros((3, n), np.int64)
+        for i in range(3):
+            kind[i] = np.diff(np.concatenate([[0], np.cumsum(_KIND[i, data])])[offs])
+        self.kinds.append(np.vstack([first + np.arange(n), kind]))
+
+    def batch(self, number: int, names: list[str], types: list) -> pa.RecordBatch:
+        n, words = self.n, list(self.words)
+        joined = "\n".join(words).encode()
+        keys, _ = C.hash_words(np.frombuffer(joined, np.uint8), np.array([0, len(joined)])) if words and words != [""] else (np.zeros(0, np.uint64), None)
+        words = [w for w in words if w]
+        empty = self.words.get("")  # never has a cell
+        order = np.argsort(keys, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        cols = np.concatenate(self.cols) if self.cols else np.zeros(0, np.int64)
+        if empty is not None:
+            cols = cols - (cols > empty)
+        wide = len(order) + 1
+        cell = np.concatenate(self.rows) * wide + (rank[cols] if len(cols) else cols) if self.rows else cols
+        at = np.argsort(cell)
+        cell, counts = cell[at], (np.concatenate(self.counts) if self.counts else cols)[at]
+        new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+        counts, cell = np.add.reduceat(counts, new) if len(new) else counts, cell[new]
+        starts = np.searchsorted(cell, np.arange(n + 1) * wide)
+        kinds = np.zeros((3, n), np.int64)
+        for k in self.kinds:
+            np.add.at(kinds, (slice(None), k[0]), k[1:])
+        lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.concat_arrays([h[i] for h in self.held])) for i in range(len(types))]
+        ints = [pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (starts, cell % wide, counts)]
+        longs = [pa.array([k], pa.list_(pa.int64())) for k in kinds]
+        tail = [pa.array([len(words)], pa.int32()), pa.array([pack_numbers(keys[order], True)], pa.binary()), pa.array([[words[i] for i in order]], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, *ints, *longs, *tail], ["shard", *names, *_OWN])
+
+
+_OWN = ["starts", "cols", "counts", "points", "capitals", "signs", "wide", "keys", "words"]
+
+
 def _count(batches, keep: int):
-    """Shards of a task: keep columns as lists, starts, columns, counts and words of its own dictionary."""
+    """The shards of a task."""
     from pyspark import TaskContext
 
-    task, nth = TaskContext.get().partitionId(), 0
-    names = None
-
-    def out(held, rows, cols, counts, words, n):
-        nonlocal nth
-        rows, cols, counts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, cols, counts))
-        wide = max(len(words), 1)
-        cell, back = np.unique(rows * wide + cols, return_inverse=True)
-        counts = np.bincount(back, counts, len(cell)).astype(np.int64)
-        starts = np.searchsorted(cell // wide, np.arange(n + 1))
-        lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.concat_arrays([h[i] for h in held])) for i in range(keep)]
-        own = [pa.array([x], pa.list_(t)) for x, t in ((starts.astype(np.int32), pa.int32()), ((cell % wide).astype(np.int32), pa.int32()), (counts.astype(np.int32), pa.int32()))]
-        batch = pa.RecordBatch.from_arrays([pa.array([(task << 24) + nth], pa.int64()), *lists, *own, pa.array([list(words)], pa.list_(pa.string()))], ["shard", *names, "starts", "cols", "counts", "words"])
-        nth += 1
-        return batch
-
-    fresh = lambda: ([], [], [], [], {}, 0, 0)
-    held, rows, cols, counts, words, n, size = fresh()
+    number = TaskContext.get().partitionId() << 24
+    shard = _Shard()
+    names = types = None
     for batch in batches:
-        names = names or batch.schema.names[:keep]
-        done = 0
-        pieces = list(_plan(batch, keep))
-        for first, last, text in pieces:
-            r, dictionary, c = _words(text)
-            number = np.fromiter((words.setdefault(w, len(words)) for w in dictionary.to_pylist()), np.int64, len(dictionary))
-            cell, k = np.unique(r * max(len(dictionary), 1) + c, return_counts=True)
-            rows.append(n + first - done + cell // max(len(dictionary), 1))
-            cols.append(number[cell % max(len(dictionary), 1)])
-            counts.append(k)
-            size += text.nbytes
-            if size >= SHARD_BYTES and last is not None:
-                held.append([batch.column(i).slice(done, last - done) for i in range(keep)])
-                yield out(held, rows, cols, counts, words, n + last - done)
-                held, rows, cols, counts, words, n, size = fresh()
-                done = last
+        names, types, done = batch.schema.names[:keep], batch.schema.types[:keep], 0
+        for first, end, data, offs, goes_on in _stretches(batch, keep):
+            shard.add(shard.n + first - done, data, offs)
+            if shard.size >= SHARD_BYTES and not goes_on:
+                shard.held.append([batch.column(i).slice(done, end - done) for i in range(keep)])
+                shard.n += end - done
+                yield shard.batch(number, names, types)
+                shard, number, done = _Shard(), number + 1, end
         if batch.num_rows > done:
-            held.append([batch.column(i).slice(done) for i in range(keep)])
-            n += batch.num_rows - done
-    if n:
-        yield out(held, rows, cols, counts, words, n)
-
-
-def _plan(batch: pa.RecordBatch, text: int):
-    """Stretches with the row after their last, or None where the row goes on in the next stretch."""
-    before = None
-    for first, col in _stretches(batch, text):
-        if before is not None:
-            yield before[0], (None if first == before[0] else first), before[1]
-        before = (first, col)
-    if before is not None:
-        yield before[0], batch.num_rows, before[1]
+            shard.held.append([batch.column(i).slice(done) for i in range(keep)])
+            shard.n += batch.num_rows - done
+    if shard.n:
+        yield shard.batch(number, names, types)
 
 
 def shards(docs: DataFrame, keep: list[str], scratch: C.Scratch) -> DataFrame:
-    """The matrix in shards with dictionaries of their own: shard, a list of each column of ``keep``,
-    starts, cols, counts, words."""
-    ints = T.ArrayType(T.IntegerType())
-    schema = T.StructType([T.StructField("shard", T.LongType()), *(T.StructField(c, T.ArrayType(docs.schema[c].dataType)) for c in keep), T.StructField("starts", ints), T.StructField("cols", ints), T.StructField("counts", ints), T.StructField("words", T.ArrayType(T.StringType()))])
+    """The matrix in shards with dictionaries of their own: shard; a list of each column of ``keep``;
+    starts, cols, counts; per row its code points, capitals A-Z and signs; wide (number of words),
+    keys (their hashes, ascending, packed) and words. Words are told apart by 64-bit hashes."""
+    ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
+    own = [*(T.StructField(c, ints) for c in _OWN[:3]), *(T.StructField(c, longs) for c in _OWN[3:6]), T.StructField("wide", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))]
+    schema = T.StructType([T.StructField("shard", T.LongType()), *(T.StructField(c, T.ArrayType(docs.schema[c].dataType)) for c in keep), *own])
     n = len(keep)
     return C.table(docs.select(*keep, "text").mapInArrow(lambda batches: _count(batches, n), schema), "audit_shards", scratch)
 
 
-def dictionary(local: DataFrame, scratch: C.Scratch) -> DataFrame:
-    """word and id (dense, from 0) of all distinct words of the shards."""
-    def number(batches):
-        from pyspark import TaskContext
-
-        part, at = TaskContext.get().partitionId(), 0
+def _ask(bits: int):
+    """A shard's words by hash range: range, shard, keys."""
+    def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], ["word", "part", "local"])
-            at += n
-
-    words = C.table(local.select(F.explode("words").alias("word")).distinct().mapInArrow(number, "word string, part int, local long"), "audit_words", scratch)
-    sizes = words.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row per partition
-    before = C.table(before, "audit_offsets", scratch)
-    if before.count() <= BROADCAST_ROWS:
-        before = F.broadcast(before)
-    return words.join(before, "part").select("word", (F.col("before") + F.col("local")).alias("id"))
-
-
-def term_matrix(local: DataFrame, keep: list[str], scratch: C.Scratch) -> tuple[DataFrame, DataFrame]:
-    """(dictionary, matrix): the shards with global column ids in ``cols``, in order within each row.
-
-    A frequent word is one row per shard in the join with the dictionary, both sides of which are
-    plainly shuffled, so that Spark can split it. A shard's names meet it again in one row."""
-    ids = dictionary(local, scratch)
-    asked = local.select("shard", F.posexplode("words").alias("col", "word"))
-    named = asked.join(ids, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("col", "id"))).alias("ids"))
-    rest = [*keep, "starts", "cols", "counts"]
-    joined = local.select("shard", *rest).join(named, "shard", "left").select("shard", *rest, F.coalesce(F.transform("ids", lambda x: x["id"]), F.array().cast("array<bigint>")).alias("ids"))
+            for r in batch.to_pylist():
+                keys = unpack_numbers(r["keys"], True)
+                of = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                cuts = np.flatnonzero(np.diff(of)) + 1
+                parts = np.split(keys, cuts)
+                first = of[np.concatenate([[0], cuts])] if len(keys) else []
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), pa.array([r["shard"]] * len(parts), pa.int64()), pa.array([pack_numbers(x, True) for x in parts], pa.binary())], ["range", "shard", "keys"])
+
+    return run
+
+
+def _number(rows: pa.Table) -> pa.Table:
+    """Numbers of a range's words within the range, for every shard that asked: range, shard, n (distinct words), ranks."""
+    asked = [unpack_numbers(x, True) for x in rows["keys"].to_pylist()]
+    every, rank = np.unique(np.concatenate(asked), return_inverse=True)
+    ranks = np.split(rank.astype(np.uint64), np.cumsum([len(x) for x in asked])[:-1])
+    return pa.table([rows["range"], rows["shard"], pa.array(np.full(len(asked), len(every), np.int64)), pa.array([pack_numbers(x, True) for x in ranks], pa.binary())], ["range", "shard", "n", "ranks"])
+
+
+def term_matrix(local: DataFrame, keep: list[str], scratch: C.Scratch) -> DataFrame:
+    """The shards with global column ids in ``cols``: dense from 0 and ascending within each row.
+
+    A hash range holds about RANGE_ITEMS words of all shards, so the number of ranges grows with the
+    corpus; a frequent word is in it once per shard. Answers meet their shard in one row per range."""
+    asked = local.agg(F.sum("wide")).first()[0] or 0
+    bits = max(int(asked // RANGE_ITEMS), 1).bit_length()
+    answers = C.table(local.select("shard", "keys").mapInArrow(_ask(bits), "range int, shard long, keys binary").groupBy("range").applyInArrow(_number, "range int, shard long, n long, ranks binary"), "audit_words", scratch)
+    sizes = answers.groupBy("range").agg(F.max("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    offsets = C.table(sizes.select("range", before.alias("before")), "audit_offsets", scratch)
+    if offsets.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    named = answers.join(offsets, "range").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("range", "before", "ranks"))).alias("ids"))
+    joined = local.drop("keys", "wide", "words").join(named, "shard", "left")
     fields = local.schema
-    schema = T.StructType([fields["shard"], *(fields[c] for c in keep), fields["starts"], T.StructField("cols", T.ArrayType(T.LongType())), fields["counts"]])
+    names = ["shard", *keep, *_OWN[:6]]
+    schema = T.StructType([T.StructField("cols", T.ArrayType(T.LongType())) if c == "cols" else fields[c] for c in names])
 
     def rename(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                at = {name: j for j, name in enumerate(one.schema.names)}
-                values = lambda c: np.asarray(one.column(at[c]).flatten(), np.int64)  # noqa: E731, B023
-                starts, cols, counts, names = (values(c) for c in ("starts", "cols", "counts", "ids"))
-                cols = names[cols] if len(cols) else cols
-                order = np.lexsort((cols, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
-                lists = [pa.array([cols[order]], pa.list_(pa.int64())), pa.array([counts[order].astype(np.int32)], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*(one.column(at[c]) for c in ("shard", *keep, "starts")), *lists], ["shard", *keep, "starts", "cols", "counts"])
+                col = {c: one.column(one.schema.get_field_index(c)) for c in one.schema.names}
+                ids = [unpack_numbers(x["ranks"], True).astype(np.int64) + x["before"] for x in col["ids"][0].as_py() or []]
+                cols = np.asarray(col["cols"].flatten(), np.int64)
+                cols = np.concatenate(ids)[cols] if len(cols) else cols
+                yield pa.RecordBatch.from_arrays([pa.array([cols], pa.list_(pa.int64())) if c == "cols" else col[c] for c in names], names)
+
+    return joined.mapInArrow(rename, schema)
 
-    return ids, joined.mapInArrow(rename, schema)
+
+def dictionary(local: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """word and id of all columns of the matrix: the ids of each shard's words, as ``term_matrix``
+    numbers them, once each."""
+    words = local.select("shard", F.array(F.lit(0)).cast("array<int>").alias("x"), F.array(F.lit(0), F.col("wide")).alias("starts"), F.when(F.col("wide") > 0, F.sequence(F.lit(0), F.col("wide") - 1)).otherwise(F.array().cast("array<int>")).alias("cols"), F.expr("transform(words, w -> 1)").alias("counts"), *(F.array(F.lit(0).cast("bigint")).alias(c) for c in _OWN[3:6]), "wide", "keys", "words")
+    ids = term_matrix(words, ["x"], scratch).select("shard", "cols")
+    return local.select("shard", "words").join(ids, "shard").select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("cols").alias("id")))).groupBy("id").agg(F.min("word").alias("word"))
 
 
 def row_stats(matrix: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, n_words (row sum) and n_distinct (nonzero columns) of every document."""
-    schema = T.StructType([*(T.StructField(c, matrix.schema[c].dataType.elementType) for c in keep), T.StructField("n_words", T.LongType()), T.StructField("n_distinct", T.LongType())])
+    """keep, n_words (row sum), n_distinct (nonzero columns), points, capitals and signs of every document."""
+    more = ["n_words", "n_distinct", "points", "capitals", "signs"]
+    schema = T.StructType([*(T.StructField(c, matrix.schema[c].dataType.elementType) for c in keep), *(T.StructField(c, T.LongType()) for c in more)])
 
     def run(batches):
         for batch in batches:
-            at = {name: j for j, name in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                starts, counts = (np.asarray(one.column(at[c]).flatten(), np.int64) for c in ("starts", "counts"))
+                flat = lambda c: one.column(one.schema.get_field_index(c)).flatten()  # noqa: E731, B023
+                starts, counts = np.asarray(flat("starts"), np.int64), np.asarray(flat("counts"), np.int64)
                 total = np.concatenate([[0], np.cumsum(counts)])[starts]
-                yield pa.RecordBatch.from_arrays([*(one.column(at[c]).flatten() for c in keep), pa.array(np.diff(total)), pa.array(np.diff(starts))], schema.names)
+                yield pa.RecordBatch.from_arrays([*(flat(c) for c in keep), pa.array(np.diff(total)), pa.array(np.diff(starts)), *(flat(c) for c in more[2:])], schema.names)
 
     return matrix.mapInArrow(run, schema)
 
@@ -202,14 +251,13 @@ def document_flags(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
     E. Rows of one id are documents each. Very long texts are counted in stretches. Other columns of
     ``docs`` don't matter."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    capitals = F.length(text) - F.length(F.translate(text, _CAPITALS, ""))
-    keep = ["doc_id", "part", "C", "D", "same"]
-    rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), (100 * capitals > CAPITAL_PERCENT * F.length(text)).alias("C"), text.rlike(SIGNS).alias("D"), F.unhex(F.sha2(text, 256)).alias("same"), text.alias("text"))
-    _, matrix = term_matrix(shards(rows, keep, scratch), keep, scratch)
-    stats = C.table(row_stats(matrix, keep), "audit_rows", scratch)
+    keep = ["doc_id", "part", "same"]
+    rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("same"), text.alias("text"))
+    stats = C.table(row_stats(term_matrix(shards(rows, keep, scratch), keep, scratch), keep), "audit_rows", scratch)
     first = C.table(stats.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first"), "audit_copies", scratch)
     stats = stats.join(first, "same", "left")
-    return stats.select("doc_id", "part", (F.col("n_words") < MIN_WORDS).alias("A"), (100 * F.col("n_distinct") < DISTINCT_PERCENT * F.col("n_words")).alias("B"), "C", "D", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("E"))
+    return stats.select("doc_id", "part", (F.col("n_words") < MIN_WORDS).alias("A"), (100 * F.col("n_distinct") < DISTINCT_PERCENT * F.col("n_words")).alias("B"),
+                        (100 * F.col("capitals") > CAPITAL_PERCENT * F.col("points")).alias("C"), (F.col("signs") > 0).alias("D"), F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("E"))
 
 
 def _orders() -> Column:
