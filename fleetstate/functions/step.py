@@ -1,11 +1,12 @@
-"""One transition of the fold, for the places that run per key in Python (log re-fold, stream state).
+"""One transition of the fold, for the places that run per key in Python (stream state).
 
-The dense tables come from ``fleetstate.model``; a state is (s, message, next_update_time).
+The dense tables come from a compiled rule table; a state is (s, message, next_update_time).
 """
 
 from __future__ import annotations
 
-from fleetstate.model import ERROR_SEPARATOR, FOLD_STATES, SIGNALS, Params, dense_tables
+from fleetstate.functions.rules import BUILT_IN, RuleTable
+from fleetstate.model import ERROR_SEPARATOR, FOLD_STATES, SIGNALS, Params
 
 N_STATES = len(FOLD_STATES)
 N_SIGNALS = len(SIGNALS)
@@ -14,9 +15,9 @@ SIGNAL_INDEX = {s: i for i, s in enumerate(SIGNALS)}
 
 
 class Stepper:
-    def __init__(self, p: Params):
-        d = dense_tables()
-        self.next, self.msg, self.rule, self.const = d["next"], d["msg"], d["next_rule"], d["const"]
+    def __init__(self, p: Params, rules: RuleTable = BUILT_IN):
+        self.next, self.msg, self.rule, self.const = rules.next.tolist(), rules.msg.tolist(), rules.rule.tolist(), rules.const
+        self.n_signals, self.removed = len(rules.signals), rules.removed
         self.p = p
 
     def step(self, s: int, m, n, g: int, x_msg, t: int):
@@ -24,9 +25,9 @@ class Stepper:
 
         Returns (s, m, n, outcome) with outcome Applied / NotAllowed / NotFound.
         """
-        if g < 0 or self.next[s * N_SIGNALS + g] < 0:
-            return s, m, n, ("NotFound" if s == REMOVED_INDEX else "NotAllowed")
-        k = s * N_SIGNALS + g
+        k = s * self.n_signals + g
+        if g < 0 or self.next[k] < 0:
+            return s, m, n, ("NotFound" if s == self.removed else "NotAllowed")
         r = self.msg[k]
         if r == 0:
             m = None

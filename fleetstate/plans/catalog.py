@@ -838,3 +838,6 @@ def q_monitor_rounds(spark, sf):
         stream = spark.readStream.schema(obs.schema).option("recursiveFileLookup", "true").parquet(f"{root}/obs")
         S.monitor_rounds(stream, f"{root}/registry", X.outcomes(spark, sf), f"{root}/ck", P, now_fn=lambda e: P.now + 100 * e)
     return registry.read_registry(spark, f"{root}/registry/v=3").select("id", "state_kind", "state_message", "next_update_time")
+
+
+from fleetstate.plans import live  # noqa: E402, F401 - registers the queries of running streams and monitors

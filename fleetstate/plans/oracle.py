@@ -306,3 +306,15 @@ select case when l_orderkey % 13 = 0 then concat('none-', cast(l_orderkey as var
   {_epoch('l_shipdate')} as next_update_time
 from lineitem"""
 ORDER.append("cas_requests")
+
+
+VIEWS["waits"] = f"""
+select concat('eng-', cast(user_id as varchar)) as id, event_id as wait_id, ts,
+  case event_id % 3 when 0 then 'Running' when 1 then 'Terminated' else 'ErrorClean' end as target,
+  case event_id % 3 when 0 then ['WaitToStart', 'TriggerStart', 'StartInProgress']
+    when 1 then ['WaitToStart', 'TriggerStart', 'StartInProgress', 'Running', 'WaitToTerminate', 'TriggerTermination', 'TerminateInProgress']
+    else ['WaitToStart', 'TriggerStart', 'StartInProgress', 'Running', 'WaitToTerminate', 'TriggerTermination', 'TerminateInProgress',
+          'ErrorWaitToClean', 'ErrorTriggerClean', 'ErrorCleanInProgress'] end as allowed,
+  ts + to_days(cast(event_id % 5 + 1 as int)) as deadline
+from (select *, {PROPS_K} as k from events) x where k % 7 = 3"""
+ORDER.append("waits")

@@ -233,6 +233,26 @@ def time_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(k.alias("request_id"), F.concat(base, F.lit(" "), off).alias("text"))
 
 
+WAIT_ALLOWED = {
+    "Running": ["WaitToStart", "TriggerStart", "StartInProgress"],
+    "Terminated": ["WaitToStart", "TriggerStart", "StartInProgress", "Running", "WaitToTerminate", "TriggerTermination", "TerminateInProgress"],
+    "ErrorClean": [s for s in STATES if s not in ("Terminated", "ErrorClean")],
+}
+
+
+def waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waits for a state, registered at the time of one event in seven: three targets, deadlines of one to five days."""
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "props").where(_props_k() % 7 == 3)
+    which = F.col("event_id") % 3
+    targets = list(WAIT_ALLOWED)
+    allowed = [F.array(*[F.lit(s) for s in WAIT_ALLOWED[t]]) for t in targets]
+    ts = F.col("ts").cast("timestamp")
+    return ev.select(
+        _eng(F.col("user_id")).alias("id"), F.col("event_id").alias("wait_id"), ts.alias("ts"),
+        _pick(which, targets).alias("target"), F.when(which == 0, allowed[0]).when(which == 1, allowed[1]).otherwise(allowed[2]).alias("allowed"),
+        F.timestamp_micros(F.unix_micros(ts) + (F.col("event_id") % 5 + 1) * 86_400_000_000).alias("deadline"))
+
+
 def cas_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered compare-and-set attempts, several per id: one per observation row of an order.
 

@@ -10,6 +10,10 @@ per id per micro-batch (or timer) carrying a ``version`` that rises with event t
 row per id is the current state (``latest_per_id``). A trigger state whose deadline is past at the
 time of the next signal is timed out before that signal, whether its timer fired in an earlier
 micro-batch or not, so the result doesn't depend on how signals are cut into batches.
+
+With ``reorder`` signals wait in an event-time buffer until the watermark has passed them, so that
+any order and any cut into micro-batches within the watermark's delay gives what the batch replay
+gives. With ``initial`` a stream starts from existing records, as the batch replay does.
 """
 
 from __future__ import annotations
@@ -17,22 +21,20 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from fleetstate.functions.step import REMOVED_INDEX, SIGNAL_INDEX, Stepper
-from fleetstate.model import FOLD_STATES, STATE_CLASS, Params
+from fleetstate.functions.rules import BUILT_IN, RuleTable, compile_rules
+from fleetstate.functions.step import Stepper
+from fleetstate.model import Params
 from fleetstate.session import ensure_checkpoint_dir
 
 STATE_SCHEMA = ("s int, m string, n bigint, last_ts bigint, last_seq bigint, "
                 "n_signals bigint, n_applied bigint, n_dropped bigint, version bigint")
 OUTPUT_SCHEMA = ("id string, state_kind string, state_message string, next_update_time bigint, "
                  "n_signals bigint, n_applied bigint, n_dropped bigint, version bigint, via string")
-TRIGGER_INDEXES = {i for i, s in enumerate(FOLD_STATES) if STATE_CLASS.get(s) == "trigger"}
-TIMEOUT_INDEX = SIGNAL_INDEX["TIMEOUT"]
 STATEFUL_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -42,74 +44,71 @@ STATEFUL_CONF = {
 class LifecycleProcessor(StatefulProcessor):
     """Keyed lifecycle state; input rows: id, ts_us, t (epoch seconds), seq, signal, msg."""
 
-    def __init__(self, p: Params, auto_timeout: bool = False, tombstone_ttl_s: int | None = None, explicit_create: bool = False):
+    def __init__(self, p: Params, auto_timeout: bool = False, tombstone_ttl_s: int | None = None, explicit_create: bool = False,
+                 rules: RuleTable = BUILT_IN, seeded: bool = False):
         self.p = p
         self.explicit_create = explicit_create
         self.auto_timeout = auto_timeout
         self.tombstone_ttl_s = tombstone_ttl_s
+        self.rules = rules
+        self.seeded = seeded
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("lifecycle", STATE_SCHEMA)
         self.tomb = handle.getValueState("tombstone", "n_dropped bigint, expire_s bigint, version bigint")
-        self.stepper = Stepper(self.p)
+        self.stepper = Stepper(self.p, self.rules)
+        self.signal_index = {s: i for i, s in enumerate(self.rules.signals)}
+        self.triggers = self.rules.triggers
 
     def _load(self):
         if self.state.exists():
             return list(self.state.get())
-        return [0, None, None, None, None, 0, 0, 0, 0]
+        return [self.rules.removed if self.seeded else 0, None, None, None, None, 0, 0, 0, 0]
 
     def _row(self, key, st, via):
         s, m, n, _, _, n_sig, n_app, n_drop, ver = st
         return pd.DataFrame({
-            "id": [key], "state_kind": [FOLD_STATES[s]], "state_message": [m],
+            "id": [key], "state_kind": [self.rules.states[s]], "state_message": [m],
             "next_update_time": pd.array([n], dtype="Int64"), "n_signals": [n_sig], "n_applied": [n_app],
             "n_dropped": [n_drop], "version": [ver], "via": [via]})
 
-    def _save(self, st, now_s: int | None = None):
+    def _save(self, st, now_s: int | None = None, keep_ms: int | None = None):
+        """Write the state and set its timers; ``keep_ms`` is a timer of someone else's."""
         timed = self.auto_timeout or self.tombstone_ttl_s is not None
         if timed:
             for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-        if st[0] == REMOVED_INDEX and self.tombstone_ttl_s is not None:
+                if t != keep_ms:
+                    self.handle.deleteTimer(t)
+        if st[0] == self.rules.removed and self.tombstone_ttl_s is not None:
             expire = int(now_s) + self.tombstone_ttl_s
             self.state.clear()
             self.tomb.update((st[7], expire, st[8]))
             self.handle.registerTimer(expire * 1000)
             return
         self.state.update(tuple(st))
-        if self.auto_timeout and st[0] in TRIGGER_INDEXES and st[2] is not None:
+        if self.auto_timeout and st[0] in self.triggers and st[2] is not None:
             # due is strict in whole seconds: the first second after the deadline
             self.handle.registerTimer((int(st[2]) + 1) * 1000)
 
     def _time_out(self, s, m, n, t: int):
         """What a trigger state is at second ``t``: back to waiting once its deadline is past."""
-        if self.auto_timeout and s in TRIGGER_INDEXES and n is not None and int(n) < t:
-            s, m, n, _ = self.stepper.step(s, m, n, TIMEOUT_INDEX, None, int(n) + 1)
+        if self.auto_timeout and s in self.triggers and n is not None and int(n) < t:
+            s, m, n, _ = self.stepper.step(s, m, n, self.signal_index["TIMEOUT"], None, int(n) + 1)
         return s, m, n
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        (rid,) = key
-        pdf = pd.concat(list(rows), ignore_index=True)
-        removed_version = 0
-        if self.tomb.exists() and not self.state.exists() and self.explicit_create and (pdf["signal"] == "CREATE").any():
-            removed_version = int(self.tomb.get()[2])
-            self.tomb.clear()
-        if self.tomb.exists() and not self.state.exists():  # removed earlier: everything is NotFound
-            n_drop, expire, ver = self.tomb.get()
-            n_drop, ver = int(n_drop) + len(pdf), int(ver) + 1
-            self.tomb.update((n_drop, expire, ver))
-            yield self._row(rid, [REMOVED_INDEX, None, None, None, None, 0, 0, n_drop, ver], "tombstone")
-            return
-        order = np.lexsort((pdf["seq"].to_numpy(), pdf["ts_us"].to_numpy()))
-        pdf = pdf.iloc[order]
-        st = self._load()
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """A record that exists before the stream does; input: state_kind, state_message, next_update_time."""
+        for kind, m, n in zip(initialState["state_kind"], initialState["state_message"], initialState["next_update_time"]):
+            if kind in self.rules.states:
+                self._save([self.rules.states.index(kind), None if pd.isna(m) else m, None if pd.isna(n) else int(n), None, None, 0, 0, 0, 0])
+
+    def _apply(self, st: list, signals) -> tuple[list, bool]:
+        """The state after signals (ts_us, seq, signal, msg) in order, and whether there is a record."""
         s, m, n, last_ts, last_seq, n_sig, n_app, n_drop, ver = st
-        ver = max(ver, removed_version)
         there = not self.explicit_create or self.state.exists()
-        for ts_us, seq, sig, x_msg, t in zip(pdf["ts_us"].to_numpy(), pdf["seq"].to_numpy(), pdf["signal"].to_numpy(),
-                                             pdf["msg"].to_numpy(), pdf["t"].to_numpy()):
-            ts_us, seq = int(ts_us), int(seq)
+        for ts_us, seq, sig, x_msg in signals:
+            t = ts_us // 1_000_000
             if last_ts is not None and (ts_us, seq) <= (last_ts, last_seq):
                 n_drop += 1
                 continue
@@ -117,20 +116,37 @@ class LifecycleProcessor(StatefulProcessor):
                 if sig != "CREATE":  # no such record: NotFound
                     n_drop += 1
                     continue
-                there, s, m, n = True, 0, None, int(t)
+                there, s, m, n = True, 0, None, t
                 n_sig, n_app, last_ts, last_seq = n_sig + 1, n_app + 1, ts_us, seq
                 continue
-            g = SIGNAL_INDEX.get(sig, -1)
-            s, m, n = self._time_out(s, m, n, int(t))  # as its timer would have, had it come first
-            s, m, n, oc = self.stepper.step(s, m, n, g, None if x_msg is None or pd.isna(x_msg) else x_msg, int(t))
+            g = self.signal_index.get(sig, -1)
+            s, m, n = self._time_out(s, m, n, t)  # as its timer would have, had it come first
+            s, m, n, oc = self.stepper.step(s, m, n, g, x_msg, t)
             n_sig += 1
             n_app += oc == "Applied"
             last_ts, last_seq = ts_us, seq
+        # versions follow event time, so they rise even after an expired tombstone took the state along
+        return [s, m, n, last_ts, last_seq, n_sig, n_app, n_drop, max(ver + 1, last_ts or 0)], there
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        (rid,) = key
+        signals = sorted((x for pdf in rows for x in _signals(pdf)), key=lambda x: x[:2])
+        removed_version = 0
+        if self.tomb.exists() and not self.state.exists() and self.explicit_create and any(x[2] == "CREATE" for x in signals):
+            removed_version = int(self.tomb.get()[2])
+            self.tomb.clear()
+        if self.tomb.exists() and not self.state.exists():  # removed earlier: everything is NotFound
+            n_drop, expire, ver = self.tomb.get()
+            n_drop, ver = int(n_drop) + len(signals), int(ver) + 1
+            self.tomb.update((n_drop, expire, ver))
+            yield self._row(rid, [self.rules.removed, None, None, None, None, 0, 0, n_drop, ver], "tombstone")
+            return
+        st = self._load()
+        st[8] = max(st[8], removed_version)
+        st, there = self._apply(st, signals)
         if not there:
             return
-        # versions follow event time, so they rise even after an expired tombstone took the state along
-        st = [s, m, n, last_ts, last_seq, n_sig, n_app, n_drop, max(ver + 1, last_ts or 0)]
-        self._save(st, None if last_ts is None else last_ts // 1_000_000)
+        self._save(st, None if st[3] is None else st[3] // 1_000_000)
         yield self._row(rid, st, "signals")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -141,7 +157,7 @@ class LifecycleProcessor(StatefulProcessor):
                 self.tomb.clear()  # tombstone expired: the id may be created again
             return
         st = self._load()
-        if st[0] in TRIGGER_INDEXES and st[2] is not None and int(st[2]) + 1 == fire_s:
+        if st[0] in self.triggers and st[2] is not None and int(st[2]) + 1 == fire_s:
             s, m, n = self._time_out(st[0], st[1], st[2], fire_s)
             st = [s, m, n] + st[3:8] + [max(st[8] + 1, fire_s * 1_000_000)]
             self._save(st, fire_s)
@@ -151,6 +167,98 @@ class LifecycleProcessor(StatefulProcessor):
         pass
 
 
+def _signals(pdf: pd.DataFrame) -> list[tuple]:
+    """(ts_us, seq, signal, msg) of the rows of a frame."""
+    texts = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in ("signal", "msg")]
+    return list(zip(pdf["ts_us"].tolist(), pdf["seq"].tolist(), *texts))
+
+
+class ReorderedProcessor(LifecycleProcessor):
+    """Lifecycle state behind an event-time reorder buffer.
+
+    Signals are only appended to the key's buffer when they come, whatever their number and order. A
+    timer stands at the earliest of them; once the watermark has passed it, nothing before the
+    watermark can come any more, and all signals up to there are applied in order. So a key holds the
+    signals of one watermark delay at most."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.buffer = ReorderBuffer(handle, "signals", "ts_us bigint, seq bigint, signal string, msg string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            self.buffer.add(_signals(pdf))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (rid,) = key
+        watermark = timerValues.getCurrentWatermarkInMs()
+        signals = self.buffer.release(watermark)
+        if not signals and not self.state.exists():
+            return
+        st, there, via = self._load(), True, "signals"
+        if signals:
+            st, there = self._apply(st, sorted(set(signals), key=lambda x: x[:2]))
+            if not there:
+                return
+        s, m, n = st[:3]
+        if self.auto_timeout and s in self.triggers and n is not None and (int(n) + 1) * 1000 <= watermark:
+            s, m, n = self._time_out(s, m, n, int(n) + 1)
+            st, via = [s, m, n] + st[3:8] + [max(st[8] + 1, (int(st[2]) + 1) * 1_000_000)], "timer"
+        if signals or via == "timer":
+            self._save(st, None, self.buffer.due_ms())
+            yield self._row(rid, st, via)
+
+
+class ReorderBuffer:
+    """Rows of a key that wait for the watermark; their first column is the event time in microseconds."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, schema: str):
+        self.handle = handle
+        self.rows = handle.getListState(f"{name}_waiting", schema)
+        self.due = handle.getValueState(f"{name}_due", "ms bigint")
+
+    def due_ms(self) -> int | None:
+        """When the timer of the earliest row stands."""
+        return int(self.due.get()[0]) if self.due.exists() else None
+
+    def _set(self, ms: int | None) -> None:
+        old = self.due_ms()
+        if old is not None and old != ms:
+            self.handle.deleteTimer(old)
+        if ms is None:
+            self.due.clear()
+        elif ms != old:
+            self.due.update((ms,))
+            self.handle.registerTimer(ms)
+
+    def add(self, rows: list[tuple]) -> None:
+        if not rows:
+            return
+        self.rows.appendList(rows)
+        first = -(-min(r[0] for r in rows) // 1000)
+        old = self.due_ms()
+        if old is None or first < old:
+            self._set(first)
+
+    def release(self, watermark_ms: int) -> list[tuple]:
+        """Take out the rows up to the watermark."""
+        due = self.due_ms()
+        if due is None or due > watermark_ms:
+            return []
+        waiting = [tuple(r) for r in self.rows.get()]
+        ready = [r for r in waiting if r[0] <= watermark_ms * 1000]
+        left = [r for r in waiting if r[0] > watermark_ms * 1000]
+        if left:
+            self.rows.put(left)
+        else:
+            self.rows.clear()
+        self.due.clear()  # its timer is the one that fired, or goes
+        self.handle.deleteTimer(due)
+        self._set(-(-min(r[0] for r in left) // 1000) if left else None)
+        return ready
+
+
 def prepare_stream(signals: DataFrame) -> DataFrame:
     return signals.select(
         "id", F.col("ts").cast("timestamp").alias("ts"),
@@ -161,7 +269,8 @@ def prepare_stream(signals: DataFrame) -> DataFrame:
 
 def lifecycle_stream(signals: DataFrame, p: Params, auto_timeout: bool = False,
                      watermark: str = "0 seconds", tombstone_ttl_s: int | None = None,
-                     clock: str = "event", explicit_create: bool = False) -> DataFrame:
+                     clock: str = "event", explicit_create: bool = False, reorder: bool = False,
+                     initial: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
     """Per-id lifecycle state over a signal stream (id, ts, seq, signal, msg).
 
     With ``auto_timeout`` a record left in a trigger state is sent back to waiting once its next
@@ -173,20 +282,34 @@ def lifecycle_stream(signals: DataFrame, p: Params, auto_timeout: bool = False,
     time); signals of ids without one are NotFound: dropped and, once the record exists, counted.
     Use it with tombstones, so that a late command can't bring back an id whose tombstone expired.
     Without it every id starts in WaitToStart, as in the batch replay.
+
+    With ``reorder`` signals are applied in (ts, seq) order across micro-batches, once the
+    ``watermark`` has passed them; repeats of a signal count once, and only what comes later than the
+    watermark's delay is lost. What the last watermark hasn't passed stays in the state.
+
+    ``initial`` (id, state_kind, state_message, next_update_time), a static frame, seeds the state in
+    the first micro-batch: ids begin as their record there, and ids without one are removed. ``edges``:
+    a caller's rule table (D12).
     """
+    if reorder and (clock != "event" or tombstone_ttl_s is not None):
+        raise ValueError("reordering is by event time, without tombstones that expire")
     if clock not in ("event", "processing"):
         raise ValueError("clock must be 'event' or 'processing'")
     spark = signals.sparkSession
     for k, v in STATEFUL_CONF.items():
         spark.conf.set(k, v)
     src = prepare_stream(signals)
-    timed = auto_timeout or tombstone_ttl_s is not None
-    if timed and clock == "event":  # timers (trigger timeouts, tombstone expiry) run on event time
+    timed = auto_timeout or tombstone_ttl_s is not None or reorder
+    if timed and clock == "event":  # timers (trigger timeouts, tombstone expiry, reordering) run on event time
         src = src.withWatermark("ts", watermark)
     mode = "None" if not timed else ("EventTime" if clock == "event" else "ProcessingTime")
+    kind = ReorderedProcessor if reorder else LifecycleProcessor
+    processor = kind(p, auto_timeout, tombstone_ttl_s, explicit_create, compile_rules(edges), initial is not None)
+    seed = None
+    if initial is not None:
+        seed = initial.select("id", "state_kind", "state_message", F.col("next_update_time").cast("bigint").alias("next_update_time")).groupBy("id")
     return src.groupBy("id").transformWithStateInPandas(
-        statefulProcessor=LifecycleProcessor(p, auto_timeout, tombstone_ttl_s, explicit_create),
-        outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode=mode)
+        statefulProcessor=processor, outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode=mode, initialState=seed)
 
 
 def latest_per_id(out: DataFrame) -> DataFrame:
