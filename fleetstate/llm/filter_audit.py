@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from fleetstate.llm import common as C
 from fleetstate.llm.blocks import pack_numbers, unpack_numbers
 
-SHARD_BYTES = 16 << 20  # text of a shard
+SHARD_BYTES = 8 << 20  # text of a shard
 RANGE_ITEMS = 1 << 20  # words of all shards in a hash range, about
 BROADCAST_ROWS = 200_000  # word counts of hash ranges: 12 bytes each
 FILTERS = "ABCDE"
@@ -85,9 +85,9 @@ class _Shard:
         row, col, count, dictionary = _words(text)
         words = self.words
         number = np.fromiter((words.setdefault(w, len(words)) for w in dictionary.to_pylist()), np.int64, len(dictionary))
-        self.rows.append(first + row)
-        self.cols.append(number[col] if len(col) else col)
-        self.counts.append(count)
+        self.rows.append((first + row).astype(np.int32))
+        self.cols.append((number[col] if len(col) else col).astype(np.int32))
+        self.counts.append(count.astype(np.int32))
         self.size += len(data)
         kind = np.zeros((3, n), np.int64)
         for i in range(3):
@@ -103,11 +103,11 @@ class _Shard:
         order = np.argsort(keys, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        cols = np.concatenate(self.cols) if self.cols else np.zeros(0, np.int64)
+        cols = np.concatenate(self.cols) if self.cols else np.zeros(0, np.int32)
         if empty is not None:
             cols = cols - (cols > empty)
         wide = len(order) + 1
-        cell = np.concatenate(self.rows) * wide + (rank[cols] if len(cols) else cols) if self.rows else cols
+        cell = np.concatenate(self.rows).astype(np.int64) * wide + (rank[cols] if len(cols) else cols) if self.rows else cols
         at = np.argsort(cell)
         cell, counts = cell[at], (np.concatenate(self.counts) if self.counts else cols)[at]
         new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
@@ -184,8 +184,8 @@ def _number(rows: pa.Table) -> pa.Table:
     return pa.table([rows["range"], rows["shard"], pa.array(np.full(len(asked), len(every), np.int64)), pa.array([pack_numbers(x, True) for x in ranks], pa.binary())], ["range", "shard", "n", "ranks"])
 
 
-def term_matrix(local: DataFrame, keep: list[str], scratch: C.Scratch) -> DataFrame:
-    """The shards with global column ids in ``cols``: dense from 0 and ascending within each row.
+def named_shards(local: DataFrame, keep: list[str], scratch: C.Scratch) -> DataFrame:
+    """The shards with ids: the global numbers of their words, by range (before, ranks).
 
     A hash range holds about RANGE_ITEMS words of all shards, so the number of ranges grows with the
     corpus; a frequent word is in it once per shard. Answers meet their shard in one row per range."""
@@ -198,12 +198,12 @@ def term_matrix(local: DataFrame, keep: list[str], scratch: C.Scratch) -> DataFr
     if offsets.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     named = answers.join(offsets, "range").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("range", "before", "ranks"))).alias("ids"))
-    joined = local.drop("keys", "wide", "words").join(named, "shard", "left")
-    fields = local.schema
-    names = ["shard", *keep, *_OWN[:6]]
-    schema = T.StructType([T.StructField("cols", T.ArrayType(T.LongType())) if c == "cols" else fields[c] for c in names])
+    return local.select("shard", *keep, *_OWN[:6]).join(named, "shard", "left")
+
 
-    def rename(batches):
+def _renamed(names: list[str]):
+    """A shard a batch, with the global ids in cols."""
+    def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
@@ -213,7 +213,15 @@ def term_matrix(local: DataFrame, keep: list[str], scratch: C.Scratch) -> DataFr
                 cols = np.concatenate(ids)[cols] if len(cols) else cols
                 yield pa.RecordBatch.from_arrays([pa.array([cols], pa.list_(pa.int64())) if c == "cols" else col[c] for c in names], names)
 
-    return joined.mapInArrow(rename, schema)
+    return run
+
+
+def term_matrix(local: DataFrame, keep: list[str], scratch: C.Scratch) -> DataFrame:
+    """The shards with global column ids in ``cols``: dense from 0 and ascending within each row."""
+    named = named_shards(local, keep, scratch)
+    names = ["shard", *keep, *_OWN[:6]]
+    schema = T.StructType([T.StructField("cols", T.ArrayType(T.LongType())) if c == "cols" else local.schema[c] for c in names])
+    return named.mapInArrow(_renamed(names), schema)
 
 
 def dictionary(local: DataFrame, scratch: C.Scratch) -> DataFrame:
@@ -224,21 +232,25 @@ def dictionary(local: DataFrame, scratch: C.Scratch) -> DataFrame:
     return local.select("shard", "words").join(ids, "shard").select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("cols").alias("id")))).groupBy("id").agg(F.min("word").alias("word"))
 
 
-def row_stats(matrix: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, n_words (row sum), n_distinct (nonzero columns), points, capitals and signs of every document."""
+def row_stats(local: DataFrame, keep: list[str], scratch: C.Scratch) -> DataFrame:
+    """keep, n_words (row sum), n_distinct (nonzero columns), points, capitals and signs of every
+    document, from the rows of its matrix."""
     more = ["n_words", "n_distinct", "points", "capitals", "signs"]
-    schema = T.StructType([*(T.StructField(c, matrix.schema[c].dataType.elementType) for c in keep), *(T.StructField(c, T.LongType()) for c in more)])
+    schema = T.StructType([*(T.StructField(c, local.schema[c].dataType.elementType) for c in keep), *(T.StructField(c, T.LongType()) for c in more)])
+    renamed = _renamed([*keep, *_OWN[:6]])
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                flat = lambda c: one.column(one.schema.get_field_index(c)).flatten()  # noqa: E731, B023
-                starts, counts = np.asarray(flat("starts"), np.int64), np.asarray(flat("counts"), np.int64)
-                total = np.concatenate([[0], np.cumsum(counts)])[starts]
-                yield pa.RecordBatch.from_arrays([*(flat(c) for c in keep), pa.array(np.diff(total)), pa.array(np.diff(starts)), *(flat(c) for c in more[2:])], schema.names)
+        for one in renamed(batches):
+            flat = lambda c: one.column(one.schema.get_field_index(c)).flatten()  # noqa: E731, B023
+            starts, cols, counts = (np.asarray(flat(c), np.int64) for c in _OWN[:3])
+            total = np.concatenate([[0], np.cumsum(counts)])[starts]
+            fresh = np.ones(len(cols), bool)  # ids ascend within a row
+            fresh[1:] = cols[1:] != cols[:-1]
+            fresh[starts[:-1][np.diff(starts) > 0]] = True
+            kinds = np.concatenate([[0], np.cumsum(fresh)])[starts]
+            yield pa.RecordBatch.from_arrays([*(flat(c) for c in keep), pa.array(np.diff(total)), pa.array(np.diff(kinds)), *(flat(c) for c in more[2:])], schema.names)
 
-    return matrix.mapInArrow(run, schema)
+    return named_shards(local, keep, scratch).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- filters
@@ -253,7 +265,7 @@ def document_flags(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keep = ["doc_id", "part", "same"]
     rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("same"), text.alias("text"))
-    stats = C.table(row_stats(term_matrix(shards(rows, keep, scratch), keep, scratch), keep), "audit_rows", scratch)
+    stats = C.table(row_stats(shards(rows, keep, scratch), keep, scratch), "audit_rows", scratch)
     first = C.table(stats.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first"), "audit_copies", scratch)
     stats = stats.join(first, "same", "left")
     return stats.select("doc_id", "part", (F.col("n_words") < MIN_WORDS).alias("A"), (100 * F.col("n_distinct") < DISTINCT_PERCENT * F.col("n_words")).alias("B"),
