@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetstate.model import IN_PROGRESS, PHASES, Params
 from fleetstate.operators.edges import apply_edge, join_edges, resolve_edges
+from fleetstate.operators.reduce import id_bitmap, may_have
 
 OBS_ORDER = ["ts", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -45,14 +46,15 @@ def reconcile(registry: DataFrame, observations: DataFrame, p: Params, edges: Da
               only_due: bool = False, obs_order: list[str] | None = None) -> DataFrame:
     """Move every in-progress record by its latest observation (observation edges).
 
-    "Unchanged" outcomes still write: the next update time moves (heartbeat).
+    "Unchanged" outcomes still write: the next update time moves (heartbeat). Observations of other
+    records are dropped where they are scanned, below the aggregate.
     """
     spark = registry.sparkSession
     recs = registry.where(F.col("state_kind").isin(*IN_PROGRESS))
     if only_due:
         recs = recs.where(F.col("next_update_time").isNotNull() & (F.col("next_update_time") < p.now))
     recs = recs.select("id", "state_kind", "state_message")
-    norm = phase_normalize(recs, observations, obs_order)
+    norm = phase_normalize(recs, may_have(observations, id_bitmap(recs.select("id"))), obs_order)
     j = join_edges(norm.withColumn("signal", F.concat(F.lit("PHASE_"), F.col("phase"))),
                    resolve_edges(spark, edges))
     kind, msg, nxt = apply_edge(j, p)

@@ -10,6 +10,7 @@ from fleetstate.model import COMMAND_VERBS, TRIGGER, WAITING, Params
 from fleetstate.operators.edges import (apply_edge, default_edges, join_edges, new_message, new_next_time,
                                         resolve_edges, round_edges)
 from fleetstate.operators.observe import latest_observation, normalize_phase
+from fleetstate.operators.reduce import id_bitmap, may_have
 from fleetstate.operators.registry import due_records, refusal_text
 
 
@@ -131,7 +132,8 @@ def sync_round(registry: DataFrame, observations: DataFrame, outcomes: DataFrame
     Each due record gets an ``action`` - RELEASE_OK / RELEASE_ERR / CRASH (waiting: acquired and
     released in the round), TIMEOUT (trigger), PHASE_* (in progress, from its latest observation)
     - and one join to the round's edge table gives its new state. The registry is read once and
-    filtered before any join; observations are reduced to one row per id map-side. Stable states
+    filtered before any join; observations of records that aren't due and in progress are dropped
+    where they are scanned (``reduce``), and the rest are reduced to one row per id map-side. Stable states
     are never due; a due stable record or an unknown phase is reported as ``illegal``.
 
     With ``launch_check`` a WaitToStart record is first checked as its launch would be (version
@@ -152,6 +154,9 @@ def sync_round(registry: DataFrame, observations: DataFrame, outcomes: DataFrame
         due = due.select(*cols, F.when(F.col("state_kind") == "WaitToStart", plan["error"]).alias("_launch_err"))
     else:
         due = due.select(*cols, F.lit(None).cast("string").alias("_launch_err"))
+    # only in-progress records read their observations; the others' are dropped below the aggregate
+    watched = due.where(state_class("state_kind") == "in_progress").select("id")
+    observations = may_have(observations, id_bitmap(watched))
     last = latest_observation(observations, obs_order).select("id", F.col("phase").alias("_raw"),
                                                                F.lit(True).alias("_pod"))
     res = outcomes.select("id", "err_msg", F.lit(True).alias("_done"))

@@ -49,7 +49,11 @@ def due_filter(next_update_time: str = "next_update_time", now: int | None = Non
 
 
 def due_records(registry: DataFrame, p: Params) -> DataFrame:
-    """Records whose next update time is set and strictly before now (whole seconds)."""
+    """Records whose next update time is set and strictly before now (whole seconds). Of a
+    snapshot in calendar layout only the slots that have begun are read: the others, the records that
+    are never due among them, are pruned as partitions."""
+    if {"due_slot", "slot_seconds"} <= set(registry.columns):
+        registry = registry.where(F.col("due_slot").isNotNull() & (F.col("due_slot") * F.col("slot_seconds") < F.lit(p.now)))
     return registry.where(due_filter(now=p.now))
 
 
@@ -105,19 +109,26 @@ def apply_changes(registry: DataFrame, changes: DataFrame) -> DataFrame:
 
     ``changes``: id, state_kind, state_message, next_update_time, removed, and for new records any
     other registry column. A change of an id that the registry has sets its state (or removes it);
-    one of a new id creates the record, unless it is a removal. Two changes of one id are an error
-    (fold them first), raised by the plan itself. Produces the next snapshot; write it to a new
-    directory, or MERGE it where the table format supports that.
+    one of a new id creates the record, unless it is a removal. With a column ``created`` the two are
+    told apart: a row that says so only makes a new record and leaves one that exists as it is (a
+    request that came again must not reset its engine), and a row that doesn't only changes one that
+    exists. Two changes of one id are an error (fold them first), raised by the plan itself. Produces
+    the next snapshot; write it to a new directory, or MERGE it where the table format supports that.
     """
     extra = [c for c in changes.columns if c in registry.columns and c not in ("id", "state_kind", "state_message", "next_update_time")]
+    flagged = "created" in changes.columns
+    created = F.coalesce(F.col("created"), F.lit(False)) if flagged else F.lit(False)
     first = F.first(F.struct("state_kind", "state_message", "next_update_time",
-                             F.coalesce(F.col("removed"), F.lit(False)).alias("removed"), *extra)).alias("_c")
+                             F.coalesce(F.col("removed"), F.lit(False)).alias("removed"), created.alias("created"), *extra)).alias("_c")
     many = F.concat(F.lit("more than one change for id "), F.coalesce(F.col("id"), F.lit("NULL")))
     c = changes.groupBy("id").agg(first, F.count(F.lit(1)).alias("_n")).select(
         F.col("id").alias("_id"), F.when(F.col("_n") > 1, F.raise_error(many).cast("boolean")).otherwise(F.lit(True)).alias("_hit"), "_c")
     j = registry.withColumn("_old", F.lit(True)).join(c, F.col("id") == F.col("_id"), "full")
     hit, old = F.coalesce(F.col("_hit"), F.lit(False)), F.coalesce(F.col("_old"), F.lit(False))
     kept = j.where(~(hit & F.coalesce(F.col("_c.removed"), F.lit(False))))
+    if flagged:
+        kept = kept.where(old | F.col("_c.created"))
+        hit = hit & ~(old & F.col("_c.created"))
     cols = []
     for f in registry.columns:
         if f == "id":
@@ -131,6 +142,16 @@ def apply_changes(registry: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.select(*cols)
 
 
+def creates(records: DataFrame, registry: DataFrame) -> DataFrame:
+    """A3 against a registry: each new record's id with its outcome. Created, Exists (a request that
+    was processed before; its record stays as it is) or Duplicate (comes again within ``records``, by
+    id; one of them counts)."""
+    known = registry.select("id", F.lit(True).alias("_known"))
+    return records.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).join(known, "id", "left").select(
+        "id", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i"), "_known").select(
+        "id", F.when(F.col("_known"), "Exists").when(F.col("_i") > 1, "Duplicate").otherwise("Created").alias("outcome"))
+
+
 def list_ids(registry: DataFrame, partitions: int | None = None) -> DataFrame:
     """All ids in byte order with their position, without a single-task window.
 

@@ -368,11 +368,11 @@ def q_write_back(spark, sf):
     """A4: one write-back with inserts (bulk creates) and removals (allowed delete commands)."""
     reg = X.registry(spark, sf)
     good, _ = ingest.split_requests(X.requests(spark, sf))
-    new = ingest.bulk_create(good, P).select("id", "name", "version", "state_kind", "state_message", "next_update_time", F.lit(False).alias("removed"))
+    new = ingest.bulk_create(good, P).select("id", "name", "version", "state_kind", "state_message", "next_update_time", F.lit(False).alias("removed"), F.lit(True).alias("created"))
     asked = commands.route_requests(X.access_log(spark, sf)).where(F.col("operation") == "delete").select("id").distinct()
     gone = planning.plan_command(asked, reg, "DELETE", P).where("removed").select(
         "id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("version"), F.col("new_kind").alias("state_kind"),
-        F.col("new_message").alias("state_message"), F.col("new_next_update_time").alias("next_update_time"), "removed")
+        F.col("new_message").alias("state_message"), F.col("new_next_update_time").alias("next_update_time"), "removed", F.lit(False).alias("created"))
     return registry.apply_changes(reg, new.unionByName(gone)).select("id", "name", "version", "state_kind", "state_message", "next_update_time")
 
 

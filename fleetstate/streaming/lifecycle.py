@@ -29,7 +29,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from fleetstate.functions.rules import BUILT_IN, RuleTable, compile_rules
 from fleetstate.functions.step import Stepper
 from fleetstate.model import Params
-from fleetstate.session import ensure_checkpoint_dir
+from fleetstate.session import ensure_checkpoint_dir, remove_path
 
 STATE_SCHEMA = ("s int, m string, n bigint, last_ts bigint, last_seq bigint, "
                 "n_signals bigint, n_applied bigint, n_dropped bigint, version bigint")
@@ -332,22 +332,43 @@ def run_available_now(stream: DataFrame, out_dir: str, checkpoint: str) -> None:
 
 
 def ingest_stream(orders_or_requests: DataFrame, out_dir: str, checkpoint: str, p: Params,
-                  to_requests: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True):
-    """Strict ingest on a stream; good records and dead letters go to two sinks in one foreachBatch.
+                  to_requests: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True,
+                  retry_window: str | None = None, registry: DataFrame | Callable[[int], DataFrame] | None = None):
+    """Strict ingest on a stream; good records and dead letters go to two sinks, in one write that
+    is partitioned by validity.
 
     Each batch is written under ``batch=<epoch>`` with overwrite, so a retried batch replaces its
     own output (idempotent sink).
-    """
-    from fleetstate.sources.ingest import bulk_create, split_requests
+
+    With ``retry_window`` a request may be delivered more than once (columns request_id, ts, ...): the
+    stream keeps the ids of requests until the watermark is that much past them, and lets each through
+    once, within a batch and over batches. ``registry`` (id, ...; or a function of the epoch that gives
+    it) has the records that exist already: requests whose record is there, delivered again after any
+    time, make nothing, and go to ``existing/batch=<epoch>`` with their id."""
+    from fleetstate.sources.ingest import bulk_create, validate_requests
 
     def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
         req = to_requests(batch) if to_requests else batch
-        req = req.persist()
-        good, bad = split_requests(req)
-        bulk_create(good, p).write.mode("overwrite").parquet(f"{out_dir}/good/batch={epoch}")
-        bad.write.mode("overwrite").parquet(f"{out_dir}/rejects/batch={epoch}")
-        req.unpersist()
-
+        staged = f"{out_dir}/checked/batch={epoch}"
+        # one pass over the micro-batch: bodies are validated once, and the two kinds parted by the write
+        valid = validate_requests(req).withColumn("valid", F.col("reason").isNull())
+        valid.write.mode("overwrite").partitionBy("valid").parquet(staged)
+        checked = spark.read.schema(valid.schema).parquet(staged)
+        fields = [c for c in valid.columns if c not in ("reason", "detail", "valid")]
+        good = bulk_create(checked.where("valid").select(*fields), p)
+        if registry is not None:
+            known = (registry(epoch) if callable(registry) else registry).select("id").distinct()
+            good.join(known, "id", "left_semi").select("id").write.mode("overwrite").parquet(f"{out_dir}/existing/batch={epoch}")
+            good = good.join(known, "id", "left_anti")
+        good.write.mode("overwrite").parquet(f"{out_dir}/good/batch={epoch}")
+        checked.where("not valid").select(*req.columns, "reason", "detail").write.mode("overwrite").parquet(f"{out_dir}/rejects/batch={epoch}")
+        remove_path(spark, staged)
+
+    if retry_window is not None:
+        for k, v in STATEFUL_CONF.items():
+            orders_or_requests.sparkSession.conf.set(k, v)
+        orders_or_requests = orders_or_requests.withWatermark("ts", retry_window).dropDuplicatesWithinWatermark(["request_id"])
     w = orders_or_requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     q = w.start()
@@ -356,22 +377,35 @@ def ingest_stream(orders_or_requests: DataFrame, out_dir: str, checkpoint: str,
     return q
 
 
+COMMAND_SCHEMA = "id string, ts timestamp, seq bigint, signal string, msg string"
+
+
 def monitor_rounds(observations: DataFrame, registry_root: str, outcomes, checkpoint: str,
                    p: Params, now_fn: Callable[[int], int] | None = None, interval_seconds: int | None = None,
-                   obs_order: list[str] | None = None):
-    """The monitor as a fixed-rate stream. Round ``e`` reads the snapshots that round ``e - 1``
-    completed and writes, in this order and each as a directory of its own:
+                   obs_order: list[str] | None = None, commands: DataFrame | None = None, compact_every: int = 1,
+                   edges: DataFrame | None = None):
+    """The monitor as a fixed-rate stream, the only writer of its registry. Round ``e`` reads the
+    version that round ``e - 1`` completed and writes, in this order:
 
-    * ``phases/v=e+1``: the latest observation of every id so far. A record without a new
+    * ``phases``, version e+1: the latest observation of every id so far. A record without a new
       observation keeps its last phase; one never observed reads as Unknown; a pod that is gone is
       observed as NotExisted.
-    * ``log/batch=e``: the transitions the round made (id, from_kind, signal, state_kind,
-      state_message, next_update_time, ts).
-    * ``v=e+1``: the next registry. Its _SUCCESS file, written last, completes the round.
-
-    A round that failed before that is written anew from the same ``v=e``; a completed one is not
-    repeated. ``registry_root`` starts with ``v=0``. ``outcomes``: id, err_msg, or a function of the
-    round's number that gives them. ``now_fn`` gives a round's clock (default: the wall clock).
+    * ``commands/batch=e``, with ``commands``: each command of the micro-batch with its outcome
+      (Applied, NotAllowed, NotFound), as the transition log has them. The commands are folded onto the
+      registry in (ts, seq) order, before the round, which then sees what they left.
+    * ``log/batch=e``: the transitions made (id, from_kind, signal, state_kind, state_message,
+      next_update_time, ts, seq), the commands' first: theirs have their own time and number, the
+      round's its clock and none.
+    * the registry, version e+1. Its _SUCCESS file, written last, completes the round.
+
+    A round that failed before that is written anew from the same version; a completed one is not
+    repeated. ``registry_root`` starts with ``v=0``. With ``compact_every`` k > 1 only every k-th
+    version is whole; the others are change sets, so that a round writes in proportion to what it
+    changed (``operators.layers``; read with ``layers.read_version``).
+
+    ``outcomes``: id, err_msg, or a function of the round's number that gives them. ``now_fn`` gives a
+    round's clock (default: the wall clock). ``commands``: a stream of id, ts, seq, signal (STOP,
+    RESTART, DELETE), msg. ``edges``: a caller's rule table (D12).
 
     ``interval_seconds`` None drains what is available (tests); otherwise a rate stream of ticks
     beside the observations makes every interval a round, new observations or not (a round that
@@ -379,35 +413,73 @@ def monitor_rounds(observations: DataFrame, registry_root: str, outcomes, checkp
     """
     import time
 
+    from fleetstate.operators.layers import read_version, version_complete, write_version
     from fleetstate.operators.observe import OBS_ORDER
     from fleetstate.operators.planning import sync_round
-    from fleetstate.operators.registry import apply_changes, read_registry, snapshot_complete, write_registry
+    from fleetstate.operators.registry import apply_changes
+    from fleetstate.operators.replay import replay_log
 
     order = obs_order or OBS_ORDER
+    state = ["state_kind", "state_message", "next_update_time"]
+
+    def write_phases(spark: SparkSession, seen: DataFrame, epoch: int) -> DataFrame:
+        """The latest observation of every id, from what earlier rounds wrote and this one saw."""
+        newest = lambda df: df.groupBy("id").agg(F.max(F.struct(*order, "phase")).alias("_l")).select("id", "_l.*")
+        root = f"{registry_root}/phases"
+        parts = [f"{root}/{'v' if v % compact_every == 0 else 'changes/v'}={v}" for v in range(epoch // compact_every * compact_every, epoch + 1) if v]
+        before = [spark.read.schema(seen.schema).parquet(x) for x in parts]
+        if (epoch + 1) % compact_every == 0:
+            for x in before:
+                seen = seen.unionByName(x)
+            newest(seen).write.mode("overwrite").parquet(f"{root}/v={epoch + 1}")
+            return spark.read.schema(seen.schema).parquet(f"{root}/v={epoch + 1}")
+        newest(seen).write.mode("overwrite").parquet(f"{root}/changes/v={epoch + 1}")
+        every = spark.read.schema(seen.schema).parquet(f"{root}/changes/v={epoch + 1}")
+        for x in before:
+            every = every.unionByName(x)
+        return every
+
+    def fold_commands(spark: SparkSession, batch: DataFrame, reg: DataFrame, rp: Params, epoch: int) -> tuple[DataFrame, DataFrame]:
+        """(transitions, changes) of the batch's commands; their log is written."""
+        asked = batch.where("signal is not null").select("id", "ts", "seq", "signal", "msg")
+        path = f"{registry_root}/commands/batch={epoch}"
+        replay_log(asked, rp, initial=reg, edges=edges).write.mode("overwrite").parquet(path)
+        made = spark.read.parquet(path).where("outcome = 'Applied'")
+        last = made.groupBy("id").agg(F.max_by(F.struct(F.col("to_kind").alias("state_kind"), *state[1:]), F.struct("ts", "seq")).alias("s"))
+        changes = last.select("id", *[F.col(f"s.{c}").alias(c) for c in state], (F.col("s.state_kind") == "Removed").alias("removed"))
+        return made.select("id", "from_kind", "signal", F.col("to_kind").alias("state_kind"), *state[1:], "ts", "seq"), changes
 
     def round_(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        if snapshot_complete(spark, f"{registry_root}/v={epoch + 1}"):
+        if version_complete(spark, registry_root, epoch + 1):
             return  # this round ended, but its commit in the stream's checkpoint didn't
-        if not snapshot_complete(spark, f"{registry_root}/v={epoch}"):
+        if not version_complete(spark, registry_root, epoch):
             raise RuntimeError(f"{registry_root}/v={epoch} isn't a complete snapshot")
-        seen = batch.where(F.col("id").isNotNull()).select("id", *order, "phase")
-        if epoch:
-            seen = spark.read.schema(seen.schema).parquet(f"{registry_root}/phases/v={epoch}").unionByName(seen)
-        last = seen.groupBy("id").agg(F.max(F.struct(*order, "phase")).alias("_l")).select("id", "_l.*")
-        phases = f"{registry_root}/phases/v={epoch + 1}"
-        last.write.mode("overwrite").parquet(phases)
-        reg = read_registry(spark, f"{registry_root}/v={epoch}")
         rp = Params(now=now_fn(epoch) if now_fn else int(time.time()), interval=p.interval, timeout=p.timeout)
+        reg = now = read_version(spark, registry_root, epoch)
+        seen = batch.where(F.col("id").isNotNull())
+        seen = (seen.where("signal is null") if commands is not None else seen).select("id", *order, "phase")
+        phases = write_phases(spark, seen, epoch)
+        moved = changes = None
+        if commands is not None:
+            moved, changes = fold_commands(spark, batch, reg, rp, epoch)
+            now = apply_changes(reg, changes)
         results = outcomes(epoch) if callable(outcomes) else outcomes
-        done = sync_round(reg, spark.read.schema(seen.schema).parquet(phases), results, rp, obs_order=order, absent_phase="Unknown")
+        done = sync_round(now, phases, results, rp, edges=edges, obs_order=order, absent_phase="Unknown").where("status = 'ok'").select(
+            "id", "from_kind", F.col("action").alias("signal"), *state, F.timestamp_seconds(F.lit(rp.now)).alias("ts"), F.lit(None).cast("bigint").alias("seq"))
         log = f"{registry_root}/log/batch={epoch}"
-        done.where(F.col("status") == "ok").select(
-            "id", "from_kind", F.col("action").alias("signal"), "state_kind", "state_message", "next_update_time",
-            F.timestamp_seconds(F.lit(rp.now)).alias("ts")).write.mode("overwrite").parquet(log)
-        changes = spark.read.parquet(log).select("id", "state_kind", "state_message", "next_update_time", F.lit(False).alias("removed"))
-        write_registry(apply_changes(reg, changes), f"{registry_root}/v={epoch + 1}")
-
+        (done if moved is None else moved.unionByName(done)).write.mode("overwrite").parquet(log)
+        own = spark.read.parquet(log).where("seq is null").select("id", *state, F.lit(False).alias("removed"))
+        if changes is not None:  # a record that both changed ends as the round left it; the round has one row an id
+            own = changes.withColumn("_by", F.lit(0)).unionByName(own.withColumn("_by", F.lit(1))).groupBy("id").agg(
+                F.max_by(F.struct(*state, "removed"), "_by").alias("s")).select("id", "s.*")
+        write_version(reg, own, registry_root, epoch + 1, compact_every)
+
+    if commands is not None:
+        fields = {f.name: f.dataType for f in observations.schema.fields}
+        more = {c.split()[0]: c.split()[1] for c in COMMAND_SCHEMA.split(", ")}
+        observations = observations.select("*", *[F.lit(None).cast(t).alias(c) for c, t in more.items() if c not in fields])
+        observations = observations.unionByName(commands.select(*more), allowMissingColumns=True)
     if interval_seconds is not None:
         ticks = observations.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
         blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in observations.schema.fields]
