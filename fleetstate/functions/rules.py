@@ -11,9 +11,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetstate.model import FOLD_EDGES, FOLD_STATES, MSG_RULES, NEXT_RULES, REMOVED, SIGNALS, STATE_CLASS
+from fleetstate.model import FOLD_EDGES, FOLD_STATES, MSG_RULES, NEXT_RULES, REMOVED, SIGNALS, STATE_CLASS, literal_rows
 
 MAX_EDGES = 10_000  # a table beyond this isn't a rule table
 CLEAR, KEEP, SET, APPEND, CONST = range(len(MSG_RULES))
@@ -99,29 +99,19 @@ def rule_report(edges: DataFrame, start: str = "WaitToStart") -> DataFrame:
     reachable (from ``start``), distance (least number of transitions), dead_end (no way out, and not
     the removed state).
 
-    The closure is computed by rounds of joins on the distinct (state, state) pairs; each round adds
-    the states one transition further, until none is new. A table has at most a few hundred states,
-    so rounds are few and small whatever the number of records is."""
-    spark = edges.sparkSession
-    e = edges.where("from_kind is not null")
-    states = e.select(F.col("from_kind").alias("state")).unionByName(e.select(F.col("to_kind").alias("state"))).distinct()
-    steps = e.select("from_kind", "to_kind").distinct().persist()
-    found = spark.createDataFrame([(start, 0)], "state string, distance int")
-    new, n = found, 0
-    while n < MAX_EDGES:
-        n += 1
-        new = new.join(steps, F.col("state") == F.col("from_kind")).select(F.col("to_kind").alias("state")).distinct().join(found, "state", "left_anti")
-        rows = [r[0] for r in new.limit(MAX_EDGES + 1).collect()]  # states of a rule table
-        if len(rows) > MAX_EDGES:
-            raise ValueError(f"more than {MAX_EDGES} states")
-        if not rows:
-            break
-        new = spark.createDataFrame([(s, n) for s in rows], "state string, distance int")
-        found = found.unionByName(new)
-        new = new.select("state")
-    steps.unpersist()
-    out = e.groupBy(F.col("from_kind").alias("state")).agg(F.count("*").alias("n_out"), (F.count("*") - F.count_distinct("signal")).alias("n_conflicts"))
-    return states.join(out, "state", "left").join(found, "state", "left").select(
-        "state", F.coalesce("n_out", F.lit(0)).cast("bigint").alias("n_out"), F.coalesce("n_conflicts", F.lit(0)).cast("bigint").alias("n_conflicts"),
-        F.col("distance").isNotNull().alias("reachable"), F.col("distance").cast("bigint").alias("distance"),
-        (F.col("n_out").isNull() & (F.col("state") != REMOVED)).alias("dead_end"))
+    The table is a rule table of MAX_EDGES rows at most (ValueError beyond); it may be one that
+    ``compile_rules`` refuses, and this says why."""
+    rows = [tuple(r) for r in edges.where("from_kind is not null and to_kind is not null").select("from_kind", "signal", "to_kind").limit(MAX_EDGES + 1).collect()]
+    if len(rows) > MAX_EDGES:
+        raise ValueError(f"more than {MAX_EDGES} edges")
+    out: dict[str, list] = {}
+    for a, signal, b in rows:
+        out.setdefault(a, []).append((signal, b))
+        out.setdefault(b, [])
+    distance, front = {start: 0}, [start]
+    while front:  # closure, one transition further each time
+        front = sorted({b for a in front for _, b in out.get(a, []) if b not in distance})
+        distance |= {b: max(distance.values()) + 1 for b in front}
+    report = [(s, len(out[s]), len(out[s]) - len({g for g, _ in out[s]}), int(s in distance), distance.get(s), int(not out[s] and s != REMOVED)) for s in sorted(out)]
+    schema = T._parse_datatype_string("state string, n_out bigint, n_conflicts bigint, reachable boolean, distance bigint, dead_end boolean")
+    return literal_rows(edges.sparkSession, report, schema) if report else edges.sparkSession.createDataFrame([], schema)

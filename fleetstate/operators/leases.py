@@ -8,8 +8,9 @@ in ``cas_chain``; nothing loops over rows.
 
 What a run of claims does is a function of the last lease before it, and such functions compose. So a
 hot id is split over range partitions, and only a partition's first run, which may begin under a
-lease of an earlier partition, is kept as a function: a step function with one step for each way the
-run can end, of which there are as many as claims in its last timeout.
+lease of an earlier partition, is kept as a function. That lease was taken before the run's first
+claim and expires a timeout after it at the latest, so what matters is the first claim of each second
+up to there and the next one: a step function of as many steps as a timeout has seconds, at most.
 """
 
 from __future__ import annotations
@@ -68,12 +69,27 @@ class _Leases:
 
 
 class _Run:
-    """A border run. ``steps``: (second, row that wins last) by the second of the first claim that can
-    win; what begins under a lease beyond all of them leaves it as it is."""
+    """A border run. ``steps``: (second, last winner), by the second of the claim that wins first; a
+    lease that expires after all of them stands on. A run that isn't the first of its chunk starts its
+    id, so its first claim wins."""
 
     def __init__(self, key: tuple, opens: bool):
         self.key, self.opens = key, opens
-        self.steps: list[tuple[int, tuple]] = []  # (latest second, (second of the last winner, claimant, ts))
+        self.steps: list[tuple[int, tuple]] = []  # (second, (second of the last winner, claimant, ts))
+        self.begin = self.seen = None  # second of the first and the latest claim so far
+        self.closed = False  # the first claim beyond the timeout was there
+
+    def _firsts(self, t: np.ndarray, timeout: int) -> list[int]:
+        """Rows that may win first."""
+        if not self.opens:
+            return [] if self.steps else [0]
+        if self.closed:
+            return []
+        new = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        new = new[t[new] > self.seen] if self.seen is not None else new
+        inside = t[new] <= (t[0] if self.begin is None else self.begin) + timeout
+        self.closed = not inside.all()
+        return [*new[inside].tolist(), *new[~inside][:1].tolist()]
 
     def add(self, part: pa.RecordBatch, timeout: int) -> None:
         t = part.column("t").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -86,18 +102,14 @@ class _Run:
         exits = np.array([s[1][0] for s in self.steps], np.int64)
         entry = x.find(np.zeros(len(exits), np.int64), exits)
         steps = [(s, winner(int(end[e])) if e < x.n else w) for (s, w), e in zip(self.steps, entry.tolist())]
-        if self.opens or not steps:
-            # one step per last winner: the latest claim whose chain ends there
-            _, at = np.unique(end[::-1], return_index=True)
-            rows = sorted((x.n - 1 - at).tolist()) if self.opens else [0]
-            steps += [(int(t[r]), winner(int(end[r]))) for r in rows]
-        merged: list[tuple[int, tuple]] = []
-        for s, w in steps:
-            if merged and merged[-1][1] == w:
-                merged[-1] = (s, w)
+        steps += [(int(t[r]), winner(int(end[r]))) for r in self._firsts(t, timeout)]
+        self.begin, self.seen = t[0] if self.begin is None else self.begin, t[-1]
+        self.steps = []
+        for s, w in steps:  # neighbours that end alike are one step
+            if self.steps and self.steps[-1][1] == w:
+                self.steps[-1] = (s, w)
             else:
-                merged.append((s, w))
-        self.steps = merged
+                self.steps.append((s, w))
 
     def rows(self) -> list[tuple]:
         return [(*self.key, self.opens, s, *w) for s, w in self.steps]

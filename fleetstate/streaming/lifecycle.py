@@ -377,7 +377,7 @@ def ingest_stream(orders_or_requests: DataFrame, out_dir: str, checkpoint: str,
     return q
 
 
-COMMAND_SCHEMA = "id string, ts timestamp, seq bigint, signal string, msg string"
+COMMAND = {"ts": "timestamp", "seq": "bigint", "signal": "string", "msg": "string"}
 
 
 def monitor_rounds(observations: DataFrame, registry_root: str, outcomes, checkpoint: str,
@@ -441,7 +441,7 @@ def monitor_rounds(observations: DataFrame, registry_root: str, outcomes, checkp
 
     def fold_commands(spark: SparkSession, batch: DataFrame, reg: DataFrame, rp: Params, epoch: int) -> tuple[DataFrame, DataFrame]:
         """(transitions, changes) of the batch's commands; their log is written."""
-        asked = batch.where("signal is not null").select("id", "ts", "seq", "signal", "msg")
+        asked = batch.where("_command is not null").select("id", "_command.*")
         path = f"{registry_root}/commands/batch={epoch}"
         replay_log(asked, rp, initial=reg, edges=edges).write.mode("overwrite").parquet(path)
         made = spark.read.parquet(path).where("outcome = 'Applied'")
@@ -458,7 +458,7 @@ def monitor_rounds(observations: DataFrame, registry_root: str, outcomes, checkp
         rp = Params(now=now_fn(epoch) if now_fn else int(time.time()), interval=p.interval, timeout=p.timeout)
         reg = now = read_version(spark, registry_root, epoch)
         seen = batch.where(F.col("id").isNotNull())
-        seen = (seen.where("signal is null") if commands is not None else seen).select("id", *order, "phase")
+        seen = (seen.where("_command is null") if commands is not None else seen).select("id", *order, "phase")
         phases = write_phases(spark, seen, epoch)
         moved = changes = None
         if commands is not None:
@@ -476,10 +476,9 @@ def monitor_rounds(observations: DataFrame, registry_root: str, outcomes, checkp
         write_version(reg, own, registry_root, epoch + 1, compact_every)
 
     if commands is not None:
-        fields = {f.name: f.dataType for f in observations.schema.fields}
-        more = {c.split()[0]: c.split()[1] for c in COMMAND_SCHEMA.split(", ")}
-        observations = observations.select("*", *[F.lit(None).cast(t).alias(c) for c, t in more.items() if c not in fields])
-        observations = observations.unionByName(commands.select(*more), allowMissingColumns=True)
+        # apart from the observations' columns, whatever these are called
+        asked = commands.select("id", F.struct(*[F.col(c).cast(t).alias(c) for c, t in COMMAND.items()]).alias("_command"))
+        observations = observations.withColumn("_command", F.lit(None).cast(asked.schema["_command"].dataType)).unionByName(asked, allowMissingColumns=True)
     if interval_seconds is not None:
         ticks = observations.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
         blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in observations.schema.fields]
