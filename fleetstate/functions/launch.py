@@ -78,9 +78,8 @@ def launch_args(id_col: Column, version: Column, config: Column, prefix: str = D
     return F.concat(fixed, _conf_pairs(preset), _conf_pairs(user))
 
 
-def launch_plan(id_col: Column, version: Column, config: Column, prefix: str = DEFAULT_APP_PREFIX) -> Column:
-    """struct(status, error, args): the version check, then the reserved-key check, then the arguments."""
-    rk = reserved_key(F.coalesce(config, F.create_map().cast("map<string,string>")))
+def _verdict(version: Column, rk: Column) -> tuple[Column, Column]:
+    """(status, error) of a launch, from its version and the reserved key that its config sets."""
     ok_v = version_supported(version)
     versions = "[" + ", ".join(f'"{v}"' for v in SUPPORTED_VERSIONS) + "]"
     status = F.when(~ok_v, "bad_version").when(rk.isNotNull(), "reserved_key").otherwise("ok")
@@ -88,5 +87,22 @@ def launch_plan(id_col: Column, version: Column, config: Column, prefix: str = D
                                     F.lit(f" is not supported. Supported versions: {versions}")))
              .when(rk.isNotNull(), F.concat(F.lit("Not allowed: The config "), rk,
                                             F.lit(" is not allowed as it is reserved."))))
+    return status, error
+
+
+def launch_plan(id_col: Column, version: Column, config: Column, prefix: str = DEFAULT_APP_PREFIX) -> Column:
+    """struct(status, error, args): the version check, then the reserved-key check, then the arguments."""
+    rk = reserved_key(F.coalesce(config, F.create_map().cast("map<string,string>")))
+    status, error = _verdict(version, rk)
     return F.struct(status.alias("status"), error.alias("error"),
                     F.when(status == "ok", launch_args(id_col, version, config, prefix)).alias("args"))
+
+
+def with_launch_plan(records, prefix: str = DEFAULT_APP_PREFIX):
+    """``records`` (id, version, config, ...) with status, error and args of their launch. The
+    reserved key is looked up once a record, and arguments are made only where they are used."""
+    key = "_reserved"
+    found = records.withColumn(key, reserved_key(F.coalesce(F.col("config"), F.create_map().cast("map<string,string>"))))
+    status, error = _verdict(F.col("version"), F.col(key))
+    out = found.withColumn("status", status).withColumn("error", error)
+    return out.withColumn("args", F.when(F.col("status") == "ok", launch_args(F.col("id"), F.col("version"), F.col("config"), prefix))).drop(key)

@@ -45,21 +45,21 @@ def route_requests(log: DataFrame) -> DataFrame:
     MethodNotAllowed (405). A query string doesn't count, and the id is percent-decoded (an id
     that isn't valid percent-encoding stays as it is).
     """
-    spark = log.sparkSession
-    path = F.regexp_replace("path", "[?#].*$", "")
-    raw_id = F.regexp_extract(path, "^/engine/([^/]+)", 1)
+    # the path is split once, and its segments are compared
+    split = log.withColumn("_seg", F.split(F.substring_index(F.substring_index("path", "?", 1), "#", 1), "/"))
+    seg = lambda i: F.get("_seg", F.lit(i))
+    under = (seg(0) == "") & (seg(1) == "engine")
+    n = F.size("_seg")
+    has_id = under & (seg(2) != "")
+    template = (F.when(under & (n == 2), "/engine")
+                .when(has_id & (n == 3), "/engine/{id}")
+                .when(has_id & (n == 4) & (seg(3) == "stop"), "/engine/{id}/stop")
+                .when(has_id & (n == 4) & (seg(3) == "restart"), "/engine/{id}/restart"))
     # url_decode reads forms, where a plus is a space; in a path it is a plus
-    decoded = F.coalesce(F.try_url_decode(F.replace(raw_id, F.lit("+"), F.lit("%2B"))), raw_id)
-    template = (F.when(path.rlike("^/engine$"), "/engine")
-                .when(path.rlike("^/engine/[^/]+$"), "/engine/{id}")
-                .when(path.rlike("^/engine/[^/]+/stop$"), "/engine/{id}/stop")
-                .when(path.rlike("^/engine/[^/]+/restart$"), "/engine/{id}/restart"))
-    j = log.withColumn("template", template).join(
-        F.broadcast(routes_df(spark)), ["method", "template"], "left")
+    decoded = F.when(seg(2).contains("%"), F.coalesce(F.try_url_decode(F.replace(seg(2), F.lit("+"), F.lit("%2B"))), seg(2))).otherwise(seg(2))
+    j = split.withColumn("template", template).join(F.broadcast(routes_df(log.sparkSession)), ["method", "template"], "left")
     return j.select(
-        log["*"], "template",
-        F.when(F.col("template").contains("{id}"), decoded).alias("id"),
-        "operation",
+        log["*"], "template", F.when(F.col("template").contains("{id}"), decoded).alias("id"), "operation",
         F.when(F.col("operation").isNotNull(), "routed")
         .when(F.col("template").isNotNull(), "MethodNotAllowed").otherwise("NotFound").alias("route_status"),
     )

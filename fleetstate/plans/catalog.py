@@ -650,10 +650,8 @@ from a"""))
 def q_launch_args(spark, sf):
     good, _ = ingest.split_requests(X.requests(spark, sf))
     c = ingest.bulk_create(good, P)
-    plan = launch.launch_plan(F.col("id"), F.col("version"), F.col("config"))
-    return c.select("id", plan["status"].alias("status"), plan["error"].alias("error"),
-                    F.size(plan["args"]).cast("bigint").alias("n_args"), F.to_json(plan["args"]).alias("args_json")
-                    ).withColumn("n_args", F.when(F.col("status") == "ok", F.col("n_args")))
+    plan = launch.with_launch_plan(c)
+    return plan.select("id", "status", "error", F.when(F.col("status") == "ok", F.size("args").cast("bigint")).alias("n_args"), F.to_json("args").alias("args_json"))
 
 
 # ---------------------------------------------------------------- projections

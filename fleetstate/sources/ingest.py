@@ -33,17 +33,39 @@ _VARIANTS = ", ".join(f"`{t}`" for t in ENGINE_TYPES)
 def validate_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
     """A2: add ``reason`` (NULL when valid), ``detail`` and the typed fields to every request.
 
-    The body is parsed once per representation (key list, typed fields, config map), every
-    per-field check becomes a boolean column, and the walk over the keys in document order only
-    picks the first failing one.
+    A body is parsed once, to a variant. That fails for malformed text and for repeated keys, so a
+    body whose parsed fields have the right names and types is valid, whatever their order. Only the
+    others take the slow path, which finds the first problem: the key list in document order, typed
+    fields and config map are parsed for them alone, every per-field check becomes a boolean column,
+    and the walk over the keys only picks the first failing one.
     """
     body = F.col(body_col)
-    parsed = requests.select(
-        *[F.col(c) for c in requests.columns],
-        F.json_object_keys(body).alias("__keys"),
-        F.from_json(body, "name variant, engine_type variant, version variant, config variant").alias("__v"),
+    text = "STRING"
+    one = requests.select(*[F.col(c) for c in requests.columns], F.try_parse_json(body).alias("__p"))
+    one = one.select("*", F.try_variant_get("__p", "$", "map<string,variant>").alias("__m"))
+    kind = lambda x: F.schema_of_variant(x)
+    one = one.select("*", *[F.try_element_at("__m", F.lit(f)).alias(f"__f_{f}") for f in REQUEST_FIELDS])
+    given = F.col("__f_config").isNotNull()
+    own_config = F.when(given, F.try_variant_get("__f_config", "$", "map<string,variant>"))
+    one = one.select("*", own_config.alias("__f_map"))
+    entries = F.col("__f_map")
+    # an object, or null (which no map can be made of); its values are strings
+    config_ok = ~given | F.when(entries.isNotNull(), F.forall(F.map_values(entries), lambda x: kind(x) == text)).otherwise(kind(F.col("__f_config")) == "VOID")
+    named = F.size("__m") == len(REQUIRED_FIELDS) + F.when(given, 1).otherwise(0)
+    typed = (kind(F.col("__f_name")) == text) & (kind(F.col("__f_version")) == text) & (kind(F.col("__f_engine_type")) == text)
+    # exactly one value: it ends with its brace, and has no braces but its own and the config's
+    closing = F.length(body) - F.length(F.replace(body, F.lit("}"), F.lit("")))
+    whole = F.rtrim(body).endswith("}") & (closing == F.when(entries.isNotNull(), 2).otherwise(1))
+    known = F.try_variant_get("__f_engine_type", "$", "string").isin(*ENGINE_TYPES)
+    good = F.coalesce(F.col("__m").isNotNull() & named & typed & known & config_ok & whole, F.lit(False))
+    one = one.select("*", good.alias("__good"))
+    slow = ~F.col("__good")
+    parsed = one.select(
+        "*",
+        F.when(slow, F.json_object_keys(body)).alias("__keys"),
+        F.when(slow, F.from_json(body, "name variant, engine_type variant, version variant, config variant")).alias("__v"),
         # only bodies that name a config are parsed for it
-        F.when(body.contains("config") | body.contains("\\"), F.from_json(F.get_json_object(body, "$.config"), "map<string,variant>")).alias("__cfg"),
+        F.when(slow & (body.contains("config") | body.contains("\\")), F.from_json(F.get_json_object(body, "$.config"), "map<string,variant>")).alias("__cfg"),
     )
     v, cfg = F.col("__v"), F.col("__cfg")
 
@@ -53,13 +75,13 @@ def validate_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
     cfg_type = F.schema_of_variant(v.getField("config"))
     checks = parsed.select(
         "*",
-        F.try_variant_get(v.getField("engine_type"), "$", "string").alias("__et"),
-        (~is_str("name")).alias("__name_bad"),
-        (~is_str("version")).alias("__version_bad"),
-        (~is_str("engine_type")).alias("__et_bad"),
-        ((cfg_type != "VOID") & cfg.isNull()).alias("__cfg_bad"),
+        F.when(slow, F.try_variant_get(v.getField("engine_type"), "$", "string")).alias("__et"),
+        (slow & ~is_str("name")).alias("__name_bad"),
+        (slow & ~is_str("version")).alias("__version_bad"),
+        (slow & ~is_str("engine_type")).alias("__et_bad"),
+        (slow & (cfg_type != "VOID") & cfg.isNull()).alias("__cfg_bad"),
         # first config key, in document order, whose value is not a JSON string
-        F.when(cfg_type != "VOID", F.try_element_at(
+        F.when(slow & (cfg_type != "VOID"), F.try_element_at(
             F.filter(F.map_keys(cfg), lambda k: F.schema_of_variant(F.try_element_at(cfg, k)) != "STRING"),
             F.lit(1))).alias("__cfg_bad_key"),
     )
@@ -90,38 +112,38 @@ def validate_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
 
     first = F.try_element_at(F.filter(F.transform(keys, problem), lambda x: x.isNotNull()), F.lit(1))
     missing = F.coalesce(*[F.when(~F.array_contains(keys, F.lit(f)), F.lit(f)) for f in REQUIRED_FIELDS])
-    # a NULL key list is malformed text or a non-object; parse again only for those rows. The
+    # a NULL key list is malformed text or a non-object. The
     # parsers stop after the first value, so a body must also be exactly one value. It is, if it ends
     # with a brace and has no more closing braces than its object and the config need: the last one
     # then closes the object. Other bodies (braces in strings, nested values, trailing text) are
     # probed: "[" body "]" must be a one-element array and "[" body ",0]" a two-element one. Trailing
     # text either breaks one of the two or changes a count (a body can't close the wrapper early in both).
-    closing = F.length(body) - F.length(F.replace(body, F.lit("}"), F.lit("")))
     plain = F.rtrim(body).endswith("}") & (closing == F.when(cfg.isNotNull(), 2).otherwise(1))
     one_value = ((F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1)
                  & (F.json_array_length(F.concat(F.lit("["), body, F.lit(",0]"))) == 2))
-    bad_json = (F.when(keys.isNull(), F.try_parse_json(body).isNull()).when(plain, F.lit(False))
-                .otherwise(~F.coalesce(one_value, F.lit(False))))
-    staged = checks.select("*", first.alias("__first"), missing.alias("__missing"), bad_json.alias("__bad_json"))
+    bad_json = F.when(slow, F.when(keys.isNull(), F.col("__p").isNull()).when(plain, F.lit(False))
+                      .otherwise(~F.coalesce(one_value, F.lit(False))))
+    staged = checks.select("*", F.when(slow, first).alias("__first"), F.when(slow, missing).alias("__missing"), bad_json.alias("__bad_json"))
     first, missing, bad_json = F.col("__first"), F.col("__missing"), F.col("__bad_json")
-    reason = (F.when(bad_json, "malformed")
-              .when(keys.isNull(), "not_object")
-              .when(first.isNotNull(), first["reason"])
-              .when(missing.isNotNull(), "missing_field"))
-    detail = (F.when(bad_json, "malformed JSON")
-              .when(keys.isNull(), "invalid type, expected struct CreateEngineRequest")
-              .when(first.isNotNull(), first["detail"])
-              .when(missing.isNotNull(), F.concat(F.lit("missing field `"), missing, F.lit("`"))))
+    reason = F.when(slow, F.when(bad_json, "malformed")
+                    .when(keys.isNull(), "not_object")
+                    .when(first.isNotNull(), first["reason"])
+                    .when(missing.isNotNull(), "missing_field"))
+    detail = F.when(slow, F.when(bad_json, "malformed JSON")
+                    .when(keys.isNull(), "invalid type, expected struct CreateEngineRequest")
+                    .when(first.isNotNull(), first["detail"])
+                    .when(missing.isNotNull(), F.concat(F.lit("missing field `"), missing, F.lit("`"))))
     staged = staged.select("*", reason.alias("reason"), detail.alias("detail"))
     ok = F.col("reason").isNull()
-    config = F.when(ok, F.coalesce(F.transform_values(cfg, lambda _k, x: _vstr(x)),
-                                   F.create_map().cast("map<string,string>")))
+    empty = F.create_map().cast("map<string,string>")
+    strings = lambda m: F.transform_values(m, lambda _k, x: _vstr(x))
+
+    def field(f):
+        return F.when(~slow, _vstr(F.col(f"__f_{f}"))).when(ok, F.try_variant_get(v.getField(f), "$", "string")).alias(f)
+
     result = F.struct(
-        F.col("reason"), F.col("detail"),
-        F.when(ok, F.try_variant_get(v.getField("name"), "$", "string")).alias("name"),
-        F.when(ok, F.col("__et")).alias("engine_type"),
-        F.when(ok, F.try_variant_get(v.getField("version"), "$", "string")).alias("version"),
-        config.alias("config"),
+        F.col("reason"), F.col("detail"), field("name"), field("engine_type"), field("version"),
+        F.when(~slow, F.coalesce(strings(entries), empty)).when(ok, F.coalesce(strings(cfg), empty)).alias("config"),
     )
     # The result leaves through a generator: a later filter on ``reason`` (the good / dead-letter
     # split) then stays above it instead of being pushed down with the whole validation inlined
