@@ -107,7 +107,8 @@ def q_reconcile(spark, sf):
 def _sync_sql(launch_check: bool) -> str:
     versions = "('3.5.3', '3.5.4')"
     launch_err = (f"case when d.state_kind = 'WaitToStart' and d.version not in {versions} then 'Not allowed: Spark version ' "
-                  "|| d.version || ' is not supported. Supported versions: [\"3.5.3\", \"3.5.4\"]' end"
+                  "|| d.version || ' is not supported. Supported versions: [\"3.5.3\", \"3.5.4\"]' "
+                  "when d.state_kind = 'WaitToStart' and d.o_orderkey % 24 = 0 then 'Not allowed: The config spark.app.id is not allowed as it is reserved.' end"
                   if launch_check else "cast(null as varchar)")
     return O.with_views(["due", "last_obs", "outcomes", "edges"], f"""
 , j0 as (

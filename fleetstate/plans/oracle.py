@@ -301,8 +301,8 @@ ORDER.extend(["state_wire", "id_wire", "time_text", "checked", "valid", "created
 VIEWS["cas_requests"] = f"""
 select case when l_orderkey % 13 = 0 then concat('none-', cast(l_orderkey as varchar)) else concat('eng-', cast(l_orderkey as varchar)) end as id,
   l_shipdate as ts, cast(l_linenumber as bigint) + l_suppkey * 8 + l_partkey * {8 << 20} as seq,
-  [{STATE_LIST}][l_partkey % 12 + 1] as before_kind, cast(null as varchar) as before_message,
-  [{STATE_LIST}][l_suppkey % 8 + 1] as after_kind, cast(null as varchar) as after_message,
+  [{STATE_LIST}][l_partkey % 12 + 1] as before_kind, case when l_partkey % 12 >= 8 then 'm' || cast(l_linenumber % 3 as varchar) end as before_message,
+  [{STATE_LIST}][l_suppkey % 12 + 1] as after_kind, case when l_suppkey % 12 >= 8 then 'm' || cast(l_suppkey % 3 as varchar) end as after_message,
   {_epoch('l_shipdate')} as next_update_time
 from lineitem"""
 ORDER.append("cas_requests")

@@ -78,10 +78,15 @@ REGISTRY_COLUMNS = ["id", "name", "engine_type", "version", "state_kind", "state
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per order id, all twelve states present."""
+    """One record per order id, all twelve states present; one config in five sets a value, and every
+    second record that waits to start sets a reserved key."""
+    k = F.col("o_orderkey")
+    config = (F.when(k % 24 == 0, F.create_map(F.lit("spark.app.id"), F.lit("x")))
+              .when(k % 5 == 1, F.create_map(F.lit("spark.executor.instances"), (F.col("o_custkey") % 9).cast("string")))
+              .otherwise(F.create_map().cast("map<string,string>")))
     return _registry_base(spark, sf_dir).select(
         *[c for c in REGISTRY_COLUMNS if c != "config"][:6],
-        F.create_map().cast("map<string,string>").alias("config"),
+        config.alias("config"),
         "create_time", "next_update_time",
     )
 
@@ -256,8 +261,9 @@ def waits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cas_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered compare-and-set attempts, several per id: one per observation row of an order.
 
-    Expected and new states cycle through the unit states; ``seq`` packs the row's tie-breaks
-    so (ts, seq) orders the attempts of an id totally. One id in thirteen is absent.
+    Expected and new states cycle through all states; error states have one of three messages.
+    ``seq`` packs the row's tie-breaks so (ts, seq) orders the attempts of an id totally. One id in
+    thirteen is absent.
     """
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
     k = F.col("l_orderkey")
@@ -266,8 +272,8 @@ def cas_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("timestamp").alias("ts"),
         (F.col("l_linenumber").cast("bigint") + F.col("l_suppkey") * 8 + F.col("l_partkey") * (8 << 20)).alias("seq"),
         _pick(F.col("l_partkey") % 12, STATES).alias("before_kind"),
-        F.lit(None).cast("string").alias("before_message"),
-        _pick(F.col("l_suppkey") % 8, STATES).alias("after_kind"),
-        F.lit(None).cast("string").alias("after_message"),
+        F.when(F.col("l_partkey") % 12 >= 8, F.concat(F.lit("m"), (F.col("l_linenumber") % 3).cast("string"))).alias("before_message"),
+        _pick(F.col("l_suppkey") % 12, STATES).alias("after_kind"),
+        F.when(F.col("l_suppkey") % 12 >= 8, F.concat(F.lit("m"), (F.col("l_suppkey") % 3).cast("string"))).alias("after_message"),
         _epoch(F.col("l_shipdate")).alias("next_update_time"),
     )
