@@ -77,7 +77,7 @@ def acquire(claims: DataFrame, registry: DataFrame, p: Params, edges: DataFrame
                      kind.alias("_to"), msg.alias("_to_msg"), nxt.alias("_to_next"))
     # a key of its own, so that the rows are shuffled for this join and not left as the aggregate had them
     known = win.join(cur, "id", "left").withColumn("_key", F.concat(F.lit("id:"), F.col("id"))).drop("id")
-    j = claims.join(known, F.concat(F.lit("id:"), claims["id"]) == F.col("_key"))
+    j = claims.join(known, F.concat(F.lit("id:"), claims["id"]) == F.col("_key"), "left")  # a claim without an id is NotFound
     is_winner = F.struct(*[F.col(c) for c in order]) == F.col("_w")
     outcome = (F.when(F.col("_cur_kind").isNull(), "NotFound")
                .when(F.col("_due").isNull(), "Fail")

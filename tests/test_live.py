@@ -328,3 +328,31 @@ def test_a_hot_id_of_claims_is_split(spark):
     assert out.count() == 3001
     won = [r[0] for r in out.where("id = 'hot' and outcome = 'Success'").select(F.unix_seconds("ts")).orderBy("ts").collect()]
     assert won == list(range(1000, 2000, 100))
+
+
+def test_claims_without_an_id_are_not_found(spark):
+    reg = records(spark, 1, P.now - 1).withColumn("state_kind", F.lit("WaitToStart"))
+    df = spark.createDataFrame([("e0", 1, "a", 1, 1), (None, 1, "b", 1, 1), ("x", 1, "c", 1, 1)], "id string, t long, claimant string, seq long, tiebreak long").select("id", F.timestamp_seconds("t").alias("ts"), "claimant", "seq", "tiebreak")
+    got = {r["claimant"]: r["outcome"] for r in planning.acquire(df, reg, P).collect()}
+    assert got == {"a": "Success", "b": "NotFound", "c": "NotFound"}
+
+
+def test_requests_delivered_again_make_nothing(spark):
+    """Within a micro-batch, in the next one, and after the stream has forgotten them."""
+    root = S.scratch_dir(spark, "again")
+    body = '{"name":"n%d","engine_type":"Spark","version":"3.5.3"}'
+    deliveries = [[(1, 0), (1, 0), (2, 0)], [(2, 100), (3, 100), (9, 100)], [(1, 50_000), (4, 50_000)], [(3, 90_000), (2, 90_000), (5, 90_000)]]
+    types = "request_id long, body string, t long"
+    made = []
+    for i, rows in enumerate(deliveries):
+        rows = [(k, body % k if k < 9 else "{", t) for k, t in rows]
+        spark.createDataFrame(rows, types).select("request_id", "body", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.parquet(f"{root}/in/{i}")
+        src = spark.readStream.schema("request_id long, body string, ts timestamp").option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        known = spark.createDataFrame([(x,) for x in made], "id string")
+        S.ingest_stream(src, f"{root}/out", f"{root}/ck", P, retry_window="1 hour", registry=known)
+        made = [r["id"] for r in spark.read.parquet(f"{root}/out/good").collect()]
+    import hashlib
+
+    assert sorted(made) == sorted(hashlib.sha256(str(k).encode()).hexdigest() for k in (1, 2, 3, 4, 5))
+    assert spark.read.parquet(f"{root}/out/existing").count() >= 1 and spark.read.parquet(f"{root}/out/rejects").count() == 1
+    assert not os.listdir(f"{root}/out/checked".removeprefix("file:"))  # what a batch staged is gone
