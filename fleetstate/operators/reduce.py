@@ -1,9 +1,10 @@
 """Reduction of a large table to the ids that matter, before it is aggregated or shuffled.
 
-The ids become a hashed bitmap: 2**bits bits, in rows of 32,768. It is built by an aggregate and
-broadcast; its size is bounded by ``bits`` (8 MB for 26), whatever the number of ids. A row whose bit
-isn't set can't have one of the ids and is dropped where it is scanned. Rows that pass by chance (as
-many in a hundred as the ids fill of the bits) are dropped by the exact join that follows.
+The ids become a hashed bitmap of 2**bits bits, as words of 64 that have any bit set. It is built by an
+aggregate and broadcast; ``bits`` bounds its size (2**19 words of 16 bytes for 25), whatever the
+number of ids. A row whose bit isn't set can't have one of the ids and is dropped where it is scanned.
+Rows that pass by chance (as many in a hundred as the ids fill of the bits) are dropped by the exact
+join that follows.
 """
 
 from __future__ import annotations
@@ -11,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 26
-_ROW = 15  # bits of a place within a row of the bitmap: 512 words of 64
+BITS = 25
 
 
 def _place(col: Column, bits: int) -> Column:
@@ -20,17 +20,13 @@ def _place(col: Column, bits: int) -> Column:
 
 
 def id_bitmap(ids: DataFrame, bits: int = BITS) -> DataFrame:
-    """row and words (512 longs) of the bitmap of ``ids`` (id)."""
+    """word (number) and set (its 64 bits) of the bitmap of ``ids`` (id)."""
     place = ids.where("id is not null").select(_place(F.col("id"), bits).alias("p"))
-    in_row = F.col("p").bitwiseAND(F.lit((1 << _ROW) - 1))
-    word = place.groupBy(F.shiftright("p", _ROW).alias("row"), F.shiftright(in_row, 6).cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    by_word = word.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
-    return by_word.select("row", F.expr("transform(sequence(0, 511), i -> coalesce(try_element_at(m, i), 0L))").alias("words"))
+    return place.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("set"))
 
 
 def may_have(rows: DataFrame, bitmap: DataFrame, bits: int = BITS) -> DataFrame:
     """``rows`` (id, ...) without those whose id isn't in the bitmap."""
-    p = _place(F.col("id"), bits)
-    hit = rows.withColumn("_p", p).join(F.broadcast(bitmap.withColumnRenamed("row", "_row")), F.shiftright("_p", _ROW) == F.col("_row"))
-    return hit.where(F.expr("getbit(words[cast(shiftright(_p & 32767, 6) as int)], cast(_p & 63 as int)) = 1")).select(*rows.columns)
+    words = bitmap.select(F.col("word").alias("_word"), F.col("set").alias("_set"))
+    hit = rows.withColumn("_p", _place(F.col("id"), bits)).join(F.broadcast(words), F.shiftright("_p", 6) == F.col("_word"))
+    return hit.where(F.expr("getbit(_set, cast(_p & 63 as int)) = 1")).select(*rows.columns)

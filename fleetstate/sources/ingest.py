@@ -33,39 +33,58 @@ _VARIANTS = ", ".join(f"`{t}`" for t in ENGINE_TYPES)
 def validate_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
     """A2: add ``reason`` (NULL when valid), ``detail`` and the typed fields to every request.
 
-    A body is parsed once, to a variant. That fails for malformed text and for repeated keys, so a
-    body whose parsed fields have the right names and types is valid, whatever their order. Only the
-    others take the slow path, which finds the first problem: the key list in document order, typed
-    fields and config map are parsed for them alone, every per-field check becomes a boolean column,
-    and the walk over the keys only picks the first failing one.
+    A body is parsed once, to a variant. That fails for malformed text and for repeated keys, so where
+    it succeeds each field has one value, and names and types are checked on it. A body with one
+    problem at most is settled by that, whatever the order of its keys. Only the others, and those
+    that don't parse, take the slow path, which finds the first problem: the key list in document
+    order, typed fields and config map are parsed for them alone, every per-field check becomes a
+    boolean column, and the walk over the keys only picks the first failing one.
     """
     body = F.col(body_col)
-    text = "STRING"
+    kind = F.schema_of_variant
     one = requests.select(*[F.col(c) for c in requests.columns], F.try_parse_json(body).alias("__p"))
     one = one.select("*", F.try_variant_get("__p", "$", "map<string,variant>").alias("__m"))
-    kind = lambda x: F.schema_of_variant(x)
-    one = one.select("*", *[F.try_element_at("__m", F.lit(f)).alias(f"__f_{f}") for f in REQUEST_FIELDS])
+    one = one.select("*", *[F.try_element_at("__m", F.lit(f)).alias(f"__f_{f}") for f in REQUEST_FIELDS],
+                     F.when(F.size("__m") > 0, F.array_except(F.map_keys("__m"), F.array(*[F.lit(f) for f in REQUEST_FIELDS]))).alias("__extra"))
     given = F.col("__f_config").isNotNull()
-    own_config = F.when(given, F.try_variant_get("__f_config", "$", "map<string,variant>"))
-    one = one.select("*", own_config.alias("__f_map"))
+    one = one.select("*", F.when(given, F.try_variant_get("__f_config", "$", "map<string,variant>")).alias("__f_map"))
     entries = F.col("__f_map")
-    # an object, or null (which no map can be made of); its values are strings
-    config_ok = ~given | F.when(entries.isNotNull(), F.forall(F.map_values(entries), lambda x: kind(x) == text)).otherwise(kind(F.col("__f_config")) == "VOID")
-    named = F.size("__m") == len(REQUIRED_FIELDS) + F.when(given, 1).otherwise(0)
-    typed = (kind(F.col("__f_name")) == text) & (kind(F.col("__f_version")) == text) & (kind(F.col("__f_engine_type")) == text)
+
+    def bad_if(f, wrong):
+        return F.coalesce(F.col(f"__f_{f}").isNotNull() & wrong, F.lit(False)).alias(f"__bad_{f}")
+
+    one = one.select(
+        "*", *[bad_if(f, kind(F.col(f"__f_{f}")) != "STRING") for f in REQUIRED_FIELDS],
+        bad_if("config", entries.isNull() & (kind(F.col("__f_config")) != "VOID")),
+        F.when(F.size(entries) > 0, F.filter(F.map_keys(entries), lambda k: kind(F.try_element_at(entries, k)) != "STRING")).alias("__bad_keys"),
+        F.try_variant_get("__f_engine_type", "$", "string").alias("__f_et"))
+    bad = lambda f: F.col(f"__bad_{f}")
+    strange = F.coalesce(~bad("engine_type") & ~F.col("__f_et").isin(*ENGINE_TYPES), F.lit(False))
+    count = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0))
+    problems = count("__extra") + count("__bad_keys") + sum(F.when(x, 1).otherwise(0) for x in [bad("name"), bad("version"), bad("engine_type"), strange, bad("config")])
     # exactly one value: it ends with its brace, and has no braces but its own and the config's
     closing = F.length(body) - F.length(F.replace(body, F.lit("}"), F.lit("")))
     whole = F.rtrim(body).endswith("}") & (closing == F.when(entries.isNotNull(), 2).otherwise(1))
-    known = F.try_variant_get("__f_engine_type", "$", "string").isin(*ENGINE_TYPES)
-    good = F.coalesce(F.col("__m").isNotNull() & named & typed & known & config_ok & whole, F.lit(False))
-    one = one.select("*", good.alias("__good"))
-    slow = ~F.col("__good")
-    parsed = one.select(
+    plain_case = F.coalesce(F.col("__m").isNotNull() & whole & (problems <= 1), F.lit(False))
+    # a value that isn't an object needs no second look, either
+    other = F.col("__p").isNotNull() & F.col("__m").isNull()
+    only = lambda c: F.try_element_at(c, F.lit(1))
+    lacking = F.coalesce(*[F.when(F.col(f"__f_{f}").isNull(), F.lit(f)) for f in REQUIRED_FIELDS])
+    found = (F.when(other, F.struct(F.lit("not_object").alias("reason"), F.lit("invalid type, expected struct CreateEngineRequest").alias("detail")))
+             .when(count("__extra") > 0, _unknown(only("__extra")))
+             .when(bad("name"), _bad("name", "a string")).when(bad("version"), _bad("version", "a string"))
+             .when(bad("engine_type"), _bad("engine_type", "variant identifier")).when(strange, _variant(F.col("__f_et")))
+             .when(bad("config"), _bad("config", "a map")).when(count("__bad_keys") > 0, _bad_value(only("__bad_keys")))
+             .when(lacking.isNotNull(), _missing(lacking)))
+    one = one.select(*requests.columns, "__p", "__m", (~(plain_case | other)).alias("__slow"), F.when(plain_case | other, found).alias("__found"))
+    slow = F.col("__slow")
+    fields = F.when(~slow & F.col("__found").isNull(), F.try_variant_get("__p", "$", "struct<name:string,engine_type:string,version:string,config:map<string,string>>"))
+    parsed = one.select(*requests.columns, "__p", "__slow", "__found", fields.alias("__s"), F.when(slow, F.json_object_keys(body)).alias("__keys"))
+    parsed = parsed.select(
         "*",
-        F.when(slow, F.json_object_keys(body)).alias("__keys"),
-        F.when(slow, F.from_json(body, "name variant, engine_type variant, version variant, config variant")).alias("__v"),
+        F.when(F.col("__keys").isNotNull(), F.from_json(body, "name variant, engine_type variant, version variant, config variant")).alias("__v"),
         # only bodies that name a config are parsed for it
-        F.when(slow & (body.contains("config") | body.contains("\\")), F.from_json(F.get_json_object(body, "$.config"), "map<string,variant>")).alias("__cfg"),
+        F.when(F.col("__keys").isNotNull() & (body.contains("config") | body.contains("\\")), F.from_json(F.get_json_object(body, "$.config"), "map<string,variant>")).alias("__cfg"),
     )
     v, cfg = F.col("__v"), F.col("__cfg")
 
@@ -90,24 +109,16 @@ def validate_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
 
     def problem(k, i):
         return (
-            F.when(~F.array_contains(fields, k),
-                   F.struct(F.lit("unknown_field").alias("reason"),
-                            F.concat(F.lit("unknown field `"), k, F.lit(f"`, expected one of {_EXPECTED}")).alias("detail")))
+            F.when(~F.array_contains(fields, k), _unknown(k))
             .when(F.array_position(keys, k) < i + 1,
                   F.struct(F.lit("duplicate_field").alias("reason"),
                            F.concat(F.lit("duplicate field `"), k, F.lit("`")).alias("detail")))
             .when((k == "name") & F.col("__name_bad"), _bad("name", "a string"))
             .when((k == "version") & F.col("__version_bad"), _bad("version", "a string"))
             .when((k == "engine_type") & F.col("__et_bad"), _bad("engine_type", "variant identifier"))
-            .when((k == "engine_type") & ~F.col("__et").isin(*ENGINE_TYPES),
-                  F.struct(F.lit("unknown_variant").alias("reason"),
-                           F.concat(F.lit("engine_type: unknown variant `"), F.col("__et"),
-                                    F.lit(f"`, expected {_VARIANTS}")).alias("detail")))
+            .when((k == "engine_type") & ~F.col("__et").isin(*ENGINE_TYPES), _variant(F.col("__et")))
             .when((k == "config") & F.col("__cfg_bad"), _bad("config", "a map"))
-            .when((k == "config") & F.col("__cfg_bad_key").isNotNull(),
-                  F.struct(F.lit("bad_type").alias("reason"),
-                           F.concat(F.lit("config."), F.col("__cfg_bad_key"),
-                                    F.lit(": invalid type, expected a string")).alias("detail")))
+            .when((k == "config") & F.col("__cfg_bad_key").isNotNull(), _bad_value(F.col("__cfg_bad_key")))
         )
 
     first = F.try_element_at(F.filter(F.transform(keys, problem), lambda x: x.isNotNull()), F.lit(1))
@@ -125,25 +136,21 @@ def validate_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
                       .otherwise(~F.coalesce(one_value, F.lit(False))))
     staged = checks.select("*", F.when(slow, first).alias("__first"), F.when(slow, missing).alias("__missing"), bad_json.alias("__bad_json"))
     first, missing, bad_json = F.col("__first"), F.col("__missing"), F.col("__bad_json")
-    reason = F.when(slow, F.when(bad_json, "malformed")
-                    .when(keys.isNull(), "not_object")
-                    .when(first.isNotNull(), first["reason"])
-                    .when(missing.isNotNull(), "missing_field"))
-    detail = F.when(slow, F.when(bad_json, "malformed JSON")
-                    .when(keys.isNull(), "invalid type, expected struct CreateEngineRequest")
-                    .when(first.isNotNull(), first["detail"])
-                    .when(missing.isNotNull(), F.concat(F.lit("missing field `"), missing, F.lit("`"))))
-    staged = staged.select("*", reason.alias("reason"), detail.alias("detail"))
-    ok = F.col("reason").isNull()
+    late = (F.when(bad_json, F.struct(F.lit("malformed").alias("reason"), F.lit("malformed JSON").alias("detail")))
+            .when(keys.isNull(), F.struct(F.lit("not_object").alias("reason"), F.lit("invalid type, expected struct CreateEngineRequest").alias("detail")))
+            .when(first.isNotNull(), first)
+            .when(missing.isNotNull(), _missing(missing)))
+    staged = staged.select("*", F.when(slow, late).otherwise(F.col("__found")).alias("__why"))
+    why, easy = F.col("__why"), F.col("__s")
+    ok = why.isNull()
     empty = F.create_map().cast("map<string,string>")
-    strings = lambda m: F.transform_values(m, lambda _k, x: _vstr(x))
 
     def field(f):
-        return F.when(~slow, _vstr(F.col(f"__f_{f}"))).when(ok, F.try_variant_get(v.getField(f), "$", "string")).alias(f)
+        return F.when(~slow, easy[f]).when(ok, F.try_variant_get(v.getField(f), "$", "string")).alias(f)
 
     result = F.struct(
-        F.col("reason"), F.col("detail"), field("name"), field("engine_type"), field("version"),
-        F.when(~slow, F.coalesce(strings(entries), empty)).when(ok, F.coalesce(strings(cfg), empty)).alias("config"),
+        why["reason"].alias("reason"), why["detail"].alias("detail"), field("name"), field("engine_type"), field("version"),
+        F.when(ok, F.when(~slow, F.coalesce(easy["config"], empty)).otherwise(F.coalesce(F.transform_values(cfg, lambda _k, x: _vstr(x)), empty))).alias("config"),
     )
     # The result leaves through a generator: a later filter on ``reason`` (the good / dead-letter
     # split) then stays above it instead of being pushed down with the whole validation inlined
@@ -155,9 +162,29 @@ def _vstr(x: Column) -> Column:
     return F.variant_get(x, "$", "string")
 
 
+def _why(reason: str, *detail) -> Column:
+    """A reject's reason and detail; the detail's columns and texts are joined."""
+    return F.struct(F.lit(reason).alias("reason"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in detail]).alias("detail"))
+
+
 def _bad(path: str, expected: str) -> Column:
-    return F.struct(F.lit("bad_type").alias("reason"),
-                    F.lit(f"{path}: invalid type, expected {expected}").alias("detail"))
+    return _why("bad_type", f"{path}: invalid type, expected {expected}")
+
+
+def _unknown(key: Column) -> Column:
+    return _why("unknown_field", "unknown field `", key, f"`, expected one of {_EXPECTED}")
+
+
+def _variant(value: Column) -> Column:
+    return _why("unknown_variant", "engine_type: unknown variant `", value, f"`, expected {_VARIANTS}")
+
+
+def _bad_value(key: Column) -> Column:
+    return _why("bad_type", "config.", key, ": invalid type, expected a string")
+
+
+def _missing(field: Column) -> Column:
+    return _why("missing_field", "missing field `", field, "`")
 
 
 def split_requests(requests: DataFrame, body_col: str = "body") -> tuple[DataFrame, DataFrame]:

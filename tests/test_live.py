@@ -289,7 +289,7 @@ def test_observations_are_reduced_below_the_aggregate(spark):
     plan = planning.sync_round(reg, obs, X.outcomes(spark, SF001), P)._jdf.queryExecution().optimizedPlan().toString()
     lines = plan.split("\n")
     aggregate = next(i for i, x in enumerate(lines) if "Aggregate" in x and "l_linenumber" in x)
-    below = [x for x in lines[aggregate + 1:] if "words" in x and "Join" in x]
+    below = [x for x in lines[aggregate + 1:] if "_word" in x and "Join" in x]
     assert below and "rightHint=(strategy=broadcast)" in below[0]
 
 
