@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetstate.model import IN_PROGRESS, PHASES, Params
 from fleetstate.operators.edges import apply_edge, join_edges, resolve_edges
-from fleetstate.operators.reduce import id_bitmap, may_have
+from fleetstate.operators.reduce import reduced
 
 OBS_ORDER = ["ts", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -54,7 +54,7 @@ def reconcile(registry: DataFrame, observations: DataFrame, p: Params, edges: Da
     if only_due:
         recs = recs.where(F.col("next_update_time").isNotNull() & (F.col("next_update_time") < p.now))
     recs = recs.select("id", "state_kind", "state_message")
-    norm = phase_normalize(recs, may_have(observations, id_bitmap(recs.select("id"))), obs_order)
+    norm = phase_normalize(recs, reduced(observations, recs.select("id")), obs_order)
     j = join_edges(norm.withColumn("signal", F.concat(F.lit("PHASE_"), F.col("phase"))),
                    resolve_edges(spark, edges))
     kind, msg, nxt = apply_edge(j, p)

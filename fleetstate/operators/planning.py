@@ -10,7 +10,7 @@ from fleetstate.model import COMMAND_VERBS, TRIGGER, WAITING, Params
 from fleetstate.operators.edges import (apply_edge, default_edges, join_edges, new_message, new_next_time,
                                         resolve_edges, round_edges)
 from fleetstate.operators.observe import latest_observation, normalize_phase
-from fleetstate.operators.reduce import id_bitmap, may_have
+from fleetstate.operators.reduce import reduced
 from fleetstate.operators.registry import due_records, refusal_text
 
 
@@ -156,7 +156,7 @@ def sync_round(registry: DataFrame, observations: DataFrame, outcomes: DataFrame
         due = due.select(*cols, F.lit(None).cast("string").alias("_launch_err"))
     # only in-progress records read their observations; the others' are dropped below the aggregate
     watched = due.where(state_class("state_kind") == "in_progress").select("id")
-    observations = may_have(observations, id_bitmap(watched))
+    observations = reduced(observations, watched)
     last = latest_observation(observations, obs_order).select("id", F.col("phase").alias("_raw"),
                                                                F.lit(True).alias("_pod"))
     res = outcomes.select("id", "err_msg", F.lit(True).alias("_done"))

@@ -30,3 +30,11 @@ def may_have(rows: DataFrame, bitmap: DataFrame, bits: int = BITS) -> DataFrame:
     words = bitmap.select(F.col("word").alias("_word"), F.col("set").alias("_set"))
     hit = rows.withColumn("_p", _place(F.col("id"), bits)).join(F.broadcast(words), F.shiftright("_p", 6) == F.col("_word"))
     return hit.where(F.expr("getbit(_set, cast(_p & 63 as int)) = 1")).select(*rows.columns)
+
+
+def reduced(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most that have none of the ``ids``, for a join that follows. The bitmap is a
+    broadcast, so a session that has switched broadcasts off keeps all rows; the join drops them then."""
+    if rows.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-"):
+        return rows
+    return may_have(rows, id_bitmap(ids))
