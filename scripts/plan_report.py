@@ -23,7 +23,7 @@ def summarize(plan: str) -> dict:
         "single": sum(1 for e in ex if e == "SinglePartition"),
         "broadcast": plan.count("BroadcastExchange"),
         "agg": len(re.findall(r"(HashAggregate|SortAggregate|ObjectHashAggregate)\(", plan)),
-        "python": len(re.findall(r"(MapInPandas|FlatMapGroupsInPandas|ArrowEvalPython|BatchEvalPython)", plan)),
+        "python": len(re.findall(r"(MapInPandas|MapInArrow|FlatMapGroupsInPandas|ArrowEvalPython|BatchEvalPython)", plan)),
         "pushed": "PushedFilters: [I" in plan or "PushedFilters: [E" in plan or "PushedFilters: [L" in plan,
         "checkpoint": "ExistingRDD" in plan and "LogicalRDD" not in plan,
     }
@@ -42,7 +42,7 @@ def main():
     print("| query | hash | range | round robin | broadcast | aggregates | python | pushed filter |")
     print("|---|---|---|---|---|---|---|---|")
     for name, fn in QUERIES.items():
-        if name.startswith("stream_") or name == "monitor_rounds":
+        if name.startswith(("stream_", "monitor_")):
             continue
         df = fn(spark, sf)
         plan = df._jdf.queryExecution().executedPlan().toString()
