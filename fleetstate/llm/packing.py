@@ -1,13 +1,15 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Every round gives each queue its share of one window's tokens. A share is rarely whole: what is
-left over (under one token a queue) is the queue's deficit, and it is carried to the next round,
-over windows and partitions alike. With ``m`` tokens of a queue to hand out in ``J`` rounds, the
-queue has given ``floor(m * j / J)`` tokens after round ``j`` and its deficit is the fraction cut
-off. Queues of equal ``m`` share one account and take its tokens in turn, so however many sources
-there are, a round is off by less than a token for each distinct ``m``. The state at any round is
-therefore known in closed form, so each partition places its own documents without waiting for, or
-talking to, any other.
+A source is a queue, and a document is cut into pieces of ``piece`` tokens or somewhat more (under
+twice as many; a shorter document is one piece). Every round adds a queue's quantum to its deficit;
+the queue sends what pieces the deficit covers and carries the rest to the next round, over windows
+and partitions alike. So the piece that ends at a queue's token ``b`` leaves in round
+``ceil(b / quantum)``, whatever the other queues do: no partition waits for another.
+
+Queues whose shares are within a factor of two are one account and take turns of about a piece; the
+accounts, sixty at most, take turns again with their shares of a window as quanta. Thousands of small
+sources therefore can't delay a large one. The place of a piece is a running sum over the order
+of rounds: first within its account, then over all. Spark sorts rows that stand for pieces, not tokens.
 """
 
 from __future__ import annotations
@@ -18,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetstate.llm import common as C
 
 WINDOW = 1024
-MAX_ROUNDS = 1 << 31
+PIECE = 256
+ACCOUNTS = 60  # classes of shares; what is below the last one's counts to it
 BROADCAST_BYTES = 64 << 20
 CACHED_PIECES = 300_000
 
@@ -111,7 +114,7 @@ def queue_name(column: str):
 
 
 def tokenize(docs: DataFrame, vocabulary: str, queue, end_id: int = 0, ranks: tuple[str, str] | None = None) -> DataFrame:
-    """doc_id, queue, part, at (tokens of that queue before it in its part), n, width, ids (zstd), cut once.
+    """doc_id, key (one a row), queue, part, at (tokens of that queue before it in its part), n, width, ids (zstd), cut once.
 
     ``part`` numbers the scan's partitions. The rows are checkpointed, so every later step sees one
     assignment of rows to parts, whichever executors are lost."""
@@ -119,9 +122,10 @@ def tokenize(docs: DataFrame, vocabulary: str, queue, end_id: int = 0, ranks: tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        key = (vocabulary, ranks)
-        encode = _encoders.get(key) or _encoders.setdefault(key, Encoder(vocabulary, ranks))
+        cached = (vocabulary, ranks)
+        encode = _encoders.get(cached) or _encoders.setdefault(cached, Encoder(vocabulary, ranks))
         part = TaskContext.get().partitionId()
+        row = part << 33
         used: dict[str, int] = {}
         end = array(encode.code, [end_id]).tobytes()
         for batch in C.slices(batches):
@@ -134,153 +138,138 @@ def tokenize(docs: DataFrame, vocabulary: str, queue, end_id: int = 0, ranks: tu
                 used[q] = at[-1] + k
             packed = [pa.compress(x, codec="zstd", asbytes=True) for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array([encode.width] * len(n), pa.int32()), pa.array(packed, pa.binary())],
-                ["doc_id", "queue", "part", "at", "n", "width", "ids"])
+                [batch.column(0), pa.array(range(row, row + len(n)), pa.int64()), batch.column(1), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array([encode.width] * len(n), pa.int32()), pa.array(packed, pa.binary())],
+                ["doc_id", "key", "queue", "part", "at", "n", "width", "ids"])
+            row += len(n)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return C.cut(docs.select("doc_id", queue.alias("queue"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, queue string, part int, at long, n long, width int, ids binary"))
+        run, f"doc_id {kind}, key long, queue string, part int, at long, n long, width int, ids binary"))
+
+
+def quanta(sums: DataFrame, targets: dict[str, float] | None, piece: int) -> DataFrame:
+    """queue, lane, share, account, quantum, from (queue, part, tokens).
+
+    Queues without a target, if there are any, come after all others: lane 1. Within a lane the
+    shares add up to 1. An account's quanta are above ``piece`` and at most twice that."""
+    queues = sums.groupBy("queue").agg(F.sum("tokens").alias("size"))
+    lane = F.lit(0)
+    if targets:
+        wanted = sums.sparkSession.createDataFrame([(q, float(w)) for q, w in targets.items()], "queue string, want double")
+        queues = queues.join(wanted, "queue", "left").withColumn("want", F.coalesce("want", F.lit(0.0)))
+        lane = F.when(F.col("want") > 0, 0).otherwise(1)
+        queues = queues.withColumn("size", F.when(F.col("want") > 0, F.col("want")).otherwise(F.col("size")))
+    queues = queues.withColumn("lane", lane)
+    whole = F.broadcast(queues.groupBy("lane").agg(F.sum("size").alias("whole")))  # two rows
+    level = F.least(F.greatest(F.floor(-F.log2("share")), F.lit(0)), F.lit(ACCOUNTS - 1)).cast("int")
+    queues = queues.join(whole, "lane").withColumn("share", F.col("size") / F.col("whole")).withColumn("level", level)
+    return queues.select("queue", "lane", "share", (F.col("lane") * ACCOUNTS + F.col("level")).alias("account"),
+                         (F.col("share") * F.pow(F.lit(2.0), F.col("level") + 1) * piece).alias("quantum"))
+
+
+def running(rows: DataFrame, order: list[str], account: str | None = None) -> DataFrame:
+    """Append ``place``: the sum of ``size`` over the rows before each in ``order``, or over those of
+    its ``account``, which then comes first in ``order``. Range partitions are sorted and written
+    once; a number per partition and account is all that is joined."""
 
+    def run(batches):
+        from pyspark import TaskContext
 
-class Schedule:
-    """Where the rounds put each token of each queue.
-
-    ``targets`` are the queues' wanted shares; without them the shares are the corpus's own, and
-    all queues end together. A phase ends when a queue runs dry; the rest go on among themselves.
-    """
-
-    def __init__(self, totals: dict[str, int], targets: dict[str, float] | None = None, window: int = WINDOW):
-        self.window = window
-        left = {q: n for q, n in totals.items() if n}
-        base = 0
-        self.phases = []  # (tokens to give: distinct numbers, queues of each), (per queue: tokens given before, to give, rank among its equals), rounds, position of its first token
-        while left:
-            want = {q: (targets or {}).get(q, 0.0) if targets else float(n) for q, n in left.items()}
-            if not any(want.values()):
-                want = {q: float(n) for q, n in left.items()}
-            end = min(left[q] / w for q, w in want.items() if w > 0)
-            give = {q: left[q] if left[q] / w <= end * (1 + 1e-12) else min(left[q], round(w * end)) for q, w in want.items() if w > 0}
-            size = sum(give.values())
-            rounds = min(MAX_ROUNDS, -(-size // window))
-            ranks: dict[int, int] = {}
-            queues = {}
-            for q in sorted(give):
-                if m := give[q]:
-                    queues[q] = (totals[q] - left[q], m, ranks.get(m, 0))
-                    ranks[m] = ranks.get(m, 0) + 1
-                    left[q] -= m
-            self.phases.append((sorted(ranks.items()), queues, rounds, base))
-            left = {q: n for q, n in left.items() if n}
-            base += size
-        self.size = base
-
-    def pieces(self, queue: str, t0: np.ndarray, t1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Token ranges [t0, t1) of a queue, cut up: range number, first token, tokens, position in
-        the packed stream; by range and then by token."""
-        parts = []
-        for equals, queues, rounds, base in self.phases:
-            if queue not in queues:
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            skip, m, rank = queues[queue]
-            some = np.flatnonzero((t1 > skip) & (t0 < skip + m))
-            if not len(some):
-                continue
-            lo, hi = np.maximum(t0[some] - skip, 0), np.minimum(t1[some] - skip, m)
-            n = dict(equals)[m]
-            j0, j1 = (round_of(n * (t + 1) - rank - 1, n * m, rounds) for t in (lo, hi - 1))
-            count = j1 - j0 + 1
-            k = np.repeat(np.arange(len(some)), count)
-            j = j0[k] + np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
-            uj = np.unique(np.concatenate([j, j + 1]))
-            every = np.zeros(len(uj), np.int64)  # given by all queues
-            ahead = every.copy()  # and by those ahead of this one in a round
-            for give, count in equals:
-                done = floor_share(count * give, uj, rounds)
-                every += done
-                if give < m:
-                    ahead += done
-                elif give == m:  # shared out among the equals in turn
-                    own = (done + rank) // n
-                    ahead += rank * (done // n) + np.maximum(0, rank - n + done % n)
-            at = np.searchsorted(uj, j)
-            total = base + every + np.append(np.diff(ahead), 0)  # where the queue's slice of a round begins
-            first = np.maximum(own[at], lo[k])
-            last = np.minimum(own[at + 1], hi[k])
-            place = total[at] + first - own[at]
-            real = last > first
-            parts.append((some[k][real], (first + skip)[real], (last - first)[real], place[real]))
-        who, first, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        # then at the windows' edges
-        w = self.window
-        spans = (place + size - 1) // w - place // w + 1
-        k = np.repeat(np.arange(len(first)), spans)
-        nth = np.arange(len(k)) - np.repeat(np.cumsum(spans) - spans, spans)
-        begin = np.maximum(place[k], (place[k] // w + nth) * w)
-        stop = np.minimum(place[k] + size[k], (place[k] // w + nth + 1) * w)
-        first = first[k] + begin - place[k]
-        order = np.lexsort((first, who[k]))
-        return who[k][order], first[order], (stop - begin)[order], begin[order]
-
-
-def round_of(t: np.ndarray, m: int, rounds: int) -> np.ndarray:
-    """The last round that begins at token ``t`` or before: the largest j with floor(m * j / rounds) <= t."""
-    j = np.minimum(((t + 1) / m * rounds).astype(np.int64) + 1, rounds - 1)  # at most three too large
-    for _ in range(4):
-        j -= floor_share(m, j, rounds) > t
-    return j
-
-
-def floor_share(m: int, j: np.ndarray, rounds: int) -> np.ndarray:
-    """floor(m * j / rounds) without overflow, for j up to ``rounds``."""
-    q, r = divmod(m, rounds)
-    guess = np.floor(r * (j / rounds)).astype(np.int64)
-    over = np.multiply(np.int64(r), j) - guess * np.int64(rounds)  # wraps, but what it stands for is small
-    return q * j + guess + (over >= rounds) - (over < 0)
+            size, own = (np.asarray(batch.column(i)) for i in (batch.num_columns - 2, batch.num_columns - 1))
+            ends = np.cumsum(size)
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            spans = np.diff(np.append(first, len(own)))
+            at = ends - size
+            at -= np.repeat(at[first], spans)
+            if own[0] == last:
+                at[: spans[0]] += seen
+            last, seen = own[-1], int(at[-1] + size[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(own), pa.int32()), pa.array(at)], [*batch.schema.names, "chunk", "at"])
+
+    group = F.col(account).cast("int") if account else F.lit(0)
+    rows = rows.select(*[c for c in rows.columns if c != "size"], "size", group.alias("group"))
+    sorted_rows = rows.repartitionByRange(C.shuffle_parts(rows.sparkSession), *order).sortWithinPartitions(*order)
+    schema = T.StructType([*rows.schema.fields, T.StructField("chunk", T.IntegerType()), T.StructField("at", T.LongType())])
+    chunks = C.cut(sorted_rows.mapInArrow(run, schema))
+    sums = chunks.groupBy("group", "chunk").agg(F.sum("size").alias("sum"))
+    return chunks.join(_small(sums, before("group", "chunk", "sum")), ["group", "chunk"]).withColumn("place", F.col("base") + F.col("at")).drop("group", "chunk", "at", "base", "sum")
+
+
+def before(group: str, part: str, amount: str) -> Column:
+    """The sum of ``amount`` over the parts of a group before each part; a row a part."""
+    return F.coalesce(F.sum(amount).over(Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
+
+
+def _small(sums: DataFrame, base: Column) -> DataFrame:
+    """``sums`` with their ``base``; broadcast within the bound, by count."""
+    sums = C.cut(sums)
+    out = sums.select("*", base)
+    return F.broadcast(out) if sums.count() * 64 <= BROADCAST_BYTES else out
+
+
+def schedule(tokens: DataFrame, targets: dict[str, float] | None, window: int, piece: int) -> DataFrame:
+    """key, start, size, place (in the packed stream) of every piece, before windows cut them."""
+    sums = C.cut(tokens.groupBy("queue", "part").agg(F.sum("n").alias("tokens")))
+    queues = C.cut(quanta(sums, targets, piece))
+    bases = C.cut(sums.select("queue", "part", before("queue", "part", "tokens")).join(queues.drop("share"), "queue"))
+    if sums.count() * 64 <= BROADCAST_BYTES:
+        bases = F.broadcast(bases)
+    docs = tokens.select("key", "queue", "part", "at", "n").join(bases, ["queue", "part"])
+    count = F.greatest(F.lit(1), F.floor(F.col("n") / piece)).cast("long")
+    cut = docs.select("key", "queue", "lane", "account", "quantum", (F.col("base") + F.col("at")).alias("first"), "n", count.alias("count"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("i"))
+    cut = cut.withColumn("start", F.expr("n * i div count")).withColumn("size", F.expr("n * (i + 1) div count") - F.col("start"))
+    turn = F.ceil((F.col("first") + F.col("start") + F.col("size")) / F.col("quantum"))
+    inner = cut.select("key", "lane", "account", turn.alias("turn"), "queue", (F.col("first") + F.col("start")).alias("t"), "start", "size")
+    inner = running(inner, ["account", "turn", "queue", "t"], "account")
+    shares = F.broadcast(queues.groupBy("account").agg(F.sum("share").alias("share")))  # twice ACCOUNTS rows at most
+    turn = F.ceil((F.col("place") + F.col("size")) / (F.col("share") * window))
+    outer = inner.join(shares, "account").select("key", "lane", turn.alias("turn"), "account", F.col("place").alias("t"), "start", "size")
+    return running(outer, ["lane", "turn", "account", "t"]).select("key", "start", "size", "place")
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, source: str = "source", targets: dict[str, float] | None = None,
-         window: int = WINDOW, end_id: int = 0, ranks: tuple[str, str] | None = None) -> DataFrame:
+         window: int = WINDOW, end_id: int = 0, ranks: tuple[str, str] | None = None, piece: int = PIECE) -> DataFrame:
     """Pack all documents into windows of ``window`` tokens; one row per piece.
 
     Returns doc_id, start, length, doc_tokens, sequence_id, offset, queue, ids (the piece's token
-    ids, little-endian unsigned 32-bit). Null text is the empty text, which still has its end token.
-    Rows with equal or null ids are packed each on its own. All windows but the last are full. An
+    ids, little-endian unsigned 32-bit). All windows but the last are full. ``targets`` are wanted
+    shares by source; without them the shares are the corpus's own and all sources end together.
+    Sources without a target follow after all others. A source that runs dry leaves its place to the
+    others of its account. Until then, what a source of share s has in any run of windows is off its
+    share by less than 12 * piece + 2 * s * (window + piece * accounts), for as many accounts as
+    there are: that is what deficits can add up to, however long the run and however many the
+    sources. A document is cut into pieces of ``piece`` to 2 * piece - 1 tokens, and at the edges of
+    windows.
+
+    Null text is the empty text, which still has its end token; texts of any length are one row of
+    tokens. Rows with equal or null ids are packed each on its own. A null source is a source. An
     empty table gives no pieces. Other columns of ``docs`` are not read.
     """
-    spark = docs.sparkSession
     tokens = tokenize(docs, vocabulary or default_vocabulary(), queue_name(source), end_id, ranks)
-    sums = C.cut(tokens.groupBy("queue", "part").agg(F.sum("n").alias("tokens")))
-    totals = {r["queue"]: r["tokens"] for r in sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}  # one number per source
-    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("queue", "part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    if sums.count() * 64 <= BROADCAST_BYTES:
-        offsets = F.broadcast(offsets)
-    placed = tokens.join(offsets, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("t0"), "n", "width", "ids")
     kind = docs.schema["doc_id"].dataType
-    plan = spark.sparkContext.broadcast(Schedule(totals, targets, window))
+    first, last = F.expr(f"place div {window}"), F.expr(f"(place + size - 1) div {window}")
+    cut = schedule(tokens, targets, window, piece).select("*", F.explode(F.sequence(first, last)).alias("w"))
+    begin, stop = F.greatest("place", F.col("w") * window), F.least(F.col("place") + F.col("size"), (F.col("w") + 1) * window)
+    cut = cut.select("key", (F.col("start") + begin - F.col("place")).alias("start"), (stop - begin).alias("length"), begin.alias("place"))
+    by_doc = cut.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "length", "place"))).alias("cuts"))  # as many as the row's own tokens make
+    placed = tokens.select("key", "doc_id", "queue", "n", "width", "ids").join(by_doc, "key").select("doc_id", "queue", "n", "width", "ids", "cuts.start", "cuts.length", "cuts.place")
 
     def run(batches):
-        schedule = plan.value
-        w = schedule.window
         for batch in C.slices(batches, "ids", 1 << 20):
-            t0, n = (np.asarray(batch.column(c)).astype(np.int64) for c in (2, 3))
-            rows: dict[str, list[int]] = {}
-            for i, q in enumerate(batch.column(1).to_pylist()):
-                rows.setdefault(q, []).append(i)
-            parts = []
-            for q, mine in rows.items():
-                mine = np.array(mine)
-                who, first, size, place = schedule.pieces(q, t0[mine], t0[mine] + n[mine])
-                parts.append((mine[who], first - t0[mine][who], size, place))
-            row, start, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((start, row))  # as their ids follow each other
-            row, start, size, place = row[order], start[order], size[order], place[order]
+            start, size, place = (np.asarray(batch.column(i).flatten()) for i in (5, 6, 7))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(C.offsets_of_list(batch.column(5))))
+            n = np.asarray(batch.column(2))
             ids = np.concatenate([np.frombuffer(pa.decompress(x, decompressed_size=k * b, codec="zstd", asbytes=True), f"<u{b}").astype("<u4")
-                                  for x, k, b in zip(batch.column(5).to_pylist(), n.tolist(), batch.column(4).to_pylist(), strict=True)])
+                                  for x, k, b in zip(batch.column(4).to_pylist(), n.tolist(), batch.column(3).to_pylist(), strict=True)])
             take = pa.array(row)
             edges = pa.py_buffer(np.concatenate([[0], np.cumsum(size * 4)]).astype(np.int64))
             blob = pa.Array.from_buffers(pa.large_binary(), len(size), [None, edges, pa.py_buffer(ids)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(start), pa.array(size), pa.array(n[row]), pa.array(place // w), pa.array(place % w), batch.column(1).take(take), blob],
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(start), pa.array(size), pa.array(n[row]), pa.array(place // window), pa.array(place % window), batch.column(1).take(take), blob],
                                              ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "queue", "ids"])
 
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")),
