@@ -153,10 +153,60 @@ def test_languages_beyond_one_word_of_bits(spark):
     rows = [(i, " ".join(letters[i] * k for k in (2, 3, 4)) * 5, lang) for i, lang in enumerate(langs)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     filters = langid.learn(df)
-    assert filters.slots.shape[0] == 2
+    assert filters.slots.shape[1] == 70
     assert langid.predict(df, filters).where("lang <> lang_pred").count() == 0
 
 
+def plain_grams(text):
+    text = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower())
+    data = b"   " + text.encode() + b"   "
+    return [data[i: i + 4] for i in range(len(data) - 3) if data[i: i + 4] != b"    "]
+
+
+def test_votes_are_those_of_plain_loops(spark):
+    """Filters large enough not to err: every n-gram, at the tier of its share, votes as counted."""
+    r = random.Random(4)
+    word = lambda lang: "".join(r.choice(lang) for _ in range(r.randint(1, 6)))
+    rows = [(i, " ".join(word(("abcdeéf", "defgßh", "aghijk")[i % 3] if r.random() < 0.9 else "xyz") for _ in range(r.randint(0, 120))), "abc"[i % 3]) for i in range(90)]
+    rows += [(100, "", "a"), (101, None, "a"), (102, "12 !", "b"), (103, "seen in no language: q", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    counts = {}
+    for _, text, lang in rows:
+        if lang and text is not None:
+            counts.setdefault(lang, Counter()).update(plain_grams(text))
+    langs = sorted(counts)
+    least = [0.0] + [2.0 ** -8 / 4 ** k for k in range(6, -1, -1)]
+    tier = {lang: {g: sum(n / sum(c.values()) >= x for x in least) for g, n in c.items()} for lang, c in counts.items()}
+    filters = langid.learn(df, bits_per_gram=4000)
+    assert filters.langs == langs and filters.false_rate().max() < 1e-8
+    got = {r["doc_id"]: r for r in langid.predict(df, filters).collect()}
+    for i, text, _ in rows:
+        votes = [sum(tier[lang].get(g, 0) for g in plain_grams(text or "")) for lang in langs]
+        if not any(map(str.isalpha, text or "")):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+        else:
+            assert got[i]["lang_pred"] == langs[votes.index(max(votes))], i
+            assert abs(got[i]["score"] - max(votes) / sum(votes)) < 1e-4
+
+
+def test_full_filters_still_decide(spark):
+    """Slots far too few: no n-gram is dropped, what is found by mistake is taken off the votes."""
+    r = random.Random(5)
+    word = lambda lang: "".join(r.choice(lang) for _ in range(r.randint(2, 6)))
+    rows = [(i, " ".join(word(("abcdef", "defghi", "ghijab")[i % 3]) for _ in range(150)), "abc"[i % 3]) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.learn(df, filter_bytes=3 << 11)
+    assert filters.slots.shape == (1 << 11, 3) and filters.false_rate().max() > 0.05
+    assert langid.predict(df, filters).where("lang <> lang_pred").count() <= 2
+
+
+def test_held_out_languages(spark):
+    docs = C.read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang")
+    out = langid.op9_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").where("held_out and lang is not null")
+    rows = out.collect()
+    assert len(rows) > 100 and sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) >= 0.98
+
+
 def test_long_text_is_hashed_in_stretches(monkeypatch):
     data, offs = C.text_bytes(pa.array(["ab cd  ef\n" * 500 + "z" * 3000 + " end"]))
     whole = C.hash_words(data, offs)
