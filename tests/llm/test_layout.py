@@ -175,7 +175,7 @@ def test_registered_sql(spark):
 
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "labels", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     for name, sql in queries.ORACLE.items():
         df = queries.QUERIES[name](spark, d)
