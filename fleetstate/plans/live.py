@@ -3,6 +3,8 @@ commands, and of what they write: beside ``catalog``, with the same kind of orac
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from fleetstate.model import EDGE_SCHEMA, edges_df, literal_rows
 from fleetstate.operators import calendar, commands, layers, leases, registry, replay
 from fleetstate.plans import oracle as O
 from fleetstate.plans.catalog import _REPLAY_REC, _TRIGGERS, ORACLE, query
+from fleetstate.session import remove_path
 from fleetstate.sources import fixtures as X
 from fleetstate.sources import ingest
 from fleetstate.streaming import lifecycle as S
@@ -21,27 +24,44 @@ from fleetstate.streaming import waits as W
 
 JITTER_S = 21_600  # a row arrives up to six hours after its time
 ARRIVALS = 4  # stretches of arrival time, written one after the other
+FILE_ROWS = 500_000  # rows of a file, about
+
+
+class Arrival(NamedTuple):
+    """Files in the order of arrival, and how a stream reads them."""
 
+    delay: str  # of the watermark
+    per_trigger: int  # files of a micro-batch
+    rows: int
 
-def _arrive(rows: DataFrame, path: str, salt: str) -> str:
+
+def _arrive(rows: DataFrame, path: str, salt: str) -> Arrival:
     """Write ``rows`` (ts, ...) as files in the order of a late and shuffled arrival; returns the
     watermark delay that covers it. The last file has a row far in the future, which lets the
-    watermark pass everything before it."""
+    watermark pass everything before it. The rows are made once; the number of a stretch's files grows
+    with them, and that of the micro-batches stays."""
     spark = rows.sparkSession
+    rows.write.parquet(f"{path}-made")
+    rows = spark.read.schema(rows.schema).parquet(f"{path}-made")
     second = F.unix_seconds("ts")
     arrival = second + F.pmod(F.xxhash64(salt), F.lit(JITTER_S))
-    lo, hi = rows.agg(F.min(second), F.max(second)).first()
+    lo, hi, n = rows.agg(F.min(second), F.max(second), F.count("*")).first()
     lo, hi = lo or 0, hi or 0
     width = (hi - lo + JITTER_S) // ARRIVALS + 1
     stretch = F.floor((arrival - lo) / width).cast("int")
-    rows = rows.withColumn("_stretch", stretch)
+    files = max(2, n // ARRIVALS // FILE_ROWS)
     for i in range(ARRIVALS):
-        rows.where(F.col("_stretch") == i).drop("_stretch").repartition(2).write.mode("append").parquet(path)
+        rows.where(stretch == i).repartition(files).write.mode("append").parquet(path)
     delay = width + JITTER_S
     blank = [F.timestamp_seconds(F.lit(hi + 40 * 86_400 + delay)).alias(f.name) if f.name in ("ts", "deadline") else F.lit("~end").alias("id") if f.name == "id"
-             else F.array(F.lit("")).alias(f.name) if f.name == "allowed" else F.lit("0").cast(f.dataType).alias(f.name) for f in rows.drop("_stretch").schema.fields]
+             else F.array(F.lit("")).alias(f.name) if f.name == "allowed" else F.lit("0").cast(f.dataType).alias(f.name) for f in rows.schema.fields]
     spark.range(1).coalesce(1).select(*blank).write.mode("append").parquet(path)
-    return f"{delay} seconds"
+    remove_path(spark, f"{path}-made")
+    return Arrival(f"{delay} seconds", files * 3 // 2, n)
+
+
+def _arriving(spark: SparkSession, rows: DataFrame, path: str, how: Arrival) -> DataFrame:
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", how.per_trigger).parquet(path)
 
 
 @query("stream_reordered", ORACLE["replay_state"])
@@ -50,9 +70,9 @@ def q_stream_reordered(spark: SparkSession, sf: str) -> DataFrame:
     the result that of the ordered batch replay."""
     root = S.scratch_dir(spark, "stream-reordered")
     signals = X.signals(spark, sf)
-    delay = _arrive(signals, f"{root}/in", "seq")
-    src = spark.readStream.schema(signals.schema).option("maxFilesPerTrigger", 3).parquet(f"{root}/in")
-    stream = S.lifecycle_stream(src, P, watermark=delay, reorder=True)
+    how = _arrive(signals, f"{root}/in", "seq")
+    src = _arriving(spark, signals, f"{root}/in", how)
+    stream = S.lifecycle_stream(src, P, watermark=how.delay, reorder=True, groups=S.groups_for(how.rows))
     S.run_available_now(stream, f"{root}/out", f"{root}/ck")
     cur = S.latest_per_id(spark.read.schema(S.OUTPUT_SCHEMA).parquet(f"{root}/out"))
     return cur.select("id", "state_kind", "state_message", "next_update_time", "n_signals", "n_applied")
@@ -64,9 +84,10 @@ def q_stream_apply_commands(spark: SparkSession, sf: str) -> DataFrame:
     root = S.scratch_dir(spark, "stream-commands")
     routed = commands.route_requests(X.access_log(spark, sf)).where(F.col("operation").isin("stop", "restart", "delete"))
     asked = routed.select("id", "ts", F.col("event_id").alias("seq"), F.upper("operation").alias("signal"), F.lit(None).cast("string").alias("msg"))
-    delay = _arrive(asked, f"{root}/in", "seq")
-    src = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 3).parquet(f"{root}/in")
-    stream = S.lifecycle_stream(src, P, watermark=delay, reorder=True, initial=X.registry(spark, sf))
+    how = _arrive(asked, f"{root}/in", "seq")
+    src = _arriving(spark, asked, f"{root}/in", how)
+    records = X.registry(spark, sf)
+    stream = S.lifecycle_stream(src, P, watermark=how.delay, reorder=True, initial=records, groups=S.groups_for(how.rows + records.count()))
     S.run_available_now(stream, f"{root}/out", f"{root}/ck")
     cur = S.latest_per_id(spark.read.schema(S.OUTPUT_SCHEMA).parquet(f"{root}/out"))
     return cur.select("id", "state_kind", "state_message", "next_update_time", "n_signals", "n_applied")
@@ -92,9 +113,10 @@ def q_stream_waits(spark: SparkSession, sf: str) -> DataFrame:
     root = S.scratch_dir(spark, "stream-waits")
     log = replay.replay_log(X.signals(spark, sf), P).where("outcome = 'Applied'").select("id", "ts", "seq", "to_kind")
     asked = X.waits(spark, sf)
-    delays = [_arrive(log, f"{root}/transitions", "seq"), _arrive(asked, f"{root}/waits", "wait_id")]
-    streams = [spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 3).parquet(f"{root}/{n}") for x, n in ((log, "transitions"), (asked, "waits"))]
-    S.run_available_now(W.wait_stream(*streams, watermarks=tuple(delays)), f"{root}/out", f"{root}/ck")
+    hows = [_arrive(log, f"{root}/transitions", "seq"), _arrive(asked, f"{root}/waits", "wait_id")]
+    streams = [_arriving(spark, x, f"{root}/{n}", how) for x, n, how in zip((log, asked), ("transitions", "waits"), hows)]
+    waits = W.wait_stream(*streams, watermarks=tuple(h.delay for h in hows), groups=S.groups_for(sum(h.rows for h in hows)))
+    S.run_available_now(waits, f"{root}/out", f"{root}/ck")
     return spark.read.schema(W.OUTPUT).parquet(f"{root}/out")
 
 

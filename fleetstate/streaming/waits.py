@@ -2,7 +2,7 @@
 
 A wait (id, wait_id, ts, target, allowed, deadline) is open from its registration until its id
 reaches the target state, enters a state that isn't allowed, or its deadline passes. Both sides,
-waits and transitions, meet in the state of their id. They are applied in event-time order behind a
+waits and transitions, meet in the state of their id's group. They are applied in event-time order behind a
 reorder buffer, so a wait may come before or after the transition that ends it, and the outcome is the
 same for any cut into micro-batches and any order within the watermark's delay.
 
@@ -20,49 +20,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from fleetstate.streaming.lifecycle import STATEFUL_CONF, ReorderBuffer
+from fleetstate.streaming.lifecycle import GROUPS, STATEFUL_CONF, ReorderBuffer, group_of, pack, unpack, values
 
-EVENT = "ts_us bigint, side int, seq bigint, kind string, wait_id bigint, target string, allowed string, deadline_us bigint"
-OPEN = "wait_id bigint, target string, allowed string, deadline_us bigint, since_us bigint"
+EVENT = ["ts_us", "side", "seq", "kind", "wait_id", "target", "allowed", "deadline_us", "id"]
 OUTPUT = "id string, wait_id bigint, target string, status string, at_us bigint, waited_us bigint, state_kind string"
 _SEPARATOR = "\n"  # between the names of allowed states
 
 
 class WaitProcessor(StatefulProcessor):
-    """Open waits and the current state of an id."""
+    """Open waits and the current state of every id of a group."""
 
     def __init__(self, initial_kind: str | None):
         self.initial_kind = initial_kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.current = handle.getValueState("current", "kind string")
-        self.open = handle.getListState("open", OPEN)
-        self.deadline = handle.getValueState("deadline", "ms bigint")
-        self.buffer = ReorderBuffer(handle, "events", EVENT)
+        self.ids = handle.getValueState("ids", "packed binary")  # by id: state, open waits
+        self.buffer = ReorderBuffer(handle, "events")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            cols = [c.split()[0] for c in EVENT.split(", ")]
-            values = pdf[cols].astype(object).where(pdf[cols].notna(), None)
-            self.buffer.add(list(values.itertuples(index=False, name=None)))
+            self.buffer.add(list(zip(*(values(pdf, c) for c in EVENT))))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        (rid,) = key
         watermark = timerValues.getCurrentWatermarkInMs()
-        events = sorted(self.buffer.release(watermark), key=lambda e: e[:3])
-        kind = self.current.get()[0] if self.current.exists() else self.initial_kind
-        waits = [tuple(w) for w in self.open.get()] if self.open.exists() else []
-        before, done = list(waits), []
+        ready, first = self.buffer.release(watermark)
+        ids = unpack(self.ids.get()) or {}
+        late = [rid for rid, (_, waits) in ids.items() if rid not in ready and any(w[3] <= watermark * 1000 for w in waits)]
+        done: list[tuple] = []
+        for rid in [*ready, *late]:
+            kind, waits = ids.get(rid, (self.initial_kind, []))
+            ids[rid] = self._happen(rid, kind, waits, sorted(ready.get(rid, []), key=lambda e: e[:3]), watermark * 1000, done)
+        if ready or late:
+            self.ids.update((pack(ids),))
+        deadlines = [-(-w[3] // 1000) for _, waits in ids.values() for w in waits]
+        self.buffer.wake_at(min(deadlines + ([] if first is None else [first]), default=None))
+        if done:
+            yield pd.DataFrame(done, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+
+    @staticmethod
+    def _happen(rid, kind, waits, events, watermark_us: int, done: list[tuple]) -> tuple:
+        """State and open waits of an id after its events, in order; waits that end are added to ``done``."""
 
         def end(w, status, at):
             done.append((rid, w[0], w[1], status, at, at - w[4], kind))
 
-        def expire(until_us, strictly):
+        def expire(until_us):
             nonlocal waits
-            if strictly:
-                until_us -= 1
             for w in waits:
                 if w[3] <= until_us:
                     end(w, "timed_out", w[3])
@@ -79,7 +83,7 @@ class WaitProcessor(StatefulProcessor):
             return True
 
         for ts_us, side, _, to, wait_id, target, allowed, deadline_us in events:
-            expire(ts_us, True)
+            expire(ts_us - 1)
             if side == 0:
                 kind = to
                 waits = [w for w in waits if not judge(w, ts_us)]
@@ -87,36 +91,15 @@ class WaitProcessor(StatefulProcessor):
                 w = (wait_id, target, allowed, deadline_us, ts_us)
                 if not judge(w, ts_us):
                     waits.append(w)
-        expire(watermark * 1000, False)
-        if events:
-            self.current.update((kind,))
-        if waits != before:
-            if waits:
-                self.open.put(waits)
-            else:
-                self.open.clear()
-        self._set_deadline(min((-(-w[3] // 1000) for w in waits), default=None))
-        if done:
-            yield pd.DataFrame(done, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-    def _set_deadline(self, ms: int | None) -> None:
-        """A timer at the earliest deadline; it may stand where the buffer's does."""
-        old = int(self.deadline.get()[0]) if self.deadline.exists() else None
-        if old == ms:
-            return
-        if old is not None and old != self.buffer.due_ms():
-            self.handle.deleteTimer(old)
-        if ms is None:
-            self.deadline.clear()
-        else:
-            self.deadline.update((ms,))
-            self.handle.registerTimer(ms)
+        expire(watermark_us)
+        return kind, waits
 
     def close(self) -> None:
         pass
 
 
-def wait_stream(transitions: DataFrame, waits: DataFrame, watermarks: tuple[str, str], initial_kind: str | None = "WaitToStart") -> DataFrame:
+def wait_stream(transitions: DataFrame, waits: DataFrame, watermarks: tuple[str, str], initial_kind: str | None = "WaitToStart",
+                groups: int = GROUPS) -> DataFrame:
     """Outcome of every wait: id, wait_id, target, status (reached, failed, timed_out), at_us, waited_us
     and state_kind (the state that decided, or that it was in at the deadline).
 
@@ -126,7 +109,8 @@ def wait_stream(transitions: DataFrame, waits: DataFrame, watermarks: tuple[str,
     decides first. ``watermarks``: how late rows of either stream may come; each has a watermark of its
     own, and the one behind counts. ``initial_kind``: the state of an id before its
     first transition (None: unknown, which decides nothing). Rows without an id or a time, and waits
-    without a target or deadline, have no place and are left out."""
+    without a target or deadline, have no place and are left out. Ids share state in ``groups`` by hash,
+    as in ``lifecycle_stream``."""
     spark = transitions.sparkSession
     for k, v in STATEFUL_CONF.items():
         spark.conf.set(k, v)
@@ -141,5 +125,5 @@ def wait_stream(transitions: DataFrame, waits: DataFrame, watermarks: tuple[str,
         F.col("wait_id").cast("bigint").alias("wait_id"), "target", F.array_join("allowed", _SEPARATOR).alias("allowed"), us("deadline").alias("deadline_us"))
     # by the session's policy for several watermarks the least one counts, so neither source is late for the other
     events = left.withWatermark("ts", watermarks[0]).unionByName(right.withWatermark("ts", watermarks[1]))
-    return events.groupBy("id").transformWithStateInPandas(
+    return events.select("*", group_of(groups)).groupBy("group").transformWithStateInPandas(
         statefulProcessor=WaitProcessor(initial_kind), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
