@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from fleetstate.model import Params
 from fleetstate.operators import replay
+from fleetstate.plans.live import _arrive
 from fleetstate.streaming import lifecycle as S
+from fleetstate.streaming import waits as W
 
 P = Params()
 SIGNAL = "id string, t long, seq long, signal string, msg string"
@@ -71,3 +73,34 @@ def test_only_created_ids_have_records(spark):
     src = files(spark, f"{root}/in", [signals(spark, x) for x in batches])
     out, _ = drained(spark, S.lifecycle_stream(src, P, watermark="100 seconds", reorder=True, explicit_create=True, groups=1), root, S.OUTPUT_SCHEMA)
     assert [(r["id"], r["state_kind"], r["n_signals"], r["n_dropped"]) for r in S.latest_per_id(out).collect()] == [("a", "Terminated", 2, 1)]
+
+
+def test_waits_are_held_by_groups(spark):
+    ids = [f"id{i}" for i in range(120)]
+    moves = [(x, 100 + i, i, "Running" if i % 2 else "Terminated") for i, x in enumerate(ids)]
+    asked = [(x, i, 50, "Running", ["WaitToStart"], 1000 if i % 3 else 60) for i, x in enumerate(ids)]
+    move = lambda rows: spark.createDataFrame(rows, "id string, t long, seq long, to_kind string").select("id", F.timestamp_seconds("t").alias("ts"), "seq", "to_kind")
+    wait = lambda rows: spark.createDataFrame(rows, "id string, wait_id long, t long, target string, allowed array<string>, d long").select(
+        "id", "wait_id", F.timestamp_seconds("t").alias("ts"), "target", "allowed", F.timestamp_seconds("d").alias("deadline"))
+    root = S.scratch_dir(spark, "groups-waits")
+    left = files(spark, f"{root}/m", [move(moves), move([("~end", 5000, 0, "x")])])
+    right = files(spark, f"{root}/w", [wait(asked[::-1]), wait([("~end", 0, 5000, "x", ["x"], 5000)])])
+    out, held = drained(spark, W.wait_stream(left, right, ("500 seconds", "500 seconds"), groups=3), root, W.OUTPUT)
+    got = {r["wait_id"]: (r["status"], r["at_us"] // 1_000_000, r["state_kind"]) for r in out.where("id <> '~end'").collect()}
+    assert got == {i: ("timed_out", 60, "WaitToStart") if i % 3 == 0 else ("reached", 100 + i, "Running") if i % 2 else ("failed", 100 + i, "Terminated") for i in range(120)}
+    assert held <= 10 * 3
+
+
+def test_arriving_rows_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(100).select("id", F.timestamp_seconds(F.col("id") * 3600).alias("ts"), F.col("id").alias("seq"))
+    root = S.scratch_dir(spark, "arrive-once")
+    how = _arrive(rows.mapInArrow(seen, rows.schema), f"{root}/in", "seq")
+    assert made.value == how.rows == 100
+    assert spark.read.schema(rows.schema).parquet(f"{root}/in").count() == 101  # and the row at the end
