@@ -66,6 +66,15 @@ def test_seeded_triggers_time_out_without_signals(spark):
     assert set(got) == {"a", "d", "e"}
 
 
+def test_reordered_state_is_held_by_groups(spark, rows):
+    shuffled = random.Random(7).sample(rows, len(rows))
+    root = S.scratch_dir(spark, "groups-reordered")
+    src = files(spark, f"{root}/in", [signals(spark, x) for x in (shuffled[:300], shuffled[300:], [("~end", 5000, 0, "STOP", None)])])
+    out, held = drained(spark, S.lifecycle_stream(src, P, watermark="1000 seconds", reorder=True, groups=3), root, S.OUTPUT_SCHEMA)
+    want = replay.replay_state(signals(spark, rows), P)
+    assert sorted(map(tuple, S.latest_per_id(out).select(*COLS).collect()), key=str) == sorted(map(tuple, want.select(*COLS).collect()), key=str)
+    assert held <= 10 * 3
+
 
 def test_only_created_ids_have_records(spark):
     root = S.scratch_dir(spark, "groups-create")
