@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,7 @@ PIECE = 256
 ACCOUNTS = 60  # classes of shares; what is below the last one's counts to it
 BROADCAST_BYTES = 64 << 20
 CACHED_PIECES = 300_000
+TOKENIZED_BYTES = 8 << 20  # text whose distinct pieces are encoded at once
 
 _encoders: dict = {}
 
@@ -66,8 +68,9 @@ class Encoder:
 
     A text may be cut before a single space between two characters that aren't white space: a
     byte-level BPE never joins tokens over such a place, so the pieces' ids are the text's ids.
-    Pieces are encoded once and cached, up to a bound. With ``ranks``, the same vocabulary as a
-    rank file, tiktoken encodes the pieces, which is faster; the ids are the same.
+    Pieces are encoded once and cached, up to a bound; ``many`` encodes those that it lacks together.
+    With ``ranks``, the same vocabulary as a rank file, tiktoken encodes the pieces, which is faster;
+    the ids are the same.
     """
 
     def __init__(self, vocabulary: str, ranks: tuple[str, str] | None = None):
@@ -78,7 +81,7 @@ class Encoder:
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.fast = _rank_encoder(*ranks) if ranks else None
+        self.fast, self.spans = _rank_encoder(*ranks) if ranks else (None, None)
         self.pieces = Pieces(self.text, CACHED_PIECES)
 
     def text(self, text: str) -> bytes:
@@ -97,15 +100,70 @@ class Encoder:
         except _Spaced:
             return self.text(text)
 
+    def many(self, texts: pa.Array, end: bytes) -> tuple[pa.Buffer, np.ndarray]:
+        """The ids of all texts, each followed by ``end``, and where each text's bytes begin."""
+        texts = texts.fill_null("")
+        lists = pc.split_pattern(texts, " ")
+        begin = C.offsets_of_list(lists)
+        count = np.diff(begin)
+        words = lists.flatten().dictionary_encode()
+        n, kinds = len(texts), len(words.dictionary)
+        which = np.asarray(words.indices).astype(np.int64)
+        ids, spaced = self._after_space(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        heads = words.dictionary.take(pa.array(which[begin[:-1]])).to_pylist()
+        # a text that can't be cut at its spaces, or has none, is encoded whole, in place of its head
+        odd = spaced[which]
+        odd[begin[:-1]] = False
+        whole = np.logical_or.reduceat(odd, begin[:-1]) if n else odd
+        whole |= (count > 1) & np.array([not h or h[-1].isspace() for h in heads], bool)
+        firsts = [self.text(texts[i].as_py() if w else h) for i, (h, w) in enumerate(zip(heads, whole.tolist(), strict=True))]
+        order = np.empty(len(which) + n, np.int64)
+        which[np.repeat(whole, count)] = kinds + n + 1  # nothing
+        which[begin[:-1]] = kinds + np.arange(n)
+        order[np.arange(len(which)) + np.repeat(np.arange(n), count)] = which
+        order[begin[1:] + np.arange(n)] = kinds + n
+        taken = pa.array([*ids, *firsts, end, b""], pa.large_binary()).take(pa.array(order))
+        return taken.buffers()[2], C.offsets_of(taken)[np.append(begin[:-1] + np.arange(n), len(order))]
+
+    def _after_space(self, pieces: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """The ids of each piece after a space, and which pieces are empty or have white space at an end."""
+        ids = list(map(self.pieces.get, pieces))
+        new = [i for i, x in enumerate(ids) if x is None]
+        spaced = np.zeros(len(pieces), bool)
+        spaced[[i for i in new if not (p := pieces[i]) or p[0].isspace() or p[-1].isspace()]] = True
+        bare = [i for i in new if not spaced[i]]
+        for i, x in zip(bare, self._encoded([" " + pieces[i] for i in bare]), strict=True):
+            ids[i] = x
+            if len(self.pieces) < self.pieces.room:
+                self.pieces[pieces[i]] = x
+        return [b"" if x is None else x for x in ids], spaced
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that begin with a space and may follow each other."""
+        text = "".join(pieces)
+        if not pieces or not self.fast or any(t in text for t in self.special):
+            return [self.text(p) for p in pieces]
+        ids = np.array(self.fast(text), f"<u{self.width}")
+        ends = np.cumsum(self.spans[ids])
+        stops = np.cumsum([len(p.encode()) for p in pieces])
+        cuts = np.concatenate([[0], np.searchsorted(ends, stops) + 1])
+        if len(ids) != cuts[-1] or not np.array_equal(ends[cuts[1:] - 1], stops):
+            return [self.text(p) for p in pieces]
+        blob, cuts = ids.tobytes(), (cuts * self.width).tolist()
+        return [blob[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
 
 def _rank_encoder(path: str, pattern: str):
+    """The encoder, and how many bytes each id stands for."""
     import base64
 
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    spans = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+    spans[list(ranks.values())] = list(map(len, ranks))
+    return tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, spans
 
 
 def queue_name(column: str):
@@ -128,15 +186,15 @@ def tokenize(docs: DataFrame, vocabulary: str, queue, end_id: int = 0, ranks: tu
         row = part << 33
         used: dict[str, int] = {}
         end = array(encode.code, [end_id]).tobytes()
-        for batch in C.slices(batches):
+        for batch in C.slices(batches, budget=TOKENIZED_BYTES):
             queues = batch.column(1).to_pylist()
-            ids = [encode(t or "") + end for t in batch.column(2).to_pylist()]
-            n = [len(x) // encode.width for x in ids]
+            blob, offs = encode.many(batch.column(2), end)
+            n = (np.diff(offs) // encode.width).tolist()
             at = []
             for q, k in zip(queues, n, strict=True):
                 at.append(used.get(q, 0))
                 used[q] = at[-1] + k
-            packed = [pa.compress(x, codec="zstd", asbytes=True) for x in ids]
+            packed = [pa.compress(blob[a:b], codec="zstd", asbytes=True) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(range(row, row + len(n)), pa.int64()), batch.column(1), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array([encode.width] * len(n), pa.int32()), pa.array(packed, pa.binary())],
                 ["doc_id", "key", "queue", "part", "at", "n", "width", "ids"])
