@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from fleetstate.llm import common as C
 
 BLOCK_BYTES = 32 << 20
+LOOKED_UP = 1 << 18  # keys at once
 
 
 def blocks(df: DataFrame, keep: list[str], block_bytes: int = BLOCK_BYTES, scratch: C.Scratch | None = None) -> DataFrame:
@@ -107,12 +108,16 @@ class Lookup:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, keys: np.ndarray, default: float) -> np.ndarray:
-        slot = self._slot(keys)
         out = np.full(len(keys), default, self.values.dtype)
+        for at in range(0, len(keys), LOOKED_UP):  # what a look-up needs beside its result is bounded
+            self._get(keys[at: at + LOOKED_UP], out[at: at + LOOKED_UP])
+        return out
+
+    def _get(self, keys: np.ndarray, out: np.ndarray) -> None:
+        slot = self._slot(keys)
         left = np.arange(len(keys))
         while len(left):
             hit = self.used[slot] & (self.keys[slot] == keys[left])
             out[left[hit]] = self.values[slot[hit]]
             on = self.used[slot] & ~hit
             left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
-        return out

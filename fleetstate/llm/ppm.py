@@ -28,6 +28,7 @@ BUCKETS = 512  # the trie is dealt out by the last two context bytes
 START, STOP = 0xFE, 0xFF  # bytes that UTF-8 never has: before a text, and its end
 SYMBOLS = 256
 BROADCAST_ROWS = 4_000_000  # n-grams with their values at 16 bytes: 64 MB
+TALLIED = 1 << 18  # items of a block's slices that are tallied together, at least
 END_WORD = np.uint64(0xE5D0F7E5D0F7E5D1)
 
 
@@ -36,8 +37,11 @@ def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(offs) - 1
     buf = np.full(len(data) + n * (ORDER + 1), START, np.uint8)
     at = offs[:-1] + np.arange(n) * (ORDER + 1) + ORDER  # where each text now begins
-    buf[np.arange(len(data)) + np.repeat(at - offs[:-1], np.diff(offs))] = data
     ends = at + np.diff(offs)
+    text = np.ones(len(buf), bool)
+    text[ends] = False
+    text[(at[:, None] - np.arange(1, ORDER + 1)).ravel()] = False
+    buf[text] = data
     buf[ends] = STOP
     g = np.zeros(len(buf) - ORDER, np.uint64)
     for i in range(ORDER + 1):
@@ -61,16 +65,22 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(sizes, blob, held, items) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct items of a block and how often its training texts have them."""
-    keys, counts = [], []
+    """Distinct items of a block and how often its training texts have them. What the slices have is
+    tallied whenever it is as much as the distinct items so far, so no more than that is held."""
+    known, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, counts, waiting = [known], [seen], 0
     for at, to, data, offs in parts(sizes, blob):
         k, starts = items(data, offs)
         learned = np.repeat(~held[at:to], np.diff(starts))
-        u, c = np.unique(k[learned], return_counts=True)
-        v = np.unique(k[~learned])
-        keys += [u, v]
-        counts += [c, np.zeros(len(v), np.int64)]
-    return tally(np.concatenate(keys), np.concatenate(counts))
+        for u, c in (np.unique(k[learned], return_counts=True), (v := np.unique(k[~learned]), np.zeros(len(v), np.int64))):
+            keys.append(u)
+            counts.append(c)
+            waiting += len(u)
+        del k, learned
+        if waiting > max(TALLIED, len(known)):
+            known, seen = tally(np.concatenate(keys), np.concatenate(counts))
+            keys, counts, waiting = [known], [seen], 0
+    return tally(np.concatenate(keys), np.concatenate(counts)) if waiting else (known, seen)
 
 
 def code_lengths(keys: np.ndarray, counts: np.ndarray, low: np.ndarray) -> np.ndarray:
