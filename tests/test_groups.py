@@ -100,6 +100,32 @@ def test_waits_are_held_by_groups(spark):
     assert held <= 10 * 3
 
 
+class Allowed(str):
+    """Allowed states that count how often they are looked at."""
+
+    looked = 0
+
+    def split(self, *args):
+        Allowed.looked += 1
+        return super().split(*args)
+
+
+def test_open_waits_are_judged_by_kind_not_one_by_one():
+    n = 400
+    moves = [(10 * i, 0, i, "ab"[i % 2], 0, None, None, 0) for i in range(n)]
+    asked = [(10 * i + 1, 1, i, None, i, "c", Allowed("a\nb"), 10 * (i + 150)) for i in range(n)]
+    done = []
+    Allowed.looked = 0
+    kind, left = W.WaitProcessor._happen("x", "a", [], sorted(moves + asked, key=lambda e: e[:3]), 10 * n, done)
+    assert Allowed.looked <= 2 * n  # each open wait at each move would be some 150 n
+    # deadlines pass in order, in the state of that time; the rest stays open
+    assert done == [("x", i, "c", "timed_out", 10 * (i + 150), 1499, "ab"[(i + 150) % 2] if i + 150 < n else kind) for i in range(n - 150 + 1)]
+    assert kind == "b" and sorted(w[0] for w in left) == list(range(n - 150 + 1, n))
+    done.clear()
+    assert W.WaitProcessor._happen("x", kind, left, [(10 * n + 1, 0, n, "c", 0, None, None, 0)], 10 * n + 1, done) == ("c", [])
+    assert sorted(d[1] for d in done) == list(range(n - 150 + 1, n)) and {d[3] for d in done} == {"reached"}
+
+
 def test_arriving_rows_are_made_once(spark):
     made = spark.sparkContext.accumulator(0)
 
