@@ -2,11 +2,12 @@
 
 The corpus becomes a sparse matrix of documents by words. Shards of documents are counted with a
 dictionary of their own first (compressed sparse rows: row starts, columns, counts), whose words are
-in the order of their hashes. Each shard asks for its words once, packed by hash range; a range
-numbers the distinct words of all shards, and each shard's columns are renamed by these dense global
-ids. What moves between tasks is words per shard, never occurrences. Row sums are a document's words
-and nonzero counts its distinct words: filters A and B. The other filters are flags of the row. What
-the filters do in every order follows from the number of documents with each set of failed filters.
+in the order of their hashes. A shard is a row of packed bytes: Spark never holds a value per cell or
+word of it. Each shard asks for its words once, packed by hash range; a range numbers the distinct
+words of all shards, and each shard's columns are renamed by these dense global ids. What moves
+between tasks is words per shard, never occurrences. Row sums are a document's words and nonzero
+counts its distinct words: filters A and B. The other filters are flags of the row. What the filters
+do in every order follows from the number of documents with each set of failed filters.
 """
 
 from __future__ import annotations
@@ -22,19 +23,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetstate.llm import common as C
-from fleetstate.llm.blocks import pack_numbers, unpack_numbers
+from fleetstate.llm.blocks import pack_numbers, tally, unpack_numbers
 
-SHARD_BYTES = 8 << 20  # text of a shard
+SHARD_BYTES = 8 << 20  # text of a shard, with ROW_BYTES for every row
+ROW_BYTES = 64  # about what a row's kept columns and numbers take
+HELD_WORDS = 1 << 20  # words of a shard's stretches held apart, or twice the distinct ones
 RANGE_ITEMS = 1 << 20  # words of all shards in a hash range, about
 BROADCAST_ROWS = 200_000  # word counts of hash ranges: 12 bytes each
 FILTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, SIGNS = 200, 50, 3, b"#$%&*|"
 
-_KIND = np.zeros((3, 256), np.int64)  # of a byte: begins a code point, is A-Z, is one of SIGNS
-_KIND[0] = 1
-_KIND[0, 0x80:0xC0] = 0
-_KIND[1, 65:91] = 1
-_KIND[2, list(SIGNS)] = 1
+_IS_SIGN = np.zeros(256, bool)
+_IS_SIGN[list(SIGNS)] = True
 
 
 # ---------------------------------------------------------------- document-term matrix
@@ -44,12 +44,20 @@ def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array
     lists = pc.ascii_split_whitespace(text)  # at 0x20 and 0x09-0x0D
     coded = lists.flatten().dictionary_encode()
     starts = np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
-    row, col = np.repeat(np.arange(len(text)), np.diff(starts)), np.asarray(coded.indices, np.int64)
-    blank = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()  # before the first space, after the last
-    keep = col != blank
-    wide = len(coded.dictionary) + 1
-    cell, count = np.unique(row[keep] * wide + col[keep], return_counts=True)
-    return cell // wide, cell % wide, count, coded.dictionary
+    row, col, words = np.repeat(np.arange(len(text)), np.diff(starts)), np.asarray(coded.indices, np.int64), coded.dictionary
+    blank = pc.index(words, pa.scalar("", words.type)).as_py()  # before the first space, after the last
+    if blank >= 0:
+        keep = col != blank
+        row, col = row[keep], col[keep]
+        col, words = col - (col > blank), words.filter(pc.not_equal(words, ""))
+    wide = len(words) + 1
+    cell, count = np.unique(row * wide + col, return_counts=True)
+    return cell // wide, cell % wide, count, words
+
+
+def _hits(found: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """How many bytes of each text are ``found``."""
+    return np.diff(np.searchsorted(np.flatnonzero(found), offs))
 
 
 def _stretches(batch: pa.RecordBatch, text: int):
@@ -72,58 +80,73 @@ def _stretches(batch: pa.RecordBatch, text: int):
 
 
 class _Shard:
-    """Rows counted so far: kept columns, cells and words."""
+    """Rows counted so far: kept columns, cells, and the words of each stretch with their hashes."""
 
     def __init__(self):
-        self.held, self.rows, self.cols, self.counts, self.words, self.n, self.size = [], [], [], [], {}, 0, 0
-        self.kinds: list[np.ndarray] = []
+        self.held, self.rows, self.cols, self.counts, self.keys, self.words, self.kinds = [], [], [], [], [], [], []
+        self.n = self.size = self.wide = 0
+        self.most = HELD_WORDS
 
     def add(self, first: int, data: np.ndarray, offs: np.ndarray) -> None:
         """Texts of the rows from number ``first``."""
+        if self.wide > self.most:
+            self._merge()
+            self.most = max(HELD_WORDS, 2 * self.wide)
         n = len(offs) - 1
         text = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
-        row, col, count, dictionary = _words(text)
-        words = self.words
-        number = np.fromiter((words.setdefault(w, len(words)) for w in dictionary.to_pylist()), np.int64, len(dictionary))
+        row, col, count, words = _words(text)
         self.rows.append((first + row).astype(np.int32))
-        self.cols.append((number[col] if len(col) else col).astype(np.int32))
+        self.cols.append((self.wide + col).astype(np.int32))
         self.counts.append(count.astype(np.int32))
-        self.size += len(data)
-        kind = np.zeros((3, n), np.int64)
-        for i in range(3):
-            kind[i] = np.diff(np.concatenate([[0], np.cumsum(_KIND[i, data])])[offs])
-        self.kinds.append(np.vstack([first + np.arange(n), kind]))
+        self.keys.append(C.hash_words(*C.text_bytes(words))[0])
+        self.words.append(words)
+        self.wide += len(words)
+        self.size += len(data) + ROW_BYTES * n
+        self.kinds.append(np.vstack([first + np.arange(n), np.diff(offs) - _hits((data & 0xC0) == 0x80, offs), _hits((data >= 65) & (data <= 90), offs), _hits(_IS_SIGN[data], offs)]))
+
+    def _merge(self) -> None:
+        """The stretches so far as one: distinct words in the order of their hashes, distinct cells in theirs."""
+        keys, at, rank = np.unique(np.concatenate(self.keys), return_index=True, return_inverse=True)
+        wide = len(keys) + 1
+        cell, counts = tally(np.concatenate(self.rows).astype(np.int64) * wide + rank[np.concatenate(self.cols)], np.concatenate(self.counts))
+        self.rows, self.cols, self.counts = [(cell // wide).astype(np.int32)], [(cell % wide).astype(np.int32)], [counts]
+        self.keys, self.words, self.wide = [keys], [pa.concat_arrays(self.words).take(pa.array(at))], len(keys)
 
     def batch(self, number: int, names: list[str], types: list) -> pa.RecordBatch:
-        n, words = self.n, list(self.words)
-        joined = "\n".join(words).encode()
-        keys, _ = C.hash_words(np.frombuffer(joined, np.uint8), np.array([0, len(joined)])) if words and words != [""] else (np.zeros(0, np.uint64), None)
-        words = [w for w in words if w]
-        empty = self.words.get("")  # never has a cell
-        order = np.argsort(keys, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        cols = np.concatenate(self.cols) if self.cols else np.zeros(0, np.int32)
-        if empty is not None:
-            cols = cols - (cols > empty)
-        wide = len(order) + 1
-        cell = np.concatenate(self.rows).astype(np.int64) * wide + (rank[cols] if len(cols) else cols) if self.rows else cols
-        at = np.argsort(cell)
-        cell, counts = cell[at], (np.concatenate(self.counts) if self.counts else cols)[at]
-        new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        counts, cell = np.add.reduceat(counts, new) if len(new) else counts, cell[new]
-        starts = np.searchsorted(cell, np.arange(n + 1) * wide)
+        self._merge()
+        n, (keys,), (counts,) = self.n, self.keys, self.counts
+        cell = self.rows[0].astype(np.int64) * (self.wide + 1) + self.cols[0]
         kinds = np.zeros((3, n), np.int64)
         for k in self.kinds:
             np.add.at(kinds, (slice(None), k[0]), k[1:])
         lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.concat_arrays([h[i] for h in self.held])) for i in range(len(types))]
-        ints = [pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (starts, cell % wide, counts)]
         longs = [pa.array([k], pa.list_(pa.int64())) for k in kinds]
-        tail = [pa.array([len(words)], pa.int32()), pa.array([pack_numbers(keys[order], True)], pa.binary()), pa.array([[words[i] for i in order]], pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, *ints, *longs, *tail], ["shard", *names, *_OWN])
+        own = [pa.array([x], pa.binary()) for x in (pack_numbers(cell, True), pack_numbers(counts))]
+        tail = [pa.array([len(keys)], pa.int32()), pa.array([pack_numbers(keys, True)], pa.binary()), pa.array([_pack_words(self.words[0])], pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, *own, *longs, *tail], ["shard", *names, *_PACKED])
+
+
+_KINDS = ["points", "capitals", "signs"]
+_OWN = ["starts", "cols", "counts", *_KINDS, "wide", "keys", "words"]
+_PACKED = ["cells", "counts", *_KINDS, "wide", "keys", "words"]  # cells: row * (wide + 1) + column, ascending
+
 
+def _pack_words(words: pa.Array) -> bytes:
+    if not len(words):
+        return b""
+    raw = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar("\n", words.type))[0].as_buffer()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-_OWN = ["starts", "cols", "counts", "points", "capitals", "signs", "wide", "keys", "words"]
+
+def _unpack_words(blob: bytes) -> list[str]:
+    return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True).decode().split("\n") if blob else []
+
+
+def _cells(one: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """starts, cols and counts of a packed shard."""
+    of = lambda c: one.column(one.schema.get_field_index(c))[0]
+    cell, stride = unpack_numbers(of("cells").as_py(), True).astype(np.int64), of("wide").as_py() + 1
+    return np.searchsorted(cell, np.arange(len(of("points")) + 1) * stride), cell % stride, unpack_numbers(of("counts").as_py()).astype(np.int64)
 
 
 def _count(batches, keep: int):
@@ -149,15 +172,55 @@ def _count(batches, keep: int):
         yield shard.batch(number, names, types)
 
 
+def _schema(docs: DataFrame, keep: list[str], cells: list[T.StructField], words: T.DataType) -> T.StructType:
+    kinds = [T.StructField(c, T.ArrayType(T.LongType())) for c in _KINDS]
+    return T.StructType([T.StructField("shard", T.LongType()), *(T.StructField(c, T.ArrayType(docs.schema[c].dataType)) for c in keep), *cells, *kinds, T.StructField("wide", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("words", words)])
+
+
+def packed_shards(docs: DataFrame, keep: list[str], scratch: C.Scratch) -> DataFrame:
+    """``shards`` as they are held and moved: cells, counts, keys and words are packed bytes."""
+    schema = _schema(docs, keep, [T.StructField(c, T.BinaryType()) for c in _PACKED[:2]], T.BinaryType())
+    n = len(keep)
+    return C.table(docs.select(*keep, "text").mapInArrow(lambda batches: _count(batches, n), schema), "audit_shards", scratch)
+
+
 def shards(docs: DataFrame, keep: list[str], scratch: C.Scratch) -> DataFrame:
     """The matrix in shards with dictionaries of their own: shard; a list of each column of ``keep``;
     starts, cols, counts; per row its code points, capitals A-Z and signs; wide (number of words),
     keys (their hashes, ascending, packed) and words. Words are told apart by 64-bit hashes."""
-    ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
-    own = [*(T.StructField(c, ints) for c in _OWN[:3]), *(T.StructField(c, longs) for c in _OWN[3:6]), T.StructField("wide", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))]
-    schema = T.StructType([T.StructField("shard", T.LongType()), *(T.StructField(c, T.ArrayType(docs.schema[c].dataType)) for c in keep), *own])
-    n = len(keep)
-    return C.table(docs.select(*keep, "text").mapInArrow(lambda batches: _count(batches, n), schema), "audit_shards", scratch)
+    schema = _schema(docs, keep, [T.StructField(c, T.ArrayType(T.IntegerType())) for c in _OWN[:3]], T.ArrayType(T.StringType()))
+
+    def run(batches):
+        for one in _singles(batches):
+            col = {c: one.column(i) for i, c in enumerate(one.schema.names)}
+            col |= {c: pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for c, x in zip(_OWN, _cells(one), strict=False)}
+            col["words"] = pa.array([_unpack_words(col["words"][0].as_py())], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([col[c] for c in schema.names], schema.names)
+
+    return packed_shards(docs, keep, scratch).mapInArrow(run, schema)
+
+
+def _singles(batches):
+    """A shard a batch."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1)
+
+
+def _closed(local: DataFrame, keep: list[str]) -> DataFrame:
+    """What ``named_shards`` needs of ``shards``, packed."""
+    names = ["shard", *keep, *_PACKED[:-1]]
+    schema = T.StructType([T.StructField(c, T.BinaryType()) if c in ("cells", "counts") else local.schema[c] for c in names])
+
+    def run(batches):
+        for one in _singles(batches):
+            col = {c: one.column(i) for i, c in enumerate(one.schema.names)}
+            starts, cols, counts = (np.asarray(col[c].flatten(), np.int64) for c in _OWN[:3])
+            cell = np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * (col["wide"][0].as_py() + 1) + cols
+            col |= {c: pa.array([x], pa.binary()) for c, x in (("cells", pack_numbers(cell, True)), ("counts", pack_numbers(counts)))}
+            yield pa.RecordBatch.from_arrays([col[c] for c in names], names)
+
+    return local.select("shard", *keep, *_OWN[:-1]).mapInArrow(run, schema)
 
 
 def _ask(bits: int):
@@ -185,7 +248,7 @@ def _number(rows: pa.Table) -> pa.Table:
 
 
 def named_shards(local: DataFrame, keep: list[str], scratch: C.Scratch) -> DataFrame:
-    """The shards with ids: the global numbers of their words, by range (before, ranks).
+    """The packed shards with ids: the global numbers of their words, by range (before, ranks).
 
     A hash range holds about RANGE_ITEMS words of all shards, so the number of ranges grows with the
     corpus; a frequent word is in it once per shard. Answers meet their shard in one row per range."""
@@ -198,30 +261,29 @@ def named_shards(local: DataFrame, keep: list[str], scratch: C.Scratch) -> DataF
     if offsets.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     named = answers.join(offsets, "range").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("range", "before", "ranks"))).alias("ids"))
-    return local.select("shard", *keep, *_OWN[:6]).join(named, "shard", "left")
-
+    return local.select("shard", *keep, *_PACKED[:-2]).join(named, "shard", "left")
 
-def _renamed(names: list[str]):
-    """A shard a batch, with the global ids in cols."""
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                col = {c: one.column(one.schema.get_field_index(c)) for c in one.schema.names}
-                ids = [unpack_numbers(x["ranks"], True).astype(np.int64) + x["before"] for x in col["ids"][0].as_py() or []]
-                cols = np.asarray(col["cols"].flatten(), np.int64)
-                cols = np.concatenate(ids)[cols] if len(cols) else cols
-                yield pa.RecordBatch.from_arrays([pa.array([cols], pa.list_(pa.int64())) if c == "cols" else col[c] for c in names], names)
 
-    return run
+def _renamed(batches):
+    """Each shard, and its starts, global column ids and counts."""
+    for one in _singles(batches):
+        ids = [unpack_numbers(x["ranks"], True).astype(np.int64) + x["before"] for x in one.column(one.schema.get_field_index("ids"))[0].as_py() or []]
+        starts, cols, counts = _cells(one)
+        yield one, starts, np.concatenate(ids)[cols] if len(cols) else cols, counts
 
 
 def term_matrix(local: DataFrame, keep: list[str], scratch: C.Scratch) -> DataFrame:
     """The shards with global column ids in ``cols``: dense from 0 and ascending within each row."""
-    named = named_shards(local, keep, scratch)
     names = ["shard", *keep, *_OWN[:6]]
     schema = T.StructType([T.StructField("cols", T.ArrayType(T.LongType())) if c == "cols" else local.schema[c] for c in names])
-    return named.mapInArrow(_renamed(names), schema)
+
+    def run(batches):
+        for one, starts, cols, counts in _renamed(batches):
+            col = {c: one.column(i) for i, c in enumerate(one.schema.names)}
+            col |= {c: pa.array([x], pa.list_(kind)) for c, x, kind in (("starts", starts.astype(np.int32), pa.int32()), ("cols", cols, pa.int64()), ("counts", counts.astype(np.int32), pa.int32()))}
+            yield pa.RecordBatch.from_arrays([col[c] for c in names], names)
+
+    return named_shards(_closed(local, keep), keep, scratch).mapInArrow(run, schema)
 
 
 def dictionary(local: DataFrame, scratch: C.Scratch) -> DataFrame:
@@ -234,15 +296,13 @@ def dictionary(local: DataFrame, scratch: C.Scratch) -> DataFrame:
 
 def row_stats(local: DataFrame, keep: list[str], scratch: C.Scratch) -> DataFrame:
     """keep, n_words (row sum), n_distinct (nonzero columns), points, capitals and signs of every
-    document, from the rows of its matrix."""
-    more = ["n_words", "n_distinct", "points", "capitals", "signs"]
+    document, from the rows of its matrix in packed shards."""
+    more = ["n_words", "n_distinct", *_KINDS]
     schema = T.StructType([*(T.StructField(c, local.schema[c].dataType.elementType) for c in keep), *(T.StructField(c, T.LongType()) for c in more)])
-    renamed = _renamed([*keep, *_OWN[:6]])
 
     def run(batches):
-        for one in renamed(batches):
+        for one, starts, cols, counts in _renamed(batches):
             flat = lambda c: one.column(one.schema.get_field_index(c)).flatten()  # noqa: E731, B023
-            starts, cols, counts = (np.asarray(flat(c), np.int64) for c in _OWN[:3])
             total = np.concatenate([[0], np.cumsum(counts)])[starts]
             fresh = np.ones(len(cols), bool)  # ids ascend within a row
             fresh[1:] = cols[1:] != cols[:-1]
@@ -265,7 +325,7 @@ def document_flags(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keep = ["doc_id", "part", "same"]
     rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("same"), text.alias("text"))
-    stats = C.table(row_stats(shards(rows, keep, scratch), keep, scratch), "audit_rows", scratch)
+    stats = C.table(row_stats(packed_shards(rows, keep, scratch), keep, scratch), "audit_rows", scratch)
     first = C.table(stats.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first"), "audit_copies", scratch)
     stats = stats.join(first, "same", "left")
     return stats.select("doc_id", "part", (F.col("n_words") < MIN_WORDS).alias("A"), (100 * F.col("n_distinct") < DISTINCT_PERCENT * F.col("n_words")).alias("B"),

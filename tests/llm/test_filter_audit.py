@@ -2,8 +2,10 @@
 import re
 from collections import Counter
 from itertools import permutations
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from fleetstate.llm import common as C
@@ -99,6 +101,42 @@ def test_long_texts_are_counted_in_stretches(spark):
     assert got == {1: (3, 2), 2: (2_600_000, 70_000), 3: (0, 0), 4: (0, 0), 5: (1, 1), 6: (1_300_000, 70_000)} and len(shards) > 1
 
 
+def test_no_value_per_word_reaches_spark(spark):
+    """Shards are written, read, sorted and joined as packed bytes, so that what the JVM holds doesn't go with the cells."""
+    rows = [(i, " ".join(f"w{(i * 37 + j) % 5000}" for j in range(1500)), "en") for i in range(40)]
+    with C.Scratch(spark) as scratch:
+        flags = A.document_flags(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1), scratch)
+        assert flags.where("A or B").count() == 0 and flags.count() == 40
+        made = next(p for p in scratch.paths if "/audit_shards-" in p).removeprefix("file:")
+        parts = [pq.ParquetFile(f).metadata for f in Path(made).glob("*.parquet")]
+        values = sum(m.row_group(g).column(c).num_values for m in parts for g in range(m.num_row_groups) for c in range(m.num_columns))
+    assert 40 * 6 <= values < 40 * 10  # 60,000 cells
+
+
+def test_stretches_of_a_shard_are_merged(monkeypatch):
+    """A long text's words and cells are held once, not once a stretch."""
+    monkeypatch.setattr(A, "HELD_WORDS", 1000)
+    shard, most = A._Shard(), 0
+    for k in range(60):
+        text = " ".join(f"w{(k * 300 + j) % 900}" for j in range(600)).encode()
+        shard.add(0, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        most = max(most, shard.wide, sum(map(len, shard.rows)))
+    assert most <= 2 * 900 + 600
+    shard.n = 1
+    one = shard.batch(0, [], [])
+    starts, cols, counts = A._cells(one)
+    words = A._unpack_words(one.column(one.schema.get_field_index("words"))[0].as_py())
+    assert starts.tolist() == [0, 900] and {words[c]: n for c, n in zip(cols, counts)} == {f"w{i}": 40 for i in range(900)}
+
+
+def test_many_short_documents_are_several_shards(spark):
+    rows = spark.range(0, 300_000, 1, 1).selectExpr("id as doc_id", "if(id % 3 = 0, 'a b', null) as text")
+    with C.Scratch(spark) as scratch:
+        got = A.shards(rows, ["doc_id"], scratch).selectExpr("size(doc_id) as n", "size(counts) as cells", "array_min(doc_id) as low", "array_max(doc_id) as high").orderBy("low").collect()
+    assert len(got) > 1 and sum(r["n"] for r in got) == 300_000 and sum(r["cells"] for r in got) == 200_000
+    assert [r["low"] for r in got] == [0, *(r["high"] + 1 for r in got[:-1])] and all(r["n"] == r["high"] - r["low"] + 1 for r in got)
+
+
 def test_no_documents(spark, none, labels):
     with C.Scratch(spark) as scratch:
         assert A.audit(A.document_flags(none, scratch), labels).count() == 0
